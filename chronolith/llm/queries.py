@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from chronolith.llm import exact_dedup, packing
+from chronolith.llm import exact_dedup, html_text, packing, token_files
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
     "op2_digest_index": exact_dedup.op2_digest_index,
+    "op3_line_block_text": html_text.op3_line_block_text,
+    "op5_simple8b_files": token_files.op5_simple8b_files,
 }
 
 ORACLES = {"op2_digest_index": exact_dedup.ORACLE}
