@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from chronolith.llm import exact_dedup, html_text, packing, token_files
+from chronolith.llm import exact_dedup, html_text, near_dedup, packing, token_files
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
     "op2_digest_index": exact_dedup.op2_digest_index,
     "op3_line_block_text": html_text.op3_line_block_text,
     "op5_simple8b_files": token_files.op5_simple8b_files,
+    "op7_bbit_minhash": near_dedup.op7_bbit_minhash,
 }
 
 ORACLES = {"op2_digest_index": exact_dedup.ORACLE}
