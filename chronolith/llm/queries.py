@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from chronolith.llm import exact_dedup, html_text, near_dedup, packing, token_files
+from chronolith.llm import exact_dedup, html_text, near_dedup, packing, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
     "op2_digest_index": exact_dedup.op2_digest_index,
     "op3_line_block_text": html_text.op3_line_block_text,
+    "op4_decision_list": quality_rules.op4_decision_list,
     "op5_simple8b_files": token_files.op5_simple8b_files,
+    "op6_window_toxicity": toxicity.op6_window_toxicity,
     "op7_bbit_minhash": near_dedup.op7_bbit_minhash,
 }
 
