@@ -254,10 +254,12 @@ def train(texts: list[str | None], labels: list[int], share: float | None = None
     for epoch in range(EPOCHS):
         picked = []
         if epoch >= 2:  # from here on, a toxic text is taught by the windows that the network finds toxic
-            gates = net.gates(net.words(slots))
             best = np.empty(len(first), np.float32)
-            for a in range(0, len(first), 4096):
-                best[a : a + 4096] = net.forward(gates, _index(first[a : a + 4096], count[a : a + 4096]), count[a : a + 4096])
+            for a in range(0, len(first), 2048):
+                at = slice(a, a + 2048)
+                low, high = int(first[at].min()), int((first[at] + count[at]).max())
+                gates = net.gates(net.words(slots[low : high + 1])) if high > low else np.zeros((2, 1, 3 * HIDDEN), np.float32)
+                best[at] = net.forward(gates, _index(first[at] - low, count[at]), count[at])
         for i in np.flatnonzero(~held):
             own = np.arange(begin[i], begin[i + 1])
             if best is not None and len(own) > 2:
@@ -291,7 +293,8 @@ def train(texts: list[str | None], labels: list[int], share: float | None = None
     check = [i for i in np.flatnonzero(held)]
     if not 0 < target[check].sum() < len(check):
         check = list(range(len(texts)))
-    net.scale = _logistic(net.logits([texts[i] for i in check]).astype(np.float64), target[check].astype(np.float64), share)
+    logits = np.concatenate([net.logits([texts[i] for i in check[a : a + 64]]) for a in range(0, len(check), 64)])
+    net.scale = _logistic(logits.astype(np.float64), target[check].astype(np.float64), share)
     return net
 
 
