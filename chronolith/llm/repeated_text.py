@@ -2,12 +2,13 @@
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else in the corpus.
 
-1. Every window of LENGTH bytes has an anchor: the leftmost position inside it whose 32-byte hash is least.  Equal
+1. Every window of LENGTH bytes has an anchor: the leftmost position inside it whose 64-byte hash is least.  Equal
    windows have equal anchors at equal places, so only windows of one anchor hash can be equal, and a hash that
    occurs once settles its windows.
-2. For hashes that occur again, fragments (an anchor's run of windows with all their bytes, under 400) gather by
-   hash.  Equal fragments collapse to one with a count, and equal texts have collapsed before.
-3. What is left goes, in batches of whole hash groups, into shards.  Each shard's transform is built over words of
+2. For hashes that occur again, fragments (an anchor's run of windows with all their bytes, under 400) are compared
+   by a hash of their own.  Windows of a fragment that occurs twice are repeated; only one copy of each different
+   fragment goes on, and only where a hash has several.
+3. These go, in batches of whole hash groups, into shards.  Each shard's transform is built over words of
    four bytes at every byte phase; all shards are merged by iterative interleave refinement: from "shard after
    shard", each pass deals the shard numbers out by the word before each suffix, which sorts suffixes by four more
    bytes without touching the texts or sorting suffixes again.  Boundaries that a pass adds give the common
@@ -25,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import in_slices, partitions, settle, table
+from chronolith.llm.common import in_slices, partitions, release, settle, table
 
-LENGTH, GRAM, WORD, SHARDS = 200, 32, 4, 4
+LENGTH, GRAM, WORD, SHARDS = 200, 64, 4, 4
 #: Bytes of fragments that are merged at once.
-BATCH = 1 << 20
+BATCH = 1 << 17
 _END = 255  # no byte of UTF-8
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEGMENT = 1 << 20
@@ -197,37 +199,18 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def group_repeats(keys: list[int], contents: list[bytes], counts: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Runs of repeated windows of each fragment; only fragments of one key are compared."""
-    index: dict[tuple[int, bytes], int] = {}
-    own, total, members = [], [], {}
-    for key, content, count in zip(keys, contents, counts):
-        at = index.setdefault((key, content), len(index))
-        if at == len(total):
-            total.append(0)
-            members[key] = members.get(key, 0) + 1
-        total[at] += count
-        own.append(at)
-    flags: list[np.ndarray | None] = [None] * len(index)
-    todo = []
-    for (key, content), at in index.items():
-        flags[at] = np.full(len(content) - length + 1, total[at] > 1)
-        if members[key] > 1:
-            todo.append((at, content))
+def group_repeats(keys: list[int], contents: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """Runs of repeated windows of each of several fragments, which differ within a key; only those of one key are compared."""
+    found: list[list[tuple[int, int]]] = []
     a = 0
-    # different keys share no window, so a batch may hold any of them; one key's fragments must not be parted
-    ordered = list(index)
-    while a < len(todo):
+    while a < len(keys):  # different keys share no window, so a batch may hold any; one key's fragments must not be parted
         b, held = a, 0
-        while b < len(todo) and (held < BATCH or ordered[todo[b][0]][0] == ordered[todo[b - 1][0]][0]):
-            held += len(todo[b][1])
+        while b < len(keys) and (held < BATCH or keys[b] == keys[b - 1]):
+            held += len(contents[b])
             b += 1
-        part = todo[a:b]
-        # a text may be in a batch once: equal contents have equal keys but for hash collisions
-        for (at, _), hit in zip(part, repeated_windows([c for _, c in part], length)):
-            flags[at] |= hit
+        found += [_runs(x) for x in repeated_windows(contents[a:b], length)]
         a = b
-    return [_runs(flags[at]) for at in own]
+    return found
 
 
 def text_key() -> F.Column:
@@ -250,86 +233,118 @@ def _rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_key().alias("text_key")).mapInArrow(run, "doc_id long, text_key long, digest string, n_bytes long, hashes array<long>, firsts array<int>, lasts array<int>")
 
 
-def _fragments(length: int):
-    names = ["hash", "digest", "first", "content", "copies"]
+def _batches(names: list[str], types: list[pa.DataType], rows: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
+    for some in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate(types)], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _fragments(length: int, with_content: bool):
+    """Over texts with their places: rid, hash, first, last of every fragment and a hash of its bytes, or the bytes."""
+    names = ["rid", "hash", "first", "last", "copies", "content" if with_content else "same"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary() if with_content else pa.int64()]
+    of = bytes if with_content else lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in in_slices(batches, "text", 2 << 20):
-            out: list[list] = [[] for _ in names]
-            for digest, text, copies, found in zip(*(batch.column(c).to_pylist() for c in ("digest", "text", "copies", "found"))):
+            out = []
+            for rid, text, copies, found in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "copies", "found"))):
                 raw = text.encode()
-                for x in found:
-                    for column, value in zip(out, (x["hash"], digest, x["first"], raw[x["first"] : x["last"] + length], copies)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64()))], names=names)
+                out += [(rid, x["hash"], x["first"], x["last"], copies, of(raw[x["first"] : x["last"] + length])) for x in found]
+            yield out
 
-    return run
+    return lambda batches: _batches(names, types, rows(batches))
 
 
 def _repeats(length: int):
-    """Over fragments sorted by hash: digest, start, stop of repeated bytes."""
+    """Over different fragments sorted by hash: rid, start, stop of repeated bytes of those that occur once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         held: list[tuple] = []
         size = 0
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            found = group_repeats([r[0] for r in rows], [r[3] for r in rows], [r[4] for r in rows], length)
-            flat = [(r[1], r[2] + a, r[2] + b - 1 + length) for r, runs in zip(rows, found) for a, b in runs if r[4] == 1]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))], names=["digest", "start", "stop"])
+        def out() -> list[tuple]:
+            found = group_repeats([r[0] for r in held], [r[4] for r in held], length)
+            return [(r[1], r[2] + a, r[2] + b - 1 + length) for r, runs in zip(held, found) if r[3] == 1 for a, b in runs]
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "digest", "first", "content", "copies"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "rid", "first", "copies", "content"))):
                 if size >= 4 * BATCH and row[0] != held[-1][0]:
-                    yield out(held)
+                    yield out()
                     held, size = [], 0
+                if held and held[-1][:3] == row[:3]:
+                    continue  # a row of the input that repeats its whole key
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
-            yield out(held)
+            yield out()
 
-    return run
+    return lambda batches: _batches(["rid", "start", "stop"], [pa.int64(), pa.int32(), pa.int32()], rows(batches))
 
 
-def _cut():
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[list[tuple]]:
         for batch in in_slices(batches, "text"):
-            rows = []
-            for digest, text, spans in zip(*(batch.column(c).to_pylist() for c in ("digest", "text", "spans"))):
+            out = []
+            for rid, text, spans in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "spans"))):
                 raw = text.encode()
                 gone = np.zeros(len(raw) + 1, np.int32)
                 for x in spans:
                     gone[x["start"]] += 1
                     gone[x["stop"]] -= 1
                 gone = np.cumsum(gone[:-1]) > 0
-                rows.append((digest, int(gone.sum()), len(_runs(gone)), np.frombuffer(raw, np.uint8)[~gone].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=["digest", "n_removed", "n_spans", "rest"])
+                out.append((rid, int(gone.sum()), len(_runs(gone)), hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
+            yield out
 
-    return run
+    return _batches(["rid", "n_removed", "n_spans", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.string()], rows())
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    n = partitions(docs.sparkSession)
-    rows = settle(_rows(docs, length), "repeat-anchors")
-    texts = rows.groupBy("digest").agg(F.max("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select(F.col("digest").alias("d"), "rep", "copies")
-    texts = settle(texts, "repeat-texts")
+def _held(docs: DataFrame, rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """rid, text, copies and the places whose anchors occur again, of one row of each text that has such."""
     often = rows.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
-    # one row of each text stands for all; copies that repeat the whole key do no harm, as their text goes as a whole
-    single = rows.join(texts.hint("merge"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    places = single.select("digest", "doc_id", "text_key", "copies", F.explode(F.arrays_zip(F.col("hashes").alias("hash"), F.col("firsts").alias("first"), F.col("lasts").alias("last"))).alias("p"))
-    places = places.select("digest", "doc_id", "text_key", "copies", "p.hash", "p.first", "p.last").join(often.hint("merge"), F.col("hash") == F.col("h"))
-    wanted = places.groupBy("digest", "doc_id", "text_key", "copies").agg(F.collect_list(F.struct("hash", "first", "last")).alias("found"))  # as many as a text has anchors
-    wanted = wanted.select("digest", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "copies", "found")
+    places = rows.select("rid", F.explode(F.arrays_zip(F.col("hashes").alias("hash"), F.col("firsts").alias("first"), F.col("lasts").alias("last"))).alias("p")).select("rid", "p.hash", "p.first", "p.last")
+    places = places.join(often.hint("merge"), F.col("hash") == F.col("h"))
+    wanted = places.groupBy("rid").agg(F.collect_list(F.struct("hash", "first", "last")).alias("found"))  # as many as a text has anchors
+    keys = texts.join(rows.select(F.col("rid").alias("r"), F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), F.col("rep") == F.col("r"))
+    wanted = wanted.join(keys.select(F.col("rep"), "copies", "__id", "__key"), F.col("rid") == F.col("rep")).drop("rep")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_key().alias("text_key")).where(F.octet_length("text") >= length)
-    held = settle(own.join(wanted.hint("merge"), (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("digest", "text", "copies", "found"), "repeat-held")
-    fragments = held.mapInArrow(_fragments(length), "hash long, digest string, first int, content binary, copies long")
-    spans = fragments.repartition(n, "hash").sortWithinPartitions("hash").mapInArrow(_repeats(length), "digest string, start int, stop int")
-    spans = spans.groupBy("digest").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("digest", "__d")
-    cut = held.where("copies = 1").select("digest", "text").join(spans.hint("merge"), F.col("digest") == F.col("__d")).select("digest", "text", "spans").mapInArrow(_cut(), "digest string, n_removed long, n_spans long, rest binary")
-    cut = cut.select(F.col("digest").alias("c"), "n_removed", "n_spans", F.sha2("rest", 256).alias("kept"))
+    # rows that repeat the whole key meet here more than once; their text occurs twice and goes as a whole
+    return own.join(wanted.hint("merge"), (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("rid", "text", "copies", "found")
+
+
+def _spans(held: DataFrame, length: int, n: int) -> DataFrame:
+    """rid, start, stop of the repeated bytes of texts that occur once."""
+    spark = held.sparkSession
+    seen = settle(held.mapInArrow(_fragments(length, False), "rid long, hash long, first int, last int, copies long, same long"), "repeat-fragments")
+    kinds = seen.groupBy("hash", "same").agg(F.sum("copies").alias("times"), F.min(F.struct("rid", "first", "last")).alias("one"))
+    kinds = settle(kinds, "repeat-kinds")
+    release(spark)
+    twice = kinds.where("times > 1").select(F.col("hash").alias("h"), F.col("same").alias("s"))
+    whole = seen.where("copies = 1").join(twice.hint("merge"), (F.col("hash") == F.col("h")) & (F.col("same") == F.col("s"))).select("rid", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
+    several = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select(F.col("hash").alias("h"))
+    needed = kinds.join(several.hint("merge"), F.col("hash") == F.col("h")).select(F.col("one.rid").alias("r"), F.struct("hash", F.col("one.first").alias("first"), F.col("one.last").alias("last"), "times").alias("x"))
+    needed = needed.groupBy("r").agg(F.collect_list("x").alias("all"))
+    once = F.filter("all", lambda x: x["times"] == 1)
+    more = F.filter("all", lambda x: x["times"] > 1)
+    texts = held.select("rid", "text").join(needed.hint("merge"), F.col("rid") == F.col("r")).select("rid", "text", once.alias("once"), more.alias("more"))
+    texts = texts.select("rid", "text", F.lit(1).cast("long").alias("copies"), F.col("once").alias("found")).unionByName(texts.select("rid", "text", F.lit(2).cast("long").alias("copies"), F.col("more").alias("found"))).where(F.size("found") > 0)
+    pieces = texts.mapInArrow(_fragments(length, True), "rid long, hash long, first int, last int, copies long, content binary")
+    merged_ = pieces.repartition(n, "hash").sortWithinPartitions("hash", "rid", "first").mapInArrow(_repeats(length), "rid long, start int, stop int")
+    return whole.unionByName(merged_)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    spark = docs.sparkSession
+    n = partitions(spark)
+    rows = settle(_rows(docs, length).withColumn("rid", F.monotonically_increasing_id()), "repeat-anchors")  # numbered once, in the written table
+    texts = settle(rows.groupBy("digest").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "repeat-texts")
+    held = settle(_held(docs, rows, texts, length), "repeat-held")
+    release(spark)
+    spans = settle(_spans(held, length, n).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("rid", "r"), "repeat-spans")
+    release(spark)
+    cut = held.where("copies = 1").select("rid", "text").join(spans.hint("merge"), F.col("rid") == F.col("r")).select("rid", "text", "spans").mapInArrow(_cut, "rid long, n_removed long, n_spans long, kept string").withColumnRenamed("rid", "c")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    out = rows.select("doc_id", "digest", "n_bytes").join(texts.hint("merge"), F.col("digest") == F.col("d")).join(cut.hint("merge"), F.col("digest") == F.col("c"), "left")
+    out = rows.select("rid", "doc_id", "digest", "n_bytes").join(texts.select(F.col("digest").alias("d"), "copies").hint("merge"), F.col("digest") == F.col("d")).join(cut.hint("merge"), F.col("rid") == F.col("c"), "left")
     return out.select(
         "doc_id",
         "n_bytes",
