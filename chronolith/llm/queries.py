@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronolith.llm import exact_dedup, html_text, near_dedup, packing, quality_rules, repeated_text, sampled_pieces, token_files, toxicity
+from chronolith.llm import exact_dedup, html_text, near_dedup, packing, quality_rules, repeated_text, sampled_pieces, surrogates, token_files, toxicity
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simple8b_files": token_files.op5_simple8b_files,
     "op6_window_toxicity": toxicity.op6_window_toxicity,
     "op7_bbit_minhash": near_dedup.op7_bbit_minhash,
+    "op8_surrogates": surrogates.op8_surrogates,
     "op9_bwt_repeats": repeated_text.op9_bwt_repeats,
     "op10_gumbel_segmentations": sampled_pieces.op10_gumbel_segmentations,
 }

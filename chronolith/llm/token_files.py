@@ -198,17 +198,21 @@ def read_blocks(files: DataFrame) -> DataFrame:
     parts = parts.select(F.col("part").alias("__part"), F.coalesce(F.sum("__ids").over(before), F.lit(0)).alias("__before"))
     own = Window.partitionBy("part").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("part", "block_no", F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias("__inner"))
-    starts = starts.join(parts, F.col("part") == F.col("__part")).select(F.col("part").alias("__p"), F.col("block_no").alias("__b"), (F.col("__inner") + F.col("__before")).alias("base"))
-    placed = files.join(starts, (F.col("part") == F.col("__p")) & (F.col("block_no") == F.col("__b"))).select("base", "payload")
+    starts = starts.join(parts, F.col("part") == F.col("__part")).select(F.col("part").alias("__p"), F.col("block_no").alias("__b"), (F.col("__inner") + F.col("__before")).alias("__base"))
+    names = ["part", "block_no", "doc_id", "inside", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, payload in zip(batch.column("base").to_pylist(), batch.column("payload")):
+            for part, number, payload in zip(batch.column("part").to_pylist(), batch.column("block_no").to_pylist(), batch.column("payload")):
                 docs, ids = from_block(payload.as_py())
                 sizes = np.array([len(x) for x in ids], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(base + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                columns = [pa.array([part] * len(ids), pa.int32()), pa.array([number] * len(ids), pa.int32()), pa.array(docs, pa.int64()), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # blocks are decoded where they are read; only the small rows of documents meet the starts of their blocks
+    rows = files.select("part", "block_no", "payload").mapInArrow(run, "part int, block_no int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    placed = rows.join(starts, (F.col("part") == F.col("__p")) & (F.col("block_no") == F.col("__b")))
+    return placed.select("doc_id", (F.col("__base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op5_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
