@@ -48,11 +48,9 @@ def word_cache(file: str) -> TokenCache:
     return _CACHES[file]
 
 
-def _bit_widths(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values), np.uint8)
-    for b in range(20):
-        out[values >= 1 << b] = b + 1
-    return out
+_WIDTHS = np.zeros(ESCAPE + 1, np.uint8)
+for _b in range(20):
+    _WIDTHS[1 << _b :] = _b + 1
 
 
 def simple8b(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,23 +59,24 @@ def simple8b(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     escapes = values[values >= ESCAPE].astype(np.uint32)
     small = np.minimum(values, ESCAPE)
     n = len(small)
-    widths = _bit_widths(small)
+    widths = _WIDTHS[small]
     # selector that a word starting at i would take: the first whose ids all fit; a short tail takes the next smaller count
     choice = np.full(n, 15, np.uint8)
-    span, top = 1, widths.copy()  # top[i]: widest of the span ids from i
-    done: dict[int, np.ndarray] = {1: top}
-    while 2 * span <= 240 and 2 * span <= n:
-        top = np.maximum(top[: len(top) - span], top[span:])
-        span *= 2
-        done[span] = top
-    for selector in range(14, -1, -1):
+    span, top = 1, widths  # top[i]: widest of the span ids from i
+    for selector in range(14, -1, -1):  # counts grow, widths shrink
         count, bits = SELECTORS[selector]
         if count > n:
-            continue
-        half = max(s for s in done if s <= count)
+            break
+        while 2 * span <= count:
+            top = np.maximum(top[: len(top) - span], top[span:])
+            span *= 2
         reach = n - count + 1
-        widest = np.maximum(done[half][:reach], done[half][count - half : count - half + reach])
-        choice[:reach][widest <= bits] = selector
+        fits = np.maximum(top[:reach], top[count - span : count - span + reach]) <= bits
+        if not fits.any() and count >= 8:
+            if (top > bits).all():
+                break  # no longer run can be narrower
+            continue
+        choice[:reach][fits] = selector
     counts = np.array([c for c, _ in SELECTORS], np.int64)
     step = counts[choice].tolist()
     starts, i = [], 0

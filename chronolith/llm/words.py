@@ -37,8 +37,9 @@ class TokenCache(dict):
 
     def _reset(self) -> None:
         self.clear()
+        self[b"\xff"] = 0
         self.new: list[bytes] = []
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.starts, self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = row = len(self)
@@ -63,8 +64,10 @@ class TokenCache(dict):
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self) > self.most:
             self._reset()
-        get = self.__getitem__
-        rows = [np.fromiter(map(get, _TAIL.sub(rb" \1", t.encode().lower()).split()), np.int64) for t in texts]
+        # one pass over all texts: a byte that UTF-8 never has stands between them, with no ids of its own
+        joined = b" \xff ".join([t.encode().lower() for t in texts])
+        words = _TAIL.sub(rb" \1", joined).split()
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:
             got = self._encode(self.new)
             sizes = np.array([len(x) for x in got], np.int64)
@@ -72,10 +75,8 @@ class TokenCache(dict):
             self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum()))])
             self.sizes, self.starts = np.concatenate([self.sizes, sizes]), np.concatenate([self.starts, starts])
             self.new = []
-        return [self._gather(r) for r in rows]
-
-    def _gather(self, rows: np.ndarray) -> np.ndarray:
         sizes = self.sizes[rows]
+        before = np.cumsum(sizes) - sizes
         total = int(sizes.sum())
-        shift = np.repeat(self.starts[rows] - (np.cumsum(sizes) - sizes), sizes)
-        return self.flat[np.arange(total) + shift]
+        flat = self.flat[np.arange(total) + np.repeat(self.starts[rows] - before, sizes)]
+        return np.split(flat, before[rows == 0])[: len(texts)] if texts else []
