@@ -109,14 +109,13 @@ class Model:
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         """Piece of each key, or -1."""
         at = (keys & np.uint64(self.mask)).astype(np.int64)
-        out = np.full(len(keys), -1, np.int32)
-        todo = np.arange(len(keys))
+        out = self.slot_piece[at]
+        todo = np.flatnonzero(out >= 0)  # few: most strings are no pieces and meet an empty slot
+        at = at[todo]
         while len(todo):
-            piece = self.slot_piece[at]
-            hit = (piece >= 0) & (self.slot_key[at] == keys[todo])
-            out[todo[hit]] = piece[hit]
-            on = (piece >= 0) & ~hit
-            todo, at = todo[on], (at[on] + 1) & self.mask
+            off = (self.slot_key[at] != keys[todo]) & (out[todo] >= 0)
+            todo, at = todo[off], (at[off] + 1) & self.mask
+            out[todo] = self.slot_piece[at]
         return out
 
 
@@ -176,18 +175,25 @@ class Lattice:
         owner = np.repeat(np.arange(len(size)), size)
         left = (base + size)[owner] - np.arange(nodes)  # characters to the stretch's end
         at = (begin - base)[owner] + np.arange(nodes)
-        own, node, piece, size_of = np.arange(nodes), [], [], []
-        for n in range(1, min(m.longest, int(size.max())) + 1):
-            own = own[left[own] >= n]
-            found = m.lookup(m.hashes(codes, at[own], at[own] + n, sums))
+        # places by their distance to the end, so that those with room for n characters lie in front
+        far = int(left.max())
+        by_left = np.argsort(left.astype(np.uint16) if far < 1 << 16 else left, kind="stable")
+        order = by_left[::-1]
+        from_ = at[order]
+        before, down = sums[from_], _powers(len(codes) + 1)[1][from_]
+        room = np.bincount(left, minlength=far + 1)[::-1].cumsum()[::-1]
+        node, piece, size_of, count = [], [], [], np.zeros(nodes, np.int64)
+        for n in range(1, min(m.longest, far) + 1):
+            own = order[: room[n]]
+            found = m.lookup(_mix((sums[from_[: room[n]] + n] - before[: room[n]]) * down[: room[n]] + np.uint64(n)))
             if n == 1:
-                code = codes[at[own]].astype(np.int32)  # by bytes: one byte's own piece, or a mark that keeps the code point
-                found = np.where(found >= 0, found, np.where(code < 0x80, m.bytes[np.minimum(code, 0x7F)], -2 - code))
+                code = codes[from_].astype(np.int32)  # by bytes: one byte's own piece, or a mark that keeps the code point
+                found = np.where(found >= 0, found, np.where(code < 0x80, m.bytes[np.minimum(code, 0x7F)], -2 - code)).astype(np.int32)
             hit = np.flatnonzero(found != -1)
             node.append(own[hit])
             piece.append(found[hit])
             size_of.append(n)
-        count = sum(np.bincount(x, minlength=nodes) for x in node)
+            count[node[-1]] += 1
         hi = np.cumsum(count)
         lo = hi - count
         filled, total_arcs = lo.copy(), int(hi[-1])
@@ -205,8 +211,6 @@ class Lattice:
         beta = np.zeros(nodes + 1)
         to_end = left[of] == length
         total = np.empty(total_arcs)
-        far = int(left.max())
-        by_left = np.argsort(left.astype(np.uint16) if far < 1 << 16 else left, kind="stable")
         bounds = np.searchsorted(left[by_left], np.arange(1, far + 2))
         for d in range(len(bounds) - 1):  # nodes by their distance to the end
             own = by_left[bounds[d] : bounds[d + 1]]
@@ -574,7 +578,7 @@ def sampled(docs: DataFrame, k: int = SAMPLES, file: str = "piece_bpe_32k.model"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(file)
-        for batch in in_slices(batches, "text", 2 << 20):
+        for batch in in_slices(batches, "text", 1 << 19):
             docs_, rows = batch.column("doc_id").to_pylist(), []
             got = samples_of(m, batch.column("text").to_pylist(), np.array([d or 0 for d in docs_], np.int64), k, seed)
             for doc, found in zip(docs_, got):
