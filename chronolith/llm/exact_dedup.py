@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import partitions, scratch_path, table
+from chronolith.llm.common import partitions, scratch_path, settle, table
 
 COLUMNS = "digest string, keep_id long, group_size long"
 
@@ -44,6 +44,8 @@ class DigestIndex:
     def add(self, docs: DataFrame) -> None:
         """Append the digests of ``docs`` that the index doesn't hold."""
         batch = docs.select(digest_of().alias("digest"), F.col("doc_id").cast("long").alias("doc_id")).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        # written first: the optimizer would else move the anti-join below the aggregate, where a hot text meets in one task
+        batch = settle(batch, "digest-batch")
         # the table is read and appended to: Spark plans the scan's file list before it writes new files
         self._append(batch.join(self.rows().select("digest").hint("merge"), "digest", "left_anti"))
 
