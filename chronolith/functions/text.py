@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -168,7 +169,6 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 def block_ratio():
     """A pandas UDF for the ratio of matching blocks of two texts; no built-in expresses its recursion."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -167,7 +167,7 @@ def hebrew_to_julian_day(y: Column, m: Column, d: Column) -> Column:
     total = lambda a, b: F.aggregate(F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>")), F.lit(0), lambda s, k: s + month_days(k))
     m = m.cast("int")
     before = F.when(m < 7, total(F.lit(7), last) + total(F.lit(1), m - 1)).otherwise(total(F.lit(7), m - 1))
-    return (F.lit(347996) + start + before + d - 1).cast("long")
+    return (F.lit(347998) + start + before + d - 1).cast("long")
 
 
 # Labels
