@@ -8,7 +8,9 @@
    lies within ``MARGIN`` of the threshold are joined (a spanning forest leaves the cell, never all pairs).
    Buckets larger than a cell are joined as a whole: more candidates, none lost.
 3. Connected candidates form clusters (star contraction, logarithmic rounds).
-4. Full sets are gathered for clusters only, and exact similarities decide the links inside each.
+4. Full sets are gathered for clusters only, and exact similarities decide the links inside each.  A cluster with
+   more shingles than a block holds is cut into cells, and every pair of cells is one block: all its pairs are
+   still judged, no task holds more than two cells, and what the blocks find is joined as in step 3.
 
 At the threshold of 0.85 a pair misses all 20 bands with probability 4e-7, and the estimate falls below the
 margin (five standard deviations) with about the same.
@@ -36,6 +38,8 @@ BANDS, ROWS, LOW_BITS = 20, 4, 4
 HASHES = BANDS * ROWS
 #: Largest number of sets that are compared pair by pair in one bucket.
 CELL = 1000
+#: Shingles of one cell of a large cluster; a task holds two cells, of eight bytes a shingle.
+BLOCK_SHINGLES = 1_000_000
 #: How far below the threshold an estimate may lie; five standard deviations of an estimate from 80 minima at 0.85.
 MARGIN = 0.2
 _RANDOM = np.random.default_rng(20240607)
@@ -245,15 +249,20 @@ def _linked(ids: list[int], sets: list[np.ndarray], bits: np.ndarray, percent: i
     return root_of
 
 
-def exact_links(docs: DataFrame, clustered: DataFrame, words: int, percent: int) -> DataFrame:
-    """rep, component: exact links inside candidate clusters (node, root)."""
-    n = partitions(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(clustered.hint("merge"), F.col("doc_id") == F.col("node")).select("root", "doc_id", "text")
+def exact_links(docs: DataFrame, clustered: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
+    """rep, component: exact links inside candidate clusters (node, root); sizes: rep, n_shingles."""
+    spark = docs.sparkSession
+    n = partitions(spark)
+    own = clustered.join(sizes.select(F.col("rep").alias("__rep"), "n_shingles"), F.col("node") == F.col("__rep"))
+    cells = own.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("cells")).withColumnRenamed("root", "__root")
+    most = cells.agg(F.max("cells")).first()[0] or 1
+    placed = clustered.join(cells, F.col("root") == F.col("__root")).select("node", "root", "cells")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(placed.hint("merge"), F.col("doc_id") == F.col("node")).select("root", "cells", "doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
             rows = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("doc_id"), pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([packed_bits(minima(x)) if len(x) else None for x in rows], pa.binary())], names=["root", "rep", "shingles", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("cells"), batch.column("doc_id"), pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([packed_bits(minima(x)) if len(x) else None for x in rows], pa.binary())], names=["root", "cells", "rep", "shingles", "bits"])
 
     schema = pa.schema([("rep", pa.int64()), ("component", pa.int64())])
 
@@ -267,17 +276,24 @@ def exact_links(docs: DataFrame, clustered: DataFrame, words: int, percent: int)
         kept = list(seen.values())
         return list(_linked(list(seen), [np.frombuffer(c["shingles"][i], np.uint64) for i in kept], _words_of([c["bits"][i] for i in kept]), percent).items())
 
-    gathered = texts.mapInArrow(sets, "root long, rep long, shingles binary, bits binary")
-    return gathered.repartition(n, "root").sortWithinPartitions("root", "rep").mapInArrow(_grouped(run, ["root"], schema), "rep long, component long")
+    gathered = texts.mapInArrow(sets, "root long, cells int, rep long, shingles binary, bits binary")
+    if most == 1:
+        return gathered.drop("cells").repartition(n, "root").sortWithinPartitions("root", "rep").mapInArrow(_grouped(run, ["root"], schema), "rep long, component long")
+    cell = F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")
+    others = F.sequence(F.lit(0), F.col("cells") - 1)
+    blocks = gathered.withColumn("cell", cell).select("root", "rep", "shingles", "bits", F.explode(F.transform(others, lambda o: F.struct(F.least("cell", o).alias("lo"), F.greatest("cell", o).alias("hi")))).alias("block")).select("root", "block.lo", "block.hi", "rep", "shingles", "bits")
+    found = blocks.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "rep").mapInArrow(_grouped(run, ["root", "lo", "hi"], schema), "rep long, component long")
+    found = settle(found.distinct(), "near-blocks")
+    return components(found.select(F.col("component").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("root").alias("component"))
 
 
 def classes(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links are ``100 * shared >= percent * union``."""
     rows = settle(sketches(docs, words), "near-sketches")
-    sets = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"))
+    sets = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"), F.any_value("n_shingles").alias("n_shingles"))
     sets = settle(sets, "near-sets")
     clustered = components(candidate_edges(sets, percent / 100))
-    links = settle(exact_links(docs, clustered, words, percent), "near-links").withColumnRenamed("rep", "__rep")
+    links = settle(exact_links(docs, clustered, sets, words, percent), "near-links").withColumnRenamed("rep", "__rep")
     owners = sets.join(links, F.col("rep") == F.col("__rep"), "left").select(F.col("set_key").alias("__key"), F.coalesce("component", "rep").alias("__component"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(owners.hint("merge"), F.col("set_key") == F.col("__key"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("__component", "doc_id"))
@@ -292,3 +308,17 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def op7_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+c AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT c.d, u.y FROM c JOIN u ON c.r = u.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT d AS doc_id, min(r) AS component_id FROM c GROUP BY d) LEFT JOIN n USING (doc_id)
+"""

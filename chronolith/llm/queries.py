@@ -17,4 +17,4 @@ QUERIES = {
     "op10_gumbel_segmentations": sampled_pieces.op10_gumbel_segmentations,
 }
 
-ORACLES = {"op2_digest_index": exact_dedup.ORACLE}
+ORACLES = {"op2_digest_index": exact_dedup.ORACLE, "op7_bbit_minhash": near_dedup.ORACLE}
