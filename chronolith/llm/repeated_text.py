@@ -12,7 +12,8 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere
    four bytes at every byte phase; all shards are merged by iterative interleave refinement: from "shard after
    shard", each pass deals the shard numbers out by the word before each suffix, which sorts suffixes by four more
    bytes without touching the texts or sorting suffixes again.  Boundaries that a pass adds give the common
-   prefix lengths; after LENGTH bytes, the intervals without a boundary are the repeated windows.
+   prefix lengths; after LENGTH bytes, the intervals without a boundary are the repeated windows.  A hash with very many different
+   fragments is cut into cells, and each pair of cells is merged by itself, so no task holds more than two.
 
 Defined results: a null text counts as empty and loses nothing; texts under LENGTH bytes lose nothing; of rows
 with one text of LENGTH bytes or more, all lose all, repeated rows included; rows with a null doc_id are treated
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import in_slices, partitions, release, settle, table
 
 LENGTH, GRAM, WORD, SHARDS = 200, 64, 4, 4
+#: Different fragments of one hash that a cell holds; a task merges two cells of a large hash at once.
+CELL = 2000
 #: Bytes of fragments that are merged at once.
 BATCH = 1 << 17
 _END = 255  # no byte of UTF-8
@@ -177,18 +180,21 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarra
     shards = min(SHARDS, len(texts))
     of = np.arange(len(texts)) % shards
     parts = [shard_transform(strings, words, np.flatnonzero(of[strings.owner] == s)) for s in range(shards)]
-    depth = -(-length // WORD) * WORD
-    interleave, common = merged([t for _, t in parts], depth if depth == length else length // WORD * WORD)
+    reach = length // WORD * WORD
+    interleave, common = merged([t for _, t in parts], reach)
     positions = np.empty(len(interleave), np.int64)
     positions[np.argsort(interleave, kind="stable")] = np.concatenate([p for p, _ in parts])
-    reach = length // WORD * WORD
     alike = common >= reach
-    if reach < length and alike.any():  # the bytes beyond whole words decide
-        i = np.flatnonzero(alike)
-        for k in range(reach, length):
-            alike[i] &= strings.raw[strings.moved(positions[i], k)] == strings.raw[strings.moved(positions[i - 1], k)]
+    alike[:1] = False
     again = alike.copy()
     again[:-1] |= alike[1:]
+    if reach < length:  # the bytes beyond whole words part the intervals further
+        own = np.flatnonzero(again)
+        key = np.cumsum(~alike)[own]
+        for k in range(reach, length):
+            key = key << 8 | strings.raw[strings.moved(positions[own], k)]
+        _, which, counts = np.unique(key, return_inverse=True, return_counts=True)
+        again[own] = counts[which] > 1
     hit = np.zeros(len(strings.raw), bool)
     hit[positions[again]] = True
     return [hit[b : b + max(0, s - length)] for b, s in zip(strings.begins.tolist(), strings.sizes.tolist())]
@@ -199,13 +205,15 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def group_repeats(keys: list[int], contents: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Runs of repeated windows of each of several fragments, which differ within a key; only those of one key are compared."""
+def group_repeats(keys: list[int], contents: list[bytes], alone: list[bool], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """Runs of repeated windows of each of several fragments, which differ within a key; only those of one key are compared.
+
+    alone: keys whose fragments also stand under other keys (pairs of cells), which must not meet in one batch."""
     found: list[list[tuple[int, int]]] = []
     a = 0
     while a < len(keys):  # different keys share no window, so a batch may hold any; one key's fragments must not be parted
         b, held = a, 0
-        while b < len(keys) and (held < BATCH or keys[b] == keys[b - 1]):
+        while b < len(keys) and (b == a or keys[b] == keys[b - 1] or held < BATCH and not alone[b] and not alone[a]):
             held += len(contents[b])
             b += 1
         found += [_runs(x) for x in repeated_windows(contents[a:b], length)]
@@ -240,8 +248,8 @@ def _batches(names: list[str], types: list[pa.DataType], rows: Iterator[list[tup
 
 def _fragments(length: int, with_content: bool):
     """Over texts with their places: rid, hash, first, last of every fragment and a hash of its bytes, or the bytes."""
-    names = ["rid", "hash", "first", "last", "copies", "content" if with_content else "same"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary() if with_content else pa.int64()]
+    names = ["rid", "hash", "first", "last", "copies", "content" if with_content else "same", *["cells"] * with_content]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary() if with_content else pa.int64(), *[pa.int32()] * with_content]
     of = bytes if with_content else lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -249,7 +257,7 @@ def _fragments(length: int, with_content: bool):
             out = []
             for rid, text, copies, found in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "copies", "found"))):
                 raw = text.encode()
-                out += [(rid, x["hash"], x["first"], x["last"], copies, of(raw[x["first"] : x["last"] + length])) for x in found]
+                out += [(rid, x["hash"], x["first"], x["last"], copies, of(raw[x["first"] : x["last"] + length]), *[x.get("cells")] * with_content) for x in found]
             yield out
 
     return lambda batches: _batches(names, types, rows(batches))
@@ -263,11 +271,11 @@ def _repeats(length: int):
         size = 0
 
         def out() -> list[tuple]:
-            found = group_repeats([r[0] for r in held], [r[4] for r in held], length)
+            found = group_repeats([r[0] for r in held], [r[4] for r in held], [r[5] > 1 for r in held], length)
             return [(r[1], r[2] + a, r[2] + b - 1 + length) for r, runs in zip(held, found) if r[3] == 1 for a, b in runs]
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "rid", "first", "copies", "content"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "rid", "first", "copies", "content", "cells"))):
                 if size >= 4 * BATCH and row[0] != held[-1][0]:
                     yield out()
                     held, size = [], 0
@@ -320,15 +328,19 @@ def _spans(held: DataFrame, length: int, n: int) -> DataFrame:
     release(spark)
     twice = kinds.where("times > 1").select(F.col("hash").alias("h"), F.col("same").alias("s"))
     whole = seen.where("copies = 1").join(twice.hint("merge"), (F.col("hash") == F.col("h")) & (F.col("same") == F.col("s"))).select("rid", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    several = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select(F.col("hash").alias("h"))
-    needed = kinds.join(several.hint("merge"), F.col("hash") == F.col("h")).select(F.col("one.rid").alias("r"), F.struct("hash", F.col("one.first").alias("first"), F.col("one.last").alias("last"), "times").alias("x"))
+    several = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select(F.col("hash").alias("h"), F.ceil(F.col("kinds") / CELL).cast("int").alias("cells"))
+    needed = kinds.join(several.hint("merge"), F.col("hash") == F.col("h")).select(F.col("one.rid").alias("r"), F.struct("hash", F.col("one.first").alias("first"), F.col("one.last").alias("last"), "times", "cells").alias("x"))
     needed = needed.groupBy("r").agg(F.collect_list("x").alias("all"))
     once = F.filter("all", lambda x: x["times"] == 1)
     more = F.filter("all", lambda x: x["times"] > 1)
     texts = held.select("rid", "text").join(needed.hint("merge"), F.col("rid") == F.col("r")).select("rid", "text", once.alias("once"), more.alias("more"))
     texts = texts.select("rid", "text", F.lit(1).cast("long").alias("copies"), F.col("once").alias("found")).unionByName(texts.select("rid", "text", F.lit(2).cast("long").alias("copies"), F.col("more").alias("found"))).where(F.size("found") > 0)
-    pieces = texts.mapInArrow(_fragments(length, True), "rid long, hash long, first int, last int, copies long, content binary")
-    merged_ = pieces.repartition(n, "hash").sortWithinPartitions("hash", "rid", "first").mapInArrow(_repeats(length), "rid long, start int, stop int")
+    pieces = texts.mapInArrow(_fragments(length, True), "rid long, hash long, first int, last int, copies long, content binary, cells int")
+    # of a hash with several cells, each pair of cells meets under a key of its own; others keep the hash
+    cell = F.pmod(F.xxhash64("rid", "first"), F.col("cells")).cast("int")
+    keys = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.when(F.col("cells") == 1, F.col("hash")).otherwise(F.xxhash64(F.col("hash"), F.least(cell, o), F.greatest(cell, o))))
+    pieces = pieces.select("rid", "first", "copies", "content", "cells", F.explode(keys).alias("hash"))
+    merged_ = pieces.repartition(n, "hash").sortWithinPartitions("hash", "rid", "first").mapInArrow(_repeats(length), "rid long, start int, stop int").distinct()
     return whole.unionByName(merged_)
 
 

@@ -274,6 +274,7 @@ def test_near_dedup(docs, rows, width, percent):
 
 def test_near_dedup_large_buckets(docs, rows, empty, monkeypatch):
     monkeypatch.setattr(near_dedup, "CELL", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 400)
     assert sorted((tuple(r) for r in near_dedup.classes(docs).collect()), key=key) == brute_classes(rows, 3, 85)
     kept = near_dedup.representatives(docs)
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _, _, k in brute_classes(rows, 5, 80) if k)
@@ -331,6 +332,7 @@ def test_merged_transforms():
 @pytest.mark.parametrize("length", [200, 70])
 def test_repeats(docs, rows, empty, length, monkeypatch):
     monkeypatch.setattr(repeated_text, "BATCH", 2000)
+    monkeypatch.setattr(repeated_text, "CELL", 2)
     raw = [(d, (x or "").encode()) for d, x, *_ in rows]
     counts = Counter(b[i : i + length] for _, b in raw for i in range(len(b) - length + 1))
     expected = []
