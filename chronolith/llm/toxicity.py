@@ -31,6 +31,8 @@ POSITIVES, NEGATIVES = 1000, 2500
 HIDDEN, WIDTH, SLOTS = 8, 8, 1 << 14
 #: Windows of one text that an epoch sees (drawn anew each epoch).
 PER_TEXT, EPOCHS, BATCH = 6, 5, 256
+#: Training takes as many steps at least, however few the labels.
+LEAST_STEPS = 240
 #: Learning rates: embeddings are touched seldom and move faster.
 RATES = {"word": 0.02, "char": 0.02, "": 0.005}
 #: Byte ranges of a word whose strings are character inputs; negative numbers count from its end.
@@ -244,16 +246,22 @@ def train(texts: list[str | None], labels: list[int], share: float | None = None
         net.constant = share
         return net
     r = np.random.default_rng(seed)
-    slots, bounds = word_slots(texts)
+    parts = [word_slots(texts[a : a + 64]) for a in range(0, len(texts), 64)]
+    slots = np.concatenate([x for x, _ in parts])
+    before = np.cumsum([0, *[len(x) for x, _ in parts]])
+    bounds = np.concatenate([[0], *[b[1:] + n for (_, b), n in zip(parts, before)]])
     held = r.random(len(texts)) < 0.2
     first, count, text = window_starts(bounds)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     begin = np.searchsorted(text, np.arange(len(texts) + 1))
-    step, total = 0, EPOCHS * max(1, int((~held).sum()) * PER_TEXT // BATCH)
+    each = max(1, int(np.minimum(np.bincount(text, minlength=len(texts)), PER_TEXT)[~held].sum()) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // each))
+    step, total = 0, epochs * each
+    judge = {e for e in range(2, epochs) if (e - 2) % max(1, epochs // EPOCHS) == 0}
     best: np.ndarray | None = None
-    for epoch in range(EPOCHS):
+    for epoch in range(epochs):
         picked = []
-        if epoch >= 2:  # from here on, a toxic text is taught by the windows that the network finds toxic
+        if epoch in judge:  # from here on, a toxic text is taught by the windows that the network finds toxic
             best = np.empty(len(first), np.float32)
             for a in range(0, len(first), 2048):
                 at = slice(a, a + 2048)
@@ -299,20 +307,15 @@ def train(texts: list[str | None], labels: list[int], share: float | None = None
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
-    """Slope and shift of a logistic fit whose classes weigh as in the corpus, lightly held to slope 1."""
+    """Slope 1 (logits are trained as such) and the shift that fits the classes, weighed as in the corpus."""
     share = min(max(share, 1e-3), 1 - 1e-3)
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        s, e = weight * p * (1 - p) + 1e-9, weight * (p - y)
-        grad = np.array([(e * x).sum() + (a - 1), e.sum()])
-        hess = np.array([[(s * x * x).sum() + 1, (s * x).sum()], [(s * x).sum(), s.sum() + 1e-3]])
-        change = np.linalg.solve(hess, grad)
-        a, b = a - change[0], b - change[1]
-        if np.abs(change).max() < 1e-6:
-            break
-    return float(max(a, 0.05)), float(b)
+    low, high = -60.0, 60.0
+    for _ in range(60):
+        b = (low + high) / 2
+        slope = (weight * (1 / (1 + np.exp(-np.clip(x + b, -60, 60))) - y)).sum() + 1e-3 * b
+        low, high = (low, b) if slope > 0 else (b, high)
+    return 1.0, float(b)
 
 
 def held_out_fold() -> F.Column:
