@@ -189,21 +189,23 @@ def time_label(stamp: Column, precision: Column, lang: str) -> Column:
     two = F.lpad(day.cast("string"), 2, "0")
     text = lambda c: c.cast("string")
     if lang == "fr":
-        return (
+        return F.when(
+            stamp.isNotNull(),
             F.when(rank == 6, F.concat(text(millennium), F.when(millennium == 1, "re").otherwise("e"), F.lit(" millénaire")))
             .when(rank == 7, F.concat(text(century), F.when(century == 1, "er").otherwise("e"), F.lit(" siècle")))
             .when(rank == 8, F.concat(F.lit("années "), text(decade)))
             .when(rank == 10, F.concat_ws(" ", name, text(year)))
             .when(rank >= 11, F.concat_ws(" ", F.when(day == 1, "1er").otherwise(two), name, text(year)))
-            .otherwise(text(year))
+            .otherwise(text(year)),
         )
-    return (
+    return F.when(
+        stamp.isNotNull(),
         F.when(rank == 6, F.concat(_ordinal_en(millennium), F.lit(" millennium")))
         .when(rank == 7, F.concat(_ordinal_en(century), F.lit(" century")))
         .when(rank == 8, F.concat(text(decade), F.lit("s")))
         .when(rank == 10, F.concat_ws(" ", name, text(year)))
         .when(rank >= 11, F.concat(name, F.lit(" "), two, F.lit(", "), text(year)))
-        .otherwise(text(year))
+        .otherwise(text(year)),
     )
 
 
