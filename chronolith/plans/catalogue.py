@@ -525,14 +525,14 @@ def v03_name_comparison(t):
     return compare.compared(versions)
 
 
-@query("""WITH b AS (SELECT id, id % 50 AS root, cast(id % 9 AS double) AS x, cast(id % 4 AS double) AS y FROM point), g AS (SELECT *, x AS x1, y AS y1, x + 10 AS x2, y + 10 AS y2 FROM b)
+@query("""WITH b AS (SELECT id, id - id % 10 AS root, cast(id % 9 AS double) AS x, cast(id % 4 AS double) AS y FROM point), g AS (SELECT *, x AS x1, y AS y1, x + 10 AS x2, y + 10 AS y2 FROM b)
   SELECT concat('a', a.id) AS av1, concat('a', b.id) AS av2, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / (200 - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) >= 0.85 AS same FROM g a JOIN g b ON a.root = b.root AND a.id <> b.id""")
 def v05_geometry_comparison(t):
     x, y = (F.col("id") % 9).cast("double"), (F.col("id") % 4).cast("double")
     corner = lambda a, b: F.concat_ws(" ", a.cast("string"), b.cast("string"))
     wkt = F.concat(F.lit("<http://www.opengis.net/def/crs/EPSG/0/2154> POLYGON (("), F.concat_ws(", ", corner(x, y), corner(x + 10, y), corner(x + 10, y + 10), corner(x, y + 10), corner(x, y)), F.lit("))"))
     key = F.concat(F.lit("a"), F.col("id").cast("string"))
-    versions = t("point").select((F.col("id") % 50).cast("string").alias("root"), key.alias("trace"), key.alias("av"), F.lit("Geometry").alias("attr_type"), F.lit("District").alias("lm_type"), wkt.alias("value"), F.lit(None).cast("string").alias("lang"))
+    versions = t("point").select((F.col("id") - F.col("id") % 10).cast("string").alias("root"), key.alias("trace"), key.alias("av"), F.lit("Geometry").alias("attr_type"), F.lit("District").alias("lm_type"), wkt.alias("value"), F.lit(None).cast("string").alias("lang"))
     return compare.compared(versions)
 
 
