@@ -3,8 +3,9 @@
 Markup is stripped into lines (one per block element).  A line weighs its code points, or nothing where markup
 says that it is no article text: navigation, page headers and footers, sidebars, forms, notices, adverts,
 comments, text that is mostly links, and, on pages that mark an article, all that lies outside it.  Weights are
-summed over sliding windows of lines; text starts where the sums surge over a threshold, ends where they dive to
-nothing, and the weighing lines between are kept.
+summed over sliding windows of lines.  Dives, where a window holds nothing, part the page into blocks; a block in
+which the sums surge over a threshold, or over all others of a page that nowhere reaches it, is text, and all its
+weighing lines are kept.
 
 Defined results: null or empty html, or a page without text, gives the empty string and 0; unclosed tags and
 quotes are read as browsers do for the block structure; repeated rows are returned each; an empty table gives no
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import in_slices, table
 
 WINDOW = 3
-#: Code points that a window's sum must exceed for text to start, on pages that don't mark their article.
+#: Code points that a window's sum must exceed in a block of text, on pages that don't mark their article; where no sum does, the largest is a surge.
 SURGE = 80
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -36,6 +37,8 @@ _BLOCK = frozenset(
 )
 #: Elements whose end tag closes what was left open inside them.
 _HOLDER = frozenset("article aside blockquote body button center dd details dialog div dl dt fieldset figure footer form head header label li main menu nav ol p a search section table td th tr ul h1 h2 h3 h4 h5 h6 span".split())
+#: Elements that hold text rather than are part of it.
+_LAYOUT = frozenset("div section article main td".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _NO_TEXT = frozenset("nav footer aside form button dialog menu search head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
@@ -60,9 +63,9 @@ def _no_text(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, weight) of every line of a page."""
-    lines: list[tuple[str, bool, bool, int]] = []  # text, may be article text, inside an article, code points in links
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, weight, depth in layout elements) of every line of a page."""
+    lines: list[tuple[str, bool, bool, int, int]] = []  # text, may be article text, inside an article, code points in links, depth
     run: list[str] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, no text, article, link; the last three hold for all inside
     linked = marked = 0
@@ -71,7 +74,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         nonlocal linked
         if text := " ".join("".join(run).split()):
             none, article, _ = stack[-1][1:] if stack else (False, False, False)
-            lines.append((text, not none, article, linked))
+            lines.append((text, not none, article, linked, sum(x[0] in _LAYOUT for x in stack)))
         run.clear()
         linked = 0
 
@@ -122,27 +125,36 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                 marked += 1
             stack.append((tag, none or _no_text(tag, attributes, article), article, link or tag == "a"))
     flush()
-    return [(text, len(text) if may and (article or not marked) and (article or 2 * own <= len(text)) else 0) for text, may, article, own in lines]
+    return [(text, len(text) if may and (article or not marked) and (article or 2 * own <= len(text)) else 0, depth) for text, may, article, own, depth in lines]
+
+
+def blocks_of(lines: list[tuple[str, int, int]], window: int) -> list[list[tuple[str, int, int]]]:
+    """Lines between dives.  A line of no weight is a dive only where a window of them follows, or where the next
+    weighing line has left the elements that hold the block's text."""
+    blocks: list[list[tuple[str, int, int]]] = []
+    nothing, least = window, 0  # lines of no weight so far, least depth of the block's text
+    for line in lines:
+        if not line[1]:
+            nothing += 1
+            continue
+        if nothing >= window or nothing and line[2] < least:
+            blocks.append([])
+            least = line[2]
+        elif nothing:
+            blocks[-1] += [("", 0, 0)] * nothing
+        nothing, least = 0, min(least, line[2])
+        blocks[-1].append(line)
+    return blocks
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Text between the surges and dives of the line-block distribution."""
-    lines = lines_of(page or "")
-    weights = [w for _, w in lines]
+    blocks = blocks_of(lines_of(page or ""), window)
+    peaks = [max(sum(w for _, w, _ in block[i : i + window]) for i in range(len(block))) for block in blocks]
     # where markup names the article, all that weighs belongs to it and any weight is a surge
     article = re.search(r"<(?:article|main)\b", page or "", re.I)
-    least = 0 if article else surge
-    kept, inside = [], False
-    total = sum(weights[:window])
-    for i, (text, weight) in enumerate(lines):
-        # the sum of the window that starts here; text starts on a surge and goes on until a window holds nothing
-        inside = total > (0 if inside else least)
-        if inside and weight:
-            kept.append(text)
-        elif least and not weight:
-            inside = False  # without a marked article, text must surge anew after what is none
-        total += (weights[i + window] if i + window < len(weights) else 0) - weight
-    return "\n".join(kept)
+    least = 1 if article else min(surge + 1, max(peaks, default=0))
+    return "\n".join(text for block, peak in zip(blocks, peaks) if peak >= least for text, weight, _ in block if weight)
 
 
 def extracted(pages: DataFrame, html_column: str = "html") -> DataFrame:

@@ -138,6 +138,14 @@ def test_html(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+def test_html_short_text():
+    assert html_text.main_text("<h1>Name</h1><p>By me</p><p>All of it.</p>") == "Name\nBy me\nAll of it."
+    close = "A closing paragraph that is shorter than what a surge needs."
+    for inline in ("<div class=ad>Buy</div>", "<p><a href=x>More of this</a></p>", "<div class=notice>Note</div><p><a href=x>Link</a></p>"):
+        page = "<div><h1>Name</h1><p>By me</p><p>Today</p><p>" + "long text here " * 20 + f"</p>{inline}<p>{close}</p></div><footer>foot</footer>"
+        assert html_text.main_text(page).split("\n") == ["Name", "By me", "Today", ("long text here " * 20).strip(), close]
+
+
 # 4
 def brute_statistics(text: str) -> tuple[int, ...]:
     w = WORD.findall(text)
