@@ -2,7 +2,9 @@
 
 Markup is stripped into lines (one per block element).  A line weighs its code points, or nothing where markup
 says that it is no article text: navigation, page headers and footers, sidebars, forms, notices, adverts,
-comments, text that is mostly links, and, on pages that mark an article, all that lies outside it.  Weights are
+comments, text that is mostly links, and, on pages that mark an article, all that lies outside it.  Names of classes
+and forms say so only of elements that hold at most half of the page's text and neither <main> nor its only article;
+others are wrappers of the layout.  Weights are
 summed over sliding windows of lines.  Dives, where a window holds nothing, part the page into blocks; a block in
 which the sums surge over a threshold, or over all others of a page that nowhere reaches it, is text, and all its
 weighing lines are kept.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +34,9 @@ SURGE = 80
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_RAW = frozenset("script style noscript template iframe svg textarea title object canvas audio video select math noframes".split())
+_RAW = frozenset("script style noscript template iframe svg textarea title object canvas audio video select annotation annotation-xml noframes".split())
+#: Raw elements that browsers read to the end of the page where they are not closed.
+_SCRIPT = frozenset(("script", "style"))
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -40,7 +45,8 @@ _HOLDER = frozenset("article aside blockquote body button center dd details dial
 #: Elements that hold text rather than are part of it.
 _LAYOUT = frozenset("div section article main td".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_NO_TEXT = frozenset("nav footer aside form button dialog menu search head".split())
+_NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(_BLOCK - {'option'}))})(?![\w:-])", re.I)
+_NO_TEXT = frozenset("nav footer aside button dialog menu search head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|nav|navbar|navigation|menu|sidebar|footer|comments?|disqus|replies|share|sharing|social|related|breadcrumbs?|newsletter|subscribe|subscription|popup|modal|overlay|widget|toolbar|pagination|pager|masthead|topbar|skip|login|signup)(?:$|[\s_-])"
@@ -51,40 +57,75 @@ _HEADER = re.compile(r"(?:^|[\s_-])(?:site|page|top|global|main)?[_-]?header(?:$
 
 
 def _no_text(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether tag or attributes say that an element is no text, whatever it holds."""
     if tag in _NO_TEXT or tag == "header" and not in_article or attributes and _HIDDEN.search(attributes):
         return True
-    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
-        value = value.strip("\"'")
-        if name.lower() == "role":
-            if value.lower() in _ROLES:
-                return True
-        elif tag not in ("html", "body", "article", "main") and (_NAMES.search(value) or not in_article and _HEADER.search(value)):
-            return True
-    return False
+    return any(name.lower() == "role" and value.strip("\"'").lower() in _ROLES for name, value in _ATTRIBUTE.findall(attributes or ""))
+
+
+def _named(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether names hint that an element is no text."""
+    if tag == "form":
+        return True
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    values = [value.strip("\"'") for name, value in _ATTRIBUTE.findall(attributes) if name.lower() != "role"]
+    return any(_NAMES.search(x) or not in_article and _HEADER.search(x) for x in values)
+
+
+def _pairs(page: str, tag: str) -> dict[int, tuple[int, int]]:
+    """Of each closed element of a tag: the end of its start tag, and its end tag's start and end."""
+    pairs, opened = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?![\w:-])[^>]*>", page, re.I):
+        if m[1]:
+            if opened:
+                pairs[opened.pop()] = m.span()
+        elif not m[0].endswith("/>"):
+            opened.append(m.end())
+    return pairs
+
+
+def _raw_end(page: str, tag: str, at: int, pairs: dict[str, dict[int, tuple[int, int]]]) -> int:
+    """Where a raw element ends: at its end tag, else at the next block; scripts end with the page."""
+    if tag in _SCRIPT:
+        stop = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
+        return stop.end() if stop else len(page)
+    if tag not in pairs:
+        pairs[tag] = _pairs(page, tag)
+    if at in pairs[tag]:
+        return pairs[tag][at][1]
+    stop = _NEXT_BLOCK.search(page, at)
+    return stop.start() if stop else len(page)
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, weight, depth in layout elements) of every line of a page."""
-    lines: list[tuple[str, bool, bool, int, int]] = []  # text, may be article text, inside an article, code points in links, depth
+    lines: list[tuple[str, tuple[int, ...], int, int, int]] = []  # text, named elements around it, article around it or 0, code points in links, depth
+    total, held = 0, Counter()  # code points of text, and of it in each named element
+    articles: list[tuple[str, tuple[int, ...]]] = [("", ())]  # tag, named elements around it
     run: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, no text, article, link; the last three hold for all inside
-    linked = marked = 0
+    stack: list[tuple[str, bool, tuple[int, ...], int, bool]] = []  # tag, no text, named elements, article, link; the last four hold for all inside
+    linked = names = 0
+    pairs: dict[str, dict[int, tuple[int, int]]] = {}
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, total
         if text := " ".join("".join(run).split()):
-            none, article, _ = stack[-1][1:] if stack else (False, False, False)
-            lines.append((text, not none, article, linked, sum(x[0] in _LAYOUT for x in stack)))
+            none, named, article, _ = stack[-1][1:] if stack else (False, (), 0, False)
+            lines.append((text, (0,) if none else named, article, linked, sum(x[0] in _LAYOUT for x in stack)))
+            if not none:
+                total += len(text)
+                held.update(dict.fromkeys(named, len(text)))
         run.clear()
         linked = 0
 
-    at, end, low = 0, len(page), None
+    at, end = 0, len(page)
     while at < end:
         found = _TAG.search(page, at)
         text = page[at : found.start() if found else end]
         if text:
             run.append(text := html.unescape(text))
-            if stack and stack[-1][3]:
+            if stack and stack[-1][4]:
                 linked += len(text)
         if not found:
             break
@@ -97,10 +138,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             run.append(" ")
             continue
         if not close and tag in _RAW and not attributes.endswith("/"):
-            low = low if low is not None else page.lower()
-            stop = low.find(f"</{tag}", at)
-            shut = page.find(">", stop) if stop >= 0 else -1
-            at = shut + 1 if shut >= 0 else end
+            at = _raw_end(page, tag, at, pairs)
             run.append(" ")
             continue
         if tag in _BLOCK:
@@ -119,13 +157,23 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 stack.pop()  # a block ends a paragraph that was left open
             if tag in ("li", "td", "th", "tr", "dd", "dt") and stack and stack[-1][0] == tag:
                 stack.pop()
-            none, article, link = stack[-1][1:] if stack else (False, False, False)
-            if not none and tag in ("article", "main"):
-                article = True
-                marked += 1
-            stack.append((tag, none or _no_text(tag, attributes, article), article, link or tag == "a"))
+            none, named, article, link = stack[-1][1:] if stack else (False, (), 0, False)
+            inside = bool(article) or tag in ("article", "main") and not none
+            none_here = none or _no_text(tag, attributes, inside)
+            if not none_here and tag in ("article", "main"):
+                articles.append((tag, named))
+                article = len(articles) - 1
+            if not none_here and _named(tag, attributes, inside):
+                names += 1
+                named = (*named, names)
+            stack.append((tag, none_here, named, article, link or tag == "a"))
     flush()
-    return [(text, len(text) if may and (article or not marked) and (article or 2 * own <= len(text)) else 0, depth) for text, may, article, own, depth in lines]
+    # wrappers: elements with a name that hold <main>, the only article or most of the text
+    around = [x for tag, x in articles[1:] if tag == "main"] or [x for _, x in articles[1:]][:1] * (len(articles) == 2)
+    wrapping = {n for n in held if 2 * held[n] > total} | {n for x in around for n in x}
+    apart = lambda named: any(n not in wrapping for n in named)
+    marked = any(not apart(named) for _, named in articles[1:])
+    return [(text, len(text) if not apart(named) and (article or not marked) and (article or 2 * own <= len(text)) else 0, depth) for text, named, article, own, depth in lines]
 
 
 def blocks_of(lines: list[tuple[str, int, int]], window: int) -> list[list[tuple[str, int, int]]]:

@@ -146,6 +146,19 @@ def test_html_short_text():
         assert html_text.main_text(page).split("\n") == ["Name", "By me", "Today", ("long text here " * 20).strip(), close]
 
 
+def test_html_wrappers_and_raw_elements():
+    body = "long text here " * 20
+    for wrapper in ("div class='content with-sidebar'", "div id=page-banner-wrap", "div class=commentary", "form id=all"):
+        for inner in (f"<article><p>{body}</p></article>", f"<p>{body}</p>", f"<main><p>{body}</p></main><div class=sidebar><p>{'side ' * 30}</p></div>"):
+            assert html_text.main_text(f"<body><{wrapper}>{inner}</{wrapper.split()[0]}><footer>foot</footer>") == body.strip()
+    comments = f"<div class=comments><article><p>{'bla ' * 9}</p></article><article><p>{'bla ' * 9}</p></article></div>"
+    assert html_text.main_text(f"<article><p>{body}</p></article>{comments}") == body.strip()
+    for tag in ("object", "video", "svg", "select", "canvas"):
+        assert html_text.main_text(f"<article><p>One<div><{tag} x=y></div><p>{body}<{tag}>none</{tag}></article>") == "One\n" + body.strip()
+    assert html_text.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</article>") == "So x=2 holds."
+    assert html_text.main_text("<article><p>One<script>var x = 1<p>two</article>") == "One"
+
+
 # 4
 def brute_statistics(text: str) -> tuple[int, ...]:
     w = WORD.findall(text)
