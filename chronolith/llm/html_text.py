@@ -4,7 +4,8 @@ Markup is stripped into lines (one per block element).  A line weighs its code p
 says that it is no article text: navigation, page headers and footers, sidebars, forms, notices, adverts,
 comments, text that is mostly links, and, on pages that mark an article, all that lies outside it.  Names of classes
 and forms say so only of elements that hold at most half of the page's text and neither <main> nor its only article;
-others are wrappers of the layout.  Weights are
+others are wrappers of the layout.  Inside a marked article lines of links weigh nothing where they fill a window or
+hold several links, unless all its lines do; else markup alone decides such pages.  Weights are
 summed over sliding windows of lines.  Dives, where a window holds nothing, part the page into blocks; a block in
 which the sums surge over a threshold, or over all others of a page that nowhere reaches it, is text, and all its
 weighing lines are kept.
@@ -44,6 +45,7 @@ _BLOCK = frozenset(
 _HOLDER = frozenset("article aside blockquote body button center dd details dialog div dl dt fieldset figure footer form head header label li main menu nav ol p a search section table td th tr ul h1 h2 h3 h4 h5 h6 span".split())
 #: Elements that hold text rather than are part of it.
 _LAYOUT = frozenset("div section article main td".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(_BLOCK - {'option'}))})(?![\w:-])", re.I)
 _NO_TEXT = frozenset("nav footer aside button dialog menu search head".split())
@@ -98,26 +100,26 @@ def _raw_end(page: str, tag: str, at: int, pairs: dict[str, dict[int, tuple[int,
     return stop.start() if stop else len(page)
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, weight, depth in layout elements) of every line of a page."""
-    lines: list[tuple[str, tuple[int, ...], int, int, int]] = []  # text, named elements around it, article around it or 0, code points in links, depth
+def lines_of(page: str, window: int = WINDOW) -> tuple[list[tuple[str, int, int]], bool]:
+    """(text, weight, depth in layout elements) of every line of a page, and whether markup names its article."""
+    lines: list[tuple[str, tuple[int, ...], int, int, int]] = []  # text, named elements around it, article around it or 0, links if they are most of it, depth
     total, held = 0, Counter()  # code points of text, and of it in each named element
     articles: list[tuple[str, tuple[int, ...]]] = [("", ())]  # tag, named elements around it
     run: list[str] = []
     stack: list[tuple[str, bool, tuple[int, ...], int, bool]] = []  # tag, no text, named elements, article, link; the last four hold for all inside
-    linked = names = 0
+    linked = links = names = 0
     pairs: dict[str, dict[int, tuple[int, int]]] = {}
 
     def flush() -> None:
-        nonlocal linked, total
+        nonlocal linked, links, total
         if text := " ".join("".join(run).split()):
             none, named, article, _ = stack[-1][1:] if stack else (False, (), 0, False)
-            lines.append((text, (0,) if none else named, article, linked, sum(x[0] in _LAYOUT for x in stack)))
+            lines.append((text, (0,) if none else named, article, max(links, 1) if 2 * linked > len(text) and not any(x[0] in _HEADINGS for x in stack) else 0, sum(x[0] in _LAYOUT for x in stack)))
             if not none:
                 total += len(text)
                 held.update(dict.fromkeys(named, len(text)))
         run.clear()
-        linked = 0
+        linked = links = 0
 
     at, end = 0, len(page)
     while at < end:
@@ -166,6 +168,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             if not none_here and _named(tag, attributes, inside):
                 names += 1
                 named = (*named, names)
+            links += tag == "a"
             stack.append((tag, none_here, named, article, link or tag == "a"))
     flush()
     # wrappers: elements with a name that hold <main>, the only article or most of the text
@@ -173,7 +176,21 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     wrapping = {n for n in held if 2 * held[n] > total} | {n for x in around for n in x}
     apart = lambda named: any(n not in wrapping for n in named)
     marked = any(not apart(named) for _, named in articles[1:])
-    return [(text, len(text) if not apart(named) and (article or not marked) and (article or 2 * own <= len(text)) else 0, depth) for text, named, article, own, depth in lines]
+    may = [not apart(named) and bool(article or not marked) for _, named, article, _, _ in lines]
+    own = [links for _, _, _, links, _ in lines]
+    if marked and any(m and not o for m, o in zip(may, own)):
+        # one link may be a line of the article; several, and lines of links in a row that fill a window, are a menu
+        at = 0
+        while at < len(lines):
+            stop = at
+            while stop < len(lines) and may[stop] and own[stop]:
+                stop += 1
+            if stop - at < window:
+                own[at:stop] = [o if o > 1 else 0 for o in own[at:stop]]
+            at = max(stop, at + 1)
+    elif marked:
+        own = [0] * len(lines)  # an article that is all links
+    return [(text, len(text) if m and not o else 0, depth) for (text, *_, depth), m, o in zip(lines, may, own)], marked
 
 
 def blocks_of(lines: list[tuple[str, int, int]], window: int) -> list[list[tuple[str, int, int]]]:
@@ -197,11 +214,11 @@ def blocks_of(lines: list[tuple[str, int, int]], window: int) -> list[list[tuple
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Text between the surges and dives of the line-block distribution."""
-    blocks = blocks_of(lines_of(page or ""), window)
+    lines, marked = lines_of(page or "", window)
+    blocks = blocks_of(lines, window)
     peaks = [max(sum(w for _, w, _ in block[i : i + window]) for i in range(len(block))) for block in blocks]
     # where markup names the article, all that weighs belongs to it and any weight is a surge
-    article = re.search(r"<(?:article|main)\b", page or "", re.I)
-    least = 1 if article else min(surge + 1, max(peaks, default=0))
+    least = 1 if marked else min(surge + 1, max(peaks, default=0))
     return "\n".join(text for block, peak in zip(blocks, peaks) if peak >= least for text, weight, _ in block if weight)
 
 

@@ -159,6 +159,15 @@ def test_html_wrappers_and_raw_elements():
     assert html_text.main_text("<article><p>One<script>var x = 1<p>two</article>") == "One"
 
 
+def test_html_links_in_articles():
+    menu = "<ul>" + "".join(f"<li><a href={i}>Item {i}</a>" for i in range(4)) + "</ul>"
+    page = f"<main>{menu}<h1><a href=x>Name</a></h1><p>First of it.<p><a href=x>The source of this</a><p>Second.<p><a href=1>Share</a> <a href=2>Send</a></p></main>"
+    assert html_text.main_text(page).split("\n") == ["Name", "First of it.", "The source of this", "Second."]
+    assert html_text.main_text(f"<article>{menu}</article>").split("\n") == [f"Item {i}" for i in range(4)]
+    long = "long text here " * 20
+    assert html_text.main_text(f"<!-- <article> --><div>{long}</div><nav>a<p>b<p>c</nav><p>foot") == long.strip()
+
+
 # 4
 def brute_statistics(text: str) -> tuple[int, ...]:
     w = WORD.findall(text)
