@@ -1,8 +1,13 @@
 """Exact deduplication against a persistent digest index (DataFrame operations only).
 
 The index is a table bucketed and sorted by digest.  ``add`` reduces new rows to one row per digest, finds those
-that the index lacks by a sort-merge anti-join on the buckets, and appends them.  ``members`` gives every row's
-standing.
+that the index lacks by a sort-merge anti-join on the buckets, and appends them; counts of digests that it holds
+already go to a second folder.  ``members`` gives every row's standing, groups being counted over all batches.
+
+An index outlives the driver: its files lie in the warehouse or where the caller says, and opening it again finds
+them by the catalog or, where the catalog has forgotten the table, by the folder.  Queries over one table take a
+fresh index in scratch space, as their result is that table's alone.  ``add`` isn't atomic: a batch that is added
+twice is counted twice.
 
 Defined results: a null text counts as empty; of equal texts in one batch the row with the largest doc_id stays,
 while a text that an earlier batch brought keeps that batch's row; a null doc_id loses to any other; repeated
@@ -12,6 +17,7 @@ rows share one group and each is returned; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +26,7 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import partitions, scratch_path, settle, table
 
 COLUMNS = "digest string, keep_id long, group_size long"
+AGAIN = "digest string, group_size long"
 
 
 def digest_of(text: str = "text") -> F.Column:
@@ -29,23 +36,61 @@ def digest_of(text: str = "text") -> F.Column:
 class DigestIndex:
     """A table (digest, keep_id, group_size), bucketed and sorted by digest."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None) -> None:
-        self.spark, self.name, self.buckets = spark, name, buckets or partitions(spark)
-        self.path = scratch_path(spark, name)
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None, path: str | None = None) -> None:
+        """Open the index of a name, or make it in the folder ``path`` (one named after it in the warehouse)."""
+        self.spark, self.name = spark, name
         if not spark.catalog.tableExists(name):
+            root = path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}"
+            held = self._held(root)
+            n = held or buckets or partitions(spark)
+            spark.sql(f"CREATE TABLE {name} ({COLUMNS.replace('long', 'bigint')}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {n} BUCKETS LOCATION '{root}/buckets-{n}'")
+        facts = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+        self.path, self.buckets = facts["Location"], int(facts["Num Buckets"])
+        self.again_path = f"{self.path}-again"
+        if not self._exists(self.again_path):
+            spark.createDataFrame([], AGAIN).write.mode("append").parquet(self.again_path)
+        if not self._exists(self.path):
             self._append(spark.createDataFrame([], COLUMNS))
 
+    def _place(self, path: str) -> tuple:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    def _exists(self, path: str) -> bool:
+        """Whether a folder has been written to the end once."""
+        files, place = self._place(path)
+        return files.exists(place) and len(files.listStatus(place)) > 0
+
+    def _held(self, root: str) -> int | None:
+        """The number of buckets of an index that a folder holds."""
+        files, place = self._place(root)
+        names = [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
+        found = [int(m[1]) for x in names if (m := re.fullmatch(r"buckets-(\d+)", x))]
+        return found[0] if found else None
+
     def _append(self, rows: DataFrame) -> None:
-        (rows.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.format("parquet").mode("append").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
+        (rows.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
 
     def rows(self) -> DataFrame:
+        """digest, keep_id, group_size, as the batch that brought the digest left them."""
         return self.spark.table(self.name)
 
+    def counted(self) -> DataFrame:
+        """The rows with groups counted over all batches; read as files, without buckets, so that both sides of a hot key can be split."""
+        first = self.spark.read.schema(COLUMNS).parquet(self.path)
+        again = self.spark.read.schema(AGAIN).parquet(self.again_path)
+        if again.isEmpty():
+            return first
+        more = again.groupBy(F.col("digest").alias("__digest")).agg(F.sum("group_size").alias("__more"))
+        return settle(first.join(more, F.col("digest") == F.col("__digest"), "left").select("digest", "keep_id", (F.col("group_size") + F.coalesce("__more", F.lit(0))).alias("group_size")), "digest-counts")
+
     def add(self, docs: DataFrame) -> None:
-        """Append the digests of ``docs`` that the index doesn't hold."""
+        """Append the digests of ``docs`` that the index doesn't hold, and count those that it does."""
         batch = docs.select(digest_of().alias("digest"), F.col("doc_id").cast("long").alias("doc_id")).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         # written first: the optimizer would else move the anti-join below the aggregate, where a hot text meets in one task
         batch = settle(batch, "digest-batch")
+        if not self.rows().isEmpty():
+            batch.join(self.rows().select("digest").hint("merge"), "digest", "left_semi").select("digest", "group_size").write.mode("append").parquet(self.again_path)
         # the table is read and appended to: Spark plans the scan's file list before it writes new files
         self._append(batch.join(self.rows().select("digest").hint("merge"), "digest", "left_anti"))
 
@@ -54,13 +99,15 @@ class DigestIndex:
 
         Most texts are alone: their rows need nothing but the digest, yet which they are is known from the index
         only, so rows meet it in one sort-merge join on the digest, whose hot keys adaptive execution splits."""
-        index = self.spark.read.schema(COLUMNS).parquet(self.path)  # as files, without buckets, so that both sides of a hot key can be split
+        index = self.counted()
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of().alias("digest"))
         return rows.join(index.hint("merge"), "digest").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def fresh_index(spark: SparkSession) -> DigestIndex:
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    """An index of its own, whose files go when the driver ends."""
+    name = f"digest_index_{uuid.uuid4().hex}"
+    return DigestIndex(spark, name, path=scratch_path(spark, name))
 
 
 def deduplicated(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:

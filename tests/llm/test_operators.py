@@ -119,6 +119,22 @@ def test_exact_dedup(spark, docs, rows, empty):
     assert exact_dedup.deduplicated(empty).count() == 0
 
 
+@pytest.mark.parametrize("forgotten", [False, True])
+def test_digest_index_persists(spark, tmp_path, forgotten):
+    name = f"kept_index_{int(forgotten)}"
+    batch = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    exact_dedup.DigestIndex(spark, name, 3, f"file://{tmp_path}/index").add(batch((1, "a"), (2, "a"), (3, "b")))
+    if forgotten:  # as in a later driver run without a shared catalog
+        spark.sql(f"DROP TABLE {name}")
+    again = exact_dedup.DigestIndex(spark, name, None, f"file://{tmp_path}/index")
+    assert again.buckets == 3 and again.rows().count() == 2
+    new = batch((8, "a"), (9, "c"))
+    assert [r.doc_id for r in exact_dedup.deduplicated(new, again).collect()] == [9]
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.DigestIndex(spark, name).members(new).collect()) == [(8, 2, 3, False), (9, 9, 1, True)]
+    assert again.rows().groupBy("digest").count().where("count > 1").count() == 0
+    spark.sql(f"DROP TABLE {name}")
+
+
 # 3
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h2>Site</h2></header>
 <nav><ul><li><a href="/a>b">Home</a><li><a href='#'>News</a></ul></nav><div class="cookie-notice">We use cookies, a lot of them, on this site.</div>
