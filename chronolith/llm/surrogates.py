@@ -6,6 +6,8 @@ occurs (coreference), and two entities never share one (distinctness), without a
 What a type demands is kept: Luhn-valid cards stay valid, addresses stay in their kind of network, IBANs get right
 check digits, letters stay in their script and case, known given names are permuted within the list of their
 gender and script, and unknown names never land in a list (the cipher is walked on until they don't).
+Phone numbers are the same entity however they are written, with country code or, in North America, without.  A
+person whom an honorific or a known given name shows is replaced wherever the document has a word of that name.
 A bijection may have fixed points: of N values of one shape about one in N keeps its value.
 
 Defined results: a null text stays null and an empty one empty, with no entities; repeated rows get equal results;
@@ -44,6 +46,8 @@ _HONORIFICS = "Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœš", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 _OF = {c: (n, i) for n, letters in enumerate(_ALPHABETS) for i, c in enumerate(letters)}
 _VOWELS = set("aeiou")
+#: Country codes of two digits; 1 and 7 have one, others three.
+_TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 _CAPITAL = r"[^\W\d_a-zß-öø-ÿа-яα-ω]"
 _NAME = rf"{_CAPITAL}[^\W\d_]+(?:-{_CAPITAL}[^\W\d_]+)?"
@@ -153,11 +157,21 @@ def _card(cipher: Cipher, text: str) -> str:
     return _refill(text, "".join(map(str, [*body, (_luhn(body) + off) % 10])), str.isdigit)
 
 
+def _country(digits: str) -> str:
+    """The country code that an international number starts with."""
+    return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGIT_CODES else 3]
+
+
 def _phone(cipher: Cipher, text: str) -> str:
-    lead = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-    head, rest = (text[: lead.end()], text[lead.end() :]) if lead else ("", text)
-    new = cipher.digits("phone" + head, [int(c) for c in rest if c.isdigit()], 10)
-    return head + _refill(rest, "".join(map(str, new)), str.isdigit)
+    """Digits after the country code are ciphered, however they are written; numbers without a code have the North American shape."""
+    trunk = text.find("(0)") if text[0] == "+" else -1  # dialled only inside the country
+    at = [i for i, c in enumerate(text) if c.isdigit() and (trunk < 0 or i != trunk + 1)]
+    code = _country("".join(text[i] for i in at)) if text[0] == "+" else ""
+    at = at[len(code) :]
+    out = list(text)
+    for i, d in zip(at, cipher.digits(f"phone+{code or 1}", [int(text[i]) for i in at], 10)):
+        out[i] = str(d)
+    return "".join(out)
 
 
 _NETWORKS = [(0x0A000000, 24), (0x7F000000, 24), (0xA9FE0000, 16), (0xAC100000, 20), (0xC0A80000, 16), (0xE0000000, 28), (0xF0000000, 28), (0, 24)]
@@ -213,6 +227,8 @@ def _script(word: str) -> str:
 
 
 def _word_of_name(cipher: Cipher, word: str, given: bool) -> str:
+    if word.isupper() and len(low := word.capitalize()) == len(word) > 1:
+        return _word_of_name(cipher, low, given or low in _GENDER).upper()
     who = _GENDER.get(word)
     if given and who:
         names = GIVEN[who]
@@ -258,6 +274,28 @@ def surrogate(cipher: Cipher, kind: str, text: str) -> str:
     return _MAKERS[kind](cipher, text)
 
 
+def _mentions(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Other places of the words of the names found, also in capitals.  A word that stands more often in small
+    letters is an ordinary one."""
+    words = {p for a, b, kind in found if kind == "name" for w in text[a:b].split(" ") for p in (w, *w.split("-")) if len(p) > 1}
+    if not words:
+        return []
+    forms = words | {w.upper() for w in words if len(w) > 2 and len(w.upper()) == len(w)} | {w.capitalize() for w in words if w.isupper()}
+    places = re.compile(rf"\b(?:{'|'.join(re.escape(w) for w in sorted(forms | {w.lower() for w in words}, key=len, reverse=True))})\b")
+    seen: dict[str, list[tuple[int, int]]] = {}
+    for m in places.finditer(text):
+        seen.setdefault(m[0], []).append(m.span())
+    small = {w: len(spans) for w, spans in seen.items() if w == w.lower()}
+    taken = bytearray(len(text))
+    for a, b, _ in found:
+        taken[a:b] = b"\1" * (b - a)
+    large: dict[str, int] = {}
+    for w, spans in seen.items():
+        if w in forms:
+            large[w.lower()] = large.get(w.lower(), 0) + len(spans)
+    return [(a, b, "name") for w, spans in seen.items() if w in forms and small.get(w.lower(), 0) <= large[w.lower()] for a, b in spans if not any(taken[a:b])]
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, stop, kind) of the entities of a text, in order; of those that overlap, the kind named first in KINDS wins."""
     found: list[tuple[int, int, str]] = []
@@ -281,6 +319,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 a, b = m.span(1)
                 if all(b <= x or a >= y for x, y, _ in found):
                     found.append((a, b, "name"))
+        found += _mentions(text, found)
     return sorted(found)
 
 

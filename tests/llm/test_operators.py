@@ -364,6 +364,20 @@ def test_surrogates(docs, rows, empty):
     assert surrogates.replaced(empty).count() == 0
 
 
+def test_surrogates_corefer():
+    c = surrogates.Cipher(b"test")
+    digits = lambda x: "".join(d for d in x if d.isdigit())
+    new = [surrogates.replace(x, c)[0] for x in ("+1 (017) 555-7713", "+10175557713", "+1-017-555-7713", "(017) 555-7713", "017-555-7713")]
+    assert digits(new[0]) == digits(new[1]) == digits(new[2]) == "1" + digits(new[3]) == "1" + digits(new[4]) and digits(new[0]) != "10175557713"
+    london = [surrogates.replace(x, c)[0] for x in ("+44 (0)20 7946 0958", "+442079460958", "+44 20 7946 0958")]
+    assert london[0].startswith("+44 (0)") and digits(london[0].replace("(0)", "")) == digits(london[1]) == digits(london[2]) and digits(london[1])[:2] == "44"
+    new, found = surrogates.replace("Dr. Novak came. Novak said that NOVAK's case, and Maria Lopez and Lopez, were done. So said Maria. No Novakia here; will Mr Will will it, will he? Will.", c)
+    name = surrogates.surrogate(c, "name", "Novak")
+    given, other = surrogates.surrogate(c, "name", "Maria Lopez").split()
+    assert name != "Novak" and f"Dr. {name} came. {name} said that {name.upper()}'s case, and {given} {other} and {other}, were done. So said {given}. No Novakia" in new
+    assert new.endswith("it, will he? Will.") and surrogates.surrogate(c, "name", "MARIA") == given.upper()
+
+
 # 9
 def test_merged_transforms():
     r = np.random.default_rng(1)
