@@ -110,11 +110,20 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, name, path=scratch_path(spark, name))
 
 
-def deduplicated(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, index: DigestIndex | None = None, single: bool = False) -> DataFrame:
     """The rows of ``docs`` whose doc_id their group keeps, all columns as they came.
 
-    A keeper is unique by (digest, doc_id) unless whole keys repeat, so rows meet the index on both: no hot key."""
+    A keeper is unique by (digest, doc_id) unless whole keys repeat, so rows meet the index on both: no hot key.
+    Rows that repeat a keeper's whole key are all returned, or, with ``single``, one row of each text that the index
+    lacked: rows are numbered and a group keeps one number."""
     index = index or fresh_index(docs.sparkSession)
+    if single:
+        numbered = settle(docs.withColumn("__own", digest_of()).withColumn("__row", F.monotonically_increasing_id()), "digest-rows")
+        one = numbered.groupBy(F.col("__own").alias("digest")).agg(F.coalesce(F.max_by("__row", F.col("doc_id").cast("long")), F.min("__row")).alias("__one"))
+        one = settle(one, "digest-keepers").join(index.rows().select("digest").hint("merge"), "digest", "left_anti")
+        one = settle(one.select("__one"), "digest-keepers")  # before the index gets these digests
+        index.add(numbered)
+        return numbered.join(one.hint("merge"), F.col("__row") == F.col("__one"), "left_semi").drop("__own", "__row")
     index.add(docs)
     keep = docs.sparkSession.read.schema(COLUMNS).parquet(index.path).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
     return docs.withColumn("__own", digest_of()).join(keep.hint("merge"), (F.col("__own") == F.col("__digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi").drop("__own")

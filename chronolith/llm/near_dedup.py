@@ -300,8 +300,18 @@ def classes(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that their class keeps (the smallest doc_id), all columns as they came."""
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80, single: bool = False) -> DataFrame:
+    """The rows of ``docs`` that their class keeps (the smallest doc_id), all columns as they came.
+
+    With ``single``, a doc_id need not be a key: where one repeats, rows are numbered in its order (range partitions,
+    sorted), numbers stand for doc_ids, and a class keeps one row."""
+    own = F.col("doc_id").cast("long")
+    if single and not docs.where(own.isNotNull()).groupBy(own.alias("__own")).count().where("count > 1").isEmpty():
+        order = [own, F.xxhash64(F.col("text").cast("string"))]
+        numbered = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn("__row", F.when(own.isNotNull(), F.monotonically_increasing_id()))
+        numbered = settle(numbered, "near-rows")
+        dropped = classes(numbered.select(F.col("__row").alias("doc_id"), "text"), words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
+        return numbered.join(dropped.hint("merge"), F.col("__row") == F.col("__dropped"), "left_anti").drop("__row")
     dropped = classes(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
     return docs.join(dropped.hint("merge"), F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
 

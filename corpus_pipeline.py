@@ -18,13 +18,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with one text, the one with the largest doc_id."""
-    return exact_dedup.deduplicated(docs)
+    """Of rows with one text, one with the largest doc_id, also where whole rows repeat or have no doc_id."""
+    return exact_dedup.deduplicated(docs, single=True)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (five words a shingle, similarity 0.8), the row with the smallest doc_id."""
-    return near_dedup.representatives(docs)
+    return near_dedup.representatives(docs, single=True)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

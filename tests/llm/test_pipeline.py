@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
-from chronolith.llm import near_dedup, surrogates
+from chronolith.llm import exact_dedup, near_dedup, surrogates
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +34,23 @@ def test_stages(spark, monkeypatch):
     assert pieces and near_dedup.BANDS == 20
     for p in pieces:
         assert 0 < p.length <= 1024
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(1, "a", "x"), (2, "a", "y"), (2, "a", "y"), (None, "b", "z"), (None, "b", "z"), (None, "a", "z"), (3, None, "x"), (3, "", "x"), (4, "c", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    one = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, docs, SF)
+    assert one.columns == docs.columns
+    assert Counter((r.doc_id, r.text or "", r.source) for r in one.collect()) == Counter([(2, "a", "y"), (None, "b", "z"), (3, "", "x"), (4, "c", "x")])
+    index = exact_dedup.fresh_index(spark)
+    index.add(docs)
+    assert exact_dedup.deduplicated(docs, index, single=True).count() == 0
+
+
+def test_near_copies_under_repeated_ids(spark):
+    first, second = ([f"{x}{i}" for i in range(100)] for x in "ab")
+    texts = [(1, first), (2, second), (3, [*first, "tail"]), (3, [*second, "tail"]), (4, [*second, "end"]), (2, ["other", *"xyz"]), (4, ["alone", *"xyz"]), (None, first)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string").repartition(3)
+    apart = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
+    assert apart.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in apart.collect()) == Counter((i, " ".join(t)) for i, t in [texts[0], texts[1], texts[5], texts[6], texts[7]])
