@@ -6,8 +6,8 @@ already go to a second folder.  ``members`` gives every row's standing, groups b
 
 An index outlives the driver: its files lie in the warehouse or where the caller says, and opening it again finds
 them by the catalog or, where the catalog has forgotten the table, by the folder.  Queries over one table take a
-fresh index in scratch space, as their result is that table's alone.  ``add`` isn't atomic: a batch that is added
-twice is counted twice.
+fresh index in scratch space, as their result is that table's alone, and feed it in blocks of doc_ids, the largest
+first: later blocks meet what earlier ones left.  ``add`` isn't atomic: a batch that is added twice is counted twice.
 
 Defined results: a null text counts as empty; of equal texts in one batch the row with the largest doc_id stays,
 while a text that an earlier batch brought keeps that batch's row; a null doc_id loses to any other; repeated
@@ -27,6 +27,8 @@ from chronolith.llm.common import partitions, scratch_path, settle, table
 
 COLUMNS = "digest string, keep_id long, group_size long"
 AGAIN = "digest string, group_size long"
+#: Batches in which the query feeds its table.
+BLOCKS = 2
 
 
 def digest_of(text: str = "text") -> F.Column:
@@ -129,10 +131,27 @@ def deduplicated(docs: DataFrame, index: DigestIndex | None = None, single: bool
     return docs.withColumn("__own", digest_of()).join(keep.hint("merge"), (F.col("__own") == F.col("__digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi").drop("__own")
 
 
+def in_blocks(docs: DataFrame, blocks: int = BLOCKS) -> list[DataFrame]:
+    """All rows in blocks of equal ranges of doc_ids, the largest first; null doc_ids are in the last."""
+    own = F.col("doc_id").cast("long")
+    low, high = docs.agg(F.min(own), F.max(own)).first()
+    if low is None:
+        return [docs]
+    cuts = [high + 1 - (high + 1 - low) * i // blocks for i in range(1, blocks)]  # falling
+    edges = [None, *cuts, None]
+    parts = []
+    for above, least in zip(edges, edges[1:]):
+        inside = F.lit(True) if above is None else own < above
+        inside = inside if least is None else inside & (own >= least)
+        parts.append(docs.where(inside if least is not None else F.coalesce(inside, F.lit(True))))
+    return parts
+
+
 def op2_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = fresh_index(spark)
-    index.add(docs)
+    for block in in_blocks(docs):
+        index.add(block)
     return index.members(docs)
 
 

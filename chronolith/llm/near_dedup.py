@@ -17,8 +17,9 @@ margin (five standard deviations) with about the same.
 
 Defined results: null texts and texts without words have the empty set, size 0, and stand alone; texts with fewer
 words than a shingle have one element, the whole; rows with a null doc_id stand alone with a null component;
-repeated rows share a component and, having one doc_id, are all kept; an empty table gives no rows; other columns
-are not read by ``classes`` and carried by ``representatives``.
+repeated rows share a component and, having one doc_id, are all kept; different texts under one doc_id are rows of
+their own, each with its own links, and a component's id is the smallest doc_id among its rows; an empty table gives
+no rows; other columns are not read by ``classes`` and carried by ``representatives``.
 """
 
 from __future__ import annotations
@@ -287,8 +288,33 @@ def exact_links(docs: DataFrame, clustered: DataFrame, sizes: DataFrame, words:
     return components(found.select(F.col("component").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("root").alias("component"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with ``__row``, numbers in the order of doc_ids (null where that is), or None if doc_ids are a key."""
+    own = F.col("doc_id").cast("long")
+    if docs.where(own.isNotNull()).groupBy(own.alias("__own")).count().where("count > 1").isEmpty():
+        return None
+    order = [own, F.xxhash64(F.col("text").cast("string"))]
+    rows = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return settle(rows.withColumn("__row", F.when(own.isNotNull(), F.monotonically_increasing_id())), "near-rows")
+
+
 def classes(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; links are ``100 * shared >= percent * union``."""
+    """doc_id, n_shingles, component_id, kept of every row; links are ``100 * shared >= percent * union``.
+
+    Where a doc_id repeats, numbers in their order stand for doc_ids until classes are found."""
+    numbered = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    if numbered is None:
+        return _classes(docs, words, percent)
+    names = numbered.select(F.col("__row").alias("__n"), F.col("doc_id").alias("__doc"))
+    found = settle(_classes(numbered.select(F.col("__row").alias("doc_id"), "text"), words, percent), "near-numbered")
+    out = found.join(names.hint("merge"), F.col("doc_id") == F.col("__n"), "left").select("__doc", "n_shingles", "component_id")
+    firsts = names.select(F.col("__n").alias("__m"), F.col("__doc").alias("__first"))
+    out = out.join(firsts.hint("merge"), F.col("component_id") == F.col("__m"), "left")
+    return out.select(F.col("__doc").alias("doc_id"), "n_shingles", F.col("__first").alias("component_id"), F.coalesce(F.col("__doc") == F.col("__first"), F.lit(True)).alias("kept"))
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``classes`` where doc_ids are a key."""
     rows = settle(sketches(docs, words), "near-sketches")
     sets = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"), F.any_value("n_shingles").alias("n_shingles"))
     sets = settle(sets, "near-sets")
@@ -305,14 +331,11 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80, single:
 
     With ``single``, a doc_id need not be a key: where one repeats, rows are numbered in its order (range partitions,
     sorted), numbers stand for doc_ids, and a class keeps one row."""
-    own = F.col("doc_id").cast("long")
-    if single and not docs.where(own.isNotNull()).groupBy(own.alias("__own")).count().where("count > 1").isEmpty():
-        order = [own, F.xxhash64(F.col("text").cast("string"))]
-        numbered = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn("__row", F.when(own.isNotNull(), F.monotonically_increasing_id()))
-        numbered = settle(numbered, "near-rows")
-        dropped = classes(numbered.select(F.col("__row").alias("doc_id"), "text"), words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
+    numbered = _numbered(docs) if single else None
+    if numbered is not None:
+        dropped = _classes(numbered.select(F.col("__row").alias("doc_id"), "text"), words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
         return numbered.join(dropped.hint("merge"), F.col("__row") == F.col("__dropped"), "left_anti").drop("__row")
-    dropped = classes(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
+    dropped = (_classes if single else classes)(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
     return docs.join(dropped.hint("merge"), F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
 
 

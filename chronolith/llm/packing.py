@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import in_slices, partitions, settle, table
 
 DIMS, BITS, BUCKETS = 3, 16, 256
+#: Fixed value: the marker that the vocabulary's tokenizer reads as one id wherever a text holds it.
+MARKERS = {"<|endoftext|>": 50256}
 _ENCODERS: dict[str, object] = {}
 
 
@@ -36,10 +38,15 @@ def byte_bpe(ranks_file: str):
 
         with open(public_tokenizers.path(ranks_file), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[ranks_file] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[ranks_file] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=MARKERS)
     return _ENCODERS[ranks_file]
 
 
+def ids_of(encoder, text: str) -> list[int]:
+    """The ids that the tokenizers library gives without added tokens: literal markers are one id each."""
+    return encoder.encode(text, allowed_special="all") if any(m in text for m in MARKERS) else encoder.encode_ordinary(text)
+
+
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Hilbert index of integer points (n, dims) by Gray-code unfolding of the transposed index."""
     x = points.astype(np.int64).T.copy()
@@ -85,9 +92,9 @@ def tokenised(docs: DataFrame, ranks_file: str = "byte_bpe_50k.tiktoken", end_id
     """doc_id, key (Hilbert), n_tokens, ids (little-endian unsigned 16-bit, the end id included)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, project = byte_bpe(ranks_file).encode_ordinary, projection()
+        encoder, project = byte_bpe(ranks_file), projection()
         for batch in in_slices(batches, "text"):
-            ids = [np.array([*encode(t or ""), end_id], np.uint16) for t in batch.column("text").to_pylist()]
+            ids = [np.array([*ids_of(encoder, t or ""), end_id], np.uint16) for t in batch.column("text").to_pylist()]
             hashed = np.stack([np.bincount((x.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24), minlength=BUCKETS) for x in ids])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(hilbert_keys(points_of(hashed, project))), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],

@@ -1,6 +1,6 @@
 """Token ids in Simple-8b blocks.
 
-A file is a run of blocks in ascending doc_id order; a block holds whole documents, about ``BLOCK_IDS`` ids of
+A file is a run of blocks in ascending doc_id order, rows of one doc_id by their texts' digests; a block holds whole documents, about ``BLOCK_IDS`` ids of
 them.  Ids are packed into 64-bit words: a 4-bit selector says how many ids share the other 60 bits.  Ids of 20
 bits or more, which are rare in any vocabulary, are written as an escape value and listed after the words.
 Every ``STRIDE`` words the block stores how many ids come before, so a reader can start anywhere and decode all
@@ -43,7 +43,7 @@ def word_cache(file: str) -> TokenCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = True  # the cache takes markers out of the texts, so words that become one only by folding case stay words
         _CACHES[file] = TokenCache(tokenizer)
     return _CACHES[file]
 
@@ -186,7 +186,7 @@ def token_blocks(docs: DataFrame, file: str = "word_bpe_49k.json", end_id: int =
             yield out()
 
     n = partitions(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(run, "part int, block_no int, n_ids long, payload binary")
 
 

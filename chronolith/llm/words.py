@@ -27,11 +27,14 @@ class TokenCache(dict):
     Valid for tokenizers that fold case, drop white space, never join across it, and part letters from
     punctuation: a text's ids are then those of its words in turn.  New words of plain letters go to the
     tokenizer's model directly, all others through the whole tokenizer.  The table is emptied when it holds
-    ``most`` words, so memory stays bounded."""
+    ``most`` words, so memory stays bounded.  Literal markers of the vocabulary are one id each, as the library reads
+    them: they part a text, whatever their neighbours."""
 
     def __init__(self, tokenizer, most: int = 400_000) -> None:
         super().__init__()
         self.tokenizer, self.model, self.most = tokenizer, tokenizer.model, most
+        # a byte that UTF-8 never has starts the word that stands for a marker
+        self.markers = [(t.content.encode(), b"\xfe%d" % i, number) for i, (number, t) in enumerate(sorted(tokenizer.get_added_tokens_decoder().items())) if t.special]
         self.letters = _byte_letters()
         self._reset()
 
@@ -39,7 +42,11 @@ class TokenCache(dict):
         self.clear()
         self[b"\xff"] = 0
         self.new: list[bytes] = []
-        self.starts, self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        n = len(self.markers)
+        for i, (_, word, _) in enumerate(self.markers):
+            self[word] = 1 + i
+        self.starts, self.sizes = np.array([0, *range(n)], np.int64), np.array([0, *[1] * n], np.int64)
+        self.flat = np.array([number for *_, number in self.markers], np.uint32)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = row = len(self)
@@ -65,7 +72,11 @@ class TokenCache(dict):
         if len(self) > self.most:
             self._reset()
         # one pass over all texts: a byte that UTF-8 never has stands between them, with no ids of its own
-        joined = b" \xff ".join([t.encode().lower() for t in texts])
+        joined = b" \xff ".join([t.encode() for t in texts])
+        for literal, word, _ in self.markers:
+            if literal in joined:
+                joined = joined.replace(literal, b" " + word + b" ")
+        joined = joined.lower()
         words = _TAIL.sub(rb" \1", joined).split()
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:

@@ -20,9 +20,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def tokenizer(file: str) -> Tokenizer:
-    t = Tokenizer.from_file(public_tokenizers.path(file))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(file))
 
 
 def make_rows() -> list[tuple]:
@@ -37,7 +35,7 @@ def make_rows() -> list[tuple]:
         words[r.randrange(len(words))] = "changed"
         texts.append(" ".join(words))
     passage = text(60)
-    texts += [text(20) + " " + passage + " " + text(30), passage, passage[5:] + "é" * 120, "é" * 300, "Ther " * 300, "ab\x1cc don't, I'M. <|endoftext|> 日本 🎉\n\nx"]
+    texts += [text(20) + " " + passage + " " + text(30), passage, passage[5:] + "é" * 120, "é" * 300, "Ther " * 300, "ab\x1cc don't, I'M. <|endoftext|> 日本 🎉\n\nx", "a<|endoftext|><|startoftext|>B <|ENDOFTEXT|> <|end é<|endoftext|>\u0301x"]
     rows = [(i, t, "en", "s", len(t) if t is not None else None, "k", "d", 1) for i, t in enumerate(texts)]
     return rows + [rows[3], rows[3], (None, base, None, None, None, None, None, None), (None, "only null id", None, None, None, None, None, None)]
 
@@ -95,7 +93,7 @@ def test_hilbert_neighbours():
 def test_rank_file_gives_the_tokenizers_ids(rows):
     t, fast = tokenizer("byte_bpe_50k.json"), packing.byte_bpe("byte_bpe_50k.tiktoken")
     for _, x, *_ in rows:
-        assert fast.encode_ordinary(x or "") == t.encode(x or "", add_special_tokens=False).ids
+        assert packing.ids_of(fast, x or "") == t.encode(x or "", add_special_tokens=False).ids
 
 
 # 2
@@ -135,6 +133,20 @@ def test_digest_index_persists(spark, tmp_path, forgotten):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_blocks_meet_the_index(spark, docs, rows):
+    parts = exact_dedup.in_blocks(docs, 3)
+    assert sorted((r.doc_id or -1 for p in parts for r in p.collect())) == sorted(d or -1 for d, *_ in rows)
+    assert all(min(r.doc_id for r in a.collect()) > max(r.doc_id for r in b.collect() if r.doc_id is not None) for a, b in zip(parts, parts[1:]))
+    whole, index = exact_dedup.fresh_index(spark), exact_dedup.fresh_index(spark)
+    whole.add(docs)
+    for p in parts:
+        index.add(p)
+    everything = lambda i: sorted((tuple(r) for r in i.members(docs).collect()), key=key)
+    assert everything(index) == everything(whole)
+    plan = docs.select(exact_dedup.digest_of().alias("digest")).distinct().join(index.rows().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 1  # none on the index's side
+
+
 # 3
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h2>Site</h2></header>
 <nav><ul><li><a href="/a>b">Home</a><li><a href='#'>News</a></ul></nav><div class="cookie-notice">We use cookies, a lot of them, on this site.</div>
@@ -327,6 +339,17 @@ def test_near_dedup_large_buckets(docs, rows, empty, monkeypatch):
     assert near_dedup.classes(empty).count() == 0
 
 
+def test_near_dedup_of_clashing_ids(spark):
+    r = random.Random(8)
+    a, b = (["".join(r.choices("abcdef", k=6)) for _ in range(100)] for _ in "ab")
+    texts = [(1, a), (1, b), (7, [*b, "tail"]), (8, [*a, "tail"]), (9, [*b, "end"]), (9, ["other", "words"]), (9, ["other", "words"]), (None, a)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string").repartition(3)
+    got = sorted((tuple(x) for x in near_dedup.classes(docs).collect()), key=key)
+    size = lambda t: max(1, len(t) - 2)
+    expected = [1, 1, 1, 1, 1, 9, 9, None]
+    assert got == sorted(((i, size(t), c, i is None or i == c) for (i, t), c in zip(texts, expected)), key=key)
+
+
 def test_bit_estimate():
     r = np.random.default_rng(2)
     errors = []
