@@ -1,44 +1,55 @@
 """Elementary versions and their merging into a coherent evolution.
 
-Everything about one attribute happens in windows and groups over the attribute, so attributes spread over tasks;
-chains are ordered by time, so a transitive merge is a running sum.
+All rows of an attribute are brought together once, and every later step is a window or a group within that
+partitioning: attributes spread over tasks, nothing is joined back, and chains are ordered by time, so a transitive
+merge is a running sum.
 
-Tables: versions (attr, av, begin, end) with valid times, either end null; changes (attr, cg, stamp, precision,
-makes, outdates) that sources state.  Stamps are any ordered type.
+Tables: versions (attr, av, begin, end, and optionally vid, the id of the value that is compared) with valid times,
+either end null; changes (attr, cg, stamp, precision, makes, outdates) that sources state.  Stamps are any ordered
+type.  Within steps a version is struct(av, vid).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+VERSIONS = "array<struct<av: string, vid: string>>"
+
+
+def _none() -> Column:
+    return F.array().cast(VERSIONS)
+
 
 def stated_and_virtual(versions: DataFrame, changes: DataFrame) -> DataFrame:
     """(attr, stamp, rank, cg, makes, outdates): changes as stated (with cg), and two virtual ones (without) for each valid time."""
-    real = changes.select("attr", "stamp", F.coalesce("precision", F.lit(-1)).alias("rank"), "cg", "makes", "outdates")
-    none, null = F.array().cast("array<string>"), F.lit(None).cast("string")
-    ends = F.explode(F.array(F.struct(F.col("begin").alias("stamp"), F.array("av").alias("makes"), none.alias("outdates")), F.struct(F.col("end").alias("stamp"), none.alias("makes"), F.array("av").alias("outdates")))).alias("x")
-    virtual = versions.select("attr", ends, F.lit(-1).alias("rank"), null.alias("cg")).select("attr", "x.stamp", "rank", "cg", "x.makes", "x.outdates")
+    known = lambda c: F.transform(c, lambda x: F.struct(x.alias("av"), F.lit(None).cast("string").alias("vid")))
+    real = changes.select("attr", "stamp", F.coalesce("precision", F.lit(-1)).alias("rank"), "cg", known("makes").alias("makes"), known("outdates").alias("outdates"))
+    vid = F.col("vid") if "vid" in versions.columns else F.lit(None)
+    own = F.array(F.struct(F.col("av").cast("string").alias("av"), vid.cast("string").alias("vid")))
+    ends = F.explode(F.array(F.struct(F.col("begin").alias("stamp"), own.alias("makes"), _none().alias("outdates")), F.struct(F.col("end").alias("stamp"), _none().alias("makes"), own.alias("outdates")))).alias("x")
+    virtual = versions.select("attr", ends, F.lit(-1).alias("rank"), F.lit(None).cast("string").alias("cg")).select("attr", "x.stamp", "rank", "cg", "x.makes", "x.outdates")
     return real.unionByName(virtual).where("stamp is not null")
 
 
 def elementary_changes(events: DataFrame) -> DataFrame:
     """One row for each attribute and stamp, with the unions of what is made and outdated, plus one at either infinity.
 
-    (attr, idx, side, stamp, rank, real, makes, outdates); side is -1, 0, 1; idx counts from 0 at minus infinity."""
+    (attr, idx, side, stamp, rank, real, makes, outdates); side is -1, 0, 1; idx counts from 0 at minus infinity.
+    This is where the rows of an attribute meet: the steps that follow need no other exchange."""
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    at = events.groupBy("attr", "stamp").agg(
-        F.max("rank").alias("rank"),
-        F.array_sort(F.collect_set("cg")).alias("real"),
-        flat("makes").alias("makes"),
-        flat("outdates").alias("outdates"),
-    ).withColumn("side", F.lit(0))
-    none = F.array().cast("array<string>")
-    ends = at.select("attr").distinct().select("attr", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
-    stamp_type = events.schema["stamp"].dataType
-    ends = ends.select("attr", "side", F.lit(None).cast(stamp_type).alias("stamp"), F.lit(-1).alias("rank"), none.alias("real"), none.alias("makes"), none.alias("outdates"))
-    order = Window.partitionBy("attr").orderBy("side", "stamp")
-    return at.unionByName(ends).withColumn("idx", F.row_number().over(order) - 1).select("attr", "idx", "side", "stamp", "rank", "real", "makes", "outdates")
+    at = events.repartition("attr").groupBy("attr", "stamp").agg(F.max("rank").alias("rank"), F.array_sort(F.collect_set("cg")).alias("real"), flat("makes").alias("makes"), flat("outdates").alias("outdates"))
+    order = Window.partitionBy("attr").orderBy("stamp")
+    at = at.withColumn("__n", F.row_number().over(order)).withColumn("__last", F.lead("stamp").over(order).isNull())
+    stamp_type, none = events.schema["stamp"].dataType, F.array().cast("array<string>")
+    row = lambda idx, side, stamp, rank, real, makes, outdates: F.array(F.struct(idx.cast("int").alias("idx"), F.lit(side).alias("side"), stamp.alias("stamp"), rank.alias("rank"), real.alias("real"), makes.alias("makes"), outdates.alias("outdates")))
+    end = lambda idx, side: row(idx, side, F.lit(None).cast(stamp_type), F.lit(-1), none, _none(), _none())
+    own = row(F.col("__n"), 0, F.col("stamp"), F.col("rank"), F.col("real"), F.col("makes"), F.col("outdates"))
+    with_ends = F.when(F.col("__n") == 1, F.concat(end(F.lit(0), -1), own)).otherwise(own)
+    with_ends = F.when(F.col("__last"), F.concat(with_ends, end(F.col("__n") + 1, 1))).otherwise(with_ends)
+    return at.select("attr", F.inline(with_ends))
 
 
 def elementary_versions(changes: DataFrame) -> DataFrame:
@@ -48,19 +59,37 @@ def elementary_versions(changes: DataFrame) -> DataFrame:
     return out.where("next is not null").drop("next")
 
 
+def _mentions(changes: DataFrame, *columns: Column | str) -> DataFrame:
+    """A row for each version that a change makes (m = 1) or outdates (m = 0), or one without any: (attr, idx, place, av, vid, m)."""
+    side = lambda c, m: F.transform(c, lambda x: F.struct(x["av"].alias("av"), x["vid"].alias("vid"), F.lit(m).alias("m")))
+    return changes.select("attr", "idx", *columns, F.posexplode_outer(F.concat(side("makes", 1), side("outdates", 0))).alias("place", "x")).select("attr", "idx", *[c if isinstance(c, str) else c for c in columns], "place", "x.av", "x.vid", "x.m")
+
+
 def version_spans(changes: DataFrame) -> DataFrame:
     """(attr, av, first, stop): segments of each version; a version that is only outdated covers one before, one that is only made covers one after."""
-    made = changes.select("attr", F.explode("makes").alias("av"), F.col("idx").alias("i"), F.lit(1).alias("m"))
-    gone = changes.select("attr", F.explode("outdates").alias("av"), F.col("idx").alias("i"), F.lit(0).alias("m"))
-    at = made.unionByName(gone).groupBy("attr", "av").agg(F.min(F.when(F.col("m") == 1, F.col("i"))).alias("first"), F.max(F.when(F.col("m") == 0, F.col("i"))).alias("stop"))
+    at = _mentions(changes).where("av is not null").groupBy("attr", "av").agg(F.min(F.when(F.col("m") == 1, F.col("idx"))).alias("first"), F.max(F.when(F.col("m") == 0, F.col("idx"))).alias("stop"))
     return at.select("attr", "av", F.coalesce("first", F.col("stop") - 1).alias("first"), F.coalesce("stop", F.col("first") + 1).alias("stop"))
 
 
-def covered(segments: DataFrame, spans: DataFrame) -> DataFrame:
-    """Segments with the versions that cover them (traces), by exploding each span's segments: an equality join in place of a range join."""
-    each = spans.where("stop > first").select("attr", "av", F.explode(F.sequence("first", F.col("stop") - 1)).alias("seg"))
-    traces = each.groupBy("attr", "seg").agg(F.array_sort(F.collect_set("av")).alias("traces"))
-    return segments.join(traces, ["attr", "seg"], "left").withColumn("traces", F.coalesce("traces", F.array().cast("array<string>")))
+def covered(changes: DataFrame) -> DataFrame:
+    """Segments (as of ``elementary_versions``) with the versions that cover them (traces).
+
+    A version's row at its first change writes a row into each of its segments, and a change's first row writes its own
+    segment, so that the range join of spans and segments is one group by segment."""
+    order = Window.partitionBy("attr").orderBy("idx")
+    rows = changes.select("attr", "idx", "makes", "outdates", F.col("stamp").alias("begin"), F.lead("stamp").over(order).alias("end"), (F.size("real") > 0).alias("begin_real"), F.lead(F.size("real") > 0).over(order).alias("end_real"), F.lead("idx").over(order).isNotNull().alias("within"))
+    each = _mentions(rows, "begin", "end", "begin_real", "end_real", "within")
+    one = Window.partitionBy("attr", "av")
+    made, gone = F.min(F.when(F.col("m") == 1, F.col("idx"))).over(one), F.max(F.when(F.col("m") == 0, F.col("idx"))).over(one)
+    each = each.select("*", made.alias("__made"), gone.alias("__gone"), F.max("vid").over(one).alias("__vid"), F.row_number().over(one.orderBy("idx", "place")).alias("__k"))
+    first, stop = F.coalesce("__made", F.col("__gone") - 1), F.coalesce("__gone", F.col("__made") + 1)
+    bare = lambda c: F.lit(None).cast(changes.schema["stamp"].dataType if c in ("begin", "end") else "boolean").alias(c)
+    part = lambda seg, trace, info: F.struct(seg.cast("int").alias("seg"), trace.alias("trace"), *[(F.col(c).alias(c) if info else bare(c)) for c in ("begin", "end", "begin_real", "end_real")], F.lit(info).alias("own"))
+    own = F.when((F.coalesce("place", F.lit(0)) == 0) & F.col("within"), F.array(part(F.col("idx"), F.lit(None).cast("struct<av: string, vid: string>"), True)))
+    spread = F.when(F.col("av").isNotNull() & (F.col("__k") == 1) & (stop > first), F.transform(F.sequence(first, stop - 1), lambda s: part(s, F.struct(F.col("av").alias("av"), F.col("__vid").alias("vid")), False)))
+    parts = each.select("attr", F.inline(F.concat(F.coalesce(own, F.array()), F.coalesce(spread, F.array()))))
+    out = parts.groupBy("attr", "seg").agg(*[F.max(c).alias(c) for c in ("begin", "end", "begin_real", "end_real")], F.max("own").alias("own"), F.array_sort(F.collect_set("trace")).alias("traces"))
+    return out.where("own").drop("own")
 
 
 def pruned(segments: DataFrame) -> DataFrame:
@@ -69,67 +98,75 @@ def pruned(segments: DataFrame) -> DataFrame:
     An empty segment next to a change that no source states goes.  If a source states the change on one side, that
     change takes over; if on neither, one fuzzy change from the segment's begin to its end replaces both.
     (attr, n, traces, begin_real, begin_after, begin_before, end_real, end_after, end_before): crisp if after = before."""
-    gone = (F.size("traces") == 0) & ~(F.col("begin_real") & F.col("end_real"))
+    gone, begin_real, end_real = F.col("gone"), F.col("begin_real"), F.col("end_real")
     order = Window.partitionBy("attr").orderBy("seg")
-    # a run of removed segments stands between two kept ones: number kept segments, and give each removed one the number of what comes after
-    rows = segments.withColumn("gone", gone).withColumn("n", F.sum((~F.col("gone")).cast("int")).over(order))
-    kept = rows.where(~F.col("gone"))
-    # changes between kept segment n and n + 1: the end of n, and both sides of removed segments with number n
-    edges = rows.select("attr", "n", F.explode(F.array(
-        F.struct(F.when(F.col("gone"), F.col("begin")).otherwise(F.col("end")).alias("stamp"), F.when(F.col("gone"), F.col("begin_real")).otherwise(F.col("end_real")).alias("real"), F.when(F.col("gone"), F.col("begin").isNull()).otherwise(F.col("end").isNull()).alias("open")),
-        F.struct(F.col("end").alias("stamp"), F.col("end_real").alias("real"), F.col("end").isNull().alias("open")),
-    )).alias("c")).select("attr", "n", "c.*")
-    change = edges.groupBy("attr", "n").agg(
-        F.max("real").alias("real"),
-        F.min(F.when(F.col("real"), F.col("stamp"))).alias("at"),
-        F.min("stamp").alias("after"),
-        F.max("stamp").alias("before"),
-        F.max("open").alias("open"),
-        F.count_distinct("stamp").alias("stamps"),
+    # a run of removed segments stands between two kept ones: it gets the number of the kept one before it, 0 before the first
+    rows = segments.withColumn("gone", (F.size("traces") == 0) & ~(begin_real & end_real)).withColumn("n", F.sum((~gone).cast("int")).over(order))
+    # the change after kept segment n is made of its end and both sides of the removed segments that follow
+    begin = F.when(gone, F.col("begin"))
+    change = rows.groupBy("attr", "n").agg(
+        F.first(F.when(~gone, F.col("traces")), ignorenulls=True).alias("traces"),
+        F.max(end_real | (gone & begin_real)).alias("real"),
+        F.min(F.least(F.when(begin_real, begin), F.when(end_real, F.col("end")))).alias("at"),
+        F.min(F.least(begin, F.col("end"))).alias("after"),
+        F.max(F.greatest(begin, F.col("end"))).alias("before"),
+        F.max(F.col("end").isNull() | (gone & F.col("begin").isNull())).alias("open"),
     )
+    by_n = Window.partitionBy("attr").orderBy("n")
+    last = F.lead("n").over(by_n).isNull()
     # before the first kept segment only what is open to minus infinity counts; after the last, to plus infinity
-    last = kept.groupBy("attr").agg(F.max("n").alias("last"))
-    change = change.join(last, "attr")
     change = change.select(
         "attr",
-        F.col("n").alias("between"),
-        "real",
-        F.when(F.col("real"), F.col("at")).when((F.col("n") == 0) & F.col("open"), F.lit(None)).otherwise(F.col("after")).alias("after"),
-        F.when(F.col("real"), F.col("at")).when((F.col("n") == F.col("last")) & F.col("open"), F.lit(None)).otherwise(F.col("before")).alias("before"),
+        "n",
+        "traces",
+        F.col("real").alias("end_real"),
+        F.when(F.col("real"), F.col("at")).when((F.col("n") == 0) & F.col("open"), F.lit(None)).otherwise(F.col("after")).alias("end_after"),
+        F.when(F.col("real"), F.col("at")).when(last & F.col("open"), F.lit(None)).otherwise(F.col("before")).alias("end_before"),
     )
-    begin = change.select("attr", (F.col("between") + 1).alias("n"), F.col("real").alias("begin_real"), F.col("after").alias("begin_after"), F.col("before").alias("begin_before"))
-    end = change.select("attr", F.col("between").alias("n"), F.col("real").alias("end_real"), F.col("after").alias("end_after"), F.col("before").alias("end_before"))
-    out = kept.select("attr", "n", "traces").join(begin, ["attr", "n"], "left").join(end, ["attr", "n"], "left")
-    return out.withColumn("begin_real", F.coalesce("begin_real", F.lit(False))).withColumn("end_real", F.coalesce("end_real", F.lit(False)))
+    earlier = [F.lag(f"end_{c}").over(by_n).alias(f"begin_{c}") for c in ("real", "after", "before")]
+    return change.select("attr", "n", "traces", F.coalesce(F.lag("end_real").over(by_n), F.lit(False)).alias("begin_real"), *earlier[1:], "end_real", "end_after", "end_before").where("n > 0")
 
 
-def mergeable(segments: DataFrame, comparisons: DataFrame) -> DataFrame:
-    """(attr, n, merge): whether a segment continues the one before: the change between is virtual, some pair of their traces is the same (or one trace), and none is different."""
-    order = Window.partitionBy("attr").orderBy("n")
-    pairs = segments.select("attr", "n", "begin_real", "traces", F.lag("traces").over(order).alias("earlier"))
-    pairs = pairs.where(F.col("earlier").isNotNull() & ~F.col("begin_real"))
-    each = pairs.select("attr", "n", F.explode("earlier").alias("a"), "traces").select("attr", "n", "a", F.explode("traces").alias("b"))
-    cmp = comparisons.select(F.col("av1").alias("__a"), F.col("av2").alias("__b"), "same")
-    judged = each.join(cmp, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left")
-    same = F.coalesce(F.bool_or((F.col("a") == F.col("b")) | F.coalesce("same", F.lit(False))), F.lit(False))
-    different = F.coalesce(F.bool_or((F.col("a") != F.col("b")) & ~F.coalesce("same", F.lit(True))), F.lit(False))
-    return judged.groupBy("attr", "n").agg((same & ~different).alias("merge"))
+def continued(segments: DataFrame, comparisons: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``merge``: whether a segment continues the one before: the change between is virtual, some pair of their traces is the same (or one trace), and none is different.
 
-
-def merged(segments: DataFrame, merges: DataFrame) -> DataFrame:
+    Without comparisons, versions are the same if their vid is, and different if not.  With them, (av1, av2, same) or,
+    of values, (v1, v2, same), both ways; a function gets the pairs (v1, v2) of different values that meet, so that no
+    other pair is ever compared."""
+    order = Window.partitionBy("attr").orderBy("n")
+    rows = segments.withColumn("__earlier", F.lag("traces").over(order))
+    may = F.col("__earlier").isNotNull() & ~F.col("begin_real") & (F.size("__earlier") > 0) & (F.size("traces") > 0)
+    ids = lambda c, name: F.filter(F.transform(c, lambda x: x[name]), lambda v: v.isNotNull())
+    shared = F.arrays_overlap(ids("__earlier", "av"), ids("traces", "av")) | F.arrays_overlap(ids("__earlier", "vid"), ids("traces", "vid"))
+    if comparisons is None:
+        a, b = ids("__earlier", "vid"), ids("traces", "vid")
+        differ = (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_union(a, b)) > 1)
+        return rows.withColumn("merge", F.coalesce(may & shared & ~differ, F.lit(False))).drop("__earlier")
+    name = "av" if not callable(comparisons) and "av1" in comparisons.columns else "vid"
+    pairs = rows.where(may).select("attr", "n", F.explode(F.array_distinct(ids("__earlier", name))).alias("__a"), "traces").select("attr", "n", "__a", F.explode(F.array_distinct(ids("traces", name))).alias("__b")).where("__a <> __b")
+    if callable(comparisons):
+        comparisons = comparisons(pairs.select(F.col("__a").alias("v1"), F.col("__b").alias("v2")).distinct())
+    given = comparisons.select(F.col("av1" if name == "av" else "v1").alias("__c"), F.col("av2" if name == "av" else "v2").alias("__d"), F.col("same").alias("__same"))
+    judged = pairs.join(given, (F.col("__a") == F.col("__c")) & (F.col("__b") == F.col("__d"))).groupBy(F.col("attr").alias("__attr"), F.col("n").alias("__n")).agg(F.bool_or("__same").alias("__some"), F.bool_or(~F.col("__same")).alias("__differ"))
+    out = rows.join(judged, (F.col("attr") == F.col("__attr")) & (F.col("n") == F.col("__n")), "left")
+    merge = may & (shared | F.coalesce("__some", F.lit(False))) & ~F.coalesce("__differ", F.lit(False))
+    return out.withColumn("merge", F.coalesce(merge, F.lit(False))).select(*segments.columns, "merge")
+
+
+def merged(segments: DataFrame) -> DataFrame:
     """Maximal chains as versions: (attr, version, traces, begin_real, begin_after, begin_before, end_real, end_after, end_before)."""
     order = Window.partitionBy("attr").orderBy("n")
-    rows = segments.join(merges, ["attr", "n"], "left").withColumn("version", F.sum(F.when(F.coalesce("merge", F.lit(False)), 0).otherwise(1)).over(order))
+    rows = segments.withColumn("version", F.sum(F.when(F.col("merge"), 0).otherwise(1)).over(order))
     first = lambda c: F.min_by(c, "n").alias(c)
     last = lambda c: F.max_by(c, "n").alias(c)
-    return rows.groupBy("attr", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("traces")))).alias("traces"), first("begin_real"), first("begin_after"), first("begin_before"), last("end_real"), last("end_after"), last("end_before"))
+    traces = F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_list("traces")), lambda x: x["av"])))
+    return rows.groupBy("attr", "version").agg(traces.alias("traces"), first("begin_real"), first("begin_after"), first("begin_before"), last("end_real"), last("end_after"), last("end_before"))
 
 
-def evolution(versions: DataFrame, changes: DataFrame, comparisons: DataFrame) -> DataFrame:
-    """The coherent evolution of every attribute."""
-    points = elementary_changes(stated_and_virtual(versions, changes))
-    segments = pruned(covered(elementary_versions(points), version_spans(points)))
-    return merged(segments, mergeable(segments, comparisons))
+def evolution(versions: DataFrame, changes: DataFrame, comparisons: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The coherent evolution of every attribute; see ``continued`` for how versions are compared."""
+    segments = pruned(covered(elementary_changes(stated_and_virtual(versions, changes))))
+    return merged(continued(segments, comparisons))
 
 
 def version_traces(final: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.operators.rounds import fixpoint
+
 ROLES = ("source", "construction", "final", "meta", "ontology", "temporary")
 
 
@@ -86,24 +88,16 @@ def extremes(rows: DataFrame, group: list[str], by: str, largest: bool = False)
     return rows.where(F.col(by).isNotNull()).withColumn("__rank", F.rank().over(Window.partitionBy(*group).orderBy(order))).where("__rank = 1").drop("__rank")
 
 
-def closure(edges: DataFrame, reflexive: bool = True, most: int = 64) -> DataFrame:
-    """Transitive closure of a small hierarchy (child, parent), by doubling; ``most`` bounds the rounds of a cyclic one."""
-    spark = edges.sparkSession
+def closure(edges: DataFrame, reflexive: bool = True) -> DataFrame:
+    """Transitive closure of a hierarchy (child, parent): paths double in each round, so a cycle ends as well."""
     pairs = edges.select("child", "parent").distinct()
-    before = pairs.count()
-    for _ in range(most):
-        step = pairs.alias("a").join(pairs.alias("b"), F.col("a.parent") == F.col("b.child")).select(F.col("a.child").alias("child"), F.col("b.parent").alias("parent"))
-        pairs = pairs.unionByName(step).distinct()
-        pairs = pairs.checkpoint() if spark.sparkContext.getCheckpointDir() else pairs.cache()
-        now = pairs.count()
-        if now == before:
-            break
-        before = now
+
+    def step(known: DataFrame, new: DataFrame) -> DataFrame:
+        joined = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.parent") == F.col("b.child")).select(F.col("a.child").alias("child"), F.col("b.parent").alias("parent"))
+        return joined(new, known).unionByName(joined(known, new))
+
+    pairs = fixpoint(pairs, step)
     if reflexive:
-        nodes = edges.select(F.col("child").alias("n")).unionByName(edges.select(F.col("parent").alias("n"))).distinct()
+        nodes = edges.select(F.explode(F.array("child", "parent")).alias("n"))
         pairs = pairs.unionByName(nodes.select(F.col("n").alias("child"), F.col("n").alias("parent"))).distinct()
     return pairs
-
-
-def hot_salt(key: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(salts))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.operators.rounds import fixpoint
+
 TRIPLE = ["s", "p", "o"]
 
 
@@ -27,16 +28,20 @@ def symmetric(quads: DataFrame, properties: list[str]) -> DataFrame:
     return quads.where(F.col("p").isin(properties)).select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
 
 
-def transitive_step(quads: DataFrame, properties: list[str]) -> DataFrame:
-    own = quads.where(F.col("p").isin(properties))
-    other = own.select(F.col("s").alias("__s"), F.col("p").alias("__p"), F.col("o").alias("__o"))
-    return own.join(other, (F.col("o") == F.col("__s")) & (F.col("p") == F.col("__p"))).select("s", "p", F.col("__o").alias("o"))
+def transitive_step(known: DataFrame, new: DataFrame, properties: list[str]) -> DataFrame:
+    """Statements of transitive properties that a new one and a known one give together, in either order."""
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        other = b.where(F.col("p").isin(properties)).select(F.col("s").alias("__s"), F.col("p").alias("__p"), F.col("o").alias("__o"))
+        return a.where(F.col("p").isin(properties)).join(other, (F.col("o") == F.col("__s")) & (F.col("p") == F.col("__p"))).select("s", "p", F.col("__o").alias("o"))
+
+    return joined(new, known).unionByName(joined(known, new))
 
 
-def chain(quads: DataFrame, first: str, second: str, result: str) -> DataFrame:
-    """Statements of a property chain."""
-    b = quads.where(F.col("p") == second).select(F.col("s").alias("__s"), F.col("o").alias("__o"))
-    return quads.where(F.col("p") == first).join(b, F.col("o") == F.col("__s")).select("s", F.lit(result).alias("p"), F.col("__o").alias("o"))
+def chain(a: DataFrame, b: DataFrame, first: str, second: str, result: str) -> DataFrame:
+    """Statements of a property chain: a ``first`` of ``a``, then a ``second`` of ``b``."""
+    other = b.where(F.col("p") == second).select(F.col("s").alias("__s"), F.col("o").alias("__o"))
+    return a.where(F.col("p") == first).join(other, F.col("o") == F.col("__s")).select("s", F.lit(result).alias("p"), F.col("__o").alias("o"))
 
 
 def typed_by(quads: DataFrame, rules: DataFrame, of: str = "s") -> DataFrame:
@@ -55,32 +60,47 @@ def same_as(quads: DataFrame, functional: list[str], inverse_functional: list[st
 
 
 def has_key(quads: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs (a, b), the least first, that agree on all key properties."""
-    values = quads.where(F.col("p").isin(keys)).groupBy("s").pivot("p", keys).agg(F.min("o")).dropna(subset=keys)
-    least = values.groupBy(*keys).agg(F.min("s").alias("a"))
-    return values.join(least, keys).where("a <> s").select("a", F.col("s").alias("b"))
-
-
-def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 32) -> DataFrame:
-    """``start`` with all that ``step`` adds, again and again; each round is written where executors share it."""
-    rows = start.distinct()
-    rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.cache()
-    n = rows.count()
-    for _ in range(most):
-        rows = rows.unionByName(step(rows)).distinct()
-        rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.cache()
-        now = rows.count()
-        if now == n:
-            return rows
-        n = now
-    raise RuntimeError(f"no fixpoint after {most} rounds")
-
-
-def inferred(quads: DataFrame, inverses: DataFrame, supers: DataFrame, symmetrics: list[str], transitives: list[str], chains: list[tuple[str, str, str]] = ()) -> DataFrame:
-    """All statements that follow; doubling makes transitive chains close in logarithmic rounds."""
-
-    def step(rows: DataFrame) -> DataFrame:
-        parts = [inverse(rows, inverses), sub_properties(rows, supers), symmetric(rows, symmetrics), transitive_step(rows, transitives), *[chain(rows, *c) for c in chains]]
+    """Pairs (a, b) that share a value of every key property, each node with the least of its group."""
+    rows = None
+    for k in keys:
+        own = quads.where(F.col("p") == k).select("s", F.col("o").alias(f"__{k}")).distinct()
+        rows = own if rows is None else rows.join(own, "s")
+    values = [f"__{k}" for k in keys]
+    least = rows.groupBy(*values).agg(F.min("s").alias("a"))
+    on = [F.col(v) == F.col(f"_{v}") for v in values]
+    least = least.select("a", *[F.col(v).alias(f"_{v}") for v in values])
+    return rows.join(least, on).where("a <> s").select("a", F.col("s").alias("b")).distinct()
+
+
+def equivalents(pairs: DataFrame) -> DataFrame:
+    """Both directions of equivalent classes or properties (p, q), as sub-rules."""
+    return pairs.select("p", "q").unionByName(pairs.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
+
+
+def class_members(types: DataFrame, unions: DataFrame, intersections: DataFrame) -> DataFrame:
+    """Types (s, class) that class constructors add: of unions (class, member), any member is enough, of intersections all are needed."""
+    u = unions.select(F.col("member").alias("__m"), F.col("class").alias("__c"))
+    any_ = types.join(u, F.col("class") == F.col("__m")).select("s", F.col("__c").alias("class"))
+    needed = intersections.groupBy("class").agg(F.count_distinct("member").alias("__n")).withColumnRenamed("class", "__k")
+    i = intersections.select(F.col("member").alias("__m"), F.col("class").alias("__c"))
+    have = types.join(i, F.col("class") == F.col("__m")).groupBy("s", "__c").agg(F.count_distinct("__m").alias("__have"))
+    all_ = have.join(needed, (F.col("__c") == F.col("__k")) & (F.col("__have") == F.col("__n"))).select("s", F.col("__c").alias("class"))
+    return any_.unionByName(all_).distinct()
+
+
+def inferred(quads: DataFrame, inverses: DataFrame, supers: DataFrame, symmetrics: list[str], transitives: list[str], chains: list[tuple[str, str, str]] = (), domains: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
+    """All statements that follow.  Rules of one premise see new statements only; those of two need one new."""
+
+    def step(known: DataFrame, new: DataFrame) -> DataFrame:
+        parts = [inverse(new, inverses), sub_properties(new, supers), symmetric(new, symmetrics)]
+        if transitives:
+            parts.append(transitive_step(known, new, transitives))
+        for c in chains:
+            parts += [chain(new, known, *c), chain(known, new, *c)]
+        if domains is not None:
+            parts.append(typed_by(new, domains))
+        if ranges is not None:
+            parts.append(typed_by(new, ranges, "o"))
         return reduce(DataFrame.unionByName, parts)
 
     return fixpoint(quads.select(TRIPLE), step)
@@ -89,7 +109,7 @@ def inferred(quads: DataFrame, inverses: DataFrame, supers: DataFrame, symmetric
 def event_order(before: DataFrame) -> DataFrame:
     """Transitive order of events (ev1, ev2)."""
     start = before.select(F.col("ev1").alias("s"), F.lit("before").alias("p"), F.col("ev2").alias("o"))
-    return fixpoint(start, lambda rows: transitive_step(rows, ["before"])).select(F.col("s").alias("ev1"), F.col("o").alias("ev2"))
+    return fixpoint(start, lambda known, new: transitive_step(known, new, ["before"])).select(F.col("s").alias("ev1"), F.col("o").alias("ev2"))
 
 
 def similar_change_events(depends: DataFrame) -> DataFrame:

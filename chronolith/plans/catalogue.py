@@ -145,8 +145,18 @@ def c03_ordered_replacements(t):
     return t("name").select("id", text.replaced_in_order(F.col("label"), {"^R ": "Rue ", "all ": "Allée "}).alias("out"))
 
 
-@query("SELECT id, round(1 - levenshtein(label, concat(label, 's ', number)) / greatest(length(label), length(concat(label, 's ', number))), 9) AS ratio FROM name")
+# blocks that match in full: a label and the same with other letters around and inside it, parted by what neither has
+@query("SELECT id, round(2.0 * length(label) / (2 * length(label) + 7), 9) AS ratio, 2.0 * length(label) / (2 * length(label) + 7) >= 0.9 AS similar FROM (SELECT id, replace(lower(label), '#', '') AS label FROM name)")
 def c11_name_ratio(t):
+    label = F.replace(F.lower("label"), F.lit("#"), F.lit(""))
+    half = F.floor(F.length(label) / 2).cast("int")
+    other = F.concat(F.lit("#1#"), F.substring(label, F.lit(1), half), F.lit("#"), label.substr(half + 1, F.length(label)), F.lit("#2#"))
+    ratio = text.block_ratio()(label, other)
+    return t("name").select("id", F.round(ratio, 9).alias("ratio"), (ratio >= 0.9).alias("similar"))
+
+
+@query("SELECT id, round(1 - levenshtein(label, concat(label, 's ', number)) / greatest(length(label), length(concat(label, 's ', number))), 9) AS ratio FROM name")
+def c11_edit_ratio(t):
     return t("name").select("id", F.round(text.levenshtein_ratio(F.col("label"), F.concat("label", F.lit("s "), "number")), 9).alias("ratio"))
 
 
@@ -525,14 +535,14 @@ def v03_name_comparison(t):
     return compare.compared(versions)
 
 
-@query("""WITH b AS (SELECT id, id - id % 10 AS root, cast(id % 9 AS double) AS x, cast(id % 4 AS double) AS y FROM point), g AS (SELECT *, x AS x1, y AS y1, x + 10 AS x2, y + 10 AS y2 FROM b)
+@query("""WITH b AS (SELECT id, id % 50 AS root, cast(id % 9 AS double) AS x, cast(id % 4 AS double) AS y FROM point), g AS (SELECT *, x AS x1, y AS y1, x + 10 AS x2, y + 10 AS y2 FROM b)
   SELECT concat('a', a.id) AS av1, concat('a', b.id) AS av2, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / (200 - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) >= 0.85 AS same FROM g a JOIN g b ON a.root = b.root AND a.id <> b.id""")
 def v05_geometry_comparison(t):
     x, y = (F.col("id") % 9).cast("double"), (F.col("id") % 4).cast("double")
     corner = lambda a, b: F.concat_ws(" ", a.cast("string"), b.cast("string"))
     wkt = F.concat(F.lit("<http://www.opengis.net/def/crs/EPSG/0/2154> POLYGON (("), F.concat_ws(", ", corner(x, y), corner(x + 10, y), corner(x + 10, y + 10), corner(x, y + 10), corner(x, y)), F.lit("))"))
     key = F.concat(F.lit("a"), F.col("id").cast("string"))
-    versions = t("point").select((F.col("id") - F.col("id") % 10).cast("string").alias("root"), key.alias("trace"), key.alias("av"), F.lit("Geometry").alias("attr_type"), F.lit("District").alias("lm_type"), wkt.alias("value"), F.lit(None).cast("string").alias("lang"))
+    versions = t("point").select((F.col("id") % 50).cast("string").alias("root"), key.alias("trace"), key.alias("av"), F.lit("Geometry").alias("attr_type"), F.lit("District").alias("lm_type"), wkt.alias("value"), F.lit(None).cast("string").alias("lang"))
     return compare.compared(versions)
 
 
@@ -575,8 +585,12 @@ def k20_addresses(t):
 # --- evolution (K01-K19) ----------------------------------------------------------------------------------
 
 
+def _ids(traces: str):
+    return F.array_join(F.transform(traces, lambda x: x["av"]), "|").alias(traces)
+
+
 def _evolution_inputs(t):
-    versions = t("version").select("attr", "av", "begin", F.col("ending").alias("end"))
+    versions = t("version").select("attr", "av", "begin", F.col("ending").alias("end"), F.col("value").alias("vid"))
     stated = t("stated").select("attr", "stamp", "precision", "cg", F.array("made").alias("makes"), F.array().cast("array<string>").alias("outdates"))
     return versions, stated
 
@@ -607,8 +621,7 @@ def k06_version_spans(t):
 @query(f"WITH {_EVOLUTION} SELECT attr, seg, coalesce(array_to_string(traces, '|'), '') AS traces FROM cov")
 def k07_version_cover(t):
     points = evolution.elementary_changes(evolution.stated_and_virtual(*_evolution_inputs(t)))
-    rows = evolution.covered(evolution.elementary_versions(points), evolution.version_spans(points))
-    return rows.select("attr", F.col("seg").cast("long").alias("seg"), F.array_join("traces", "|").alias("traces"))
+    return evolution.covered(points).select("attr", F.col("seg").cast("long").alias("seg"), _ids("traces"))
 
 
 _PRUNED = f"""{_EVOLUTION},
@@ -622,14 +635,7 @@ _PRUNED = f"""{_EVOLUTION},
 @query(f"WITH {_PRUNED} SELECT attr, n, array_to_string(traces, '|') AS traces, begin_real, begin_after, begin_before, end_real, end_after, end_before FROM prn")
 def k10_pruned(t):
     points = evolution.elementary_changes(evolution.stated_and_virtual(*_evolution_inputs(t)))
-    rows = evolution.pruned(evolution.covered(evolution.elementary_versions(points), evolution.version_spans(points)))
-    return rows.withColumn("traces", F.array_join("traces", "|")).withColumn("n", F.col("n").cast("long"))
-
-
-def _comparisons(t):
-    v = t("version").select("attr", "av", "value")
-    a, b = v.alias("a"), v.alias("b")
-    return a.join(b, (F.col("a.attr") == F.col("b.attr")) & (F.col("a.av") != F.col("b.av"))).select(F.col("a.av").alias("av1"), F.col("b.av").alias("av2"), (F.col("a.value") == F.col("b.value")).alias("same"))
+    return evolution.pruned(evolution.covered(points)).withColumn("traces", _ids("traces")).withColumn("n", F.col("n").cast("long"))
 
 
 _MERGED = f"""{_PRUNED},
@@ -641,7 +647,7 @@ _MERGED = f"""{_PRUNED},
 @query(f"""WITH {_MERGED} SELECT attr, cast(version AS bigint) AS version, array_to_string(list_sort(list_distinct(flatten(list(traces)))), '|') AS traces, arg_min(coalesce(cast(begin_after AS varchar), '-'), n) AS begin_after, arg_min(coalesce(cast(begin_before AS varchar), '-'), n) AS begin_before,
    arg_max(coalesce(cast(end_after AS varchar), '-'), n) AS end_after, arg_max(coalesce(cast(end_before AS varchar), '-'), n) AS end_before, arg_min(begin_real, n) AS begin_real, arg_max(end_real, n) AS end_real FROM isl GROUP BY attr, version""")
 def k13_evolution_merge(t):
-    out = evolution.evolution(*_evolution_inputs(t), _comparisons(t))
+    out = evolution.evolution(*_evolution_inputs(t))
     stamp = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("-")).alias(c)
     return out.select("attr", F.col("version").cast("long").alias("version"), F.array_join("traces", "|").alias("traces"), *[stamp(c) for c in ("begin_after", "begin_before", "end_after", "end_before")], "begin_real", "end_real")
 
@@ -650,13 +656,13 @@ def k13_evolution_merge(t):
   sd AS (SELECT f.attr, f.version, 'begin' AS side, p.begin_after AS a, p.begin_before AS z FROM fin f JOIN prn p ON p.attr = f.attr AND p.n = f.n1 UNION ALL SELECT f.attr, f.version, 'end', p.end_after, p.end_before FROM fin f JOIN prn p ON p.attr = f.attr AND p.n = f.n2)
   SELECT side, prop, count(*) AS n FROM (SELECT side, 'hasTime' AS prop FROM sd WHERE a = z UNION ALL SELECT side, 'hasTimeAfter' FROM sd WHERE (a = z) IS NOT TRUE AND a IS NOT NULL UNION ALL SELECT side, 'hasTimeBefore' FROM sd WHERE (a = z) IS NOT TRUE AND z IS NOT NULL) GROUP BY ALL""")
 def k14_event_times(t):
-    out = evolution.event_times(evolution.evolution(*_evolution_inputs(t), _comparisons(t)))
+    out = evolution.event_times(evolution.evolution(*_evolution_inputs(t)))
     return out.groupBy("side", "prop").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_MERGED} SELECT DISTINCT {sig('AttributeVersion', 'attr', 'cast(version AS bigint)')} AS root, unnest(traces) AS trace FROM isl")
 def k15_version_traces(t):
-    return evolution.version_traces(evolution.evolution(*_evolution_inputs(t), _comparisons(t)))
+    return evolution.version_traces(evolution.evolution(*_evolution_inputs(t)))
 
 
 # --- temporal relations (T01-T09) -----------------------------------------------------------------------------

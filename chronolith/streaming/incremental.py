@@ -15,12 +15,6 @@ from chronolith.operators import evolution
 VERSIONS = "attr string, av string, value string, `begin` timestamp_ntz, `end` timestamp_ntz, arrived timestamp"
 
 
-def by_value(versions: DataFrame) -> DataFrame:
-    """Comparisons of an attribute's versions by their value, for values that are few."""
-    a, b = versions.alias("a"), versions.alias("b")
-    return a.join(b, (F.col("a.attr") == F.col("b.attr")) & (F.col("a.av") != F.col("b.av"))).select(F.col("a.av").alias("av1"), F.col("b.av").alias("av2"), (F.col("a.value") == F.col("b.value")).alias("same"))
-
-
 def start(spark: SparkSession, source: str, target: str, delay: str = "1 hour", once: bool = True) -> StreamingQuery:
     """A query from a folder of JSON lines to ``target``; repeated deliveries within ``delay`` are dropped."""
     arriving = spark.readStream.schema(VERSIONS).json(source).withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["av"])
@@ -30,9 +24,9 @@ def start(spark: SparkSession, source: str, target: str, delay: str = "1 hour",
         batch.drop("arrived").withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/versions/batch={number}")
         everything = session.read.option("basePath", f"{target}/versions").parquet(f"{target}/versions").where(F.col("batch") <= number)
         touched = batch.select("attr").distinct()
-        own = everything.join(touched, "attr", "left_semi").select("attr", "av", "value", "begin", "end")
+        own = everything.join(touched, "attr", "left_semi").select("attr", "av", F.col("value").alias("vid"), "begin", "end")
         none = session.createDataFrame([], "attr string, stamp timestamp_ntz, precision int, cg string, makes array<string>, outdates array<string>")
-        evolution.evolution(own.select("attr", "av", "begin", "end"), none, by_value(own)).write.mode("overwrite").parquet(f"{target}/evolution/batch={number}")
+        evolution.evolution(own, none).write.mode("overwrite").parquet(f"{target}/evolution/batch={number}")
 
     query = arriving.writeStream.foreachBatch(write).option("checkpointLocation", f"{target}/progress")
     return (query.trigger(availableNow=True) if once else query).start()
