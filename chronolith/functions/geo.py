@@ -6,7 +6,6 @@ A geometry is read once into an array of points (struct x, y); what follows is a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -113,67 +112,70 @@ def similar_points(a: Column, b: Column, most: float) -> Column:
     return distance(a, b) <= most
 
 
-def parts(wkt: Column) -> Column:
-    """Innermost parentheses of a geometry, in order: struct(p: positions, hole), a hole being a ring that isn't its polygon's first."""
-    plain = F.regexp_replace(wkt, r"\s*([(),])\s*", "$1")
-    return F.transform(F.regexp_extract_all(plain, F.lit(r"\(*\([^()]+\)"), F.lit(0)), lambda t: F.struct(points(t).alias("p"), (~t.startswith("((")).alias("hole")))
+# What follows takes column names and is written as SQL text, as its nested lambdas would cost hundreds of calls to
+# build node by node.
 
 
-def _steps(p: Column) -> Column:
-    """Consecutive positions of a part: struct(a, b)."""
-    n = F.greatest(F.size(p) - 1, F.lit(0))
-    return F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+_NUMBER = r"-?\\d+(?:\\.\\d+)?(?:[eE][+-]?\\d+)?"
 _SUMS = ("area", "ax", "ay", "length", "lx", "ly")
+_ZERO = "named_struct(" + ", ".join(f"'{c}', 0.0D" for c in _SUMS) + ")"
+_ADDED = "(s, m) -> named_struct(" + ", ".join(f"'{c}', s.{c} + m.{c}" for c in _SUMS) + ")"
 
 
-def _added(a: Column, b: Column) -> Column:
-    return F.struct(*[(a[c] + b[c]).alias(c) for c in _SUMS])
+def _points(wkt: str) -> str:
+    pairs = f"regexp_extract_all({wkt}, '({_NUMBER})\\\\s+({_NUMBER})', 0)"
+    return f"transform({pairs}, q -> named_struct('x', cast(split(q, '\\\\s+')[0] AS double), 'y', cast(split(q, '\\\\s+')[1] AS double)))"
 
 
-def _moments(wkt: Column) -> Column:
-    """struct(ox, oy, area, ax, ay, length, lx, ly): areas and lengths, and their moments about the first position (ox, oy)."""
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in _SUMS])
-    areal = kind_of(wkt).endswith("POLYGON")
+def _parts(wkt: str) -> str:
+    """Innermost parentheses in order: struct(p: positions, hole), a hole being a ring that isn't its polygon's first."""
+    plain = f"regexp_replace({wkt}, '\\\\s*([(),])\\\\s*', '$1')"
+    return f"transform(regexp_extract_all({plain}, '\\\\(*\\\\([^()]+\\\\)', 0), t -> named_struct('p', {_points('t')}, 'hole', NOT startswith(t, '((')))"
 
-    def of_step(s: Column) -> Column:
-        measured = F.struct((s["x1"] + s["x2"]).alias("x"), (s["y1"] + s["y2"]).alias("y"), (s["x1"] * s["y2"] - s["x2"] * s["y1"]).alias("c"), F.hypot(s["x1"] - s["x2"], s["y1"] - s["y2"]).alias("d"))
-        return _let(measured, lambda m: F.struct((m["c"] / 2).alias("area"), (m["x"] * m["c"] / 6).alias("ax"), (m["y"] * m["c"] / 6).alias("ay"), m["d"].alias("length"), (m["x"] * m["d"] / 2).alias("lx"), (m["y"] * m["d"] / 2).alias("ly")))
 
-    def of_part(part: Column, o: Column) -> Column:
-        steps = F.transform(_steps(part["p"]), lambda s: of_step(F.struct((s["a"]["x"] - o["x"]).alias("x1"), (s["a"]["y"] - o["y"]).alias("y1"), (s["b"]["x"] - o["x"]).alias("x2"), (s["b"]["y"] - o["y"]).alias("y2"))))
-        # rings may run either way: a polygon's first adds its area, holes take theirs away
-        sign = lambda m: F.when(areal, F.signum(m["area"]) * F.when(part["hole"], -1.0).otherwise(1.0)).otherwise(0.0)
-        return _let(F.aggregate(steps, zero, _added), lambda m: _let(sign(m), lambda w: F.struct(*[(m[c] * w if c in ("area", "ax", "ay") else m[c]).alias(c) for c in _SUMS])))
+def _steps(p: str) -> str:
+    """Consecutive positions: struct(a, b)."""
+    return f"zip_with(slice({p}, 1, greatest(size({p}) - 1, 0)), slice({p}, 2, greatest(size({p}) - 1, 0)), (a, b) -> named_struct('a', a, 'b', b))"
 
-    def of_all(g: Column) -> Column:
-        total = F.aggregate(F.transform(g, lambda part: of_part(part, g[0]["p"][0])), zero, _added)
-        return _let(total, lambda m: F.struct(g[0]["p"][0]["x"].alias("ox"), g[0]["p"][0]["y"].alias("oy"), *[m[c].alias(c) for c in _SUMS]))
 
-    return _let(parts(wkt), lambda g: F.when(F.size(g) > 0, of_all(g)))
+def _areal(wkt: str) -> str:
+    return f"endswith(upper(regexp_extract({wkt}, '^\\\\s*([A-Za-z]+)', 1)), 'POLYGON')"
 
 
-def area(wkt: Column) -> Column:
+def _moments(wkt: str) -> str:
+    """struct(ox, oy, area, ax, ay, length, lx, ly): areas and lengths, and their moments about the first position (ox, oy)."""
+    shifted = f"transform({_steps('part.p')}, s -> named_struct('x1', s.a.x - o.x, 'y1', s.a.y - o.y, 'x2', s.b.x - o.x, 'y2', s.b.y - o.y))"
+    measured = f"transform({shifted}, s -> named_struct('x', s.x1 + s.x2, 'y', s.y1 + s.y2, 'c', s.x1 * s.y2 - s.x2 * s.y1, 'd', sqrt((s.x1 - s.x2) * (s.x1 - s.x2) + (s.y1 - s.y2) * (s.y1 - s.y2))))"
+    each = f"transform({measured}, m -> named_struct('area', m.c / 2, 'ax', m.x * m.c / 6, 'ay', m.y * m.c / 6, 'length', m.d, 'lx', m.x * m.d / 2, 'ly', m.y * m.d / 2))"
+    # rings may run either way: a polygon's first adds its area, holes take theirs away
+    sign = f"CASE WHEN {_areal(wkt)} THEN signum(k.area) * CASE WHEN part.hole THEN -1 ELSE 1 END ELSE 0.0D END"
+    signed = "named_struct(" + ", ".join(f"'{c}', k.{c}" + " * w" * (c in ("area", "ax", "ay")) for c in _SUMS) + ")"
+    of_part = _let(f"aggregate({each}, {_ZERO}, {_ADDED})", "k", _let(sign, "w", signed))
+    total = f"aggregate(transform(g, part -> {of_part}), {_ZERO}, {_ADDED})"
+    placed = _let(total, "z", "named_struct('ox', o.x, 'oy', o.y, " + ", ".join(f"'{c}', z.{c}" for c in _SUMS) + ")")
+    return _let(_parts(wkt), "g", f"CASE WHEN size(g) > 0 THEN {_let('g[0].p[0]', 'o', placed)} END")
+
+
+def _middle(wkt: str) -> str:
+    """The middle of a geometry of several positions, with its weights: struct(area, length, x, y)."""
+    mean = lambda c: f"aggregate(p, 0.0D, (s, q) -> s + q.{c}) / size(p)"
+    of = lambda c: f"'{c}', CASE WHEN m.area > 0 THEN m.o{c} + m.a{c} / m.area WHEN m.length > 0 THEN m.o{c} + m.l{c} / m.length ELSE {mean(c)} END"
+    return _let(_points(wkt), "p", _let(_moments(wkt), "m", f"CASE WHEN size(p) = 1 THEN named_struct('area', 0.0D, 'length', 0.0D, 'x', p[0].x, 'y', p[0].y) WHEN size(p) > 1 THEN named_struct('area', m.area, 'length', m.length, {of('x')}, {of('y')}) END"))
+
+
+def area(wkt: str) -> Column:
     """The area of polygons, less that of their holes; 0 of others."""
-    return _moments(wkt)["area"]
+    return F.expr(_moments(wkt))["area"]
 
 
-def _middle(m: Column, p: Column) -> Column:
-    """The middle from moments and positions."""
-    mean = lambda name: F.aggregate(p, F.lit(0.0), lambda s, q: s + q[name]) / F.size(p)
-    of = lambda name, o, a, b: F.when(m["area"] > 0, m[o] + m[a] / m["area"]).when(m["length"] > 0, m[o] + m[b] / m["length"]).otherwise(mean(name)).alias(name)
-    return F.struct(of("x", "ox", "ax", "lx"), of("y", "oy", "ay", "ly"))
-
-
-def centroid(wkt: Column) -> Column:
+def centroid(wkt: str) -> Column:
     """The middle of a geometry: of its area if it has any, else of its length, else of its positions."""
-    return _let(points(wkt), lambda p: F.when(F.size(p) == 1, p[0]).when(F.size(p) > 1, _let(_moments(wkt), lambda m: _middle(m, p))))
+    return F.expr(_let(_middle(wkt), "c", "CASE WHEN c IS NOT NULL THEN named_struct('x', c.x, 'y', c.y) END"))
 
 
 def union_of(geometries: Column) -> Column:
@@ -182,52 +184,36 @@ def union_of(geometries: Column) -> Column:
     return F.when(F.size(own) == 1, own[0]).when(F.size(own) > 1, F.concat(F.lit("GEOMETRYCOLLECTION ("), F.array_join(own, ", "), F.lit(")")))
 
 
-def centroid_of_union(geometries: Column) -> Column:
+def centroid_of_union(geometries: str) -> Column:
     """The middle of several geometries: those of the highest dimension count, by area, by length, or each alike."""
-    own = F.transform(F.array_distinct(F.filter(geometries, lambda g: g.isNotNull())), lambda g: _let(_moments(g), lambda m: F.struct(m["area"].alias("area"), m["length"].alias("length"), _middle(m, points(g)).alias("c"))))
-    total = lambda rows, f: F.aggregate(rows, F.lit(0.0), lambda s, g: s + f(g))
-
-    def of(g: Column) -> Column:
-        by = lambda name: F.when(total(g, lambda x: x["area"]) > 0, "area").when(total(g, lambda x: x["length"]) > 0, "length").otherwise("each")
-        weighted = F.transform(g, lambda x: F.struct(F.when(by("") == "area", x["area"]).when(by("") == "length", x["length"]).otherwise(1.0).alias("w"), x["c"].alias("c")))
-        mean = lambda rows, name: (total(rows, lambda x: x["w"] * x["c"][name]) / total(rows, lambda x: x["w"])).alias(name)
-        return _let(weighted, lambda rows: F.struct(mean(rows, "x"), mean(rows, "y")))
+    own = f"transform(array_distinct(filter({geometries}, v -> v IS NOT NULL)), v -> {_middle('v')})"
+    total = lambda c: f"aggregate(g, 0.0D, (s, h) -> s + h.{c})"
+    weighted = f"transform(g, h -> named_struct('w', CASE WHEN t.area > 0 THEN h.area WHEN t.length > 0 THEN h.length ELSE 1.0D END, 'x', h.x, 'y', h.y))"
+    mean = lambda c: f"aggregate(r, 0.0D, (s, h) -> s + h.w * h.{c}) / aggregate(r, 0.0D, (s, h) -> s + h.w)"
+    of = _let(f"named_struct('area', {total('area')}, 'length', {total('length')})", "t", _let(weighted, "r", f"named_struct('x', {mean('x')}, 'y', {mean('y')})"))
+    return F.expr(_let(own, "g", f"CASE WHEN size(g) > 0 THEN {of} END"))
 
-    return _let(own, lambda g: F.when(F.size(g) > 0, of(g)))
 
-
-def _edges(wkt: Column) -> Column:
+def _edges(wkt: str) -> str:
     """Edges of all parts; a position alone is an edge to itself."""
-    return F.flatten(F.transform(parts(wkt), lambda part: F.when(F.size(part["p"]) == 1, F.transform(part["p"], lambda q: F.struct(q.alias("a"), q.alias("b")))).otherwise(_steps(part["p"]))))
-
-
-def _turn(a: Column, b: Column, c: Column) -> Column:
-    return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
-
-
-def _meet(e: Column, f: Column) -> Column:
-    """Whether two closed edges share a position."""
-    near = lambda lo, hi, c: c.between(F.least(lo, hi), F.greatest(lo, hi))
-    on = lambda s, q: (_turn(s["a"], s["b"], q) == 0) & near(s["a"]["x"], s["b"]["x"], q["x"]) & near(s["a"]["y"], s["b"]["y"], q["y"])
-    across = (_turn(e["a"], e["b"], f["a"]) * _turn(e["a"], e["b"], f["b"]) < 0) & (_turn(f["a"], f["b"], e["a"]) * _turn(f["a"], f["b"], e["b"]) < 0)
-    return across | on(e, f["a"]) | on(e, f["b"]) | on(f, e["a"]) | on(f, e["b"])
-
-
-def _holds(wkt: Column, edges: Column, q: Column) -> Column:
-    """Whether a position lies inside polygons (even-odd rule)."""
-    crosses = lambda s: ((s["a"]["y"] > q["y"]) != (s["b"]["y"] > q["y"])) & (q["x"] < (s["b"]["x"] - s["a"]["x"]) * (q["y"] - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"])
-    n = F.size(F.filter(edges, lambda s: F.coalesce(crosses(s), F.lit(False))))
-    return kind_of(wkt).endswith("POLYGON") & (F.pmod(n, F.lit(2)) == 1)
+    return f"flatten(transform({_parts(wkt)}, part -> CASE WHEN size(part.p) = 1 THEN transform(part.p, q -> named_struct('a', q, 'b', q)) ELSE {_steps('part.p')} END))"
 
 
 def boxes_meet(a: Column, b: Column) -> Column:
     return (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
 
 
-def intersects(a: Column, b: Column) -> Column:
+def intersects(a: str, b: str) -> Column:
     """Whether two geometries share a position: their envelopes meet, and edges meet or one holds a position of the other."""
-    exact = _let(F.struct(_edges(a).alias("a"), _edges(b).alias("b")), lambda g: F.exists(g["a"], lambda e: F.exists(g["b"], lambda f: _meet(e, f))) | F.exists(points(a), lambda q: _holds(b, g["b"], q)) | F.exists(points(b), lambda q: _holds(a, g["a"], q)))
-    return F.when(_let(F.struct(envelope(a).alias("a"), envelope(b).alias("b")), lambda g: boxes_meet(g["a"], g["b"])), exact).otherwise(F.lit(False))
+    turn = lambda p, q, r: f"signum(({q}.x - {p}.x) * ({r}.y - {p}.y) - ({q}.y - {p}.y) * ({r}.x - {p}.x))"
+    near = lambda lo, hi, c: f"({c} BETWEEN least({lo}, {hi}) AND greatest({lo}, {hi}))"
+    on = lambda e, q: f"({turn(e + '.a', e + '.b', q)} = 0 AND {near(e + '.a.x', e + '.b.x', q + '.x')} AND {near(e + '.a.y', e + '.b.y', q + '.y')})"
+    across = f"({turn('e.a', 'e.b', 'f.a')} * {turn('e.a', 'e.b', 'f.b')} < 0 AND {turn('f.a', 'f.b', 'e.a')} * {turn('f.a', 'f.b', 'e.b')} < 0)"
+    meet = f"({across} OR {on('e', 'f.a')} OR {on('e', 'f.b')} OR {on('f', 'e.a')} OR {on('f', 'e.b')})"
+    crosses = "((s.a.y > q.y) <> (s.b.y > q.y) AND q.x < (s.b.x - s.a.x) * (q.y - s.a.y) / (s.b.y - s.a.y) + s.a.x)"
+    holds = lambda wkt, edges, other: f"({_areal(wkt)} AND exists({_points(other)}, q -> size(filter({edges}, s -> coalesce({crosses}, false))) % 2 = 1))"
+    exact = _let(f"named_struct('a', {_edges(a)}, 'b', {_edges(b)})", "g", f"(exists(g.a, e -> exists(g.b, f -> {meet})) OR {holds(a, 'g.a', b)} OR {holds(b, 'g.b', a)})")
+    return F.when(boxes_meet(envelope(F.col(a)), envelope(F.col(b))), F.expr(exact)).otherwise(F.lit(False))
 
 
 def line_between(a: Column, b: Column) -> Column:

@@ -232,3 +232,10 @@ def midpoint(a: Column, b: Column) -> Column:
     """The middle of two timestamps, in whole milliseconds."""
     ms = lambda c: F.unix_millis(c.cast("timestamp"))
     return F.timestamp_millis(F.floor((ms(a) + ms(b)) / 2)).cast("timestamp_ntz")
+
+
+def standardised(stamp: Column, calendar: Column, precision: Column) -> Column:
+    """A date's text in the Gregorian calendar, cut to its precision; null for a calendar that no arithmetic here converts."""
+    part = lambda i: F.regexp_extract(stamp, r"^(-?\d{1,6})-(\d{2})-(\d{2})", i).cast("int")
+    day = F.date_format(to_gregorian(part(1), part(2), part(3), calendar), "yyyy-MM-dd")
+    return F.element_at(F.transform(F.array(day), lambda d: truncated(d, precision)), 1)  # the day is computed once

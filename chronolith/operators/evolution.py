@@ -40,7 +40,8 @@ def elementary_changes(events: DataFrame) -> DataFrame:
     (attr, idx, side, stamp, rank, real, makes, outdates); side is -1, 0, 1; idx counts from 0 at minus infinity.
     This is where the rows of an attribute meet: the steps that follow need no other exchange."""
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    at = events.repartition("attr").groupBy("attr", "stamp").agg(F.max("rank").alias("rank"), F.array_sort(F.collect_set("cg")).alias("real"), flat("makes").alias("makes"), flat("outdates").alias("outdates"))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: the work after it is far more than its bytes tell
+    at = events.repartition(parts, "attr").groupBy("attr", "stamp").agg(F.max("rank").alias("rank"), F.array_sort(F.collect_set("cg")).alias("real"), flat("makes").alias("makes"), flat("outdates").alias("outdates"))
     order = Window.partitionBy("attr").orderBy("stamp")
     at = at.withColumn("__n", F.row_number().over(order)).withColumn("__last", F.lead("stamp").over(order).isNull())
     stamp_type, none = events.schema["stamp"].dataType, F.array().cast("array<string>")

@@ -101,3 +101,17 @@ def closure(edges: DataFrame, reflexive: bool = True) -> DataFrame:
         nodes = edges.select(F.explode(F.array("child", "parent")).alias("n"))
         pairs = pairs.unionByName(nodes.select(F.col("n").alias("child"), F.col("n").alias("parent"))).distinct()
     return pairs
+
+
+def copied(quads: DataFrame, target: DataFrame, graphs: list[str]) -> DataFrame:
+    """Statements of some graphs added to another dataset, in place of what it had of them."""
+    return target.where(~F.col("g").isin(graphs)).unionByName(quads.where(F.col("g").isin(graphs)))
+
+
+def following(rows: DataFrame, group: str, by: str, key: str) -> DataFrame:
+    """(group, key1, key2): each row with those of the next value of its group, all that tie: a join on dense ranks, not on inequalities."""
+    from pyspark.sql import Window
+
+    ranked = rows.where(F.col(by).isNotNull()).select(group, key, F.dense_rank().over(Window.partitionBy(group).orderBy(by)).alias("__r"))
+    nxt = ranked.select(F.col(group).alias("__g"), (F.col("__r") - 1).alias("__q"), F.col(key).alias(f"{key}2"))
+    return ranked.join(nxt, (F.col(group) == F.col("__g")) & (F.col("__r") == F.col("__q"))).select(group, F.col(key).alias(f"{key}1"), f"{key}2")

@@ -62,3 +62,51 @@ def random_day(start, end, key, seed: int = 0):
     """A day at random, by key, from start to end."""
     span = F.datediff(end, start) + 1
     return F.date_add(start, F.pmod(F.xxhash64(key, F.lit(seed)), span).cast("int"))
+
+
+def change_times(changes: DataFrame, times: DataFrame) -> DataFrame:
+    """(label, change, day, before_day, after_day): times of changes in days, from changes (label, change, ev) and times (ev, prop, t)."""
+    from chronolith.functions.times import day_number
+
+    pick = lambda prop, of, name: of(F.when(F.col("prop") == prop, day_number(F.col("t")))).alias(name)
+    days = times.groupBy(F.col("ev").alias("__ev")).agg(pick("hasTime", F.min, "day"), pick("hasTimeBefore", F.min, "before_day"), pick("hasTimeAfter", F.max, "after_day"))
+    return changes.join(days, F.col("ev") == F.col("__ev"), "left").select("label", "change", "day", "before_day", "after_day")
+
+
+def labelled_sources(versions: DataFrame, traces: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, version, source) of final versions (lm, av) through their traces (root, trace, source) and the labels of landmarks (lm, label)."""
+    t = traces.select(F.col("root").alias("__root"), "source")
+    lm = labels.select(F.col("lm").alias("__lm"), "label")
+    return versions.join(t, F.col("av") == F.col("__root")).join(lm, F.col("lm") == F.col("__lm")).select("label", F.col("av").alias("version"), "source").distinct()
+
+
+def of_labels_in(rows: DataFrame, source: str) -> DataFrame:
+    """Rows (label, version, source) of labels that a source has."""
+    wanted = rows.where(F.col("source") == source).select(F.col("label").alias("__label")).distinct()
+    return rows.join(wanted, F.col("label") == F.col("__label"), "left_semi")
+
+
+def changed_versions(reference: DataFrame, modified: DataFrame) -> DataFrame:
+    """(label, unmodified): whether a label's sets of sources are alike on both sides."""
+    return version_quality(reference, modified).select("label", F.col("right").alias("unmodified"))
+
+
+def fragment_states(landmarks: DataFrame, share: float = 0.6, seed: int = 0) -> DataFrame:
+    """(lm, state): a share of landmarks (lm, label, type, start, end) as state descriptions in JSON."""
+    own = sampled(landmarks, "lm", share, seed)
+    time = F.struct(F.struct(F.col("start").alias("stamp"), F.lit("day").alias("precision"), F.lit("gregorian").alias("calendar")).alias("start"), F.struct(F.col("end").alias("stamp"), F.lit("day").alias("precision"), F.lit("gregorian").alias("calendar")).alias("end"))
+    return own.select("lm", F.to_json(F.struct(F.array(F.struct(F.lit("1").alias("id"), "label", "type")).alias("landmarks"), time.alias("time"), F.struct(F.concat(F.lit("fragment:"), "lm").alias("uri")).alias("source"))).alias("state"))
+
+
+def fragment_events(changes: DataFrame, share: float = 0.6, seed: int = 0) -> DataFrame:
+    """(change, event): a share of changes (change, label, type, stamp) as event descriptions in JSON."""
+    own = sampled(changes, "change", share, seed)
+    lm = F.struct(F.lit("1").alias("id"), "label", F.lit("StreetNumber").alias("type"), F.array(F.struct(F.lit("landmark").alias("on"), "type")).alias("changes"))
+    event = F.struct(F.struct(F.col("stamp").alias("stamp"), F.lit("day").alias("precision"), F.lit("gregorian").alias("calendar")).alias("time"), F.array(lm).alias("landmarks"))
+    return own.select("change", F.to_json(F.struct(F.array(event).alias("events"), F.struct(F.concat(F.lit("fragment:"), "change").alias("uri")).alias("source"))).alias("event"))
+
+
+def evaluated(reference: DataFrame, modified: DataFrame, fragment: str | None = None) -> DataFrame:
+    """The table of an evaluation of versions (label, version, source): labels of the fragment's source only, that source ignored."""
+    ref, mod = (reference, modified) if fragment is None else (of_labels_in(reference, fragment), of_labels_in(modified, fragment))
+    return overall(version_quality(version_sources(ref, fragment), version_sources(mod, fragment)))

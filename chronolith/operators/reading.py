@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions import geo
@@ -93,3 +93,36 @@ def provenance_of(facts: DataFrame, traces: DataFrame, provenances: DataFrame, s
     p = provenances.select(F.col("elem").alias("__e"), F.col("source").alias("__s"))
     s = sources.select(F.col("source").alias("__id"), F.col("label").alias("source"), "description")
     return facts.join(traces.select(F.col("root").alias("__r"), "trace"), F.col("root") == F.col("__r")).join(p, F.col("trace") == F.col("__e")).join(s, F.col("__s") == F.col("__id")).select("root", "source", "description").distinct()
+
+
+def coordinates_of(addresses: DataFrame, geometries: DataFrame, label: str) -> DataFrame:
+    """(addr, geometry) of the targets of addresses (addr, target, label) with a label, case aside; geometries (lm, geometry)."""
+    own = addresses.where(F.lower("label") == label.lower()).select("addr", "target").distinct()
+    return own.join(geometries.select("lm", "geometry"), F.col("target") == F.col("lm")).select("addr", "geometry").distinct()
+
+
+def existing_at(bounds: DataFrame, t: Column) -> DataFrame:
+    """Entities (elem) with an appearance at t or before and no disappearance up to t; unknown ends count as lasting."""
+    begun = F.coalesce("app_crisp", "app_end", "app_begin") <= t
+    return bounds.where(begun & F.coalesce(F.coalesce("dis_crisp", "dis_begin", "dis_end") > t, F.lit(True))).select("elem")
+
+
+def history(versions: DataFrame, bounds: DataFrame, attr_type: str) -> DataFrame:
+    """(lm, n, av, value, begin, end): the versions of one attribute type of every landmark, numbered in time."""
+    b = bounds.select(F.col("elem").alias("__elem"), F.coalesce("app_crisp", "app_begin", "app_end").alias("begin"), F.coalesce("dis_crisp", "dis_begin", "dis_end").alias("end"))
+    own = versions.where(F.col("attr_type") == attr_type).join(b, F.col("av") == F.col("__elem"), "left")
+    order = Window.partitionBy("lm").orderBy(F.col("begin").asc_nulls_first(), "av")
+    return own.select("lm", F.row_number().over(order).alias("n"), "av", "value", "begin", "end")
+
+
+def history_of_changes(versions: DataFrame, bounds: DataFrame, attr_type: str) -> DataFrame:
+    """(lm, stamp, outdates, makes): what a landmark's changes of one attribute type end and begin, by time."""
+    own = history(versions, bounds, attr_type)
+    ends = F.explode(F.array(F.struct(F.col("begin").alias("stamp"), F.lit(None).cast("string").alias("outdates"), F.col("av").alias("makes")), F.struct(F.col("end").alias("stamp"), F.col("av").alias("outdates"), F.lit(None).cast("string").alias("makes")))).alias("x")
+    rows = own.select("lm", ends).select("lm", "x.*").where("stamp is not null")
+    return rows.groupBy("lm", "stamp").agg(F.array_sort(F.collect_set("outdates")).alias("outdates"), F.array_sort(F.collect_set("makes")).alias("makes"))
+
+
+def values_of(versions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(av, value) of a list of versions (av)."""
+    return versions.join(wanted.select("av").distinct(), "av", "left_semi").select("av", "value")

@@ -95,3 +95,34 @@ def shape_report(quads: DataFrame, classes: DataFrame, shapes: list[Shape]) -> D
                 c = classes.where(F.col("class").isin(*p.classes)).select(F.col("s").alias("__o")).distinct()
                 out.append(tag(given.join(c, F.col("o") == F.col("__o"), "left_anti"), "class"))
     return reduce(DataFrame.unionByName, out)
+
+
+# fixed values: properties that elements of a class must have
+MANDATORY = [
+    ("Landmark", "isLandmarkType"), ("LandmarkRelation", "isLandmarkRelationType"), ("LandmarkRelation", "locatum"), ("LandmarkRelation", "relatum"), ("Attribute", "isAttributeType"),
+    ("Change", "isChangeType"), ("Change", "appliedTo"), ("Change", "dependsOn"), ("Address", "targets"), ("Address", "firstStep"), ("AddressSegment", "nextStep"),
+    ("CrispTimeInstant", "timeStamp"), ("CrispTimeInstant", "timePrecision"), ("CrispTimeInstant", "timeCalendar"),
+]
+# fixed values: domains and ranges of properties; dateTimeStamp is a datatype
+DOMAINS = [
+    ("isLandmarkType", "Landmark"), ("isLandmarkRelationType", "LandmarkRelation"), ("isAttributeType", "Attribute"), ("isChangeType", "Change"), ("targets", "Address"), ("firstStep", "Address"), ("nextStep", "LandmarkRelation"),
+    ("locatum", "LandmarkRelation"), ("relatum", "LandmarkRelation"), ("appliedTo", "Change"), ("dependsOn", "Change"), ("timeStamp", "CrispTimeInstant"), ("timePrecision", "CrispTimeInstant"), ("timeCalendar", "CrispTimeInstant"),
+]
+RANGES = [
+    ("isLandmarkType", "LandmarkType", None), ("isLandmarkRelationType", "LandmarkRelationType", None), ("isAttributeType", "AttributeType", None), ("isChangeType", "ChangeType", None), ("targets", "Landmark", None), ("firstStep", "LandmarkRelation", None),
+    ("nextStep", "LandmarkRelation", None), ("locatum", "Landmark", None), ("relatum", "Landmark", None), ("dependsOn", "Event", None), ("timeStamp", None, "dateTimeStamp"), ("timePrecision", "TemporalUnit", None), ("timeCalendar", "TRS", None),
+]
+
+
+def elements_report(quads: DataFrame, classes: DataFrame, rules: list[tuple[str, str]] = MANDATORY) -> DataFrame:
+    """(s, class, p, rule) of elements that lack a mandatory property, one pass for all rules."""
+    made = quads.sparkSession.createDataFrame(rules, "class string, p string")
+    return missing_properties(quads, classes, made).withColumn("rule", F.lit("mandatory"))
+
+
+def properties_report(quads: DataFrame, classes: DataFrame, domain_rules: list[tuple[str, str]] = DOMAINS, range_rules: list[tuple[str, str | None, str | None]] = RANGES) -> DataFrame:
+    """(s, p, o, expected, rule) of statements against domains (p, class) and ranges (p, class, dtype)."""
+    domains = quads.sparkSession.createDataFrame(domain_rules, "p string, class string")
+    ranges = quads.sparkSession.createDataFrame(range_rules, "p string, class string, dtype string")
+    d = domain_violations(quads, classes, domains).select("s", "p", F.lit(None).cast("string").alias("o"), "expected", F.lit("domain").alias("rule"))
+    return d.unionByName(range_violations(quads, classes, ranges).withColumn("rule", F.lit("range")))

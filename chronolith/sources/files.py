@@ -145,3 +145,35 @@ def safe_name(value: str) -> str:
 def described(**columns: Column) -> Column:
     """A description: a JSON object without its null fields."""
     return F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]), {"ignoreNullFields": "true"})
+
+
+def renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns of one file format under the names that the readers know."""
+    return rows.withColumnsRenamed(names)
+
+
+def of_families(parts: dict[str, DataFrame], sides: tuple[str, ...] = ("start", "end")) -> DataFrame:
+    """Landed extracts of several families of entities as one table, a row for each side of their time: (family, side, ...)."""
+    out = None
+    for family, rows in parts.items():
+        own = rows.select(F.lit(family).alias("family"), F.explode(F.array(*[F.lit(s) for s in sides])).alias("side"), "*")
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def landmarks_of(sources: dict[str, dict[str, DataFrame]]) -> DataFrame:
+    """Landmarks (g, lm, type, label, lang) of the tables that each source's reader gave, g being the source."""
+    out = None
+    for name, tables in sources.items():
+        own = tables["landmark"].select(F.lit(name).alias("g"), "lm", "type", "label", "lang")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def address_table(parts: list[DataFrame], source: str = "2154", target: str = "2154") -> DataFrame:
+    """Street numbers (source, number, street, wkt) of several files as points (source, number, street, x, y) in one reference system."""
+    out = None
+    for rows in parts:
+        out = rows if out is None else out.unionByName(rows)
+    placed = out.withColumn("__at", geo.centroid("wkt"))
+    return placed.withColumn("__at", geo.reprojected(F.col("__at"), source, target)).select("source", "number", "street", F.col("__at.x").alias("x"), F.col("__at.y").alias("y"))
