@@ -24,25 +24,29 @@ def _none() -> Column:
 
 
 def stated_and_virtual(versions: DataFrame, changes: DataFrame) -> DataFrame:
-    """(attr, stamp, rank, cg, makes, outdates): changes as stated (with cg), and two virtual ones (without) for each valid time."""
+    """(attr, stamp, rank, cg, makes, outdates): changes as stated (with cg), and two virtual ones (without) for each valid time.
+
+    A version without a valid time that has a vid keeps one row without a stamp, as a stated change names it without."""
     known = lambda c: F.transform(c, lambda x: F.struct(x.alias("av"), F.lit(None).cast("string").alias("vid")))
     real = changes.select("attr", "stamp", F.coalesce("precision", F.lit(-1)).alias("rank"), "cg", known("makes").alias("makes"), known("outdates").alias("outdates"))
-    vid = F.col("vid") if "vid" in versions.columns else F.lit(None)
+    vid = F.col("vid") if "vid" in versions.columns else F.lit(None).cast("string")
     own = F.array(F.struct(F.col("av").cast("string").alias("av"), vid.cast("string").alias("vid")))
     ends = F.explode(F.array(F.struct(F.col("begin").alias("stamp"), own.alias("makes"), _none().alias("outdates")), F.struct(F.col("end").alias("stamp"), _none().alias("makes"), own.alias("outdates")))).alias("x")
-    virtual = versions.select("attr", ends, F.lit(-1).alias("rank"), F.lit(None).cast("string").alias("cg")).select("attr", "x.stamp", "rank", "cg", "x.makes", "x.outdates")
-    return real.unionByName(virtual).where("stamp is not null")
+    untimed = F.col("begin").isNull() & F.col("end").isNull() & vid.isNotNull()
+    virtual = versions.select("attr", ends, F.lit(-1).alias("rank"), F.lit(None).cast("string").alias("cg"), untimed.alias("untimed"))
+    virtual = virtual.where("x.stamp is not null or (untimed and size(x.makes) > 0)").select("attr", "x.stamp", "rank", "cg", "x.makes", "x.outdates")
+    return real.where("stamp is not null").unionByName(virtual)
 
 
 def elementary_changes(events: DataFrame) -> DataFrame:
     """One row for each attribute and stamp, with the unions of what is made and outdated, plus one at either infinity.
 
-    (attr, idx, side, stamp, rank, real, makes, outdates); side is -1, 0, 1; idx counts from 0 at minus infinity.
-    This is where the rows of an attribute meet: the steps that follow need no other exchange."""
+    (attr, idx, side, stamp, rank, real, makes, outdates); side is -1, 0, 1; idx counts from 0 at minus infinity.  Rows
+    without a stamp are no changes: they keep side 2 and no idx, for the vids that they carry.  This is where the rows of an attribute meet: the steps that follow need no other exchange."""
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: the work after it is far more than its bytes tell
     at = events.repartition(parts, "attr").groupBy("attr", "stamp").agg(F.max("rank").alias("rank"), F.array_sort(F.collect_set("cg")).alias("real"), flat("makes").alias("makes"), flat("outdates").alias("outdates"))
-    order = Window.partitionBy("attr").orderBy("stamp")
+    order = Window.partitionBy("attr").orderBy(F.col("stamp").asc_nulls_last())
     at = at.withColumn("__n", F.row_number().over(order)).withColumn("__last", F.lead("stamp").over(order).isNull())
     stamp_type, none = events.schema["stamp"].dataType, F.array().cast("array<string>")
     row = lambda idx, side, stamp, rank, real, makes, outdates: F.array(F.struct(idx.cast("int").alias("idx"), F.lit(side).alias("side"), stamp.alias("stamp"), rank.alias("rank"), real.alias("real"), makes.alias("makes"), outdates.alias("outdates")))
@@ -50,13 +54,14 @@ def elementary_changes(events: DataFrame) -> DataFrame:
     own = row(F.col("__n"), 0, F.col("stamp"), F.col("rank"), F.col("real"), F.col("makes"), F.col("outdates"))
     with_ends = F.when(F.col("__n") == 1, F.concat(end(F.lit(0), -1), own)).otherwise(own)
     with_ends = F.when(F.col("__last"), F.concat(with_ends, end(F.col("__n") + 1, 1))).otherwise(with_ends)
+    with_ends = F.when(F.col("stamp").isNull(), row(F.lit(None), 2, F.col("stamp"), F.col("rank"), F.col("real"), F.col("makes"), F.col("outdates"))).otherwise(with_ends)
     return at.select("attr", F.inline(with_ends))
 
 
 def elementary_versions(changes: DataFrame) -> DataFrame:
     """Segments between consecutive changes: (attr, seg, begin, end, begin_real, end_real); infinite ends are null."""
     order = Window.partitionBy("attr").orderBy("idx")
-    out = changes.select("attr", F.col("idx").alias("seg"), F.col("stamp").alias("begin"), F.lead("stamp").over(order).alias("end"), (F.size("real") > 0).alias("begin_real"), F.lead(F.size("real") > 0).over(order).alias("end_real"), F.lead("idx").over(order).alias("next"))
+    out = changes.where("idx is not null").select("attr", F.col("idx").alias("seg"), F.col("stamp").alias("begin"), F.lead("stamp").over(order).alias("end"), (F.size("real") > 0).alias("begin_real"), F.lead(F.size("real") > 0).over(order).alias("end_real"), F.lead("idx").over(order).alias("next"))
     return out.where("next is not null").drop("next")
 
 
@@ -68,7 +73,7 @@ def _mentions(changes: DataFrame, *columns: Column | str) -> DataFrame:
 
 def version_spans(changes: DataFrame) -> DataFrame:
     """(attr, av, first, stop): segments of each version; a version that is only outdated covers one before, one that is only made covers one after."""
-    at = _mentions(changes).where("av is not null").groupBy("attr", "av").agg(F.min(F.when(F.col("m") == 1, F.col("idx"))).alias("first"), F.max(F.when(F.col("m") == 0, F.col("idx"))).alias("stop"))
+    at = _mentions(changes.where("idx is not null")).where("av is not null").groupBy("attr", "av").agg(F.min(F.when(F.col("m") == 1, F.col("idx"))).alias("first"), F.max(F.when(F.col("m") == 0, F.col("idx"))).alias("stop"))
     return at.select("attr", "av", F.coalesce("first", F.col("stop") - 1).alias("first"), F.coalesce("stop", F.col("first") + 1).alias("stop"))
 
 
@@ -77,12 +82,12 @@ def covered(changes: DataFrame) -> DataFrame:
 
     A version's row at its first change writes a row into each of its segments, and a change's first row writes its own
     segment, so that the range join of spans and segments is one group by segment."""
-    order = Window.partitionBy("attr").orderBy("idx")
+    order = Window.partitionBy("attr").orderBy(F.col("idx").asc_nulls_last())
     rows = changes.select("attr", "idx", "makes", "outdates", F.col("stamp").alias("begin"), F.lead("stamp").over(order).alias("end"), (F.size("real") > 0).alias("begin_real"), F.lead(F.size("real") > 0).over(order).alias("end_real"), F.lead("idx").over(order).isNotNull().alias("within"))
     each = _mentions(rows, "begin", "end", "begin_real", "end_real", "within")
     one = Window.partitionBy("attr", "av")
     made, gone = F.min(F.when(F.col("m") == 1, F.col("idx"))).over(one), F.max(F.when(F.col("m") == 0, F.col("idx"))).over(one)
-    each = each.select("*", made.alias("__made"), gone.alias("__gone"), F.max("vid").over(one).alias("__vid"), F.row_number().over(one.orderBy("idx", "place")).alias("__k"))
+    each = each.select("*", made.alias("__made"), gone.alias("__gone"), F.max("vid").over(one).alias("__vid"), F.row_number().over(one.orderBy(F.col("idx").asc_nulls_last(), "place")).alias("__k"))
     first, stop = F.coalesce("__made", F.col("__gone") - 1), F.coalesce("__gone", F.col("__made") + 1)
     bare = lambda c: F.lit(None).cast(changes.schema["stamp"].dataType if c in ("begin", "end") else "boolean").alias(c)
     part = lambda seg, trace, info: F.struct(seg.cast("int").alias("seg"), trace.alias("trace"), *[(F.col(c).alias(c) if info else bare(c)) for c in ("begin", "end", "begin_real", "end_real")], F.lit(info).alias("own"))
@@ -164,6 +169,13 @@ def merged(segments: DataFrame) -> DataFrame:
     return rows.groupBy("attr", "version").agg(traces.alias("traces"), first("begin_real"), first("begin_after"), first("begin_before"), last("end_real"), last("end_after"), last("end_before"))
 
 
+def merge_sets(segments: DataFrame) -> DataFrame:
+    """(attr, version, members): the segments of each maximal chain as one text, which names the version that they become."""
+    order = Window.partitionBy("attr").orderBy("n")
+    rows = segments.withColumn("version", F.sum(F.when(F.col("merge"), 0).otherwise(1)).over(order))
+    return rows.groupBy("attr", "version").agg(F.array_join(F.array_sort(F.collect_list("n")), "|").alias("members"))
+
+
 def evolution(versions: DataFrame, changes: DataFrame, comparisons: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The coherent evolution of every attribute; see ``continued`` for how versions are compared."""
     segments = pruned(covered(elementary_changes(stated_and_virtual(versions, changes))))

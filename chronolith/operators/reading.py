@@ -110,7 +110,7 @@ def existing_at(bounds: DataFrame, t: Column) -> DataFrame:
 def history(versions: DataFrame, bounds: DataFrame, attr_type: str) -> DataFrame:
     """(lm, n, av, value, begin, end): the versions of one attribute type of every landmark, numbered in time."""
     b = bounds.select(F.col("elem").alias("__elem"), F.coalesce("app_crisp", "app_begin", "app_end").alias("begin"), F.coalesce("dis_crisp", "dis_begin", "dis_end").alias("end"))
-    own = versions.where(F.col("attr_type") == attr_type).join(b, F.col("av") == F.col("__elem"), "left")
+    own = versions.where(F.col("attr_type") == attr_type).select("lm", "av", "value").join(b, F.col("av") == F.col("__elem"), "left")
     order = Window.partitionBy("lm").orderBy(F.col("begin").asc_nulls_first(), "av")
     return own.select("lm", F.row_number().over(order).alias("n"), "av", "value", "begin", "end")
 

@@ -207,7 +207,7 @@ def c47_wkt_to_geojson(t):
 _SQUARE = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[a, -30], [a + 40, -30], [a + 40, 30], [a, 30], [a, -30]]]}} for a in (-100, 20)]}
 
 
-@query("SELECT id FROM point WHERE y > -30 AND y <= 30 AND ((x >= -100 AND x < -60) OR (x >= 20 AND x < 60))")
+@query("SELECT id FROM point WHERE y >= -30 AND y < 30 AND ((x >= -100 AND x < -60) OR (x >= 20 AND x < 60))")
 def c48_area_of_features(t):
     inside = F.lit(False)
     for ring in geo.area_rings(_SQUARE):
