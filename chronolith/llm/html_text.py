@@ -2,13 +2,13 @@
 
 Markup is stripped into lines (one per block element).  A line weighs its code points, or nothing where markup
 says that it is no article text: navigation, page headers and footers, sidebars, forms, notices, adverts,
-comments, text that is mostly links, and, on pages that mark an article, all that lies outside it.  Names of classes
-and forms say so only of elements that hold at most half of the page's text and neither <main> nor its only article;
-others are wrappers of the layout.  Inside a marked article lines of links weigh nothing where they fill a window or
-hold several links, unless all its lines do; else markup alone decides such pages.  Weights are
-summed over sliding windows of lines.  Dives, where a window holds nothing, part the page into blocks; a block in
-which the sums surge over a threshold, or over all others of a page that nowhere reaches it, is text, and all its
-weighing lines are kept.
+comments, text that is mostly links.  Names of classes and forms say so only of elements that hold neither <main> nor
+the page's only article nor, on pages without either, most of the text; others are wrappers of the layout.  Inside a
+marked article a line weighs MARK times as much, and lines of links weigh nothing where they fill a window or hold
+several links, unless all its lines do.  Weights are summed over sliding windows of lines.  Dives, where a window holds
+nothing, and the article's ends part the page into blocks; a block in which the sums surge over a threshold, or over
+all others of a page that nowhere reaches it, is text, and all its weighing lines are kept.  A block outside a marked
+article must also reach an equal share, 1 in MARK, of the page's largest sum.
 
 Defined results: null or empty html, or a page without text, gives the empty string and 0; unclosed tags and
 quotes are read as browsers do for the block structure; repeated rows are returned each; an empty table gives no
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import in_slices, table
 
 WINDOW = 3
-#: Code points that a window's sum must exceed in a block of text, on pages that don't mark their article; where no sum does, the largest is a surge.
+#: What a window's sum must exceed in a block of text; where no sum does, the largest is a surge.
 SURGE = 80
+#: How much more a code point weighs inside an article that the page marks.
+MARK = 4
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -42,7 +44,9 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose end tag closes what was left open inside them.
-_HOLDER = frozenset("article aside blockquote body button center dd details dialog div dl dt fieldset figure footer form head header label li main menu nav ol p a search section table td th tr ul h1 h2 h3 h4 h5 h6 span".split())
+_HOLDER = frozenset("article aside blockquote body button center dd details dialog div dl dt fieldset figure footer form head header ins label li main menu nav ol p a search section table td th tr ul h1 h2 h3 h4 h5 h6 span".split())
+#: Elements inside lines that may be no text by themselves.
+_INLINE = frozenset(("ins", "span"))
 #: Elements that hold text rather than are part of it.
 _LAYOUT = frozenset("div section article main td".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -50,9 +54,12 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(_BLOCK - {'option'}))})(?![\w:-])", re.I)
 _NO_TEXT = frozenset("nav footer aside button dialog menu search head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: Parts of names that say what an element is for, then such as do so only at a name's end or before a word for furniture.
+_PLAIN_NAMES = "ads?|adsbygoogle|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|nav|navbar|navigation|menu|sidebar|footer|comments?|disqus|replies|sharing|breadcrumbs?|newsletter|subscribe|subscription|popup|modal|overlay|toolbar|pagination|pager|masthead|topbar|skip|login|signup"
+_OTHER_NAMES = "banner|notice|share|social|related|widget"
+_FURNITURE = "area|articles?|bar|block|box|buttons?|container|icons?|items?|links?|list|media|panel|posts?|section|stories|text|tools?|wrap|wrapper"
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|nav|navbar|navigation|menu|sidebar|footer|comments?|disqus|replies|share|sharing|social|related|breadcrumbs?|newsletter|subscribe|subscription|popup|modal|overlay|widget|toolbar|pagination|pager|masthead|topbar|skip|login|signup)(?:$|[\s_-])"
-    r"|(?:^|[\s_-])(?:comment|cookie|sidebar|advert|newsletter)",
+    rf"(?:^|[\s_-])(?:{_PLAIN_NAMES})(?:$|[\s_-])|(?:^|[\s_-])(?:{_OTHER_NAMES})(?:$|\s|[_-](?:{_FURNITURE})(?:$|[\s_-]))|(?:^|[\s_-])(?:comment|cookie|sidebar|advert|newsletter)",
     re.I,
 )
 _HEADER = re.compile(r"(?:^|[\s_-])(?:site|page|top|global|main)?[_-]?header(?:$|[\s_-])", re.I)
@@ -100,8 +107,8 @@ def _raw_end(page: str, tag: str, at: int, pairs: dict[str, dict[int, tuple[int,
     return stop.start() if stop else len(page)
 
 
-def lines_of(page: str, window: int = WINDOW) -> tuple[list[tuple[str, int, int]], bool]:
-    """(text, weight, depth in layout elements) of every line of a page, and whether markup names its article."""
+def lines_of(page: str, window: int = WINDOW) -> tuple[list[tuple[str, int, int, bool]], bool]:
+    """(text, weight, depth in layout elements, whether in a marked article) of every line of a page, and whether markup names its article."""
     lines: list[tuple[str, tuple[int, ...], int, int, int]] = []  # text, named elements around it, article around it or 0, links if they are most of it, depth
     total, held = 0, Counter()  # code points of text, and of it in each named element
     articles: list[tuple[str, tuple[int, ...]]] = [("", ())]  # tag, named elements around it
@@ -150,9 +157,11 @@ def lines_of(page: str, window: int = WINDOW) -> tuple[list[tuple[str, int, int]
         if close:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
+                    if tag in _INLINE and stack[i][1:3] != (stack[i - 1][1:3] if i else (False, ())):
+                        flush()  # no text inside a line of text
                     del stack[i:]
                     break
-                if tag in ("p", "a", "span", "label") and stack[i][0] not in ("p", "a", "span", "label"):
+                if tag in ("p", "a", "ins", "span", "label") and stack[i][0] not in ("p", "a", "ins", "span", "label"):
                     break  # an inline end tag closes no block
         else:
             while tag in _BLOCK and stack and stack[-1][0] in ("p", "a", "span", "label"):
@@ -168,45 +177,48 @@ def lines_of(page: str, window: int = WINDOW) -> tuple[list[tuple[str, int, int]
             if not none_here and _named(tag, attributes, inside):
                 names += 1
                 named = (*named, names)
+            if tag in _INLINE and (none_here, named) != (none, stack[-1][2] if stack else ()):
+                flush()
             links += tag == "a"
             stack.append((tag, none_here, named, article, link or tag == "a"))
     flush()
     # wrappers: elements with a name that hold <main>, the only article or most of the text
     around = [x for tag, x in articles[1:] if tag == "main"] or [x for _, x in articles[1:]][:1] * (len(articles) == 2)
-    wrapping = {n for n in held if 2 * held[n] > total} | {n for x in around for n in x}
+    wrapping = {n for x in around for n in x} if around else {n for n in held if 2 * held[n] > total}
     apart = lambda named: any(n not in wrapping for n in named)
     marked = any(not apart(named) for _, named in articles[1:])
-    may = [not apart(named) and bool(article or not marked) for _, named, article, _, _ in lines]
+    may = [not apart(named) for _, named, *_ in lines]
+    inside = [marked and m and article > 0 for m, (_, _, article, *_) in zip(may, lines)]
     own = [links for _, _, _, links, _ in lines]
-    if marked and any(m and not o for m, o in zip(may, own)):
+    if marked and any(m and not o for m, o in zip(inside, own)):
         # one link may be a line of the article; several, and lines of links in a row that fill a window, are a menu
         at = 0
         while at < len(lines):
             stop = at
-            while stop < len(lines) and may[stop] and own[stop]:
+            while stop < len(lines) and inside[stop] and own[stop]:
                 stop += 1
             if stop - at < window:
                 own[at:stop] = [o if o > 1 else 0 for o in own[at:stop]]
             at = max(stop, at + 1)
     elif marked:
-        own = [0] * len(lines)  # an article that is all links
-    return [(text, len(text) if m and not o else 0, depth) for (text, *_, depth), m, o in zip(lines, may, own)], marked
+        own = [0 if i else o for i, o in zip(inside, own)]  # an article that is all links
+    return [(text, (MARK if i else 1) * len(text) if m and not o else 0, depth, i) for (text, *_, depth), m, o, i in zip(lines, may, own, inside)], marked
 
 
-def blocks_of(lines: list[tuple[str, int, int]], window: int) -> list[list[tuple[str, int, int]]]:
+def blocks_of(lines: list[tuple[str, int, int, bool]], window: int) -> list[list[tuple[str, int, int, bool]]]:
     """Lines between dives.  A line of no weight is a dive only where a window of them follows, or where the next
-    weighing line has left the elements that hold the block's text."""
-    blocks: list[list[tuple[str, int, int]]] = []
+    weighing line has left the elements that hold the block's text; an article's end is one."""
+    blocks: list[list[tuple[str, int, int, bool]]] = []
     nothing, least = window, 0  # lines of no weight so far, least depth of the block's text
     for line in lines:
         if not line[1]:
             nothing += 1
             continue
-        if nothing >= window or nothing and line[2] < least:
+        if nothing >= window or nothing and line[2] < least or line[3] != blocks[-1][-1][3]:
             blocks.append([])
             least = line[2]
         elif nothing:
-            blocks[-1] += [("", 0, 0)] * nothing
+            blocks[-1] += [("", 0, 0, line[3])] * nothing
         nothing, least = 0, min(least, line[2])
         blocks[-1].append(line)
     return blocks
@@ -216,10 +228,11 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     """Text between the surges and dives of the line-block distribution."""
     lines, marked = lines_of(page or "", window)
     blocks = blocks_of(lines, window)
-    peaks = [max(sum(w for _, w, _ in block[i : i + window]) for i in range(len(block))) for block in blocks]
-    # where markup names the article, all that weighs belongs to it and any weight is a surge
-    least = 1 if marked else min(surge + 1, max(peaks, default=0))
-    return "\n".join(text for block, peak in zip(blocks, peaks) if peak >= least for text, weight, _ in block if weight)
+    peaks = [max(sum(w for _, w, *_ in block[i : i + window]) for i in range(len(block))) for block in blocks]
+    top = max(peaks, default=0)
+    least = min(surge + 1, top)
+    is_text = [peak >= least and (block[0][3] or not marked or MARK * peak >= top) for block, peak in zip(blocks, peaks)]
+    return "\n".join(text for block, kept in zip(blocks, is_text) if kept for text, weight, *_ in block if weight)
 
 
 def extracted(pages: DataFrame, html_column: str = "html") -> DataFrame:
