@@ -5,9 +5,11 @@ through a keyed Feistel network over their own alphabet, a bijection: one entity
 occurs (coreference), and two entities never share one (distinctness), without any state shared between tasks.
 What a type demands is kept: Luhn-valid cards stay valid, addresses stay in their kind of network, IBANs get right
 check digits, letters stay in their script and case, known given names are permuted within the list of their
-gender and script, and unknown names never land in a list (the cipher is walked on until they don't).
+gender and script, and unknown names never land in a list (the cipher is walked on until they don't).  Card numbers
+and IBANs count as such only with right check digits.  ``collisions`` checks a corpus: it returns the surrogates that
+two entities share and the entities that have two surrogates, of which there are none.
 Phone numbers are the same entity however they are written, with country code or, in North America, without.  A
-person whom an honorific or a known given name shows is replaced wherever the document has a word of that name.
+person whom an honorific, a known given name or a phrase of introduction shows is replaced wherever the document has a word of that name.
 A bijection may have fixed points: of N values of one shape about one in N keeps its value.
 
 Defined results: a null text stays null and an empty one empty, with no entities; repeated rows get equal results;
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import in_slices, table
 
-KEY = b"surrogate key: set your own"
+#: The session setting that holds the key, and the one that the registered query and the tests fall back to.
+KEY_SETTING, PUBLIC_KEY = "spark.chronolith.surrogates.key", b"public key of the registered query"
 KINDS = ["secret", "email", "iban", "card", "phone", "ip", "national_id", "name"]
 ROUNDS = 8
 
@@ -61,11 +64,14 @@ _PATTERNS: list[tuple[str, re.Pattern[str], int]] = [
     ("ip", re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)"), 0),
     ("national_id", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0),
 ]
+#: Phrases that a name follows, in the languages of the honorifics.
+_INTRODUCTIONS = r"(?i:my name is|name:|signed by|written by|mein name ist|ich heiße|je m'appelle|je m’appelle|me llamo|mi nombre es|меня зовут|με λένε|με λενε)"
 _NAMES = [
+    re.compile(rf"(?<!\w){_INTRODUCTIONS} ({_NAME}(?: {_NAME})?)"),
     re.compile(rf"\b(?:{_HONORIFICS})\.? ({_NAME}(?: {_NAME})?)"),
     re.compile(rf"\b((?:{'|'.join(sorted(_GENDER, key=len, reverse=True))}) {_NAME})\b"),
 ]
-_MAYBE_NAMED = re.compile(rf"\b(?:{_HONORIFICS}|{'|'.join(sorted(_GENDER, key=len, reverse=True))})\b")
+_MAYBE_NAMED = re.compile(rf"\b(?:{_HONORIFICS}|{'|'.join(sorted(_GENDER, key=len, reverse=True))})\b|(?<!\w){_INTRODUCTIONS} ")
 _TRIGGER = re.compile(r"[0-9@=:]")
 
 
@@ -269,6 +275,17 @@ _MAKERS: dict[str, Callable[[Cipher, str], str]] = {
 }
 
 
+def _right(kind: str, text: str) -> bool:
+    """Whether the check digits of a card number or an IBAN are right; others have none."""
+    if kind == "card":
+        d = [int(c) for c in text if c.isdigit()]
+        return d[-1] == _luhn(d[:-1])
+    if kind == "iban":
+        plain = text.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    return True
+
+
 def surrogate(cipher: Cipher, kind: str, text: str) -> str:
     """The surrogate of an entity.  A fixed point of the cipher keeps its value, so that no other entity takes it."""
     return _MAKERS[kind](cipher, text)
@@ -304,7 +321,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             if kind == "email" and "@" not in text:
                 continue
             for m in pattern.finditer(text):
-                if kind == "phone" and sum(c.isdigit() for c in m[0]) < 9:
+                if kind == "phone" and sum(c.isdigit() for c in m[0]) < 9 or not _right(kind, m[0]):
                     continue
                 a, b = m.span(group)
                 if kind == "secret":
@@ -337,7 +354,7 @@ def replace(text: str | None, cipher: Cipher) -> tuple[str | None, list[tuple[in
     return "".join([*out, text[at:]]), found
 
 
-def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replaced(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with surrogates, n_entities, and a count of each kind."""
     names = ["doc_id", "text", "n_entities", *[f"n_{k}" for k in KINDS]]
 
@@ -352,7 +369,7 @@ def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string, n_entities long, " + ", ".join(f"n_{k} long" for k in KINDS))
 
 
-def anonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def anonymised(docs: DataFrame, key: bytes) -> DataFrame:
     """The rows of ``docs`` with surrogates in text and, where the column exists, n_chars to match; all columns as they came."""
 
     @F.pandas_udf("string")
@@ -366,5 +383,42 @@ def anonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _same_entity(kind: str, text: str) -> str:
+    """What all ways of writing one entity have in common."""
+    if kind == "phone":
+        digits = "".join(c for c in text.replace("(0)", "") if c.isdigit())
+        return digits if text[0] == "+" else "1" + digits
+    return text.replace(" ", "").replace("-", "") if kind in ("card", "iban") else text.lower() if kind == "email" else text
+
+
+def collisions(docs: DataFrame, key: bytes) -> DataFrame:
+    """(kind, side, value, n): surrogates of several entities, or entities with several surrogates, by digests; none are expected.
+
+    Entities and surrogates are reduced to distinct pairs of digests before they meet, so a hot value costs a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cipher = Cipher(key)
+        digest = lambda kind, x: hashlib.blake2b(f"{kind}|{x}".encode(), digest_size=16).hexdigest()
+        for batch in in_slices(batches, "text"):
+            pairs = set()
+            for t in batch.column("text").to_pylist():
+                for a, b, kind in entities(t or ""):
+                    for own in t[a:b].split(" ") if kind == "name" else [t[a:b]]:
+                        new = surrogate(cipher, kind, t[a:b]).split(" ")[t[a:b].split(" ").index(own)] if kind == "name" else surrogate(cipher, kind, own)
+                        pairs.add((kind, digest(kind, _same_entity(kind, own)), digest(kind, _same_entity(kind, new))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*pairs) if pairs else ([], [], []))], names=["kind", "entity", "surrogate"])
+
+    pairs = docs.select(F.col("text").cast("string")).mapInArrow(run, "kind string, entity string, surrogate string").distinct()
+    shared = pairs.groupBy("kind", F.lit("surrogate").alias("side"), F.col("surrogate").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    split = pairs.groupBy("kind", F.lit("entity").alias("side"), F.col("entity").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return shared.unionByName(split).where("n > 1")
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key; without one the public key, whose surrogates anyone can turn back."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else PUBLIC_KEY
+
+
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replaced(table(spark, sf_dir, "documents"))
+    return replaced(table(spark, sf_dir, "documents"), key_of(spark))

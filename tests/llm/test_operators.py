@@ -166,6 +166,50 @@ def test_html(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+def windows_by_brute_force(lines, marked, window, surge):
+    """Kept lines by sums over every run of lines: surges and dives looked up one position at a time."""
+    n, sums = len(lines), {}
+    weigh = [i for i in range(n) if lines[i][1]]
+    if not weigh:
+        return []
+    part, parts = {weigh[0]: 0}, [[weigh[0]]]
+    for before, i in zip(weigh, weigh[1:]):
+        gap, shallow = i - before - 1, min(lines[j][2] for j in parts[-1])
+        if gap >= window or (gap and lines[i][2] < shallow) or lines[i][3] != lines[before][3]:
+            parts.append([])
+        parts[-1].append(i)
+        part[i] = len(parts) - 1
+    for k, own in enumerate(parts):
+        sums[k] = max(sum(lines[j][1] for j in own if s <= j < s + window) for s in range(own[0], own[-1] + 1))
+    top = max(sums.values())
+    return [lines[i][0] for i in weigh if sums[part[i]] >= min(surge + 1, top) and (lines[i][3] or not marked or html_text.MARK * sums[part[i]] >= top)]
+
+
+def test_html_windows_decide(spark):
+    r = random.Random(5)
+    tags = ["<p>{}</p>", "<div>{}</div>", "<div class=ad>{}</div>", "<nav>{}</nav>", "<p><a href=x>{}</a></p>", "<article><p>{}</p></article>", "<div><p>{}</p><p>{}</p></div>", "<footer>{}</footer>", "<main><p>{}</p><div class=ad>{}</div><p>{}</p></main>"]
+    text = lambda: "word " * r.choice([1, 3, 8, 20, 60])
+    pages = ["".join(t.format(*[text() for _ in range(t.count("{}"))]) for t in r.choices(tags, k=r.randint(1, 14))) for _ in range(400)]
+    pages += [x.html for x in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    without = 0
+    for page in pages:
+        lines, marked = html_text.lines_of(page, 3)
+        assert html_text.main_text(page) == "\n".join(windows_by_brute_force(lines, marked, 3, html_text.SURGE))
+        without += html_text.main_text(page) != "\n".join(x[0] for x in lines if x[1])
+    assert without > 100  # what all weighing lines would give without the windows
+
+
+def test_html_ablation():
+    """Without windows short lines apart from the text would stay, on marked pages too."""
+    body, noise = "long text here " * 20, "<div class=ad>Buy</div>" * 3
+    for page in (f"<article><p>{body}</p>{noise}<p>Print me</p></article>", f"<div><p>{body}</p></div>{noise}<div><p>Print me</p></div>", f"<article><p>{body}</p></article><div>A word on us, of forty code points or so.</div>"):
+        lines, _ = html_text.lines_of(page, 3)
+        assert html_text.main_text(page) == body.strip() and sum(1 for x in lines if x[1]) == 2
+    assert html_text.main_text(f"<article><p>{body}</p>{noise}<p>A closing paragraph of its own.</p></article>").endswith("of its own.")
+    page = f"<article><p>{body}</p><ins class='adsbygoogle'>Buy</ins><div class='share-price'><p>It costs ten.</p></div><div class='share-buttons'>Send it</div><p>End.</p></article>"
+    assert html_text.main_text(page).split("\n") == [body.strip(), "It costs ten.", "End."]
+
+
 def test_html_short_text():
     assert html_text.main_text("<h1>Name</h1><p>By me</p><p>All of it.</p>") == "Name\nBy me\nAll of it."
     close = "A closing paragraph that is shorter than what a surge needs."
@@ -276,6 +320,38 @@ def test_toxicity_gradients():
         assert abs((losses[0] - losses[1]) / 0.02 - g[i]) < 1e-4
 
 
+def test_toxicity_scores_by_brute_force():
+    """The scorer against plain loops: a step at a time, a window at a time."""
+    net = toxicity.Network()
+    texts = ["alpha beta gamma " * 30, "one", "", "a b c d e f g " * 8]
+    net.w = {k: v + 0.05 * np.random.default_rng(len(k)).standard_normal(v.shape).astype(v.dtype) for k, v in net.w.items()}
+    h, sig = toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+
+    def window_logit(x):
+        sides = []
+        for d in (0, 1):
+            state, seen = np.zeros(h), []
+            for row in x[:: 1 if d == 0 else -1]:
+                g, u = row @ net.w["in"][d] + net.w["bias"][d][0], state @ net.w["re"][d]
+                z, r = sig(g[:h] + u[:h]), sig(g[h : 2 * h] + u[h : 2 * h])
+                c = np.tanh(g[2 * h :] + r * u[2 * h :])
+                state = c + z * (state - c)
+                seen.append(state)
+            sides.append(seen if d == 0 else seen[::-1])
+        both = np.array([np.concatenate(p) for p in zip(*sides)])
+        e = np.exp(np.tanh(both @ net.w["att"]) @ net.w["pick"])
+        return (e / e.sum()) @ both @ net.w["out"] + net.w["shift"][0]
+
+    for text, got in zip(texts, net.logits(texts)):
+        slots, bounds = toxicity.word_slots([text])
+        x = net.words(slots) if len(slots) else np.zeros((0, 2 * toxicity.WIDTH))
+        first, count, _ = toxicity.window_starts(bounds)
+        assert abs(max([window_logit(x[a : a + n]) if n else net.w["shift"][0] for a, n in zip(first, count)]) - got) < 1e-4
+    together = net.scores(texts)
+    assert np.allclose(together, [net.scores([t])[0] for t in texts], atol=1e-5)  # no text depends on its neighbours
+    assert np.allclose(net.scores(texts * 3)[:4], together, atol=1e-5) and ((0 <= together) & (together <= 1)).all()
+
+
 def test_toxicity_windows_cover_every_word():
     _, bounds = toxicity.word_slots(["w " * n for n in (0, 1, 47, 48, 49, 200)])
     first, count, text = toxicity.window_starts(bounds)
@@ -373,18 +449,18 @@ def test_surrogates(docs, rows, empty):
     assert int("".join(str(int(x, 36)) for x in iban[4:] + iban[:4])) % 97 == 1
     assert surrogates._GENDER[surrogates.surrogate(c, "name", "Maria Lopez").split()[0]] == ("f", "latin")
     assert surrogates._GENDER[surrogates.surrogate(c, "name", "Иван Петров").split()[0]] == ("m", "cyrillic")
-    text = 'Mail ab.1@x.example.com or AB.1@X.EXAMPLE.COM, call +1 (017) 555-7713, from 97.51.17.173. token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"### 9807915762804490 Mrs Novak. GPL 3.0, CC BY-NC 4.0.'
+    text = 'Mail ab.1@x.example.com or AB.1@X.EXAMPLE.COM, call +1 (017) 555-7713, from 97.51.17.173. token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"### 4111111111111111 Mrs Novak. GPL 3.0, CC BY-NC 4.0.'
     new, found = surrogates.replace(text, c)
     assert [k for *_, k in found] == ["email", "email", "phone", "ip", "secret", "card", "name"] and len(new) == len(text)
     for a, b, _ in found:
         assert text[a:b] not in new
     emails = re.findall(r"\S+@\S+\.(?:com|COM)", new)
     assert emails[0].lower() == emails[1].lower() and new.endswith("GPL 3.0, CC BY-NC 4.0.")
-    got = surrogates.replaced(docs).collect()
+    got = surrogates.replaced(docs, b"test").collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter((d, x) for d, x, *_ in rows)
-    out = surrogates.anonymised(docs)
+    out = surrogates.anonymised(docs, b"test")
     assert out.columns == docs.columns and Counter((r.doc_id, r.n_chars) for r in out.collect()) == Counter((r[0], r[4]) for r in rows)
-    assert surrogates.replaced(empty).count() == 0
+    assert surrogates.replaced(empty, b"test").count() == 0
 
 
 def test_surrogates_corefer():
@@ -401,6 +477,34 @@ def test_surrogates_corefer():
     assert new.endswith("it, will he? Will.") and surrogates.surrogate(c, "name", "MARIA") == given.upper()
 
 
+def test_surrogates_by_brute_force(spark):
+    """Over a whole corpus: one entity, one surrogate; two entities, two; the same shape; nothing left in its document."""
+    c = surrogates.Cipher(b"test")
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text for r in corpus.collect() if r.text]
+    people = ["Mrs {0} wrote. Later {0} and +44 20 7946 09{1:02d} came from 10.0.{1}.7, said {0}.", "My name is {0}: card 4111-1111-1111-1111, not 4111-1111-1111-1112, {0}."]
+    r = random.Random(3)
+    texts += [people[i % 2].format("".join(r.choices("bcdfgk", k=1)).upper() + "".join(r.choices("aeioulnrst", k=7)), i) for i in range(60)]
+    to, back, kinds = {}, {}, Counter()
+    for t in texts:
+        new, found = surrogates.replace(t, c)
+        at = 0
+        for a, b, kind in found:
+            kinds[kind] += 1
+            own = t[a:b]
+            put = new[a + at : b + at]  # shapes are kept, so places stay
+            assert len(put) == len(own) and [x.isdigit() for x in put] == [x.isdigit() for x in own] or kind == "name" or kind == "ip" or kind == "secret"
+            at += len(surrogates.surrogate(c, kind, own)) - len(own)
+            if kind != "name":
+                key_, value = (kind, surrogates._same_entity(kind, own)), (kind, surrogates._same_entity(kind, surrogates.surrogate(c, kind, own)))
+                assert to.setdefault(key_, value) == value and back.setdefault(value, key_) == key_
+                assert own not in new
+    assert min(kinds[k] for k in ("card", "email", "ip", "phone", "secret", "name")) >= 10
+    assert "4111-1111-1111-1112" in surrogates.replace(people[1].format("Bosten", 1), c)[0]
+    everything = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert surrogates.collisions(everything, b"test").count() == 0
+
+
 # 9
 def test_merged_transforms():
     r = np.random.default_rng(1)

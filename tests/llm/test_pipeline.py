@@ -28,7 +28,7 @@ def test_stages(spark, monkeypatch):
     left = [tuple(r) for r in single.collect()]
     assert sorted(r.doc_id for r in apart.collect()) == sorted(d for d, _, _, k in brute_classes(left, 5, 80) if k)
     safe = stages["pii"](spark, docs, SF)
-    cipher = surrogates.Cipher(surrogates.KEY)
+    cipher = surrogates.Cipher(surrogates.PUBLIC_KEY)
     assert Counter((r.doc_id, r.text) for r in safe.collect()) == Counter((r[0], surrogates.replace(r[1], cipher)[0]) for r in rows)
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert pieces and near_dedup.BANDS == 20
