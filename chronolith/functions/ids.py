@@ -42,3 +42,25 @@ def escaped_html(value: Column) -> Column:
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(plain), F.lit(entity))
     return out
+
+
+# fixed values: prefixes of public vocabularies
+PREFIXES = {
+    "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "owl": "http://www.w3.org/2002/07/owl#", "xsd": "http://www.w3.org/2001/XMLSchema#",
+    "skos": "http://www.w3.org/2004/02/skos/core#", "prov": "http://www.w3.org/ns/prov#", "time": "http://www.w3.org/2006/time#", "geo": "http://www.opengis.net/ont/geosparql#",
+}
+
+
+def expanded(name: Column, prefixes: dict[str, str] = PREFIXES) -> Column:
+    """The IRI of a prefixed name; names of unknown prefixes and IRIs stay."""
+    prefix = F.regexp_extract(name, r"^([A-Za-z][\w-]*):(?!//)", 1)
+    base = F.create_map(*[F.lit(x) for p in prefixes.items() for x in p])[prefix]
+    return F.when(base.isNotNull(), F.concat(base, F.substring_index(name, ":", -1))).otherwise(name)
+
+
+def shortened(iri: Column, prefixes: dict[str, str] = PREFIXES) -> Column:
+    """The prefixed name of an IRI, by the longest base that it starts with; others stay."""
+    out = iri
+    for prefix, base in sorted(prefixes.items(), key=lambda p: len(p[1])):
+        out = F.when(iri.startswith(base), F.concat(F.lit(f"{prefix}:"), iri.substr(F.lit(len(base) + 1), F.length(iri)))).otherwise(out)
+    return out

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.operators.rounds import fixpoint
@@ -115,3 +118,34 @@ def following(rows: DataFrame, group: str, by: str, key: str) -> DataFrame:
     ranked = rows.where(F.col(by).isNotNull()).select(group, key, F.dense_rank().over(Window.partitionBy(group).orderBy(by)).alias("__r"))
     nxt = ranked.select(F.col(group).alias("__g"), (F.col("__r") - 1).alias("__q"), F.col(key).alias(f"{key}2"))
     return ranked.join(nxt, (F.col(group) == F.col("__g")) & (F.col("__r") == F.col("__q"))).select(group, F.col(key).alias(f"{key}1"), f"{key}2")
+
+
+def updated(quads: DataFrame, *updates: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Several updates in turn, each a function of statements."""
+    return reduce(lambda rows, update: update(rows), updates, quads)
+
+
+class Repository:
+    """A dataset with a name: a database of the catalog that holds a table of statements for each graph's rows."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name = spark, name
+
+    def exists(self) -> bool:
+        return self.spark.catalog.databaseExists(self.name)
+
+    def create(self) -> Repository:
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.name}")
+        return self
+
+    def put(self, quads: DataFrame) -> None:
+        quads.write.mode("append").partitionBy("g").saveAsTable(f"{self.name}.quad")
+
+    def quads(self) -> DataFrame:
+        return self.spark.table(f"{self.name}.quad")
+
+    def clear(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}.quad")
+
+    def remove(self) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")

@@ -115,3 +115,8 @@ def event_order(before: DataFrame) -> DataFrame:
 def similar_change_events(depends: DataFrame) -> DataFrame:
     """Events (a, b) that one change (cg, ev) depends on."""
     return same_as(depends.select(F.col("cg").alias("s"), F.lit("dependsOn").alias("p"), F.col("ev").alias("o")), ["dependsOn"])
+
+
+def under(quads: DataFrame, rules: dict[str, object] | None) -> DataFrame:
+    """Statements with all that a set of rules (arguments of ``inferred``) adds, or, without rules, as they are."""
+    return quads.select(TRIPLE) if rules is None else inferred(quads, **rules)

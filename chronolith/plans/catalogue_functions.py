@@ -587,3 +587,48 @@ def a32_grouped_lists(t):
 def a33_merge_map_group(t):
     lm = t("landmark")
     return lm.join(lm.groupBy("type").agg(F.count_distinct("label").alias("labels")), "type").select("lm", F.upper("label").alias("label"), "labels")
+
+
+# --- administration (S24-S36) -----------------------------------------------------------------------------------
+
+
+@query("SELECT s, CASE WHEN p = 'hasTime' THEN 'at' ELSE p END AS p, o, g FROM quad WHERE g <> 'g2' UNION ALL SELECT s, 'marked', 'yes', g FROM quad WHERE p = 'appliedTo' AND g <> 'g2'")
+def s24_updates_in_turn(t):
+    drop = lambda rows: rows.where("g <> 'g2'")
+    mark = lambda rows: rows.unionByName(rows.where("p = 'appliedTo'").withColumn("p", F.lit("marked")).withColumn("o", F.lit("yes")))
+    rename = lambda rows: rows.withColumn("p", F.when(F.col("p") == "hasTime", "at").otherwise(F.col("p")))
+    return graph.updated(t("quad").select("s", "p", "o", "g"), drop, mark, rename)
+
+
+@query("SELECT s, p, o, g, true AS existed FROM quad WHERE p = 'appliedTo'")
+def s25_repository(t):
+    quads = t("quad").select("s", "p", "o", "g")
+    repository = graph.Repository(quads.sparkSession, f"r{ids_of_run()}").create()
+    repository.put(quads)
+    repository.clear()
+    repository.put(quads.where("p = 'appliedTo'"))
+    return repository.quads().select("s", "p", "o", "g", F.lit(repository.exists()).alias("existed"))
+
+
+@query("SELECT lm, CASE n % 3 WHEN 0 THEN concat('http://www.w3.org/2000/01/rdf-schema#', lm) WHEN 1 THEN concat('odd:', lm) ELSE concat('http://x/', lm) END AS iri, CASE n % 3 WHEN 0 THEN concat('rdfs:', lm) WHEN 1 THEN concat('odd:', lm) ELSE concat('http://x/', lm) END AS short FROM landmark")
+def s27_prefixes(t):
+    name = F.concat(F.when(F.col("n") % 3 == 0, "rdfs:").when(F.col("n") % 3 == 1, "odd:").otherwise("http://x/"), "lm")
+    iri = ids.expanded(name)
+    return t("landmark").select("lm", iri.alias("iri"), ids.shortened(iri).alias("short"))
+
+
+@query("SELECT 'off' AS rules, s, p, o FROM quad WHERE p = 'isPartOf' UNION ALL SELECT 'on', s, p, o FROM (SELECT s, p, o FROM quad WHERE p = 'isPartOf' UNION SELECT o, 'hasPart', s FROM quad WHERE p = 'isPartOf')")
+def s28_rules_on_and_off(t):
+    from chronolith.operators import inference
+
+    quads = t("quad").where("p = 'isPartOf'")
+    make = quads.sparkSession.createDataFrame
+    rules = {"inverses": make([("isPartOf", "hasPart")], "p string, q string"), "supers": make([], "p string, q string"), "symmetrics": [], "transitives": []}
+    off, on = inference.under(quads, None), inference.under(quads, rules)
+    return off.select(F.lit("off").alias("rules"), "s", "p", "o").unionByName(on.select(F.lit("on").alias("rules"), "s", "p", "o"))
+
+
+@query("SELECT type, count(*) AS n, min(label) AS first FROM landmark WHERE n > 10 GROUP BY type")
+def s36_sql_over_views(t):
+    lm = t("landmark")
+    return lm.sparkSession.sql("SELECT type, count(*) AS n, min(label) AS first FROM {lm} WHERE n > {least} GROUP BY type", lm=lm, least=10)
