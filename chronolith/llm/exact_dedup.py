@@ -119,16 +119,18 @@ def deduplicated(docs: DataFrame, index: DigestIndex | None = None, single: bool
     Rows that repeat a keeper's whole key are all returned, or, with ``single``, one row of each text that the index
     lacked: rows are numbered and a group keeps one number."""
     index = index or fresh_index(docs.sparkSession)
+    taken = {c.lower() for c in docs.columns}
+    own, row = (next(n for n in (f"__{name}{'_' * k}" for k in range(len(taken) + 1)) if n not in taken) for name in ("own", "row"))
     if single:
-        numbered = settle(docs.withColumn("__own", digest_of()).withColumn("__row", F.monotonically_increasing_id()), "digest-rows")
-        one = numbered.groupBy(F.col("__own").alias("digest")).agg(F.coalesce(F.max_by("__row", F.col("doc_id").cast("long")), F.min("__row")).alias("__one"))
+        numbered = settle(docs.withColumn(own, digest_of()).withColumn(row, F.monotonically_increasing_id()), "digest-rows")
+        one = numbered.groupBy(F.col(own).alias("digest")).agg(F.coalesce(F.max_by(row, F.col("doc_id").cast("long")), F.min(row)).alias("__one"))
         one = settle(one, "digest-keepers").join(index.rows().select("digest").hint("merge"), "digest", "left_anti")
         one = settle(one.select("__one"), "digest-keepers")  # before the index gets these digests
         index.add(numbered)
-        return numbered.join(one.hint("merge"), F.col("__row") == F.col("__one"), "left_semi").drop("__own", "__row")
+        return numbered.join(one.hint("merge"), F.col(row) == one["__one"], "left_semi").drop(own, row)
     index.add(docs)
-    keep = docs.sparkSession.read.schema(COLUMNS).parquet(index.path).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    return docs.withColumn("__own", digest_of()).join(keep.hint("merge"), (F.col("__own") == F.col("__digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi").drop("__own")
+    keep = docs.sparkSession.read.schema(COLUMNS).parquet(index.path).hint("merge")
+    return docs.withColumn(own, digest_of()).join(keep, (F.col(own) == keep["digest"]) & F.col("doc_id").cast("long").eqNullSafe(keep["keep_id"]), "left_semi").drop(own)
 
 
 def in_blocks(docs: DataFrame, blocks: int = BLOCKS) -> list[DataFrame]:

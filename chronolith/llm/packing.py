@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import in_slices, partitions, settle, table
 
 DIMS, BITS, BUCKETS = 3, 16, 256
+#: Ids of a range on the average, two bytes each: the number of ranges grows with the corpus, a task's share doesn't.
+RANGE_IDS = 1 << 24
 #: Fixed value: the marker that the vocabulary's tokenizer reads as one id wherever a text holds it.
 MARKERS = {"<|endoftext|>": 50256}
 _ENCODERS: dict[str, object] = {}
@@ -161,8 +163,8 @@ def pack(tokens: DataFrame, length: int = 1024) -> DataFrame:
         if done:
             yield table_of(done)
 
-    spark = tokens.sparkSession
-    along = tokens.repartitionByRange(partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id", "n_tokens", "ids")
+    ids = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    along = tokens.repartitionByRange(max(partitions(tokens.sparkSession), -(-ids // RANGE_IDS)), "key", "doc_id").sortWithinPartitions("key", "doc_id", "n_tokens", "ids")
     return along.mapInArrow(run, PIECES)
 
 

@@ -590,5 +590,17 @@ def sampled(docs: DataFrame, k: int = SAMPLES, file: str = "piece_bpe_32k.model"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)
 
 
+def decoded_samples(samples: DataFrame, file: str = "piece_bpe_32k.model") -> DataFrame:
+    """doc_id, sample, text of every sample with its ids: the normalised text, whichever way it was segmented."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(file)
+        for batch in batches:
+            texts = m.processor.decode(batch.column("ids").to_pylist()) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sample"), pa.array(texts, pa.string())], names=["doc_id", "sample", "text"])
+
+    return samples.select("doc_id", "sample", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, sample int, text string")
+
+
 def op10_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled(table(spark, sf_dir, "documents"), with_ids=False)

@@ -115,6 +115,9 @@ def test_exact_dedup(spark, docs, rows, empty):
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, x, *_ in rows if d == best[x or ""])
     assert exact_dedup.deduplicated(empty).count() == 0
+    clash = docs.withColumnsRenamed({"key": "__own", "digest": "digest", "source": "__row", "lang": "__one"})
+    for single in (False, True):
+        assert sorted(exact_dedup.deduplicated(clash, single=single).columns) == sorted(clash.columns)
 
 
 @pytest.mark.parametrize("forgotten", [False, True])
@@ -565,6 +568,9 @@ def test_samples(docs, rows, empty):
         assert sampled_pieces.decoded(m, np.array(r.ids)) in texts[r.doc_id] and 0 <= r.inclusion <= 1
         by_row[r.doc_id].add((r.sample, tuple(r.ids)))
     assert len({i for _, i in by_row[3]}) == len({s for s, _ in by_row[3]}) == 3
+    back = sampled_pieces.decoded_samples(sampled_pieces.sampled(docs, 3)).collect()
+    assert Counter((r.doc_id, r.sample) for r in back) == Counter((r.doc_id, r.sample) for r in got)
+    assert all(r.text in texts[r.doc_id] for r in back)
     other = sampled_pieces.sampled(docs.repartition(1), 3).collect()
     assert Counter((r.doc_id, r.sample, r.ids_crc32) for r in other) == Counter((r.doc_id, r.sample, r.ids_crc32) for r in got)
     assert sampled_pieces.sampled(empty).count() == 0
