@@ -5,7 +5,6 @@ Rules are few rows and broadcast by size; each check is one join or one group ov
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,26 +74,31 @@ class Shape:
 
 
 def shape_report(quads: DataFrame, classes: DataFrame, shapes: list[Shape]) -> DataFrame:
-    """(shape, s, path, rule) of all violations."""
-    out = []
-    for shape in shapes:
-        targets = classes.where(F.col("class") == shape.target).select("s").distinct()
-        for p in shape.properties:
-            values = targets.join(quads.where(F.col("p") == p.path).select(F.col("s").alias("__s"), "o", "o_kind", "o_dtype"), F.col("s") == F.col("__s"), "left").drop("__s")
-            tag = lambda rows, rule, shape=shape, p=p: rows.select(F.lit(shape.name).alias("shape"), "s", F.lit(p.path).alias("path"), F.lit(rule).alias("rule")).distinct()
-            if p.least is not None or p.most is not None:
-                n = values.groupBy("s").agg(F.count_distinct("o").alias("n"))
-                out += [tag(n.where(F.col("n") < p.least), "minCount")] * (p.least is not None)
-                out += [tag(n.where(F.col("n") > p.most), "maxCount")] * (p.most is not None)
-            given = values.where("o is not null")
-            if p.kind:
-                out.append(tag(given.where(F.col("o_kind") != p.kind), "nodeKind"))
-            if p.dtype:
-                out.append(tag(given.where(~F.col("o_dtype").eqNullSafe(F.lit(p.dtype))), "datatype"))
-            if p.classes:
-                c = classes.where(F.col("class").isin(*p.classes)).select(F.col("s").alias("__o")).distinct()
-                out.append(tag(given.join(c, F.col("o") == F.col("__o"), "left_anti"), "class"))
-    return reduce(DataFrame.unionByName, out)
+    """(shape, s, path, rule) of all violations.
+
+    All shapes together: their targets and properties are rows of a small table, each target meets its values once,
+    and one group by target and property judges every rule but that of the values' class, which needs a join."""
+    spark = quads.sparkSession
+    rules = [(x.name, x.target, p.path, p.least, p.most, p.dtype, p.kind, list(p.classes)) for x in shapes for p in x.properties]
+    rules = spark.createDataFrame(rules, "shape string, target string, path string, least int, most int, dtype string, kind string, allowed array<string>")
+    of = classes.join(rules, F.col("class") == F.col("target")).drop("class", "target").distinct()
+    given = quads.join(rules.select(F.col("path").alias("__path")).distinct(), F.col("p") == F.col("__path"), "left_semi").select(F.col("s").alias("__s"), F.col("p").alias("__p"), "o", "o_kind", "o_dtype")
+    values = of.join(given, (F.col("s") == F.col("__s")) & (F.col("path") == F.col("__p")), "left")
+    # o is null where the property is missing
+    there = F.col("o").isNotNull()
+    key = ["shape", "s", "path", "least", "most"]
+    judged = values.groupBy(*key).agg(
+        F.count_distinct("o").alias("n"),
+        F.bool_or(there & F.col("kind").isNotNull() & (F.col("o_kind") != F.col("kind"))).alias("nodeKind"),
+        F.bool_or(there & F.col("dtype").isNotNull() & ~F.col("o_dtype").eqNullSafe(F.col("dtype"))).alias("datatype"),
+    )
+    wrong = {"minCount": F.col("n") < F.col("least"), "maxCount": F.col("n") > F.col("most"), "nodeKind": F.col("nodeKind"), "datatype": F.col("datatype")}
+    found = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), name) for name, test in wrong.items()]), lambda r: r.isNotNull())
+    report = judged.select("shape", "s", "path", F.explode(found).alias("rule"))
+    typed = values.where(there & (F.size("allowed") > 0))
+    right = classes.select(F.col("s").alias("__o"), F.col("class").alias("__c"))
+    outside = typed.join(right, (F.col("o") == F.col("__o")) & F.array_contains("allowed", F.col("__c")), "left_anti")
+    return report.unionByName(outside.select("shape", "s", "path", F.lit("class").alias("rule")).distinct())
 
 
 # fixed values: properties that elements of a class must have

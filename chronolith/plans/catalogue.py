@@ -305,29 +305,40 @@ def s01_json_properties(t):
 
 
 def _event_texts(t):
-    change = F.struct(F.lit("attribute").alias("on"), F.lit("name").alias("attribute"), F.array(F.struct(F.col("event_type").alias("value"), F.lit("fr").alias("lang"))).alias("makes_effective"))
-    gone = F.struct(F.lit("landmark").alias("on"), F.lit("appearance").alias("type"))
-    lm = F.struct(F.lit("1").alias("id"), F.col("event_type").alias("label"), F.lit("fr").alias("lang"), F.lit("Thoroughfare").alias("type"), F.array(F.to_json(change), F.to_json(gone)).alias("changes"))
+    name = F.concat_ws("-", "event_type", F.col("event_id").cast("string"))
+    change = F.struct(F.lit("attribute").alias("on"), F.lit("name").alias("attribute"), F.array(F.struct(name.alias("value"), F.lit("fr").alias("lang"))).alias("makes_effective"), F.array(F.struct(F.concat(F.lit("old-"), name).alias("value"), F.lit("fr").alias("lang"))).alias("outdates"))
+    gone = F.struct(F.lit("landmark").alias("on"), F.when(F.col("event_id") % 2 == 0, "appearance").otherwise("disappearance").alias("type"))
+    lm = F.struct(F.lit("1").alias("id"), name.alias("label"), F.lit("fr").alias("lang"), F.lit("Thoroughfare").alias("type"), F.array(F.to_json(change), F.to_json(gone)).alias("changes"))
     row = F.concat(F.lit('{"source":{"uri":"s'), F.col("event_id").cast("string"), F.lit('"},"events":[{"time":{"stamp":"2024-01-01"},"landmarks":['), F.replace(F.replace(F.replace(F.to_json(lm), F.lit('\\"'), F.lit('"')), F.lit('"{'), F.lit("{")), F.lit('}"'), F.lit("}")), F.lit("]}]}"))
     return t("events").select(row.alias("j"))
 
 
-@query("SELECT event_type AS value, 'makesEffective' AS side, count(*) AS n FROM events GROUP BY event_type")
+def _event_tables(t):
+    got = events_json.from_text(_event_texts(t), "j")
+    return got, got["landmark"].select(F.col("lm").alias("__lm"), "label")
+
+
+@query("SELECT concat(event_type, '-', event_id) AS label, 'Name' AS attribute, side, CASE side WHEN 'outdates' THEN concat('old-', event_type, '-', event_id) ELSE concat(event_type, '-', event_id) END AS value, 'fr' AS lang FROM events, (VALUES ('makesEffective'), ('outdates')) AS v(side)")
 def s02_event_versions(t):
-    return events_json.from_text(_event_texts(t), "j")["version"].groupBy("value", "side").agg(F.count(F.lit(1)).alias("n"))
+    got, named = _event_tables(t)
+    of = got["change"].select(F.col("cg").alias("__cg"), "lm")
+    return got["version"].join(of, F.col("cg") == F.col("__cg")).join(named, F.col("lm") == F.col("__lm")).select("label", "attribute", "side", "value", "lang")
 
 
-@query("SELECT 'AttributeVersionTransition' AS type, count(*) AS n FROM events UNION ALL SELECT 'LandmarkAppearance', count(*) FROM events")
+@query("SELECT concat(event_type, '-', event_id) AS label, 'AttributeVersionTransition' AS type, '2024-01-01' AS stamp FROM events UNION ALL SELECT concat(event_type, '-', event_id), CASE WHEN event_id % 2 = 0 THEN 'LandmarkAppearance' ELSE 'LandmarkDisappearance' END, '2024-01-01' FROM events")
 def s02_event_changes(t):
-    return events_json.from_text(_event_texts(t), "j")["change"].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    got, named = _event_tables(t)
+    stamps = got["event"].select(F.col("ev").alias("__ev"), "stamp")
+    return got["change"].join(named, F.col("lm") == F.col("__lm")).join(stamps, F.col("ev") == F.col("__ev")).select("label", "type", "stamp")
 
 
-@query("SELECT concat('s', n % 5) AS start, type, count(*) AS n FROM landmark GROUP BY ALL")
+@query("SELECT lm AS g, label, type, concat('s', n % 5) AS start FROM landmark")
 def s04_state_landmarks(t):
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     row = F.concat(F.lit('{"source":{"uri":'), quoted(F.col("lm")), F.lit('},"time":{"start":{"stamp":'), quoted(F.concat(F.lit("s"), (F.col("n") % 5).cast("string"))), F.lit('}},"landmarks":[{"id":"1","label":'), quoted(F.col("label")), F.lit(',"type":'), quoted(F.col("type")), F.lit("}]}"))
     got = states_json.from_text(t("landmark").select(row.alias("j")), "j")
-    return got["landmark"].join(got["valid_time"], F.col("lm") == F.col("elem")).groupBy(F.col("start.stamp").alias("start"), "type").agg(F.count(F.lit(1)).alias("n"))
+    times_ = got["valid_time"].select(F.col("elem").alias("__elem"), F.col("start.stamp").alias("start"))
+    return got["landmark"].join(times_, F.col("lm") == F.col("__elem")).select("g", "label", "type", "start")
 
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")
@@ -336,31 +347,36 @@ def s18_last_row_wins(t):
     return files.last_row_wins(rows, "key", "event_id").select("user_id", "event_type", "event_id")
 
 
-@query("SELECT 'StreetNumber' AS type, count(*) AS n FROM part UNION ALL SELECT 'Thoroughfare', count(DISTINCT p_name) FROM part UNION ALL SELECT 'District', count(DISTINCT p_type) FROM part UNION ALL SELECT 'PostalCodeArea', count(DISTINCT p_brand) FROM part")
+@query("SELECT 'StreetNumber' AS type, concat(p_size, 'bis') AS label, concat(p_size, 'bis ', p_name, ', ', p_brand, ' ', p_type) AS address FROM part UNION ALL SELECT DISTINCT 'Thoroughfare', p_name, NULL FROM part UNION ALL SELECT DISTINCT 'District', p_type, NULL FROM part UNION ALL SELECT DISTINCT 'PostalCodeArea', p_brand, NULL FROM part")
 def s06_address_file(t):
     rows = t("part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_size").cast("string").alias("numero"), F.lit("bis").alias("rep"), F.col("p_name").alias("nom_voie"), F.col("p_brand").alias("code_postal"), F.col("p_type").alias("nom_commune"), F.lit("x").alias("code_insee"), F.lit(2.0).alias("lon"), F.lit(48.0).alias("lat"))
-    return files.address_file(rows, "ban")["landmark"].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    got = files.address_file(rows, "ban")
+    shown = got["address"].select("target", F.col("label").alias("address"))
+    return got["landmark"].join(shown, F.col("lm") == F.col("target"), "left").select("type", "label", "address")
 
 
-@query("SELECT 'Belongs' AS type, count(*) AS n FROM customer UNION ALL SELECT 'Within', count(*) FROM customer")
+@query("SELECT 'Belongs' AS type, c_name AS locatum, c_mktsegment AS relatum, c_nationkey AS street FROM customer UNION ALL SELECT 'Within', c_name, 'a', NULL FROM customer".replace("c_mktsegment AS relatum, c_nationkey AS street", "concat('street ', c_nationkey) AS relatum").replace("'a', NULL", "'a'"))
 def s07_house_number_files(t):
     c = t("customer")
     numbers = c.select(F.lit("POINT (2 48)").alias("houseNumberGeomWKT"), F.col("c_custkey").cast("string").alias("houseNumberId"), F.col("c_name").alias("houseNumberLabel"))
-    context = c.select(F.col("c_custkey").cast("string").alias("houseNumberId"), F.col("c_nationkey").cast("string").alias("streetId"), F.col("c_mktsegment").alias("streetName"), F.lit("1").alias("arrdtId"), F.lit("a").alias("arrdtName"), F.lit("i").alias("arrdtInsee"))
-    return files.house_number_files(numbers, context, "osm")["relation"].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    context = c.select(F.col("c_custkey").cast("string").alias("houseNumberId"), F.col("c_nationkey").cast("string").alias("streetId"), F.concat(F.lit("street "), F.col("c_nationkey").cast("string")).alias("streetName"), F.lit("1").alias("arrdtId"), F.lit("a").alias("arrdtName"), F.lit("i").alias("arrdtInsee"))
+    got = files.house_number_files(numbers, context, "osm")
+    named = lambda name: got["landmark"].select(F.col("lm").alias(f"__{name}"), F.col("label").alias(f"{name}_label"))
+    rows = got["relation"].join(named("locatum"), F.col("locatum") == F.col("__locatum")).join(named("relatum"), F.col("relatum") == F.col("__relatum"))
+    return rows.select("type", F.col("locatum_label").alias("locatum"), F.col("relatum_label").alias("relatum"))
 
 
-@query("SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'LandmarkAppearance' ELSE 'LandmarkDisappearance' END AS type, CASE o_orderkey % 3 WHEN 0 THEN 'day' WHEN 1 THEN 'year' ELSE 'century' END AS precision, count(*) AS n FROM orders GROUP BY ALL")
+@query("SELECT cast(o_orderkey AS varchar) AS landmark, o_orderpriority AS label, CASE WHEN o_orderkey % 2 = 0 THEN 'LandmarkAppearance' ELSE 'LandmarkDisappearance' END AS type, CASE o_orderkey % 3 WHEN 0 THEN 'day' WHEN 1 THEN 'year' ELSE 'century' END AS precision, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS stamp, 'gregorian' AS calendar, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS made FROM orders")
 def s11_linked_data(t):
     k = F.col("o_orderkey")
     rows = t("orders").select(k.cast("string").alias("landmarkId"), F.lit("Thoroughfare").alias("landmarkType"), F.col("o_orderpriority").alias("nomOff"), F.lit("fr").alias("lang"), F.when(k % 2 == 0, "start").otherwise("end").alias("timeType"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timeStamp"), F.when(k % 3 == 0, 11).when(k % 3 == 1, 9).otherwise(7).alias("timePrec"), F.lit("http://www.wikidata.org/entity/Q1985727").alias("timeCal"))
-    return files.linked_data_events(rows).where("calendar = 'gregorian' and stamp is not null").groupBy("type", "precision").agg(F.count(F.lit(1)).alias("n"))
+    return files.linked_data_events(rows).select(F.col("landmarkId").alias("landmark"), "label", "type", "precision", "stamp", "calendar", F.array_join("makes_effective", "|").alias("made"))
 
 
-@query("SELECT CASE WHEN n % 9 = 0 THEN NULL ELSE type END AS name, count(*) AS parts, min(n) AS first FROM landmark GROUP BY 1")
+@query("SELECT name, count(*) AS parts, min(n) AS first, CASE WHEN count(*) = 1 THEN min(w) ELSE concat('GEOMETRYCOLLECTION (', string_agg(w, ', ' ORDER BY n), ')') END AS wkt FROM (SELECT n, CASE WHEN n % 9 = 0 THEN NULL ELSE concat(type, n % 7) END AS name, concat('POINT (', n, ' 1)') AS w FROM landmark) GROUP BY name")
 def s12_merged_features(t):
-    rows = t("landmark").select(F.col("n").alias("ordinal"), F.lit("crs").alias("crs"), F.create_map(F.lit("name"), F.when(F.col("n") % 9 != 0, F.col("type"))).alias("properties"), F.concat(F.lit("POINT ("), F.col("n").cast("string"), F.lit(" 1)")).alias("wkt"))
-    return files.merged_features(rows, "name").select(F.col("properties")["name"].alias("name"), F.size("geometries").cast("long").alias("parts"), F.col("ordinal").alias("first"))
+    rows = t("landmark").select(F.col("n").alias("ordinal"), F.lit("crs").alias("crs"), F.create_map(F.lit("name"), F.when(F.col("n") % 9 != 0, F.concat("type", (F.col("n") % 7).cast("string")))).alias("properties"), F.concat(F.lit("POINT ("), F.col("n").cast("string"), F.lit(" 1)")).alias("wkt"))
+    return files.merged_features(rows, "name").select(F.col("properties")["name"].alias("name"), F.size("geometries").cast("long").alias("parts"), F.col("ordinal").alias("first"), "wkt")
 
 
 @query("SELECT concat('<', s, '> <', p, '> ', CASE WHEN o_kind = 'uri' THEN concat('<', o, '>') ELSE concat('\"', o, '\"') END, ' <', g, '> .') AS value FROM quad")
@@ -374,9 +390,10 @@ def k19_without_resources(t):
     return graph.without_resources(t("quad"), gone).select("s", "p", "o")
 
 
-@query("SELECT p, g, count(*) AS n FROM quad WHERE p <> 'hasTime' GROUP BY ALL")
+@query("SELECT s, p, o, g, p = 'hasTime' AS permanent FROM quad")
 def s34_split_immutable(t):
-    return graph.split_immutable(t("quad"), ["hasTime"])[0].groupBy("p", "g").agg(F.count(F.lit(1)).alias("n"))
+    stays, permanent = graph.split_immutable(t("quad"), ["hasTime"])
+    return stays.withColumn("permanent", F.lit(False)).unionByName(permanent.withColumn("permanent", F.lit(True))).select("s", "p", "o", "g", "permanent")
 
 
 def _registry(rows):
