@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from chronolith.functions import geo, text, times
 from chronolith.functions.ids import signature
 from chronolith.operators import changes, compare, evolution, graph, inference, labels, linking, metrics, reading, rooting, temporal, validation
-from chronolith.plans.catalogue import _CLASSES, _EVOLUTION, _LINKS, _PRUNED, _ROOTS, KIND_SQL, LABELLED_SQL, _classes, _evolution_inputs, _ids, number_sql, query, sig, simplified_sql, thoroughfare_sql
+from chronolith.plans.catalogue import ORACLES, _ALLEN, _CLASSES, _EVOLUTION, _LINKS, _PRUNED, _ROOTS, KIND_SQL, LABELLED_SQL, _classes, _evolution_inputs, _ids, number_sql, query, sig, simplified_sql, thoroughfare_sql
+from chronolith.plans.tables import SQL as TYPED
 from chronolith.service import Service
 from chronolith.sources import config, states_json
 
@@ -300,6 +301,17 @@ def t01_steps_of_instants(t):
     return temporal.steps_of_instants(t("instant"), "ev").select("ev", "t1", "t2")
 
 
+@query(f"""WITH nb AS (SELECT grp, i AS p, begin AS b1, ending AS e1, lead(i) OVER w AS q, lead(begin) OVER w AS b2, lead(ending) OVER w AS e2 FROM interval AS z WINDOW w AS (PARTITION BY grp ORDER BY begin, ending, i)),
+  pr AS (SELECT grp, p AS i1, q AS i2, b1 AS ab, e1 AS ae, b2 AS bb, e2 AS be, 0 AS way FROM nb WHERE q IS NOT NULL UNION ALL SELECT grp, q, p, b2, e2, b1, e1, 1 FROM nb WHERE q IS NOT NULL),
+  rl AS (SELECT grp, i1, i2, way, least(i1, i2) AS k1, greatest(i1, i2) AS k2, {_ALLEN.replace('a.begin', 'ab').replace('a.ending', 'ae').replace('b.begin', 'bb').replace('b.ending', 'be')} AS relation FROM pr)
+  SELECT grp, i1, i2, relation FROM (SELECT *, row_number() OVER (PARTITION BY grp, k1, k2 ORDER BY way) AS n FROM rl WHERE relation IS NOT NULL) WHERE n = 1""".replace("FROM interval AS z", "FROM ivl"))
+def t03_steps_of_intervals(t):
+    return temporal.steps_of_intervals(t("interval").withColumnRenamed("ending", "end"), "grp")
+
+
+ORACLES["t03_steps_of_intervals"] = f"WITH ivl AS ({TYPED['interval'].format(lineitem='lineitem')}), " + ORACLES["t03_steps_of_intervals"].removeprefix("WITH ")
+
+
 @query("SELECT ev, count(*) AS n FROM candidate GROUP BY ev")
 def t05_without_bounds(t):
     c = t("candidate")

@@ -114,6 +114,6 @@ def test_stream(spark, tmp_path):
     (source / "2.json").write_text(row("b", "w", 1830, 1840) + "\n")
     incremental.start(spark, str(source), str(target)).awaitTermination()
     got = sorted("".join(r.traces) for r in incremental.latest(spark, str(target)).collect())
-    assert got == ["a", "b"]
+    assert got == ["a", "b"] and incremental.latest(spark, str(target), ["x"]).count() == 2 and incremental.latest(spark, str(target), ["none"]).count() == 0
     events = spark.createDataFrame([("2024-01-01 01:00:00", "view", 1.0), ("2024-01-01 02:00:00", "view", 2.0)], "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert [(r.n, r.total) for r in incremental.windowed_counts(events).collect()] == [(2, 3.0)]
