@@ -228,10 +228,11 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Rules from the bounded sample of labelled rows."""
-    own = labels.select(F.col("doc_id").cast("long").alias("__label"), F.col("quality").cast("int").alias("__quality")).where("__quality is not null and __label is not null").orderBy(F.xxhash64("__label"), "__label").limit(sample)
+    """Rules from the bounded sample of labelled rows; of repeated labels or rows of one doc_id, one counts."""
+    own = labels.select(F.col("doc_id").cast("long").alias("__label"), F.col("quality").cast("int").alias("__quality")).where("__quality is not null and __label is not null").groupBy("__label").agg(F.min("__quality").alias("__quality")).orderBy(F.xxhash64("__label"), "__label").limit(sample)
     some = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("__label")).select(F.col("doc_id"), "text")
-    rows = statistics(some).join(F.broadcast(own), F.col("doc_id") == F.col("__label")).select("doc_id", *COUNTS, "__quality").collect()  # as many rows as the sample has
+    counted = statistics(some).groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("c"))
+    rows = counted.join(F.broadcast(own), F.col("doc_id") == F.col("__label")).select("doc_id", "c.*", "__quality").collect()  # as many rows as the sample has
     if not rows:
         return []
     values = np.array(sorted(tuple(x) for x in rows), np.int64)

@@ -21,13 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import in_slices, table
 
 LENGTH, STRIDE = 48, 24
 POSITIVES, NEGATIVES = 1000, 2500
+#: Most bytes of text of each label that the driver trains on.
+SAMPLE_BYTES = 64 << 20
 HIDDEN, WIDTH, SLOTS = 8, 8, 1 << 14
 #: Windows of one text that an epoch sees (drawn anew each epoch).
 PER_TEXT, EPOCHS, BATCH = 6, 5, 256
@@ -322,13 +324,17 @@ def held_out_fold() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def fitted(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Network:
-    """A network from the bounded sample of labelled rows outside the held-out fold."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(~held_out_fold())
+def fitted(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """A network from the bounded sample of labelled rows outside the held-out fold: bounded in rows and in bytes of
+    text; of repeated labels or rows of one doc_id, one counts."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(~held_out_fold()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = own.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     share = (n[1] or 0) / n[0] if n[0] else 0.0
     some = own.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).unionByName(own.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(negatives))
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), F.col("__id") == F.col("doc_id")).select("doc_id", "text", "toxic").collect()  # as many rows as the sample has
+    found = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), F.col("__id") == F.col("doc_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # as many rows as the sample has: those of each label that fit into the bytes, the others left out whole
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    rows = found.withColumn("upto", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(order)).where(F.col("upto") <= sample_bytes).select("doc_id", "text", "toxic").collect()
     rows = sorted(rows, key=lambda x: (x.doc_id, x.text or ""))
     return train([x.text for x in rows], [x.toxic for x in rows], share)
 

@@ -279,6 +279,28 @@ def test_quality(spark, docs, rows, empty):
     assert quality_rules.fitted(docs, spark.createDataFrame([], "doc_id long, quality int")) == []
 
 
+def test_quality_verdict_by_brute_force(spark):
+    """Rules of the real labels: the conditional expression against plain loops, and their worth on labels that they haven't seen."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    seen, unseen = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    rules = quality_rules.fitted(docs, seen.unionByName(seen))
+    assert rules and rules == quality_rules.fitted(docs, seen)
+    marked = docs.join(unseen.select("doc_id", "quality"), "doc_id")
+    counts = {r.doc_id: r for r in quality_rules.statistics(marked.select("doc_id", "text")).collect()}
+    quality = {r.doc_id: r.quality for r in unseen.collect()}
+    right = 0
+    for r in quality_rules.judged(marked.select("doc_id", "text"), rules).collect():
+        c = counts[r.doc_id]
+        bad = c.n_words < 20 or 100 * c.n_repeat_words > 30 * c.n_words
+        for rule in rules:
+            values = [c[quality_rules.FEATURES[t.feature][1]] / max(c[quality_rules.FEATURES[t.feature][2]], 1) for t in rule]
+            bad = bad or all(v > t.threshold if t.above else v <= t.threshold for v, t in zip(values, rule))
+        assert r.kept == (not bad)
+        right += int(r.kept) == quality[r.doc_id]
+    assert right / len(quality) > max(sum(quality.values()) / len(quality), 0.8)
+
+
 # 5
 @pytest.mark.parametrize("top", [1, 2, 60, 50_000, 1 << 31])
 def test_simple8b_round_trip(top):
