@@ -13,10 +13,12 @@ _LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; one of this machine only where it names none, as in tests."""
+    """The folder that the session names for checkpoints; one of this machine only where a local session names none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="chronolith-rounds-"))
     return _LOCAL[0]
