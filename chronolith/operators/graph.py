@@ -91,6 +91,16 @@ def extremes(rows: DataFrame, group: list[str], by: str, largest: bool = False)
     return rows.where(F.col(by).isNotNull()).withColumn("__rank", F.rank().over(Window.partitionBy(*group).orderBy(order))).where("__rank = 1").drop("__rank")
 
 
+def closure_of_rules(spark: SparkSession, edges: list[tuple[str, str]], reflexive: bool = True) -> DataFrame:
+    """Transitive closure (child, parent) of a hierarchy that is part of the program, as class hierarchies are: a few rules, closed on the driver."""
+    pairs = set(edges)
+    while more := {(a, d) for a, b in pairs for c, d in edges if b == c} - pairs:
+        pairs |= more
+    if reflexive:
+        pairs |= {(n, n) for edge in edges for n in edge}
+    return spark.createDataFrame(sorted(pairs), "child string, parent string")
+
+
 def closure(edges: DataFrame, reflexive: bool = True) -> DataFrame:
     """Transitive closure of a hierarchy (child, parent): paths double in each round, so a cycle ends as well."""
     pairs = edges.select("child", "parent").distinct()

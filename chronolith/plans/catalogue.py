@@ -845,8 +845,7 @@ _CLASSES = "cls AS (SELECT s, class FROM instance UNION SELECT s, 'Change' FROM
 
 def _classes(t):
     rows = t("instance")
-    closure = graph.closure(rows.sparkSession.createDataFrame([("AttributeChange", "Change")], "child string, parent string"))
-    return validation.classes_of(rows, closure)
+    return validation.classes_of(rows, graph.closure_of_rules(rows.sparkSession, [("AttributeChange", "Change")]))
 
 
 @query(f"WITH {_CLASSES} SELECT DISTINCT s, p, 'Change' AS expected FROM quad q WHERE p = 'appliedTo' AND NOT EXISTS (SELECT 1 FROM cls WHERE cls.s = q.s AND class = 'Change')")

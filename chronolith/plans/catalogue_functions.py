@@ -386,7 +386,7 @@ def s31_without_construction(t):
 @query("SELECT lm, parent FROM landmark JOIN (VALUES ('StreetNumber', 'Number'), ('StreetNumber', 'Landmark'), ('StreetNumber', 'StreetNumber'), ('Number', 'Number'), ('Number', 'Landmark'), ('Thoroughfare', 'Landmark'), ('Thoroughfare', 'Thoroughfare'), ('Landmark', 'Landmark')) AS v(child, parent) ON type = child")
 def s32_class_hierarchy(t):
     lm = t("landmark")
-    closed = graph.closure(lm.sparkSession.createDataFrame([("StreetNumber", "Number"), ("Number", "Landmark"), ("Thoroughfare", "Landmark")], "child string, parent string"))
+    closed = graph.closure_of_rules(lm.sparkSession, [("StreetNumber", "Number"), ("Number", "Landmark"), ("Thoroughfare", "Landmark")])
     return lm.join(closed, F.col("type") == F.col("child")).select("lm", "parent")
 
 
