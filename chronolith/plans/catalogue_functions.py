@@ -169,7 +169,7 @@ def c43_grown_envelopes(t):
     return t("point").select("id", box["xmin"].alias("xmin"), box["ymax"].alias("ymax"))
 
 
-@query("SELECT id % 20 AS k, round(sum(a * cx) / sum(a), 6) AS x, round(sum(a * cy) / sum(a), 6) AS y, round(sum(a), 6) AS area, count(*) AS n FROM (SELECT DISTINCT id % 20 AS id, x, y, 5.0 * w * w AS a, x + 1.1 * w AS cx, y + 1.1 * w AS cy FROM (SELECT *, 1 + id % 4 AS w FROM point)) GROUP BY id % 20")
+@query("SELECT id % 20 AS k, round(sum(a * cx) / sum(a), 6) AS x, round(sum(a * cy) / sum(a), 6) AS y, round(cast(sum(a) AS double), 6) AS area, count(*) AS n FROM (SELECT DISTINCT id % 20 AS id, x, y, 5.0 * w * w AS a, x + 1.1 * w AS cx, y + 1.1 * w AS cy FROM (SELECT *, 1 + id % 4 AS w FROM point)) GROUP BY id % 20")
 def c44_middle_of_union(t):
     own = t("point").select((F.col("id") % 20).alias("k"), _lshape(F.col("x"), F.col("y"), 1 + F.col("id") % 4).alias("wkt"))
     g = own.groupBy("k").agg(F.collect_set("wkt").alias("g")).withColumn("c", geo.centroid_of_union("g"))
@@ -177,7 +177,7 @@ def c44_middle_of_union(t):
     return g.join(areas, F.col("k") == F.col("__k")).select("k", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"), F.round("area", 6).alias("area"), F.size("g").cast("long").alias("n"))
 
 
-@query("SELECT id, round(x + 1.1 * w, 6) AS x, round(y + 1.1 * w, 6) AS y, round(5.0 * w * w, 6) AS area FROM (SELECT *, 1 + id % 4 AS w FROM point)")
+@query("SELECT id, round(x + 1.1 * w, 6) AS x, round(y + 1.1 * w, 6) AS y, round(cast(5.0 * w * w AS double), 6) AS area FROM (SELECT *, 1 + id % 4 AS w FROM point)")
 def c50_middle_of_polygon(t):
     own = t("point").select("id", _lshape(F.col("x"), F.col("y"), 1 + F.col("id") % 4).alias("wkt"))
     return own.withColumn("c", geo.centroid("wkt")).select("id", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"), F.round(geo.area("wkt"), 6).alias("area"))
@@ -403,7 +403,7 @@ def s35_copied_graphs(t):
     return graph.copied(quads, target, ["g0", "g1"]).distinct().join(quads.distinct(), ["s", "p", "o", "g"], "left_semi").select("s", "p", "o", "g")
 
 
-@query("SELECT source, count(*) AS n, round(sum(x), 3) AS x FROM (SELECT 'ban' AS source, 2.0 AS x FROM part UNION ALL SELECT 'osm', c_custkey % 10 + 1.0 FROM customer) GROUP BY source")
+@query("SELECT source, count(*) AS n, round(cast(sum(x) AS double), 3) AS x FROM (SELECT 'ban' AS source, 2.0 AS x FROM part UNION ALL SELECT 'osm', c_custkey % 10 + 1.0 FROM customer) GROUP BY source")
 def s37_address_tables(t):
     ban = t("part").select(F.lit("ban").alias("source"), F.concat(_s("p_size"), F.lit("bis")).alias("number"), F.col("p_name").alias("street"), F.lit("POINT (2 48)").alias("wkt"))
     k = (F.col("c_custkey") % 10).cast("string")
