@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.operators.rounds import fixpoint
+from chronolith.operators.components import components, rewritten
+from chronolith.operators.reachability import Order
+from chronolith.operators.rounds import fixpoint, settled
 
 TRIPLE = ["s", "p", "o"]
 
@@ -107,9 +109,8 @@ def inferred(quads: DataFrame, inverses: DataFrame, supers: DataFrame, symmetric
 
 
 def event_order(before: DataFrame) -> DataFrame:
-    """Transitive order of events (ev1, ev2)."""
-    start = before.select(F.col("ev1").alias("s"), F.lit("before").alias("p"), F.col("ev2").alias("o"))
-    return fixpoint(start, lambda known, new: transitive_step(known, new, ["before"])).select(F.col("s").alias("ev1"), F.col("o").alias("ev2"))
+    """Transitive order of events (ev1, ev2), read from labels of chains: as many rows as the answer has, none on the way."""
+    return Order(before.select(F.col("ev1").alias("src"), F.col("ev2").alias("dst"))).reached().select(F.col("src").alias("ev1"), F.col("dst").alias("ev2"))
 
 
 def similar_change_events(depends: DataFrame) -> DataFrame:
@@ -117,6 +118,62 @@ def similar_change_events(depends: DataFrame) -> DataFrame:
     return same_as(depends.select(F.col("cg").alias("s"), F.lit("dependsOn").alias("p"), F.col("ev").alias("o")), ["dependsOn"])
 
 
+def identities(quads: DataFrame, functional: list[str], inverse_functional: list[str] = (), keys: list[list[str]] = ()) -> DataFrame:
+    """(n, rep): classes of nodes that functional and inverse functional properties, sets of key properties and
+    ``sameAs`` statements make one, each with its least node; whole chains of pairs are one class."""
+    pairs = same_as(quads, list(functional), list(inverse_functional)).unionByName(quads.where("p = 'sameAs'").select(F.col("s").alias("a"), F.col("o").alias("b")))
+    for key in keys:
+        pairs = pairs.unionByName(has_key(quads, list(key)))
+    return components(pairs)
+
+
+def reasoned(
+    quads: DataFrame,
+    functional: list[str] = (),
+    inverse_functional: list[str] = (),
+    keys: list[list[str]] = (),
+    unions: DataFrame | None = None,
+    intersections: DataFrame | None = None,
+    literals: list[str] = (),
+    most: int = 32,
+    **rules: object,
+) -> tuple[DataFrame, DataFrame]:
+    """(statements over representatives, members (n, rep)): all rules in one fixpoint.
+
+    ``rules`` are arguments of ``inferred``.  In turn, until nothing changes: statements get all that the rules and the
+    class constructors add; nodes that identities make one are replaced by the least of their class, in subjects and
+    objects, so that a merged node has the premises of all its members.  Classes only grow, so turns end.  Properties of
+    ``literals`` have values, which no identity merges or replaces.  ``components.expanded`` reads by any member's name."""
+    spark = quads.sparkSession
+    pair = spark.createDataFrame([], "p string, q string")
+    rules = {"inverses": pair, "supers": pair, "symmetrics": [], "transitives": []} | rules
+    of_class = spark.createDataFrame([], "class string, member string")
+    value = F.col("p").isin(list(literals))
+    current, members = settled(quads.select(TRIPLE).distinct(), "reasoned"), None
+    for _ in range(most):
+        grown = inferred(current, **rules)
+        if unions is not None or intersections is not None:
+            types = grown.where("p = 'type'").select("s", F.col("o").alias("class"))
+            more = class_members(types, unions if unions is not None else of_class, intersections if intersections is not None else of_class)
+            grown = grown.unionByName(more.select("s", F.lit("type").alias("p"), F.col("class").alias("o"))).distinct()
+        grown = settled(grown, "reasoned")
+        found = settled(identities(grown.where(~value | F.col("p").isin([k for key in keys for k in key] + list(inverse_functional))), [p for p in functional if p not in literals], inverse_functional, keys).where("n <> rep"), "identities")
+        after = grown
+        if not found.isEmpty():
+            valued, named = grown.where(value), grown.where(~value & (F.col("p") != "sameAs"))
+            after = settled(rewritten(named, found, ["s", "o"]).unionByName(rewritten(valued, found, ["s"])).distinct(), "reasoned")
+            if members is None:
+                members = found
+            else:  # who was named after a node that has now another name follows it
+                moved = members.join(found.select(F.col("n").alias("__n"), F.col("rep").alias("__rep")), F.col("rep") == F.col("__n"), "left").select("n", F.coalesce("__rep", "rep").alias("rep"))
+                members = moved.unionByName(found.join(members.select(F.col("n").alias("__m")), F.col("n") == F.col("__m"), "left_anti"))
+            members = settled(members, "members")
+        if found.isEmpty() and after.exceptAll(current).isEmpty():
+            return after, members if members is not None else found
+        current = after
+    raise RuntimeError(f"no end after {most} turns")
+
+
 def under(quads: DataFrame, rules: dict[str, object] | None) -> DataFrame:
     """Statements with all that a set of rules (arguments of ``inferred``) adds, or, without rules, as they are."""
     return quads.select(TRIPLE) if rules is None else inferred(quads, **rules)

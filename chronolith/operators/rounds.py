@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -24,13 +25,36 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(removed, spark, path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Take a folder of the shared place away; nothing happens where the session has ended."""
+    try:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the cluster's own clean-up applies then
+        pass
+
+
+def settled(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read back: lineage ends there, and a lost executor loses nothing."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def fixpoint(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most: int = 64) -> DataFrame:
     """``start`` and all that ``step(known, new)`` adds, where ``new`` is what the last round added to ``known``.
 
     A rule need only be tried where one premise is new.  Rounds are written apart in one folder, so each row is
     written once, lineage ends there, and a lost executor loses nothing."""
     spark = start.sparkSession
-    path = f"{shared_folder(spark)}/fixpoint-{uuid.uuid4().hex}"
+    path = scratch(spark, "fixpoint")
     schema = start.schema
     start.distinct().write.parquet(f"{path}/round=0")
     read = lambda *rounds: spark.read.schema(schema).parquet(*[f"{path}/round={r}" for r in rounds])

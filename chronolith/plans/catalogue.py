@@ -971,3 +971,4 @@ def m04_change_quality(t):
 # the rest of the catalogue registers itself with ``query``
 from chronolith.plans import catalogue_functions  # noqa: E402, F401
 from chronolith.plans import catalogue_graph  # noqa: E402, F401
+from chronolith.plans import catalogue_reasoning  # noqa: E402, F401

@@ -73,6 +73,23 @@ SQL = {
         FROM {customer} JOIN {supplier} ON s_nationkey = c_nationkey AND s_suppkey % 7 = c_custkey % 7 GROUP BY c_custkey, s_suppkey % 3""",
     "point": """
         SELECT c_custkey AS id, cast(c_custkey % 360 AS double) - 180 + cast(c_nationkey AS double) / 100 AS x, cast((c_custkey * 13) % 170 AS double) - 85 AS y FROM {customer}""",
+    # statements on events: landmarks of customers, relations between them, versions that orders make and outdate, times of some orders
+    "claim": """
+        WITH ow AS (SELECT o_orderkey AS k, o_custkey AS c, cast(cast(o_orderdate AS date) AS string) AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer})),
+          cc AS (SELECT cast(c_custkey AS string) AS c, cast((c_custkey * 7 + 3) % 150 AS string) AS o FROM {customer}),
+          dd AS (SELECT c, d, lead(d) OVER (PARTITION BY c ORDER BY d) AS nd FROM (SELECT DISTINCT c, d FROM ow) AS u),
+          ed AS (SELECT 'w' AS v, concat('la', cast(c AS string)) AS made, concat('e', cast(k AS string)) AS gone, cast(c AS string) AS i FROM ow WHERE r = 1
+            UNION ALL SELECT 'z', concat('e', cast(k AS string)), concat('ld', cast(c AS string)), cast(c AS string) FROM ow WHERE r = n
+            UNION ALL SELECT 'a', concat('e', cast(k AS string)), concat('e', cast(nx AS string)), cast(k AS string) FROM ow WHERE nx IS NOT NULL
+            UNION ALL SELECT 'y', concat('e', cast(l.k AS string)), concat('e', cast(f.k AS string)), cast(l.c AS string) FROM ow AS l JOIN ow AS f ON l.c = f.c AND f.r = 1 WHERE l.r = l.n AND l.n > 1 AND l.c % 40 = 0),
+          ch AS (SELECT concat('ca', c) AS cg, 'LandmarkAppearance' AS kind, concat('lm', c) AS target, concat('la', c) AS ev FROM cc UNION ALL SELECT concat('cd', c), 'LandmarkDisappearance', concat('lm', c), concat('ld', c) FROM cc
+            UNION ALL SELECT concat('cra', c), 'LandmarkRelationAppearance', concat('lr', c), concat('ra', c) FROM cc UNION ALL SELECT concat('crd', c), 'LandmarkRelationDisappearance', concat('lr', c), concat('rd', c) FROM cc)
+        SELECT cg AS s, 'isChangeType' AS p, kind AS o FROM ch UNION ALL SELECT cg, 'appliedTo', target FROM ch UNION ALL SELECT cg, 'dependsOn', ev FROM ch
+        UNION ALL SELECT concat('lr', c), 'locatum', concat('lm', c) FROM cc UNION ALL SELECT concat('lr', c), 'relatum', concat('lm', o) FROM cc
+        UNION ALL SELECT concat('m', v, i), 'makesEffective', concat('av', v, i) FROM ed UNION ALL SELECT concat('m', v, i), 'dependsOn', made FROM ed
+        UNION ALL SELECT concat('x', v, i), 'outdates', concat('av', v, i) FROM ed UNION ALL SELECT concat('x', v, i), 'dependsOn', gone FROM ed
+        UNION ALL SELECT concat('e', cast(k AS string)), 'hasTime', concat('t', cast(c AS string), '|', d) FROM ow WHERE k % 3 = 0
+        UNION ALL SELECT concat('t', cast(c AS string), '|', d), 'instantBefore', concat('t', cast(c AS string), '|', nd) FROM dd WHERE nd IS NOT NULL""",
 }
 
 
