@@ -297,8 +297,8 @@ def wkt_to_geojson(wkt: Column) -> Column:
     return F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), body, F.lit("}"))
 
 
-def area_rings(area: dict) -> list[list[tuple[float, float]]]:
-    """Outer rings of a GeoJSON area, validated on the driver: polygons only, closed rings of four positions or more, degrees in range, 100 features and 10,000 positions at most."""
+def area_polygons(area: dict) -> list[list[list[tuple[float, float]]]]:
+    """Polygons of a GeoJSON area, each a list of its outer ring and its holes, validated on the driver: polygons only, closed rings of four positions or more, degrees in range, 100 features and 10,000 positions at most."""
     features = area.get("features") if area.get("type") == "FeatureCollection" else [area]
     if not isinstance(features, list) or not 0 < len(features) <= 100:
         raise ValueError("an area has 1 to 100 features")
@@ -319,5 +319,15 @@ def area_rings(area: dict) -> list[list[tuple[float, float]]]:
                 count += len(ring)
                 if count > 10_000:
                     raise ValueError("an area has 10,000 positions at most")
-            out.append([(float(x), float(y)) for x, y in polygon[0]])
+            out.append([[(float(x), float(y)) for x, y in ring] for ring in polygon])
     return out
+
+
+def area_rings(area: dict) -> list[list[tuple[float, float]]]:
+    """Outer rings of a GeoJSON area, validated."""
+    return [polygon[0] for polygon in area_polygons(area)]
+
+
+def polygon_wkt(rings: list[list[tuple[float, float]]]) -> str:
+    """WKT of closed rings."""
+    return "POLYGON (" + ", ".join("(" + ", ".join(f"{x!r} {y!r}" for x, y in ring) + ")" for ring in rings) + ")"

@@ -99,6 +99,15 @@ def merged_features(features: DataFrame, key: str, null_is_one_group: bool = Tru
     return out.withColumn("wkt", one).drop("__group")
 
 
+def dissolved_features(features: DataFrame, key: str, null_is_one_group: bool = True) -> DataFrame:
+    """``merged_features`` with geometries dissolved: polygons that overlap or touch become one without inner borders."""
+    from chronolith.operators import spatial
+
+    merged = merged_features(features, key, null_is_one_group)
+    one = spatial.unions(merged.select(F.col("ordinal").alias("g"), F.explode("geometries").alias("wkt"))).select(F.col("g").alias("__g"), F.col("wkt").alias("__wkt"))
+    return merged.join(one, F.col("ordinal") == F.col("__g"), "left").withColumn("wkt", F.col("__wkt")).drop("__g", "__wkt")
+
+
 def street_number_features(features: DataFrame, number: str | None, street: str | None, address: str | None = None) -> DataFrame:
     """(number, street, wkt) from two label columns, or from one address that is split."""
     if address:
