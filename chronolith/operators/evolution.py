@@ -7,6 +7,10 @@ merge is a running sum.
 Tables: versions (attr, av, begin, end, and optionally vid, the id of the value that is compared) with valid times,
 either end null; changes (attr, cg, stamp, precision, makes, outdates) that sources state.  Stamps are any ordered
 type.  Within steps a version is struct(av, vid).
+
+An attribute with more than ``LONG`` rows doesn't stay in one task: its rows are cut into blocks by time, windows run
+within blocks, and what a block needs of those before and after it (sums, last and first rows) comes from a row for
+each block.  Such rows carry a column ``__block`` through all steps, which are otherwise the same.
 """
 
 from __future__ import annotations
@@ -16,7 +20,47 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolith.operators.rounds import settled
+
 VERSIONS = "array<struct<av: string, vid: string>>"
+#: Rows of an attribute above which it is cut, and about how many a block has.
+LONG, BLOCK_ROWS = 200_000, 50_000
+
+
+def _along(rows: DataFrame, order: Column, lags: dict[str, Column] | None = None, leads: dict[str, Column] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` with values of the row before or after of the same attribute, and running sums up to each row.
+
+    Plain windows by attribute, or, where rows have blocks, windows by block and a window over a row for each block."""
+    lags, leads, sums = lags or {}, leads or {}, sums or {}
+    if "__block" not in rows.columns:
+        whole = Window.partitionBy("attr").orderBy(order)
+        return rows.select("*", *[F.lag(c).over(whole).alias(n) for n, c in lags.items()], *[F.lead(c).over(whole).alias(n) for n, c in leads.items()], *[F.sum(c).over(whole).alias(n) for n, c in sums.items()])
+    within = Window.partitionBy("attr", "__block").orderBy(order)
+    packed = lambda of: F.struct(F.lit(0).alias("__0"), *[c.alias(n) for n, c in of.items()])
+    at = rows.select("*", F.row_number().over(within).alias("__at"), packed(lags).alias("__lags"), packed(leads).alias("__leads"), *[c.alias(f"__s_{n}") for n, c in sums.items()])
+    at = settled(at, "long-rows")  # read twice, as each step before it would be
+    ends = at.groupBy(F.col("attr").alias("__attr"), F.col("__block").alias("__b")).agg(F.max_by("__lags", "__at").alias("__last"), F.min_by("__leads", "__at").alias("__first"), *[F.sum(f"__s_{n}").alias(f"__t_{n}") for n in sums])
+    blocks = Window.partitionBy("__attr").orderBy("__b")
+    ends = ends.select("__attr", "__b", F.lag("__last").over(blocks).alias("__last"), F.lead("__first").over(blocks).alias("__first"), *[F.coalesce(F.sum(f"__t_{n}").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__t_{n}") for n in sums])
+    own = at.withColumn("__before", F.lag("__lags").over(within)).withColumn("__after", F.lead("__leads").over(within))
+    for n in sums:
+        own = own.withColumn(f"__s_{n}", F.sum(f"__s_{n}").over(within))
+    met = own.join(ends, (F.col("attr") == F.col("__attr")) & (F.col("__block") == F.col("__b")))
+    before, after = F.coalesce("__before", "__last"), F.coalesce("__after", "__first")
+    return met.select(*rows.columns, *[before[n].alias(n) for n in lags], *[after[n].alias(n) for n in leads], *[(F.col(f"__s_{n}") + F.col(f"__t_{n}")).alias(n) for n in sums])
+
+
+def _held(rows: DataFrame) -> list[str]:
+    """The block column, where rows have one."""
+    return ["__block"] if "__block" in rows.columns else []
+
+
+def blocked(events: DataFrame, n: int) -> DataFrame:
+    """``events`` with blocks: ranges of (attr, stamp) of about equal size."""
+    stamps = events.select("attr", "stamp").distinct()
+    ranges = settled(stamps.repartitionByRange(n, "attr", F.col("stamp").asc_nulls_last()).withColumn("__block", F.spark_partition_id()), "blocks")
+    ranges = ranges.select(F.col("attr").alias("__attr"), F.col("stamp").alias("__stamp"), "__block")
+    return events.join(ranges, (F.col("attr") == F.col("__attr")) & F.col("stamp").eqNullSafe(F.col("__stamp"))).drop("__attr", "__stamp")
 
 
 def _none() -> Column:
@@ -44,10 +88,11 @@ def elementary_changes(events: DataFrame) -> DataFrame:
     (attr, idx, side, stamp, rank, real, makes, outdates); side is -1, 0, 1; idx counts from 0 at minus infinity.  Rows
     without a stamp are no changes: they keep side 2 and no idx, for the vids that they carry.  This is where the rows of an attribute meet: the steps that follow need no other exchange."""
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: the work after it is far more than its bytes tell
-    at = events.repartition(parts, "attr").groupBy("attr", "stamp").agg(F.max("rank").alias("rank"), F.array_sort(F.collect_set("cg")).alias("real"), flat("makes").alias("makes"), flat("outdates").alias("outdates"))
-    order = Window.partitionBy("attr").orderBy(F.col("stamp").asc_nulls_last())
-    at = at.withColumn("__n", F.row_number().over(order)).withColumn("__last", F.lead("stamp").over(order).isNull())
+    held = _held(events)
+    if not held:
+        events = events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "attr")  # a fixed number: the work after it is far more than its bytes tell
+    at = events.groupBy("attr", "stamp", *held).agg(F.max("rank").alias("rank"), F.array_sort(F.collect_set("cg")).alias("real"), flat("makes").alias("makes"), flat("outdates").alias("outdates"))
+    at = _along(at, F.col("stamp").asc_nulls_last(), leads={"__next": F.col("stamp")}, sums={"__n": F.lit(1)}).withColumn("__last", F.col("__next").isNull())
     stamp_type, none = events.schema["stamp"].dataType, F.array().cast("array<string>")
     row = lambda idx, side, stamp, rank, real, makes, outdates: F.array(F.struct(idx.cast("int").alias("idx"), F.lit(side).alias("side"), stamp.alias("stamp"), rank.alias("rank"), real.alias("real"), makes.alias("makes"), outdates.alias("outdates")))
     end = lambda idx, side: row(idx, side, F.lit(None).cast(stamp_type), F.lit(-1), none, _none(), _none())
@@ -55,14 +100,13 @@ def elementary_changes(events: DataFrame) -> DataFrame:
     with_ends = F.when(F.col("__n") == 1, F.concat(end(F.lit(0), -1), own)).otherwise(own)
     with_ends = F.when(F.col("__last"), F.concat(with_ends, end(F.col("__n") + 1, 1))).otherwise(with_ends)
     with_ends = F.when(F.col("stamp").isNull(), row(F.lit(None), 2, F.col("stamp"), F.col("rank"), F.col("real"), F.col("makes"), F.col("outdates"))).otherwise(with_ends)
-    return at.select("attr", F.inline(with_ends))
+    return at.select("attr", *held, F.inline(with_ends))
 
 
 def elementary_versions(changes: DataFrame) -> DataFrame:
     """Segments between consecutive changes: (attr, seg, begin, end, begin_real, end_real); infinite ends are null."""
-    order = Window.partitionBy("attr").orderBy("idx")
-    out = changes.where("idx is not null").select("attr", F.col("idx").alias("seg"), F.col("stamp").alias("begin"), F.lead("stamp").over(order).alias("end"), (F.size("real") > 0).alias("begin_real"), F.lead(F.size("real") > 0).over(order).alias("end_real"), F.lead("idx").over(order).alias("next"))
-    return out.where("next is not null").drop("next")
+    out = _along(changes.where("idx is not null"), F.col("idx"), leads={"end": F.col("stamp"), "end_real": F.size("real") > 0, "next": F.col("idx")})
+    return out.where("next is not null").select("attr", F.col("idx").alias("seg"), F.col("stamp").alias("begin"), "end", (F.size("real") > 0).alias("begin_real"), "end_real", *_held(out))
 
 
 def _mentions(changes: DataFrame, *columns: Column | str) -> DataFrame:
@@ -82,19 +126,21 @@ def covered(changes: DataFrame) -> DataFrame:
 
     A version's row at its first change writes a row into each of its segments, and a change's first row writes its own
     segment, so that the range join of spans and segments is one group by segment."""
-    order = Window.partitionBy("attr").orderBy(F.col("idx").asc_nulls_last())
-    rows = changes.select("attr", "idx", "makes", "outdates", F.col("stamp").alias("begin"), F.lead("stamp").over(order).alias("end"), (F.size("real") > 0).alias("begin_real"), F.lead(F.size("real") > 0).over(order).alias("end_real"), F.lead("idx").over(order).isNotNull().alias("within"))
-    each = _mentions(rows, "begin", "end", "begin_real", "end_real", "within")
+    held = _held(changes)
+    rows = _along(changes, F.col("idx").asc_nulls_last(), leads={"end": F.col("stamp"), "end_real": F.size("real") > 0, "__next": F.col("idx")})
+    rows = rows.select("attr", "idx", "makes", "outdates", F.col("stamp").alias("begin"), "end", (F.size("real") > 0).alias("begin_real"), "end_real", F.col("__next").isNotNull().alias("within"), *held)
+    each = _mentions(rows, "begin", "end", "begin_real", "end_real", "within", *held)
     one = Window.partitionBy("attr", "av")
     made, gone = F.min(F.when(F.col("m") == 1, F.col("idx"))).over(one), F.max(F.when(F.col("m") == 0, F.col("idx"))).over(one)
     each = each.select("*", made.alias("__made"), gone.alias("__gone"), F.max("vid").over(one).alias("__vid"), F.row_number().over(one.orderBy(F.col("idx").asc_nulls_last(), "place")).alias("__k"))
     first, stop = F.coalesce("__made", F.col("__gone") - 1), F.coalesce("__gone", F.col("__made") + 1)
-    bare = lambda c: F.lit(None).cast(changes.schema["stamp"].dataType if c in ("begin", "end") else "boolean").alias(c)
-    part = lambda seg, trace, info: F.struct(seg.cast("int").alias("seg"), trace.alias("trace"), *[(F.col(c).alias(c) if info else bare(c)) for c in ("begin", "end", "begin_real", "end_real")], F.lit(info).alias("own"))
+    facts = ["begin", "end", "begin_real", "end_real", *held]
+    bare = lambda c: F.lit(None).cast(each.schema[c].dataType).alias(c)
+    part = lambda seg, trace, info: F.struct(seg.cast("int").alias("seg"), trace.alias("trace"), *[(F.col(c).alias(c) if info else bare(c)) for c in facts], F.lit(info).alias("own"))
     own = F.when((F.coalesce("place", F.lit(0)) == 0) & F.col("within"), F.array(part(F.col("idx"), F.lit(None).cast("struct<av: string, vid: string>"), True)))
     spread = F.when(F.col("av").isNotNull() & (F.col("__k") == 1) & (stop > first), F.transform(F.sequence(first, stop - 1), lambda s: part(s, F.struct(F.col("av").alias("av"), F.col("__vid").alias("vid")), False)))
     parts = each.select("attr", F.inline(F.concat(F.coalesce(own, F.array()), F.coalesce(spread, F.array()))))
-    out = parts.groupBy("attr", "seg").agg(*[F.max(c).alias(c) for c in ("begin", "end", "begin_real", "end_real")], F.max("own").alias("own"), F.array_sort(F.collect_set("trace")).alias("traces"))
+    out = parts.groupBy("attr", "seg").agg(*[F.max(c).alias(c) for c in facts], F.max("own").alias("own"), F.array_sort(F.collect_set("trace")).alias("traces"))
     return out.where("own").drop("own")
 
 
@@ -105,9 +151,9 @@ def pruned(segments: DataFrame) -> DataFrame:
     change takes over; if on neither, one fuzzy change from the segment's begin to its end replaces both.
     (attr, n, traces, begin_real, begin_after, begin_before, end_real, end_after, end_before): crisp if after = before."""
     gone, begin_real, end_real = F.col("gone"), F.col("begin_real"), F.col("end_real")
-    order = Window.partitionBy("attr").orderBy("seg")
+    held = _held(segments)
     # a run of removed segments stands between two kept ones: it gets the number of the kept one before it, 0 before the first
-    rows = segments.withColumn("gone", (F.size("traces") == 0) & ~(begin_real & end_real)).withColumn("n", F.sum((~gone).cast("int")).over(order))
+    rows = _along(segments.withColumn("gone", (F.size("traces") == 0) & ~(begin_real & end_real)), F.col("seg"), sums={"n": (~gone).cast("int")})
     # the change after kept segment n is made of its end and both sides of the removed segments that follow
     begin = F.when(gone, F.col("begin"))
     change = rows.groupBy("attr", "n").agg(
@@ -117,9 +163,10 @@ def pruned(segments: DataFrame) -> DataFrame:
         F.min(F.least(begin, F.col("end"))).alias("after"),
         F.max(F.greatest(begin, F.col("end"))).alias("before"),
         F.max(F.col("end").isNull() | (gone & F.col("begin").isNull())).alias("open"),
+        *[F.min(c).alias(c) for c in held],
     )
-    by_n = Window.partitionBy("attr").orderBy("n")
-    last = F.lead("n").over(by_n).isNull()
+    change = _along(change, F.col("n"), leads={"__next": F.col("n")})
+    last = F.col("__next").isNull()
     # before the first kept segment only what is open to minus infinity counts; after the last, to plus infinity
     change = change.select(
         "attr",
@@ -128,9 +175,10 @@ def pruned(segments: DataFrame) -> DataFrame:
         F.col("real").alias("end_real"),
         F.when(F.col("real"), F.col("at")).when((F.col("n") == 0) & F.col("open"), F.lit(None)).otherwise(F.col("after")).alias("end_after"),
         F.when(F.col("real"), F.col("at")).when(last & F.col("open"), F.lit(None)).otherwise(F.col("before")).alias("end_before"),
+        *held,
     )
-    earlier = [F.lag(f"end_{c}").over(by_n).alias(f"begin_{c}") for c in ("real", "after", "before")]
-    return change.select("attr", "n", "traces", F.coalesce(F.lag("end_real").over(by_n), F.lit(False)).alias("begin_real"), *earlier[1:], "end_real", "end_after", "end_before").where("n > 0")
+    change = _along(change, F.col("n"), lags={f"begin_{c}": F.col(f"end_{c}") for c in ("real", "after", "before")})
+    return change.select("attr", "n", "traces", F.coalesce("begin_real", F.lit(False)).alias("begin_real"), "begin_after", "begin_before", "end_real", "end_after", "end_before", *held).where("n > 0")
 
 
 def continued(segments: DataFrame, comparisons: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -139,8 +187,7 @@ def continued(segments: DataFrame, comparisons: DataFrame | Callable[[DataFrame]
     Without comparisons, versions are the same if their vid is, and different if not.  With them, (av1, av2, same) or,
     of values, (v1, v2, same), both ways; a function gets the pairs (v1, v2) of different values that meet, so that no
     other pair is ever compared."""
-    order = Window.partitionBy("attr").orderBy("n")
-    rows = segments.withColumn("__earlier", F.lag("traces").over(order))
+    rows = _along(segments, F.col("n"), lags={"__earlier": F.col("traces")})
     may = F.col("__earlier").isNotNull() & ~F.col("begin_real") & (F.size("__earlier") > 0) & (F.size("traces") > 0)
     ids = lambda c, name: F.filter(F.transform(c, lambda x: x[name]), lambda v: v.isNotNull())
     shared = F.arrays_overlap(ids("__earlier", "av"), ids("traces", "av")) | F.arrays_overlap(ids("__earlier", "vid"), ids("traces", "vid"))
@@ -161,8 +208,7 @@ def continued(segments: DataFrame, comparisons: DataFrame | Callable[[DataFrame]
 
 def merged(segments: DataFrame) -> DataFrame:
     """Maximal chains as versions: (attr, version, traces, begin_real, begin_after, begin_before, end_real, end_after, end_before)."""
-    order = Window.partitionBy("attr").orderBy("n")
-    rows = segments.withColumn("version", F.sum(F.when(F.col("merge"), 0).otherwise(1)).over(order))
+    rows = _along(segments, F.col("n"), sums={"version": F.when(F.col("merge"), 0).otherwise(1)})
     first = lambda c: F.min_by(c, "n").alias(c)
     last = lambda c: F.max_by(c, "n").alias(c)
     traces = F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_list("traces")), lambda x: x["av"])))
@@ -171,15 +217,26 @@ def merged(segments: DataFrame) -> DataFrame:
 
 def merge_sets(segments: DataFrame) -> DataFrame:
     """(attr, version, members): the segments of each maximal chain as one text, which names the version that they become."""
-    order = Window.partitionBy("attr").orderBy("n")
-    rows = segments.withColumn("version", F.sum(F.when(F.col("merge"), 0).otherwise(1)).over(order))
+    rows = _along(segments, F.col("n"), sums={"version": F.when(F.col("merge"), 0).otherwise(1)})
     return rows.groupBy("attr", "version").agg(F.array_join(F.array_sort(F.collect_list("n")), "|").alias("members"))
 
 
-def evolution(versions: DataFrame, changes: DataFrame, comparisons: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The coherent evolution of every attribute; see ``continued`` for how versions are compared."""
-    segments = pruned(covered(elementary_changes(stated_and_virtual(versions, changes))))
-    return merged(continued(segments, comparisons))
+def evolution(versions: DataFrame, changes: DataFrame, comparisons: DataFrame | Callable[[DataFrame], DataFrame] | None = None, long: int | None = None) -> DataFrame:
+    """The coherent evolution of every attribute; see ``continued`` for how versions are compared.
+
+    Attributes of more than ``long`` rows (``LONG`` by default) are counted first and go in blocks, all others in one
+    exchange by attribute."""
+    events, long = stated_and_virtual(versions, changes), LONG if long is None else long
+    own = lambda rows: merged(continued(pruned(covered(elementary_changes(rows))), comparisons))
+    # a version has two virtual changes at most: counting what comes in leaves arrays unread
+    sizes = versions.select("attr", F.lit(2).alias("n")).unionByName(changes.select("attr", F.lit(1).alias("n"))).groupBy(F.col("attr").alias("__attr")).agg(F.sum("n").alias("n")).where(F.col("n") > long)
+    total = sizes.agg(F.sum("n")).first()[0]
+    if total is None:
+        return own(events)
+    sizes = settled(sizes, "long-attributes")
+    names = sizes.select("__attr")
+    cut = blocked(events.join(names, F.col("attr") == F.col("__attr"), "left_semi"), max(2, -(-total // min(long, BLOCK_ROWS))))
+    return own(events.join(names, F.col("attr") == F.col("__attr"), "left_anti")).unionByName(own(cut))
 
 
 def version_traces(final: DataFrame) -> DataFrame:

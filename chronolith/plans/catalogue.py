@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -662,14 +663,32 @@ _MERGED = f"""{_PRUNED},
   isl AS (SELECT prn.*, sum(CASE WHEN coalesce(mrg, false) THEN 0 ELSE 1 END) OVER (PARTITION BY prn.attr ORDER BY prn.n) AS version FROM prn LEFT JOIN jd ON jd.attr = prn.attr AND jd.n = prn.n)"""
 
 
-@query(f"""WITH {_MERGED} SELECT attr, cast(version AS bigint) AS version, array_to_string(list_sort(list_distinct(flatten(list(traces)))), '|') AS traces, arg_min(coalesce(cast(begin_after AS varchar), '-'), n) AS begin_after, arg_min(coalesce(cast(begin_before AS varchar), '-'), n) AS begin_before,
-   arg_max(coalesce(cast(end_after AS varchar), '-'), n) AS end_after, arg_max(coalesce(cast(end_before AS varchar), '-'), n) AS end_before, arg_min(begin_real, n) AS begin_real, arg_max(end_real, n) AS end_real FROM isl GROUP BY attr, version""")
+_EVOLVED = f"""WITH {_MERGED} SELECT attr, cast(version AS bigint) AS version, array_to_string(list_sort(list_distinct(flatten(list(traces)))), '|') AS traces, arg_min(coalesce(cast(begin_after AS varchar), '-'), n) AS begin_after, arg_min(coalesce(cast(begin_before AS varchar), '-'), n) AS begin_before,
+   arg_max(coalesce(cast(end_after AS varchar), '-'), n) AS end_after, arg_max(coalesce(cast(end_before AS varchar), '-'), n) AS end_before, arg_min(begin_real, n) AS begin_real, arg_max(end_real, n) AS end_real FROM isl GROUP BY attr, version"""
+
+
+@query(_EVOLVED)
 def k13_evolution_merge(t):
-    out = evolution.evolution(*_evolution_inputs(t))
+    return _evolved(evolution.evolution(*_evolution_inputs(t)))
+
+
+def _evolved(out):
     stamp = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("-")).alias(c)
     return out.select("attr", F.col("version").cast("long").alias("version"), F.array_join("traces", "|").alias("traces"), *[stamp(c) for c in ("begin_after", "begin_before", "end_after", "end_before")], "begin_real", "end_real")
 
 
+@query(re.sub(r"(FROM|JOIN) (version|stated)\b", r"\1 busy_\2", _EVOLVED))
+def k13_long_attribute(t):
+    """One attribute has half of all versions; attributes above 500 rows are cut into blocks."""
+    return _evolved(evolution.evolution(*_evolution_inputs(lambda name: t(f"busy_{name}")), long=500))
+
+
+@query(_EVOLVED)
+def k13_judged_merge(t):
+    """As the flagship, but a function judges the pairs of values that meet, as the build of facts does."""
+    return _evolved(evolution.evolution(*_evolution_inputs(t), lambda pairs: pairs.withColumn("same", F.col("v1") == F.col("v2"))))
+
+
 @query(f"""WITH {_MERGED}, fin AS (SELECT attr, version, arg_min(begin_real, n) AS r, min(n) AS n1, max(n) AS n2 FROM isl GROUP BY attr, version),
   sd AS (SELECT f.attr, f.version, 'begin' AS side, p.begin_after AS a, p.begin_before AS z FROM fin f JOIN prn p ON p.attr = f.attr AND p.n = f.n1 UNION ALL SELECT f.attr, f.version, 'end', p.end_after, p.end_before FROM fin f JOIN prn p ON p.attr = f.attr AND p.n = f.n2)
   SELECT side, prop, count(*) AS n FROM (SELECT side, 'hasTime' AS prop FROM sd WHERE a = z UNION ALL SELECT side, 'hasTimeAfter' FROM sd WHERE (a = z) IS NOT TRUE AND a IS NOT NULL UNION ALL SELECT side, 'hasTimeBefore' FROM sd WHERE (a = z) IS NOT TRUE AND z IS NOT NULL) GROUP BY ALL""")

@@ -73,6 +73,15 @@ SQL = {
         FROM {customer} JOIN {supplier} ON s_nationkey = c_nationkey AND s_suppkey % 7 = c_custkey % 7 GROUP BY c_custkey, s_suppkey % 3""",
     "point": """
         SELECT c_custkey AS id, cast(c_custkey % 360 AS double) - 180 + cast(c_nationkey AS double) / 100 AS x, cast((c_custkey * 13) % 170 AS double) - 85 AS y FROM {customer}""",
+    # half of all versions are of one attribute
+    "busy_version": """
+        SELECT CASE WHEN event_id % 2 = 0 THEN 'hub' ELSE concat(cast(user_id AS string), '-', event_type) END AS attr, concat('v', cast(event_id AS string)) AS av, cast(cast(floor(value) AS bigint) % 2 AS string) AS value,
+          CASE WHEN event_id % 11 = 0 THEN NULL ELSE date_trunc('hour', ts) END AS begin,
+          CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 3 = 0 THEN date_trunc('hour', ts) + INTERVAL '1' HOUR WHEN event_id % 3 = 1 THEN date_trunc('hour', ts) + INTERVAL '2' HOUR ELSE date_trunc('hour', ts) + INTERVAL '5' HOUR END AS ending
+        FROM {events}""",
+    "busy_stated": """
+        SELECT CASE WHEN event_id % 2 = 0 THEN 'hub' ELSE concat(cast(user_id AS string), '-', event_type) END AS attr, date_trunc('hour', ts) AS stamp, cast(11 AS int) AS precision, concat('c', cast(event_id AS string)) AS cg, concat('v', cast(event_id AS string)) AS made
+        FROM {events} WHERE event_id % 20 = 0""",
     # statements on events: landmarks of customers, relations between them, versions that orders make and outdate, times of some orders
     "claim": """
         WITH ow AS (SELECT o_orderkey AS k, o_custkey AS c, cast(cast(o_orderdate AS date) AS string) AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer})),
