@@ -19,12 +19,21 @@ from chronolith.operators.rounds import settled
 BLOCK = 1 << 16
 
 
+# fixed values: the vocabulary of events
+VOCABULARY = ["isChangeType", "dependsOn", "appliedTo", "locatum", "relatum", "makesEffective", "outdates", "hasTime", "instantBefore", "eventBefore", "eventAfter"]
+
+
+def _read_once(quads: DataFrame) -> DataFrame:
+    """The statements that the rules read, written once: a dozen joins begin with them."""
+    return settled(quads.where(F.col("p").isin(VOCABULARY)).select("s", "p", "o"), "event-statements")
+
+
 def _of(quads: DataFrame, p: str, s: str, o: str) -> DataFrame:
     return quads.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
 
 
-def _pairs(a: DataFrame, b: DataFrame, on: Column, rule: str) -> DataFrame:
-    return a.join(b, on).where("c1 <> c2").select("ev1", "ev2", F.lit(rule).alias("rule"))
+def _pairs(a: DataFrame, b: DataFrame, on: Column, rule: Column) -> DataFrame:
+    return a.join(b, on).where("c1 <> c2").select("ev1", "ev2", rule.alias("rule"))
 
 
 def changes_of(quads: DataFrame) -> DataFrame:
@@ -37,23 +46,25 @@ def stated_order(quads: DataFrame) -> DataFrame:
     """(ev1, ev2, rule) that the rules on changes, relations, versions and times give, and those that statements hold.
 
     Rules on times read ``instantBefore`` as it is stated; ``order_of`` also follows it over instants without events."""
-    changes = settled(changes_of(quads), "changes")
+    return _stated_order(_read_once(quads))
+
 
-    def side(kind: str, k: int) -> DataFrame:
-        return changes.where(F.col("kind") == kind).select(F.col("cg").alias(f"c{k}"), F.col("target").alias(f"t{k}"), F.col("ev").alias(f"ev{k}"))
-
-    parts = []
-    for rule, kind in (("2", "Landmark"), ("3", "LandmarkRelation")):
-        parts.append(_pairs(side(f"{kind}Appearance", 1), side(f"{kind}Disappearance", 2), F.col("t1") == F.col("t2"), rule))
-    for rule, member in (("a", "locatum"), ("b", "relatum")):
-        of = _of(quads, member, "lr", "lm")
-        made = side("LandmarkAppearance", 1).join(of, F.col("t1") == F.col("lm")).drop("t1", "lm")
-        parts.append(_pairs(made, side("LandmarkRelationAppearance", 2), F.col("lr") == F.col("t2"), f"4_a_{rule}"))
-        gone = side("LandmarkRelationDisappearance", 1).join(of, F.col("t1") == F.col("lr")).drop("t1", "lr")
-        parts.append(_pairs(gone, side("LandmarkDisappearance", 2), F.col("lm") == F.col("t2"), f"4_b_{rule}"))
+def _stated_order(quads: DataFrame) -> DataFrame:
+    changes = settled(changes_of(quads), "changes")
+    of, starts = F.regexp_extract("kind", "^(.*)(?:Appearance|Disappearance)$", 1), F.col("kind").endswith("Appearance")
+    own = changes.where(F.col("kind").isin([f"{x}{y}" for x in ("Landmark", "LandmarkRelation") for y in ("Appearance", "Disappearance")])).withColumn("of", of).withColumn("starts", starts)
+    side = lambda k: own.select(*[F.col(c).alias(f"{n}{k}") for c, n in (("cg", "c"), ("target", "t"), ("ev", "ev"), ("of", "of"), ("starts", "starts"))])
+    # what a change begins another one ends: rules 2 and 3
+    parts = [_pairs(side(1).where("starts1"), side(2).where("not starts2"), (F.col("t1") == F.col("t2")) & (F.col("of1") == F.col("of2")), F.when(F.col("of1") == "Landmark", "2").otherwise("3"))]
+    # members of a relation begin before it and end after it: the rules 4
+    members = quads.where(F.col("p").isin("locatum", "relatum")).select(F.col("s").alias("lr"), F.col("p").alias("role"), F.col("o").alias("lm"))
+    met = members.join(side(1).where("of1 = 'Landmark'"), F.col("lm") == F.col("t1")).join(side(2).where("of2 = 'LandmarkRelation'"), (F.col("lr") == F.col("t2")) & (F.col("starts1") == F.col("starts2"))).where("c1 <> c2")
+    first = F.col("starts1")
+    rule = F.concat(F.when(first, "4_a_").otherwise("4_b_"), F.when(F.col("role") == "locatum", "a").otherwise("b"))
+    parts.append(met.select(F.when(first, F.col("ev1")).otherwise(F.col("ev2")).alias("ev1"), F.when(first, F.col("ev2")).otherwise(F.col("ev1")).alias("ev2"), rule.alias("rule")))
     events = _of(quads, "dependsOn", "cg", "ev")
     made, gone = (_of(quads, p, f"c{k}", f"av{k}").join(events.select(F.col("cg").alias("__c"), F.col("ev").alias(f"ev{k}")), F.col(f"c{k}") == F.col("__c")).drop("__c") for p, k in (("makesEffective", 1), ("outdates", 2)))
-    parts.append(_pairs(made, gone, F.col("av1") == F.col("av2"), "5"))
+    parts.append(_pairs(made, gone, F.col("av1") == F.col("av2"), F.lit("5")))
     times = [_of(quads, "hasTime", f"ev{k}", f"t{k}") for k in (1, 2)]
     steps = _of(quads, "instantBefore", "__t1", "__t2")
     parts.append(times[0].join(steps, F.col("t1") == F.col("__t1")).join(times[1], F.col("__t2") == F.col("t2")).select("ev1", "ev2", F.lit("1").alias("rule")))
@@ -61,17 +72,18 @@ def stated_order(quads: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("ev1 <> ev2").distinct()
 
 
-def order_edges(quads: DataFrame, stated: DataFrame | None = None) -> DataFrame:
+def order_edges(quads: DataFrame) -> DataFrame:
     """(src, dst) of an order graph whose nodes are events and, on both sides of each instant, marks.
 
     An event comes before the mark behind its instant and after the one in front of it; so the order of instants runs
     on over instants that no event has, and events of one instant stay unordered."""
+    quads = _read_once(quads)
     mark = lambda sign, c: F.concat(F.lit(sign), c)
     times, steps = _of(quads, "hasTime", "ev", "t"), _of(quads, "instantBefore", "t1", "t2").where("t1 <> t2")
     edge = lambda rows, a, b: rows.select(a.alias("src"), b.alias("dst"))
     t, ev = F.col("t"), F.col("ev")
     instants = steps.select(F.explode(F.array("t1", "t2")).alias("t"))
-    own = stated if stated is not None else stated_order(quads)
+    own = _stated_order(quads)
     return reduce(
         DataFrame.unionByName,
         [

@@ -58,12 +58,14 @@ def _positions(nodes: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame
     own = nodes.join(before, F.col("n") == F.col("__dst"), "left")
     # ``to`` is where the jumps have come to, ``open`` whether there is more before it
     rows = settled(own.select("n", F.coalesce("__src", "n").alias("to"), F.col("__src").isNotNull().alias("open"), F.when(F.col("__src").isNotNull(), 1).otherwise(0).cast("long").alias("pos"), F.coalesce(F.least("n", "__src"), "n").alias("least")), "chain-jumps")
-    total, reach = rows.count(), 1
-    while reach <= 2 * total and not rows.where("open").isEmpty():  # a chain is shorter than that: what still jumps then is a ring
+    reach, left, before = 1, rows.where("open").count(), None
+    # an open chain ends some of its rows in each round, so once none ends, what is left are rings; these go on until
+    # the jumps have been all around
+    while left and (left != before or reach < left):
         to = rows.select(F.col("n").alias("__n"), F.col("to").alias("__to"), F.col("open").alias("__open"), F.col("pos").alias("__pos"), F.col("least").alias("__least"))
         moved = rows.where("open").join(to, F.col("to") == F.col("__n")).select("n", F.col("__to").alias("to"), F.col("__open").alias("open"), (F.col("pos") + F.col("__pos")).alias("pos"), F.least("least", "__least").alias("least"))
         rows = settled(rows.where("not open").unionByName(moved), "chain-jumps")
-        reach *= 2
+        reach, before, left = reach * 2, left, rows.where("open").count()
     return rows.where("not open").select("n", F.col("to").alias("chain"), "pos"), rows.where("open").select("n", "least")
 
 

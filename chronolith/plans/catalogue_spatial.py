@@ -51,12 +51,12 @@ def q19_addresses_outside_hole(t):
 
 
 # parts give areas: a box with a slanted hole; sizes differ by a factor of twenty, so several grids are in use
-_AREAS = "ar AS (SELECT p_partkey AS k, (p_partkey * 37) % 330 - 180 + 0.003 AS x0, (p_partkey * 53) % 150 - 85 + 0.007 AS y0, CASE p_partkey % 4 WHEN 0 THEN 40 WHEN 1 THEN 2 WHEN 2 THEN 12 ELSE 6 END AS w FROM part)"
+_AREAS = "ar AS (SELECT p_partkey AS k, (p_partkey * 37) % 330 - 180 + 0.003 AS x0, (p_partkey * 53) % 150 - 85 + 0.0011 AS y0, CASE p_partkey % 4 WHEN 0 THEN 40 WHEN 1 THEN 2 WHEN 2 THEN 12 ELSE 6 END AS w FROM part)"
 
 
 def _areas(t):
     k = F.col("p_partkey")
-    own = t("part").select(k.alias("poly"), (k * 37 % 330 - 180 + F.lit(0.003)).alias("x"), (k * 53 % 150 - 85 + F.lit(0.007)).alias("y"), F.when(k % 4 == 0, 40).when(k % 4 == 1, 2).when(k % 4 == 2, 12).otherwise(6).alias("w"))
+    own = t("part").select(k.alias("poly"), (k * 37 % 330 - 180 + F.lit(0.003)).alias("x"), (k * 53 % 150 - 85 + F.lit(0.0011)).alias("y"), F.when(k % 4 == 0, 40).when(k % 4 == 1, 2).when(k % 4 == 2, 12).otherwise(6).alias("w"))
     x, y, w = F.col("x"), F.col("y"), F.col("w")
     m = (x + w / 2, y + w / 2)
     slanted = _ring((m[0] - w / 4, m[1]), (m[0], m[1] - w / 4), (m[0] + w / 4, m[1]), (m[0], m[1] + w / 4))
