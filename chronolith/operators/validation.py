@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.operators.rounds import settled
+
 
 def classes_of(instances: DataFrame, closure: DataFrame) -> DataFrame:
     """(s, class) with all superclasses."""
@@ -82,8 +84,8 @@ def shape_report(quads: DataFrame, classes: DataFrame, shapes: list[Shape]) -> D
     rules = [(x.name, x.target, p.path, p.least, p.most, p.dtype, p.kind, list(p.classes)) for x in shapes for p in x.properties]
     rules = spark.createDataFrame(rules, "shape string, target string, path string, least int, most int, dtype string, kind string, allowed array<string>")
     of = classes.join(rules, F.col("class") == F.col("target")).drop("class", "target").distinct()
-    given = quads.join(rules.select(F.col("path").alias("__path")).distinct(), F.col("p") == F.col("__path"), "left_semi").select(F.col("s").alias("__s"), F.col("p").alias("__p"), "o", "o_kind", "o_dtype")
-    values = of.join(given, (F.col("s") == F.col("__s")) & (F.col("path") == F.col("__p")), "left")
+    given = quads.where(F.col("p").isin(sorted({p.path for x in shapes for p in x.properties}))).select(F.col("s").alias("__s"), F.col("p").alias("__p"), "o", "o_kind", "o_dtype")
+    values = settled(of.join(given, (F.col("s") == F.col("__s")) & (F.col("path") == F.col("__p")), "left").drop("__s", "__p"), "shape-values")
     # o is null where the property is missing
     there = F.col("o").isNotNull()
     key = ["shape", "s", "path", "least", "most"]
@@ -95,12 +97,42 @@ def shape_report(quads: DataFrame, classes: DataFrame, shapes: list[Shape]) -> D
     wrong = {"minCount": F.col("n") < F.col("least"), "maxCount": F.col("n") > F.col("most"), "nodeKind": F.col("nodeKind"), "datatype": F.col("datatype")}
     found = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), name) for name, test in wrong.items()]), lambda r: r.isNotNull())
     report = judged.select("shape", "s", "path", F.explode(found).alias("rule"))
-    typed = values.where(there & (F.size("allowed") > 0))
+    typed = values.where(there & (F.size("allowed") > 0)).select("shape", "s", "path", "o", F.explode("allowed").alias("__a"))
     right = classes.select(F.col("s").alias("__o"), F.col("class").alias("__c"))
-    outside = typed.join(right, (F.col("o") == F.col("__o")) & F.array_contains("allowed", F.col("__c")), "left_anti")
+    met = typed.join(right, (F.col("o") == F.col("__o")) & (F.col("__a") == F.col("__c")), "left")
+    outside = met.groupBy("shape", "s", "path", "o").agg(F.count("__c").alias("__n")).where("__n = 0")
     return report.unionByName(outside.select("shape", "s", "path", F.lit("class").alias("rule")).distinct())
 
 
+def _uri(path: str, *classes: str, least: int | None = None, most: int | None = None) -> Property:
+    return Property(path, least, most, classes, kind="uri")
+
+
+_RELATIONS = ("LandmarkRelation", "AddressSegment", "FinalAddressSegment")
+_CHANGES = ("Change", "LandmarkChange", "LandmarkRelationChange", "AttributeChange")
+# fixed values: the shapes of the model, a row for each class that a shape targets
+SHAPES = [
+    Shape("LandmarkShape1", "Landmark", (_uri("isLandmarkType", "LandmarkType", least=1),)),
+    Shape("LandmarkShape2", "Landmark", (_uri("hasAttribute", "Attribute"),)),
+    Shape("AddressShape1", "Address", (_uri("targets", "Landmark", least=1, most=1),)),
+    Shape("AddressShape2", "Address", (_uri("firstStep", "AddressSegment", "FinalAddressSegment", least=1, most=1),)),
+    *[Shape("LandmarkRelationShape1", c, (_uri("isLandmarkRelationType", "LandmarkRelationType", least=1, most=1),)) for c in _RELATIONS],
+    *[Shape("LandmarkRelationShape2", c, (_uri("locatum", "Landmark", least=1, most=1), _uri("relatum", "Landmark", least=1))) for c in _RELATIONS],
+    Shape("AddressSegmentShape1", "AddressSegment", (_uri("nextStep", "AddressSegment", "FinalAddressSegment", least=0, most=1),)),
+    Shape("FinalAddressSegmentShape1", "FinalAddressSegment", (_uri("nextStep", most=0),)),
+    Shape("AttributeShape1", "Attribute", (_uri("isAttributeType", "AttributeType", least=1, most=1),)),
+    Shape("AttributeShape2", "Attribute", (_uri("hasAttributeVersion", "AttributeVersion"),)),
+    *[Shape("ChangeShape1", c, (_uri("isChangeType", "ChangeType", least=1, most=1),)) for c in _CHANGES],
+    *[Shape("ChangeShape2", c, (_uri("dependsOn", "Event", least=1, most=1),)) for c in _CHANGES],
+    Shape("AttributeChangeShape1", "AttributeChange", (_uri("appliedTo", "Attribute", least=1, most=1),)),
+    Shape("AttributeChangeShape2", "AttributeChange", (_uri("outdates", "AttributeVersion"), _uri("makesEffective", "AttributeVersion"))),
+    Shape("LandmarkChangeShape1", "LandmarkChange", (_uri("appliedTo", "Landmark", least=1, most=1),)),
+    Shape("LandmarkRelationChangeShape1", "LandmarkRelationChange", (_uri("appliedTo", "LandmarkRelation", least=1, most=1),)),
+    Shape("EventShape1", "Event", (_uri("hasTime", "TimeInstant", "CrispTimeInstant", "FuzzyTimeInstant"),)),
+    Shape("CrispTimeInstantShape1", "CrispTimeInstant", (_uri("timePrecision", "TemporalUnit", least=1, most=1), Property("timeStamp", 1, 1, dtype="dateTimeStamp", kind="literal"), _uri("timeCalendar", "TRS", least=1, most=1))),
+]
+
+
 # fixed values: properties that elements of a class must have
 MANDATORY = [
     ("Landmark", "isLandmarkType"), ("LandmarkRelation", "isLandmarkRelationType"), ("LandmarkRelation", "locatum"), ("LandmarkRelation", "relatum"), ("Attribute", "isAttributeType"),

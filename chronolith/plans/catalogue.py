@@ -991,5 +991,6 @@ def m04_change_quality(t):
 from chronolith.plans import catalogue_functions  # noqa: E402, F401
 from chronolith.plans import catalogue_graph  # noqa: E402, F401
 from chronolith.plans import catalogue_reasoning  # noqa: E402, F401
+from chronolith.plans import catalogue_store  # noqa: E402, F401
 from chronolith.plans import catalogue_spatial  # noqa: E402, F401
 from chronolith.plans import catalogue_text  # noqa: E402, F401

@@ -157,15 +157,24 @@ def v04_kinds(t):
     return t("landmark").select("lm", kind.alias("kind"), (kind == "number").alias("by_distance"))
 
 
-@query("SELECT a.value AS v1, b.value AS v2, a.value = b.value AS same FROM (SELECT DISTINCT value FROM version) a, (SELECT DISTINCT value FROM version) b WHERE a.value < b.value")
+@query(f"""WITH {_PRUNED}, prv AS (SELECT *, lag(traces) OVER (PARTITION BY attr ORDER BY n) AS earlier FROM prn), x AS (SELECT unnest(earlier) AS a, traces FROM prv WHERE NOT begin_real AND earlier IS NOT NULL), y AS (SELECT a, unnest(traces) AS b FROM x)
+  SELECT DISTINCT va.value AS v1, vb.value AS v2, false AS same FROM y JOIN version va ON va.av = a JOIN version vb ON vb.av = b WHERE va.value <> vb.value""")
 def v07_judged_neighbours(t):
+    """The pairs of values that meet in time, and only they, are judged."""
     own = t("version").select(F.lit("r").alias("root"), F.col("av").alias("trace"), "av", F.lit("InseeCode").alias("attr_type"), F.lit("District").alias("lm_type"), "value", F.lit(None).cast("string").alias("lang"))
     values = compare.valued(own)
-    names = values.groupBy("vid").agg(F.any_value("as_code").alias("code"))
-    a, b = names.select(F.col("vid").alias("v1"), F.col("code").alias("c1")), names.select(F.col("vid").alias("v2"), F.col("code").alias("c2"))
-    pairs = a.join(b, F.col("c1") < F.col("c2"))  # a handful of values
-    judged = compare.judged(values)(pairs.select("v1", "v2"))
-    return judged.join(a, "v1").join(b, "v2").select(F.col("c1").alias("v1"), F.col("c2").alias("v2"), "same")
+    versions, stated = _evolution_inputs(t)
+    versions = versions.drop("vid").join(values.select(F.col("av").alias("__av"), "vid"), F.col("av") == F.col("__av")).drop("__av")
+    met = []
+
+    def judge(pairs):
+        met.append(compare.judged(values)(pairs))
+        return met[0]
+
+    evolution.continued(evolution.pruned(evolution.covered(evolution.elementary_changes(evolution.stated_and_virtual(versions, stated)))), judge)
+    name = lambda k: values.groupBy(F.col("vid").alias(f"__v{k}")).agg(F.any_value("as_code").alias(f"c{k}"))
+    rows = met[0].join(name(1), F.col("v1") == F.col("__v1")).join(name(2), F.col("v2") == F.col("__v2"))
+    return rows.select(F.col("c1").alias("v1"), F.col("c2").alias("v2"), "same")
 
 
 # --- changes and evolution (E05, E07, K01-K18) ---------------------------------------------------------------------
@@ -379,12 +388,12 @@ def q09_values_of_versions(t):
     return reading.values_of(v, v.where("cast(substr(av, 2) as bigint) % 7 = 0").select("av"))
 
 
-@query("SELECT 'v' || b.elem AS av, v.value, CASE WHEN app_crisp IS NOT NULL THEN 'crisp' WHEN coalesce(app_begin, app_end) IS NOT NULL THEN 'fuzzy' END AS start, CASE WHEN dis_crisp IS NOT NULL THEN 'crisp' WHEN coalesce(dis_begin, dis_end) IS NOT NULL THEN 'fuzzy' END AS finish FROM version v JOIN bound b ON v.av = 'v' || b.elem")
+@query("SELECT 'v' || b.elem AS av, v.value, CASE WHEN app_crisp IS NOT NULL THEN 'crisp' WHEN coalesce(app_begin, app_end) IS NOT NULL THEN 'fuzzy' END AS start, CASE WHEN dis_crisp IS NOT NULL THEN 'crisp' WHEN coalesce(dis_begin, dis_end) IS NOT NULL THEN 'fuzzy' END AS finish FROM version v LEFT JOIN bound b ON v.av = 'v' || b.elem")
 def q11_evolution_features(t):
-    rows = reading.timeline(t("version"), t("bound").drop("lm").withColumn("elem", F.concat(F.lit("v"), "elem"))).where("app_crisp is not null or app_begin is not null or app_end is not null or dis_crisp is not null or dis_begin is not null or dis_end is not null or av in ('')")
+    bounds = t("bound").drop("lm").withColumn("elem", F.concat(F.lit("v"), "elem"))
+    rows = reading.timeline(t("version"), bounds)
     side = lambda s: reading.boundary(*[F.col(f"{s}_{k}") for k in ("crisp", "begin", "end")], F.lit("day"), F.lit("gregorian"))["kind"]
-    none = t("version").join(t("bound").where("coalesce(app_crisp, app_begin, app_end, dis_crisp, dis_begin, dis_end) is null").select(F.concat(F.lit("v"), "elem").alias("av")), "av").select("av", "value", F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("finish"))
-    return rows.select("av", "value", side("app").alias("start"), side("dis").alias("finish")).unionByName(none)
+    return rows.select("av", "value", side("app").alias("start"), side("dis").alias("finish"))
 
 
 @query("SELECT elem, CASE WHEN dis_crisp IS NOT NULL THEN 'crisp' ELSE 'fuzzy' END AS kind, dis_crisp AS value, CASE WHEN dis_crisp IS NULL THEN dis_begin END AS begin, CASE WHEN dis_crisp IS NULL THEN dis_end END AS ending FROM bound WHERE coalesce(dis_crisp, dis_begin, dis_end) IS NOT NULL")

@@ -82,6 +82,17 @@ SQL = {
     "busy_stated": """
         SELECT CASE WHEN event_id % 2 = 0 THEN 'hub' ELSE concat(cast(user_id AS string), '-', event_type) END AS attr, date_trunc('hour', ts) AS stamp, cast(11 AS int) AS precision, concat('c', cast(event_id AS string)) AS cg, concat('v', cast(event_id AS string)) AS made
         FROM {events} WHERE event_id % 20 = 0""",
+    # classes of what ``claim`` speaks of; some are missing
+    "thing": """
+        SELECT concat('lm', cast(c_custkey AS string)) AS s, 'Landmark' AS class FROM {customer} WHERE c_custkey % 7 <> 0
+        UNION ALL SELECT concat('lr', cast(c_custkey AS string)), 'LandmarkRelation' FROM {customer}
+        UNION ALL SELECT concat('ca', cast(c_custkey AS string)), 'LandmarkChange' FROM {customer} UNION ALL SELECT concat('cd', cast(c_custkey AS string)), 'Change' FROM {customer} UNION ALL SELECT concat('cra', cast(c_custkey AS string)), 'LandmarkRelationChange' FROM {customer}
+        UNION ALL SELECT concat('crd', cast(c_custkey AS string)), 'LandmarkChange' FROM {customer} WHERE c_custkey % 9 = 0
+        UNION ALL SELECT concat('la', cast(c_custkey AS string)), 'Event' FROM {customer} WHERE c_custkey % 5 <> 0 UNION ALL SELECT concat('ld', cast(c_custkey AS string)), 'Event' FROM {customer} UNION ALL SELECT concat('ra', cast(c_custkey AS string)), 'Event' FROM {customer}
+        UNION ALL SELECT concat('e', cast(o_orderkey AS string)), 'Event' FROM {orders} WHERE o_orderkey % 6 <> 1
+        UNION ALL SELECT concat('ma', cast(o_orderkey AS string)), 'AttributeChange' FROM {orders} UNION ALL SELECT concat('ava', cast(o_orderkey AS string)), 'AttributeVersion' FROM {orders} WHERE o_orderkey % 4 <> 0
+        UNION ALL SELECT DISTINCT concat('t', cast(o_custkey AS string), '|', cast(cast(o_orderdate AS date) AS string)), 'CrispTimeInstant' FROM {orders} WHERE o_orderkey % 2 = 0
+        UNION ALL SELECT 'LandmarkAppearance', 'ChangeType' FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT 'LandmarkRelationAppearance', 'ChangeType' FROM {region} WHERE r_regionkey = 0""",
     # statements on events: landmarks of customers, relations between them, versions that orders make and outdate, times of some orders
     "claim": """
         WITH ow AS (SELECT o_orderkey AS k, o_custkey AS c, cast(cast(o_orderdate AS date) AS string) AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer})),
