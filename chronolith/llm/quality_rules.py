@@ -2,8 +2,8 @@
 
 Statistics of every whole text are gathered in one pass.  A decision list for low quality is learned from labelled
 statistics by sequential covering: a rule grows by the threshold test of best information gain on two thirds of
-what is left, is pruned from its end on the other third, and is kept if its precision there holds up; what it
-covers is set aside, and the next rule grows.  The list becomes an ordered Spark conditional expression over the
+what is left, is pruned from its end on the other third, and is kept if its precision on all that it covers of
+both holds up; what it covers is set aside, and the next rule grows.  The list becomes an ordered Spark conditional expression over the
 statistics, so the verdict runs inside the engine.
 
 Learning reads at most ``SAMPLE`` labelled rows (the smallest hashes of doc_id); statistics and verdicts cover all.
@@ -28,7 +28,7 @@ from chronolith.llm.common import in_slices, table
 
 SAMPLE = 6000
 WINDOW = 8
-#: A rule must be right about this share of what it covers on the pruning rows, and cover this many growing rows.
+#: A rule must be right about this share of what it covers of all rows left, and cover this many low ones.
 PRECISION, COVER, MOST_RULES, MOST_TESTS = 0.9, 5, 12, 4
 _MULTIPLY = np.random.default_rng(11).integers(1, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_distinct", "n_same_next", "n_digits"]

@@ -7,7 +7,9 @@ attention pools the states, and a logit comes out.  A text's logit is that of it
 a probability by a logistic fit on validation texts.
 
 Training reads at most ``POSITIVES`` toxic and ``NEGATIVES`` other labelled rows (those with the smallest hash of
-doc_id), only from rows whose crc32(doc_id) mod 5 is not 0; scoring reads every row and every word.
+doc_id), only from rows whose crc32(doc_id) mod 5 is not 0, and of each label at most ``SAMPLE_BYTES`` of text: in
+that order, a row that doesn't fit any more is passed over and later ones that do are taken; scoring reads every row
+and every word.
 
 Defined results: null or empty texts and texts without words get the score of an empty window; a null doc_id has
 null held_out; repeated rows are scored each; an empty table gives no rows; without labels of both kinds every
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import in_slices, table
+from chronolith.llm.common import in_slices, settle, table
 
 LENGTH, STRIDE = 48, 24
 POSITIVES, NEGATIVES = 1000, 2500
@@ -332,9 +334,16 @@ def fitted(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negat
     share = (n[1] or 0) / n[0] if n[0] else 0.0
     some = own.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).unionByName(own.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(negatives))
     found = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), F.col("__id") == F.col("doc_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    # as many rows as the sample has: those of each label that fit into the bytes, the others left out whole
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = found.withColumn("upto", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(order)).where(F.col("upto") <= sample_bytes).select("doc_id", "text", "toxic").collect()
+    found = settle(found, "toxicity-sample")
+    # sizes of as many rows as the sample has: in the order of the hash each row that still fits is taken, one that doesn't is left out whole
+    sizes = found.select("doc_id", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    taken, held = [], {}
+    for r in sizes:
+        if held.get(r.toxic, 0) + r["size"] <= sample_bytes:
+            held[r.toxic] = held.get(r.toxic, 0) + r["size"]
+            taken.append((r.doc_id,))
+    chosen = docs.sparkSession.createDataFrame(taken, "__taken long")
+    rows = found.join(F.broadcast(chosen), F.col("doc_id") == F.col("__taken")).select("doc_id", "text", "toxic").collect()  # at most the bytes of the bound
     rows = sorted(rows, key=lambda x: (x.doc_id, x.text or ""))
     return train([x.text for x in rows], [x.toxic for x in rows], share)
 

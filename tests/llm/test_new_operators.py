@@ -13,7 +13,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from chronolith.llm import licences, queries, target_resampling, whitening
+from chronolith.llm import licences, queries, target_resampling, token_files, toxicity, whitening
 
 SF = "/root/testdata/sf0.01"
 NARROW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -237,3 +237,34 @@ def test_resampling_sql(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES["op13_importance_resampling"](spark, SF)
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(queries.ORACLES["op13_importance_resampling"]).fetchall())
+
+
+# 5 and 6, their bounds
+def test_sample_skips_only_what_does_not_fit(spark, monkeypatch):
+    """A text over the bound, wherever its hash comes, leaves the others in."""
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, share: seen.update(texts=texts, labels=labels, share=share))
+    texts = [f"text {i} " * 3 for i in range(60)]
+    texts[20] = texts[41] = "x" * 5000
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    toxicity.fitted(docs, labels, sample_bytes=2000)
+    kept = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 and i not in (20, 41)]
+    assert len(seen["texts"]) == len(kept) and sorted(seen["labels"]) == sorted(i % 2 for i in kept) and max(map(len, seen["texts"])) < 100
+    toxicity.fitted(docs, labels, sample_bytes=100)
+    assert set(seen["labels"]) == {0, 1} and all(sum(len(t) for t, y in zip(seen["texts"], seen["labels"]) if y == k) <= 100 for k in (0, 1))
+
+
+def test_ranges_part_one_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 200)
+    docs = spark.createDataFrame([(None, f"word{i} " * 5) for i in range(80)] + [(7, f"other{i}") for i in range(40)] + [(8, None)], "doc_id long, text string")
+    files = token_files.token_blocks(docs)
+    assert files.select("part").distinct().count() > 10
+    rows = token_files.read_blocks(files).collect()
+    assert len(rows) == 121 and sorted(r.start for r in rows)[0] == 0
+    at = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    order = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
+    assert order == [None] * 80 + [7] * 40 + [8]
