@@ -35,8 +35,8 @@ from chronolith.llm.words import TokenCache
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = (1 << 20) - 1
 BLOCK_IDS, STRIDE, MAGIC = 1 << 16, 128, b"S8B1"
-#: Bytes of text of one range of doc_ids.
-RANGE_BYTES = 128 << 20
+#: Rows of one range of doc_ids.
+RANGE_ROWS = 50_000
 _CACHES: dict[str, TokenCache] = {}
 
 
@@ -187,8 +187,8 @@ def token_blocks(docs: DataFrame, file: str = "word_bpe_49k.json", end_id: int =
         if held:
             yield out()
 
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    n = max(partitions(docs.sparkSession), -(-size // RANGE_BYTES))  # ranges grow with the texts; rows of one doc_id are parted by their digests
+    # ranges grow with the rows, whose number files know without being read; rows of one doc_id are parted by their digests
+    n = max(partitions(docs.sparkSession), -(-docs.count() // RANGE_ROWS))
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text"))
     ordered = own.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     return ordered.mapInArrow(run, "part int, block_no int, n_ids long, payload binary")

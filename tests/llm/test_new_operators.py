@@ -256,7 +256,7 @@ def test_sample_skips_only_what_does_not_fit(spark, monkeypatch):
 
 
 def test_ranges_part_one_doc_id(spark, monkeypatch):
-    monkeypatch.setattr(token_files, "RANGE_BYTES", 200)
+    monkeypatch.setattr(token_files, "RANGE_ROWS", 6)
     docs = spark.createDataFrame([(None, f"word{i} " * 5) for i in range(80)] + [(7, f"other{i}") for i in range(40)] + [(8, None)], "doc_id long, text string")
     files = token_files.token_blocks(docs)
     assert files.select("part").distinct().count() > 10
