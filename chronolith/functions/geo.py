@@ -277,7 +277,20 @@ def within(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
 
 
 def geojson_to_wkt(geometry: Column) -> Column:
-    """WKT of a GeoJSON geometry's text, of the types that are nested arrays of positions."""
+    """WKT of a GeoJSON geometry's text; a collection's members may be collections once more."""
+
+    def collection(text: Column, member) -> Column:
+        parts = F.from_json(F.get_json_object(text, "$.geometries"), "array<string>")
+        inner = F.filter(F.transform(parts, member), lambda w: w.isNotNull())
+        return F.when(F.size(inner) > 0, F.concat(F.lit("GEOMETRYCOLLECTION ("), F.array_join(inner, ", "), F.lit(")"))).otherwise(F.lit("GEOMETRYCOLLECTION EMPTY"))
+
+    kind = lambda text: F.upper(F.get_json_object(text, "$.type")) == "GEOMETRYCOLLECTION"
+    inner = lambda text: F.when(kind(text), collection(text, _simple_to_wkt)).otherwise(_simple_to_wkt(text))
+    return F.when(kind(geometry), collection(geometry, inner)).otherwise(_simple_to_wkt(geometry))
+
+
+def _simple_to_wkt(geometry: Column) -> Column:
+    """WKT of the types that are nested arrays of positions."""
     kind = F.upper(F.get_json_object(geometry, "$.type"))
     text = F.get_json_object(geometry, "$.coordinates")
     pair = F.regexp_replace(text, r"\[\s*(-?[0-9.eE+-]+)\s*,\s*(-?[0-9.eE+-]+)(?:\s*,[^\]]*)?\]", "$1 $2")
@@ -286,7 +299,30 @@ def geojson_to_wkt(geometry: Column) -> Column:
 
 
 def wkt_to_geojson(wkt: Column) -> Column:
-    """GeoJSON text of a WKT body (positions as they are)."""
+    """GeoJSON text of a WKT body (positions as they are); members of collections within a collection become its own."""
+    members = F.regexp_extract_all(wkt, F.lit(r"(?:MULTI)?(?:POINT|LINESTRING|POLYGON)\s*\([^A-DF-Za-df-z]*\)"), F.lit(0))
+    # what follows a member's last bracket belongs to the collection
+    own = F.transform(members, lambda m: F.substring(m, F.lit(1), _end_of(m)))
+    all_ = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(F.transform(own, _simple_to_geojson), ","), F.lit("]}"))
+    return F.when(kind_of(wkt) == "GEOMETRYCOLLECTION", all_).otherwise(_simple_to_geojson(wkt))
+
+
+def _end_of(text: Column) -> Column:
+    """Where the first bracket of a text closes."""
+    steps = F.transform(F.split(text, ""), lambda c: F.when(c == "(", 1).when(c == ")", -1).otherwise(0))
+    seek = lambda acc, x: F.struct((acc["at"] + F.when(acc["shut"], 0).otherwise(1)).alias("at"), (acc["depth"] + x).alias("depth"), (acc["shut"] | ((x == -1) & (acc["depth"] == 1))).alias("shut"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("shut"))
+    return F.aggregate(steps, start, seek)["at"]
+
+
+def literal_to_geojson(literal: Column) -> Column:
+    """GeoJSON text of a literal with its reference system; one that isn't known is an error, not a guess."""
+    uri, body = split_literal(literal)
+    known = epsg_of(uri).isin("4326", "3857", "2154")
+    return F.when(literal.isNull(), F.lit(None).cast("string")).when(F.coalesce(known, F.lit(False)), wkt_to_geojson(body)).otherwise(F.raise_error(F.concat(F.lit("unknown reference system: "), uri)))
+
+
+def _simple_to_geojson(wkt: Column) -> Column:
     kinds = {"POINT": "Point", "LINESTRING": "LineString", "POLYGON": "Polygon", "MULTIPOINT": "MultiPoint", "MULTILINESTRING": "MultiLineString", "MULTIPOLYGON": "MultiPolygon"}
     kind = F.create_map(*[F.lit(x) for p in kinds.items() for x in p])[kind_of(wkt)]
     body = F.regexp_replace(wkt, r"^\s*[A-Za-z]+\s*", "")

@@ -41,6 +41,70 @@ def reading(values: dict) -> Reading:
     return Reading(**values)
 
 
+# fixed values: the parts of a project's settings and the graphs that it names
+SECTIONS = ("paths", "named_graphs", "labels", "comparison_settings", "namespaces")
+GRAPHS = ("ontology", "facts", "inter_sources", "comparisons", "labels", "temporary", "metadata")
+
+
+@dataclass(frozen=True)
+class Project:
+    """Settings of a build: what is compared how, names of graphs, prefixes, and what the user gave besides."""
+
+    comparison: Comparison
+    graphs: dict[str, str]
+    prefixes: dict[str, str]
+    labels: dict[str, str]
+    paths: dict[str, str]
+    user: dict[str, dict[str, str]]
+
+    def graph_uri(self, name: str) -> str:
+        """The IRI of a named graph: its name in the namespace of graphs, where one is given."""
+        return self.prefixes.get("GRAPH", "") + self.graphs[name]
+
+
+def _sections(path: str) -> dict[str, dict[str, str]]:
+    """Sections of an INI or YAML file, by its ending."""
+    own = Path(path)
+    if own.suffix == ".ini":
+        import configparser
+
+        reader = configparser.ConfigParser(interpolation=None)
+        reader.optionxform = str  # keys keep their case
+        with own.open() as lines:
+            reader.read_file(lines)
+        return {name: dict(reader[name]) for name in reader.sections()}
+    if own.suffix in (".yaml", ".yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("YAML settings need PyYAML; INI needs nothing") from e
+        found = yaml.safe_load(own.read_text()) or {}
+    elif own.suffix == ".json":
+        found = json.loads(own.read_text())
+    else:
+        raise ValueError(f"no settings: {path}")
+    if not isinstance(found, dict) or not all(isinstance(v, dict) for v in found.values()):
+        raise ValueError("settings are sections of keys and values")
+    return found
+
+
+def project(technical: str, user: str | None = None) -> Project:
+    """A project from its technical file and the user's, each YAML, JSON or INI; values are checked here, once."""
+    found = _sections(technical)
+    missing = [x for x in SECTIONS if x not in found]
+    if missing:
+        raise ValueError(f"no section {missing[0]}")
+    graphs = {k: str(v) for k, v in found["named_graphs"].items()}
+    if set(graphs) != set(GRAPHS) or len(set(graphs.values())) < len(graphs):
+        raise ValueError(f"named graphs are exactly {sorted(GRAPHS)}, each with a name of its own")
+    given = found["comparison_settings"]
+    own = Comparison(**{k: float(given[k]) if k != "epsg_code" else str(given[k]) for k in ("geom_similarity_coef", "geom_buffer_radius", "geom_max_distance", "epsg_code") if k in given})
+    if not 0 <= own.geom_similarity_coef <= 1 or own.geom_buffer_radius < 0 or own.geom_max_distance < 0:
+        raise ValueError("a coefficient lies in 0..1, distances aren't negative")
+    text = lambda part: {k: str(v) for k, v in found[part].items()}
+    return Project(own, graphs, text("namespaces"), text("labels"), text("paths"), _sections(user) if user else {})
+
+
 class Store:
     """Settings in a file on the driver, replaced whole."""
 

@@ -161,6 +161,25 @@ def renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.withColumnsRenamed(names)
 
 
+# fixed values: columns of a city's lists of streets, by list and file format, and the names that ``street_nomenclature`` takes
+STREET_COLUMNS = {
+    ("current", "csv"): {"Identifiant": "id", "Dénomination complète minuscule": "name", "Date de l'arrété": "start", "Arrondissement": "borough", "Quartier": "district", "geo_shape": "geometry"},
+    ("current", "json"): {"id": "id", "typo_min": "name", "date_arret": "start", "arrdt": "borough", "quartier": "district", "geometry": "geometry"},
+    ("obsolete", "csv"): {"Identifiant": "id", "Dénomination complète minuscule": "name", "Date de l'arrêté": "start", "Date de caducité": "end", "Arrondissement": "borough", "Quartier": "district"},
+    ("obsolete", "json"): {"id": "id", "typo_min": "name", "date_arret": "start", "date_voie_ancienne": "end", "arrdt": "borough", "quartier": "district"},
+}
+
+
+def street_list(rows: DataFrame, source: str, which: str, file_format: str) -> dict[str, DataFrame]:
+    """Streets of a city's list of current or obsolete streets, in either file format."""
+    names = STREET_COLUMNS[which, file_format]
+    absent = [c for c in names if c not in rows.columns and names[c] != "geometry"]
+    if absent:
+        raise ValueError(f"no column {absent[0]!r} in a {file_format} list of {which} streets")
+    own = renamed(rows.select(*[F.col(f"`{c}`") for c in names if c in rows.columns]), names)
+    return street_nomenclature(own, source, "name", "start", "end" if which == "obsolete" else None, ["borough", "district"])
+
+
 def of_families(parts: dict[str, DataFrame], sides: tuple[str, ...] = ("start", "end")) -> DataFrame:
     """Landed extracts of several families of entities as one table, a row for each side of their time: (family, side, ...)."""
     out = None

@@ -129,7 +129,8 @@ def write_turtle(rows: DataFrame, path: str, prefixes: dict[str, str] | None = N
                 first = False
             yield batch
 
-    lines.repartition(F.col("s")).sortWithinPartitions("s", "value").select("value").mapInArrow(with_head, "value string").write.text(path)
+    # by ranges, so that a subject with very many statements spreads over files
+    lines.repartitionByRange(F.col("s"), F.col("value")).sortWithinPartitions("s", "value").select("value").mapInArrow(with_head, "value string").write.text(path)
 
 
 # --- Turtle ------------------------------------------------------------------------------------------------------
@@ -171,8 +172,8 @@ def _plain(text: str) -> str:
 
 def directives(text: str) -> tuple[dict[str, str], str | None]:
     """Prefixes and base of the statements ``@prefix`` and ``@base`` (or PREFIX, BASE) in a text."""
-    found = {m[1]: _plain(m[2]) for m in re.finditer(r"(?im)^\s*@?prefix\s+([^\s:]*):\s*<([^<>\s]*)>", text)}
-    base = re.findall(r"(?im)^\s*@?base\s+<([^<>\s]*)>", text)
+    found = {m[1]: _plain(m[2]) for m in re.finditer(r"(?im)(?:^|\.)\s*@?prefix\s+([^\s:]*):\s*<([^<>\s]*)>", text)}
+    base = re.findall(r"(?im)(?:^|\.)\s*@?base\s+<([^<>\s]*)>", text)
     return found, base[-1] if base else None
 
 
@@ -335,14 +336,17 @@ def read_turtle(spark: SparkSession, path: str, graph: str | None = None) -> tup
     open_ = F.pmod(F.regexp_count(F.regexp_replace("value", r"\\.", ""), F.lit('"""|\'\'\'')), F.lit(2))
     odd = raw.withColumn("__odd", open_)
     broken = odd.where("__odd = 1").select(F.col("file").alias("__file")).distinct()
-    order = Window.partitionBy("file").orderBy("block", "row").rowsBetween(Window.unboundedPreceding, -1)
-    mend = odd.join(broken, F.col("file") == F.col("__file"), "left_semi").withColumn("__before", F.coalesce(F.sum("__odd").over(order), F.lit(0)))
-    inner = F.pmod("__before", F.lit(2)) == 1  # starts within a text
-    mend = mend.withColumn("__part", F.sum(F.when(inner, 0).otherwise(1)).over(Window.partitionBy("file").orderBy("block", "row")))
+    # only keys and counts go through the windows of a file; its texts meet the result afterwards
+    keys = odd.join(broken, F.col("file") == F.col("__file"), "left_semi").select("file", "block", "row", "__odd")
+    order = Window.partitionBy("file").orderBy("block", "row")
+    keys = keys.withColumn("__before", F.coalesce(F.sum("__odd").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = F.pmod("__before", F.lit(2)) == 0  # not within a text
+    keys = keys.withColumn("__part", F.sum(F.when(starts, 1).otherwise(0)).over(order)).select(F.col("file").alias("__f"), F.col("block").alias("__b"), F.col("row").alias("__r"), "__part")
+    mend = odd.join(keys, (F.col("file") == F.col("__f")) & (F.col("block") == F.col("__b")) & (F.col("row") == F.col("__r")))
     mended = mend.groupBy("file", "__part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "row", "value"))), lambda v: v["value"]), ".\n").alias("value"), F.min("block").alias("block"), F.min("row").alias("row"))
     whole = odd.join(broken, F.col("file") == F.col("__file"), "left_anti").select("file", "value", "block", "row").unionByName(mended.select("file", "value", "block", "row"))
-    said = raw.where(F.lower("value").rlike(r"(?m)^\s*@?(?:prefix|base)\s")).select("file", "value", "block", "row")
-    heads = said.groupBy(F.col("file").alias("__file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "row", "value"))), lambda v: F.array_join(F.regexp_extract_all(v["value"], F.lit(r"(?im)^\s*@?(?:prefix\s+[^\s:]*:|base)\s*<[^<>\s]*>"), F.lit(0)), "\n")), "\n").alias("head"))
+    said = raw.where(F.lower("value").rlike(r"(?m)(?:^|\.)\s*@?(?:prefix|base)\s")).select("file", "value", "block", "row")
+    heads = said.groupBy(F.col("file").alias("__file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "row", "value"))), lambda v: F.array_join(F.regexp_extract_all(v["value"], F.lit(r"(?im)(?:^|\.)\s*@?(?:prefix\s+[^\s:]*:|base)\s*<[^<>\s]*>"), F.lit(0)), "\n")), "\n").alias("head"))
     rows = whole.join(heads, F.col("file") == F.col("__file"), "left").select("file", F.md5("file").substr(1, 12).alias("mark"), "head", "value", F.concat_ws(".", "block", "row").alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
