@@ -1,14 +1,18 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines (one per block element).  A line weighs its code points, or nothing where markup
-says that it is no article text: navigation, page headers and footers, sidebars, forms, notices, adverts,
-comments, text that is mostly links.  Names of classes and forms say so only of elements that hold neither <main> nor
-the page's only article nor, on pages without either, most of the text; others are wrappers of the layout.  Inside a
-marked article a line weighs MARK times as much, and lines of links weigh nothing where they fill a window or hold
-several links, unless all its lines do.  Weights are summed over sliding windows of lines.  Dives, where a window holds
-nothing, and the article's ends part the page into blocks; a block in which the sums surge over a threshold, or over
-all others of a page that nowhere reaches it, is text, and all its weighing lines are kept.  A block outside a marked
-article must also reach an equal share, 1 in MARK, of the page's largest sum.
+Markup is stripped into lines (one per block element).  A line weighs its code points times what one weighs there:
+MARKED inside an article that the page marks, PLAIN elsewhere, NAMED where only the names of classes or a form hint
+that it is no article text, and nothing where markup says so (navigation, page headers and footers, sidebars, what is
+hidden) or where it is mostly links.  Names hint so only of elements that hold neither <main> nor the page's only
+article nor, on pages without either, most of the text; others are wrappers of the layout.  Inside a marked article
+lines of links weigh nothing where they fill a window or hold several links, unless all its lines do.
+
+Weights are summed over sliding windows of lines, and the page's heaviest window sets the level of the rest.  A line
+that weighs less than 1 in DIVE of what its code points would weigh there is a dive.  Outside a marked article, a
+window of dives, or dives before text that has left the block's elements, end a block; the article's ends do always,
+and nothing inside it does.  A block is text where its sums surge over 1 in SHARE of the page's largest (or over SURGE
+code points of plain text, if that is less) and, beside a marked article, over 1 in BESIDE; lines of text blocks that
+are no dives are kept.
 
 Defined results: null or empty html, or a page without text, gives the empty string and 0; unclosed tags and
 quotes are read as browsers do for the block structure; repeated rows are returned each; an empty table gives no
@@ -29,10 +33,14 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import in_slices, table
 
 WINDOW = 3
-#: What a window's sum must exceed in a block of text; where no sum does, the largest is a surge.
-SURGE = 80
-#: How much more a code point weighs inside an article that the page marks.
-MARK = 4
+#: What a code point weighs inside a marked article, elsewhere, and where names hint at no text.
+MARKED, PLAIN, NAMED = 256, 64, 1
+#: A line is a dive where a code point weighs less than this share of what one weighs in the heaviest window.
+DIVE = 16
+#: A block's sums must surge over this share of the page's largest, or over so many code points of plain text.
+SHARE, SURGE = 8, 80
+#: The share of the page's largest sum that a block beside a marked article must reach.
+BESIDE = 4
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -57,7 +65,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 #: Parts of names that say what an element is for, then such as do so only at a name's end or before a word for furniture.
 _PLAIN_NAMES = "ads?|adsbygoogle|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|nav|navbar|navigation|menu|sidebar|footer|comments?|disqus|replies|sharing|breadcrumbs?|newsletter|subscribe|subscription|popup|modal|overlay|toolbar|pagination|pager|masthead|topbar|skip|login|signup"
 _OTHER_NAMES = "banner|notice|share|social|related|widget"
-_FURNITURE = "area|articles?|bar|block|box|buttons?|container|icons?|items?|links?|list|media|panel|posts?|section|stories|text|tools?|wrap|wrapper"
+_FURNITURE = "area|articles?|bar|block|box|buttons?|container|icons?|items?|links?|list|media|panel|posts?|reading|section|stories|text|tools?|wrap|wrapper"
 _NAMES = re.compile(
     rf"(?:^|[\s_-])(?:{_PLAIN_NAMES})(?:$|[\s_-])|(?:^|[\s_-])(?:{_OTHER_NAMES})(?:$|\s|[_-](?:{_FURNITURE})(?:$|[\s_-]))|(?:^|[\s_-])(?:comment|cookie|sidebar|advert|newsletter)",
     re.I,
@@ -188,50 +196,59 @@ def lines_of(page: str, window: int = WINDOW) -> tuple[list[tuple[str, int, int,
     apart = lambda named: any(n not in wrapping for n in named)
     marked = any(not apart(named) for _, named in articles[1:])
     may = [not apart(named) for _, named, *_ in lines]
-    inside = [marked and m and article > 0 for m, (_, _, article, *_) in zip(may, lines)]
+    inside = [marked and article > 0 and not apart(articles[article][1]) for _, _, article, *_ in lines]
     own = [links for _, _, _, links, _ in lines]
-    if marked and any(m and not o for m, o in zip(inside, own)):
+    if marked and any(i and m and not o for i, m, o in zip(inside, may, own)):
         # one link may be a line of the article; several, and lines of links in a row that fill a window, are a menu
         at = 0
         while at < len(lines):
             stop = at
-            while stop < len(lines) and inside[stop] and own[stop]:
+            while stop < len(lines) and inside[stop] and may[stop] and own[stop]:
                 stop += 1
             if stop - at < window:
                 own[at:stop] = [o if o > 1 else 0 for o in own[at:stop]]
             at = max(stop, at + 1)
     elif marked:
         own = [0 if i else o for i, o in zip(inside, own)]  # an article that is all links
-    return [(text, (MARK if i else 1) * len(text) if m and not o else 0, depth, i) for (text, *_, depth), m, o, i in zip(lines, may, own, inside)], marked
+    each = [0 if o or 0 in named else NAMED if not m else MARKED if i else PLAIN for (_, named, *_), m, o, i in zip(lines, may, own, inside)]
+    return [(text, weight * len(text), depth, i) for (text, *_, depth), weight, i in zip(lines, each, inside)], marked
+
 
+def level_of(lines: list[tuple[str, int, int, bool]], window: int) -> float:
+    """What a code point weighs in the page's heaviest window (the first of equal ones)."""
+    starts = range(len(lines))
+    heaviest = max(starts, key=lambda i: sum(x[1] for x in lines[i : i + window]), default=0)
+    held = [x for x in lines[heaviest : heaviest + window] if x[1]]
+    return sum(x[1] for x in held) / max(sum(len(x[0]) for x in held), 1)
 
-def blocks_of(lines: list[tuple[str, int, int, bool]], window: int) -> list[list[tuple[str, int, int, bool]]]:
-    """Lines between dives.  A line of no weight is a dive only where a window of them follows, or where the next
-    weighing line has left the elements that hold the block's text; an article's end is one."""
+
+def blocks_of(lines: list[tuple[str, int, int, bool]], window: int, level: float) -> list[list[tuple[str, int, int, bool]]]:
+    """Lines between dives; those of no text inside a block stand as lines of no weight."""
     blocks: list[list[tuple[str, int, int, bool]]] = []
-    nothing, least = window, 0  # lines of no weight so far, least depth of the block's text
+    nothing, least = 0, 0  # dives so far, least depth of the block's text
     for line in lines:
-        if not line[1]:
+        text, weight, depth, inside = line
+        if not weight or DIVE * weight < level * len(text):
             nothing += 1
             continue
-        if nothing >= window or nothing and line[2] < least or line[3] != blocks[-1][-1][3]:
+        if not blocks or inside != blocks[-1][-1][3] or not inside and (nothing >= window or nothing and depth < least):
             blocks.append([])
-            least = line[2]
-        elif nothing:
-            blocks[-1] += [("", 0, 0, line[3])] * nothing
-        nothing, least = 0, min(least, line[2])
+            least = depth
+        else:
+            blocks[-1] += [("", 0, 0, inside)] * nothing
+        nothing, least = 0, min(least, depth)
         blocks[-1].append(line)
     return blocks
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+def main_text(page: str | None, window: int = WINDOW) -> str:
     """Text between the surges and dives of the line-block distribution."""
     lines, marked = lines_of(page or "", window)
-    blocks = blocks_of(lines, window)
-    peaks = [max(sum(w for _, w, *_ in block[i : i + window]) for i in range(len(block))) for block in blocks]
+    blocks = blocks_of(lines, window, level_of(lines, window))
+    peaks = [max(sum(x[1] for x in block[i : i + window]) for i in range(len(block))) for block in blocks]
     top = max(peaks, default=0)
-    least = min(surge + 1, top)
-    is_text = [peak >= least and (block[0][3] or not marked or MARK * peak >= top) for block, peak in zip(blocks, peaks)]
+    surge = min(SURGE * PLAIN, top / SHARE)
+    is_text = [block[0][3] or peak >= surge and (not marked or BESIDE * peak >= top) for block, peak in zip(blocks, peaks)]
     return "\n".join(text for block, kept in zip(blocks, is_text) if kept for text, weight, *_ in block if weight)
 
 

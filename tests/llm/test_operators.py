@@ -169,23 +169,33 @@ def test_html(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
-def windows_by_brute_force(lines, marked, window, surge):
-    """Kept lines by sums over every run of lines: surges and dives looked up one position at a time."""
-    n, sums = len(lines), {}
-    weigh = [i for i in range(n) if lines[i][1]]
-    if not weigh:
+def windows_by_brute_force(lines, marked, window=3):
+    """Kept lines by sums over every run of lines: level, dives and surges looked up one position at a time."""
+    n = len(lines)
+    best, level = 0, 0.0
+    for s in range(n):
+        run = [lines[i] for i in range(s, min(s + window, n))]
+        if sum(x[1] for x in run) > best:
+            best = sum(x[1] for x in run)
+            level = best / sum(len(x[0]) for x in run if x[1])
+    keep = [i for i in range(n) if lines[i][1] and lines[i][1] / len(lines[i][0]) >= level / 16]
+    if not keep:
         return []
-    part, parts = {weigh[0]: 0}, [[weigh[0]]]
-    for before, i in zip(weigh, weigh[1:]):
+    parts = [[keep[0]]]
+    for before, i in zip(keep, keep[1:]):
         gap, shallow = i - before - 1, min(lines[j][2] for j in parts[-1])
-        if gap >= window or (gap and lines[i][2] < shallow) or lines[i][3] != lines[before][3]:
+        ends = lines[i][3] != lines[before][3] or not lines[i][3] and (gap >= window or gap > 0 and lines[i][2] < shallow)
+        if ends:
             parts.append([])
         parts[-1].append(i)
-        part[i] = len(parts) - 1
-    for k, own in enumerate(parts):
-        sums[k] = max(sum(lines[j][1] for j in own if s <= j < s + window) for s in range(own[0], own[-1] + 1))
-    top = max(sums.values())
-    return [lines[i][0] for i in weigh if sums[part[i]] >= min(surge + 1, top) and (lines[i][3] or not marked or html_text.MARK * sums[part[i]] >= top)]
+    sums = [max(sum(lines[j][1] for j in own if s <= j < s + window) for s in range(own[0], own[-1] + 1)) for own in parts]
+    top = max(sums)
+    text = []
+    for own, most in zip(parts, sums):
+        in_article = lines[own[0]][3]
+        if in_article or (most >= 80 * 64 or 8 * most >= top) and (not marked or 4 * most >= top):
+            text += [lines[i][0] for i in own]
+    return text
 
 
 def test_html_windows_decide(spark):
@@ -193,23 +203,65 @@ def test_html_windows_decide(spark):
     tags = ["<p>{}</p>", "<div>{}</div>", "<div class=ad>{}</div>", "<nav>{}</nav>", "<p><a href=x>{}</a></p>", "<article><p>{}</p></article>", "<div><p>{}</p><p>{}</p></div>", "<footer>{}</footer>", "<main><p>{}</p><div class=ad>{}</div><p>{}</p></main>"]
     text = lambda: "word " * r.choice([1, 3, 8, 20, 60])
     pages = ["".join(t.format(*[text() for _ in range(t.count("{}"))]) for t in r.choices(tags, k=r.randint(1, 14))) for _ in range(400)]
-    pages += [x.html for x in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    real = [x.html for x in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
     without = 0
-    for page in pages:
+    for page in pages + real:
         lines, marked = html_text.lines_of(page, 3)
-        assert html_text.main_text(page) == "\n".join(windows_by_brute_force(lines, marked, 3, html_text.SURGE))
+        assert html_text.main_text(page) == "\n".join(windows_by_brute_force(lines, marked))
         without += html_text.main_text(page) != "\n".join(x[0] for x in lines if x[1])
-    assert without > 100  # what all weighing lines would give without the windows
+    assert without > 250
+    for page in real:  # adverts weigh something everywhere: only the level that windows set drops them
+        lines, _ = html_text.lines_of(page, 3)
+        assert html_text.main_text(page) != "\n".join(x[0] for x in lines if x[1])
+
+
+def test_html_weights_apart():
+    """Lines whose weights are known as the page is made, and the text that windows over those give."""
+    r = random.Random(8)
+    kinds = {  # kind: (markup of a line, weight of a code point, depth, whether in the article)
+        "menu": ("<nav>{}</nav>", 0, 0, False),
+        "advert": ("<div class=ad>{}</div>", 1, 1, False),
+        "link": ("<p><a href=x>{}</a></p>", 0, 0, False),
+        "aside": ("<p>{}</p>", 64, 0, False),
+        "text": ("<p>{}</p>", 256, 1, True),
+        "advert inside": ("<div class=ad>{}</div>", 1, 2, True),
+        "menu inside": ("<nav>{}</nav>", 0, 1, True),
+    }
+    around, within = ["menu", "advert", "link", "aside"], ["text", "text", "text", "advert inside", "menu inside"]
+    for _ in range(300):
+        order = [r.choices(around, k=r.randint(0, 5)), ["text", *r.choices(within, k=r.randint(0, 8))], r.choices(around, k=r.randint(0, 5))]
+        texts = [[" ".join(["word"] * r.choice([1, 3, 8, 20, 60])) for _ in part] for part in order]
+        before, article, after = ("".join(kinds[k][0].format(t) for k, t in zip(ks, ts)) for ks, ts in zip(order, texts))
+        lines = [(t, kinds[k][1] * len(t), kinds[k][2], kinds[k][3]) for ks, ts in zip(order, texts) for k, t in zip(ks, ts)]
+        page = f"<body>{before}<article>{article}</article>{after}</body>"
+        got, marked = html_text.lines_of(page)
+        assert marked and got == lines
+        assert html_text.main_text(page) == "\n".join(windows_by_brute_force(lines, True))
+
+
+def test_html_level_by_hand():
+    """Windows keep what markup hints at where it is the page's text, and drop it where other text is heavier."""
+    body, more = "long text here " * 20, "other words " * 30
+    for page in (f"<div class=ad>Buy this, it is cheap.</div><article><p>{body}</p></article>", f"<div class=ad>Buy this, it is cheap.</div><div><p>{body}</p></div>"):
+        assert html_text.main_text(page) == body.strip()
+    # half named and half not: the heaviest window is the plain one
+    assert html_text.main_text(f"<div class=promo><p>{body}</p></div><div><p>{more}</p></div>") == more.strip()
+    # most of the text has a name of furniture: a wrapper
+    assert html_text.main_text(f"<div class=promo><p>{body}</p><p>{body}</p></div><nav>Menu</nav>").split("\n") == [body.strip()] * 2
+    # names on every part, none of which holds most of the text: the level sinks to theirs
+    parts = "".join(f"<div class=promo><p>{body}</p></div>" for _ in range(3))
+    assert html_text.main_text(parts + "<footer>foot</footer>").split("\n") == [body.strip()] * 3
 
 
 def test_html_ablation():
-    """Without windows short lines apart from the text would stay, on marked pages too."""
+    """Without windows short lines apart from the text would stay beside articles; inside them nothing is lost."""
     body, noise = "long text here " * 20, "<div class=ad>Buy</div>" * 3
-    for page in (f"<article><p>{body}</p>{noise}<p>Print me</p></article>", f"<div><p>{body}</p></div>{noise}<div><p>Print me</p></div>", f"<article><p>{body}</p></article><div>A word on us, of forty code points or so.</div>"):
+    for page in (f"<div><p>{body}</p></div>{noise}<div><p>Print me</p></div>", f"<article><p>{body}</p></article><div>A word on us, of forty code points or so.</div>"):
         lines, _ = html_text.lines_of(page, 3)
-        assert html_text.main_text(page) == body.strip() and sum(1 for x in lines if x[1]) == 2
-    assert html_text.main_text(f"<article><p>{body}</p>{noise}<p>A closing paragraph of its own.</p></article>").endswith("of its own.")
-    page = f"<article><p>{body}</p><ins class='adsbygoogle'>Buy</ins><div class='share-price'><p>It costs ten.</p></div><div class='share-buttons'>Send it</div><p>End.</p></article>"
+        assert html_text.main_text(page) == body.strip() and sum(1 for x in lines if x[1] > len(x[0])) == 2
+    for close in ("A closing paragraph of its own.", "Bye."):
+        assert html_text.main_text(f"<article><p>{body}</p>{noise}<p>{close}</p></article>").split("\n") == [body.strip(), close]
+    page = f"<article><p>{body}</p><ins class='adsbygoogle'>Buy</ins><div class='share-price'><p>It costs ten.</p></div><div class='share-buttons'>Send it</div><div class='related-reading'>Read also</div><p>End.</p></article>"
     assert html_text.main_text(page).split("\n") == [body.strip(), "It costs ten.", "End."]
 
 
