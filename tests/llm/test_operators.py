@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -554,6 +556,47 @@ def test_surrogates_corefer():
     assert new.endswith("it, will he? Will.") and surrogates.surrogate(c, "name", "MARIA") == given.upper()
 
 
+def test_surrogates_of_dates_addresses_and_numbers():
+    c = surrogates.Cipher(b"test")
+    one = lambda text, kind: [(text[a:b], surrogates.surrogate(c, k, text[a:b])) for a, b, k in surrogates.entities(text) if k == kind]
+    # every way of writing one date gives one date, of the same century, and other dates others
+    ways = ["born on 12 March 1980", "DOB: 1980-03-12", "date of birth: 12/03/1980", "Born March 12, 1980", "née le 12 mars 1980", "geboren am 12. März 1980", "nacido el 12 de marzo de 1980"]
+    new = [one(w, "birth_date") for w in ways]
+    assert all(len(x) == 1 for x in new) and len({surrogates._date_of(x[0][1])[:3] for x in new}) == 1
+    days = [d for d in pd.date_range("1900-01-01", "1999-12-31").strftime("%Y-%m-%d")]
+    images = [surrogates.surrogate(c, "birth_date", d) for d in days]
+    assert sorted(images) == days  # a bijection of the century's dates, 29 February among them
+    assert surrogates.surrogate(c, "birth_date", "25/03/1980")[3:5] == surrogates.surrogate(c, "birth_date", "03/25/1980")[:2]
+    assert not one("born 31/02/1980 or on 1980-03-12", "birth_date") and not one("published on 12 March 1980", "birth_date")
+    # house numbers keep their length, kinds of street stay
+    for text, kept in (("12 Baker Street", "Street"), ("221 Old Mill Road", "Road"), ("5, rue de Rivoli", "rue de"), ("Hauptstraße 12", "straße"), ("Calle de Alcalá, 45", "Calle de")):
+        ((old, fresh),) = one(f"at {text}.", "address")
+        assert old == text and fresh != text and kept in fresh and len(fresh) == len(text)
+    assert len({surrogates.surrogate(c, "address", f"{i} Baker Street") for i in range(1, 1000)}) == 999
+    assert not one("In 1999 The Wall Street fell", "address")
+    # local phone numbers keep their 0 and their shape and stay apart from North American ones
+    for text in ("020 7946 0958", "06 12 34 56 78", "0151-2345-6789"):
+        ((old, fresh),) = one(f"call {text} now", "phone")
+        assert old == text and fresh[0] == "0" and [x.isdigit() for x in fresh] == [x.isdigit() for x in text]
+    assert not one("on 05.11.2020 or 01.02.03", "phone")
+    assert len({surrogates.surrogate(c, "phone", f"020 7946 {i:04d}") for i in range(2000)}) == 2000
+    ((old, fresh),) = one("host 2001:db8::ff00:42:8329 up", "ip")
+    assert old == "2001:db8::ff00:42:8329" and fresh.startswith("2001:") and ipaddress.ip_address(fresh).version == 6
+    assert surrogates.surrogate(c, "ip", "2001:0db8:0:0:0:ff00:42:8329") == fresh
+    assert not one("std::vector, abc::def at 12:30:45 and ::1", "ip")
+
+
+def test_surrogates_of_given_names_before_known_ones():
+    c = surrogates.Cipher(b"test")
+    new = surrogates.replace("John Smith met Mr Smith. John said no.", c)[0]
+    assert "John" not in new and "Smith" not in new and new.split()[0] == new.split(". ")[1].split()[0]
+    for text in ("Then Smith saw Herr Smith", "the Old Smith, an old friend of Herr Smith"):
+        assert surrogates.replace(text, c)[0].split()[:2] == [text.split()[0], *surrogates.replace(text, c)[0].split()[1:2]]
+        assert {text[a:b] for a, b, _ in surrogates.entities(text)} == {"Smith"}
+    for text in ("Miss Universe came", "Dr Pepper is cold", "Mr President, yes"):
+        assert surrogates.replace(text, c) == (text, [])
+
+
 def test_surrogates_by_brute_force(spark):
     """Over a whole corpus: one entity, one surrogate; two entities, two; the same shape; nothing left in its document."""
     c = surrogates.Cipher(b"test")
