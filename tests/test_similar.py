@@ -66,3 +66,9 @@ def test_meeting_intervals(spark):
     want = sorted(tuple(x) for x in temporal.compared_intervals(good, "grp").where("relation <> 'before'").collect())
     assert sorted(tuple(x) for x in temporal.meeting_intervals(table, "grp").collect()) == want and len(want) > 500
     assert temporal.meeting_intervals(table.limit(0), "grp").collect() == []
+
+
+def test_turned_intervals_are_before_their_equals(spark):
+    rows = spark.createDataFrame([("g", "a", 9, 3), ("g", "b", 9, 3), ("g", "c", 4, 4), ("g", "d", 4, 4)], "grp string, i string, begin int, end int")
+    got = {(x.i1, x.i2): x.relation for x in temporal.compared_intervals(rows, "grp").collect()}
+    assert got["a", "b"] == got["b", "a"] == "before" and got["c", "d"] == "equals"
