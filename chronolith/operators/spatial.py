@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.functions import geo
+from chronolith.operators.blocks import blocked, expanded
 from chronolith.operators.rounds import settled
 
 #: A polygon is at most so many cells wide and high, but for one more where it lies across.
@@ -39,34 +41,34 @@ def _rows_in_column(x1: Column, y1: Column, x2: Column, y2: Column, column: Colu
     return F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
 
 
-def _above(edges: Column, x: Column, y: Column) -> Column:
-    """Whether an odd number of edges lies above a point."""
-    crosses = lambda e: ((e["x1"] > x) != (e["x2"] > x)) & (y < e["y1"] + (e["y2"] - e["y1"]) * (x - e["x1"]) / (e["x2"] - e["x1"]))
+def _beside(edges: Column, x: Column, y: Column) -> Column:
+    """Whether an odd number of edges lies to the right of a point: the rule, and the arithmetic, of ``geo.point_in_ring``."""
+    crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
     return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
 def cells_of(polygons: DataFrame, level: int | None = None) -> DataFrame:
     """(poly, level, cx, cy, edges): cells of side 2^level that polygons (poly, wkt) cover.
 
-    ``edges`` is null where a cell lies inside as a whole; in a cell of the border it holds the edges in or above the
-    cell, which decide for each point.  The level follows from a polygon's size unless one is given for all."""
+    ``edges`` is null where a cell lies inside as a whole; in a cell of the border it holds the edges in or to the right
+    of the cell, which decide for each point.  The level follows from a polygon's size unless one is given for all."""
     box = geo.envelope(F.col("wkt"))
     wide = F.greatest(F.col("__box.xmax") - F.col("__box.xmin"), F.col("__box.ymax") - F.col("__box.ymin"))
     own = polygons.select("poly", "wkt", box.alias("__box")).withColumn("__wide", wide).where("__wide > 0")
     own = own.select("poly", "wkt", (F.ceil(F.log2(F.col("__wide") / CELLS)).cast("int") if level is None else F.lit(level)).alias("level"))
     size = F.pow(F.lit(2.0), F.col("level"))
-    e = edges_of(own).withColumn("size", size)
-    left = F.col("x1") <= F.col("x2")
-    e = e.select("poly", "level", "size", *[F.when(left, F.col(f"{c}{a}")).otherwise(F.col(f"{c}{b}")).alias(f"{c}{k}") for k, a, b in ((1, 1, 2), (2, 2, 1)) for c in "xy"])
+    e = edges_of(own).withColumn("size", size).withColumn("edge", F.struct("x1", "y1", "x2", "y2"))  # as the ring has it: turned, it would round otherwise
+    up = F.col("y1") <= F.col("y2")
+    e = e.select("poly", "level", "size", "edge", *[F.when(up, F.col(f"{c}{a}")).otherwise(F.col(f"{c}{b}")).alias(f"{c}{k}") for k, a, b in ((1, 1, 2), (2, 2, 1)) for c in "xy"])
     x1, y1, x2, y2, w = (F.col(c) for c in ("x1", "y1", "x2", "y2", "size"))
-    e = e.withColumn("cx", F.explode(F.sequence(F.floor(x1 / w), F.floor(x2 / w)))).withColumn("rows", _rows_in_column(x1, y1, x2, y2, F.col("cx"), w))
-    columns = e.groupBy("poly", "level", "size", "cx").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("rows")))).alias("rows"))
-    border = columns.withColumn("cy", F.explode("rows")).select("poly", "level", "cx", "cy", F.filter("edges", lambda g: F.greatest(g["y1"], g["y2"]) >= F.col("cy") * F.col("size")).alias("edges"))
-    # between two rows of the border all cells are alike: the middle of the first one decides
-    gaps = columns.withColumn("__at", F.explode(F.sequence(F.lit(1), F.size("rows")))).where(F.col("__at") < F.size("rows"))
-    gaps = gaps.withColumn("__low", F.element_at("rows", F.col("__at")) + 1).withColumn("__high", F.element_at("rows", F.col("__at") + 1) - 1).where("__low <= __high")
-    inside = gaps.where(_above(F.col("edges"), (F.col("cx") + 0.5) * w, (F.col("__low") + 0.5) * w))
-    whole = inside.select("poly", "level", "cx", F.explode(F.sequence("__low", "__high")).alias("cy"), F.lit(None).cast("array<struct<x1: double, y1: double, x2: double, y2: double>>").alias("edges"))
+    e = e.withColumn("cy", F.explode(F.sequence(F.floor(y1 / w), F.floor(y2 / w)))).withColumn("columns", _rows_in_column(y1, x1, y2, x2, F.col("cy"), w))
+    rows = e.groupBy("poly", "level", "size", "cy").agg(F.collect_list("edge").alias("edges"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("columns")))).alias("columns"))
+    border = rows.withColumn("cx", F.explode("columns")).select("poly", "level", "cx", "cy", F.filter("edges", lambda g: F.greatest(g["x1"], g["x2"]) >= F.col("cx") * F.col("size")).alias("edges"))
+    # between two columns of the border all cells are alike: the middle of the first one decides
+    gaps = rows.withColumn("__at", F.explode(F.sequence(F.lit(1), F.size("columns")))).where(F.col("__at") < F.size("columns"))
+    gaps = gaps.withColumn("__low", F.element_at("columns", F.col("__at")) + 1).withColumn("__high", F.element_at("columns", F.col("__at") + 1) - 1).where("__low <= __high")
+    inside = gaps.where(_beside(F.col("edges"), (F.col("__low") + 0.5) * w, (F.col("cy") + 0.5) * w))
+    whole = inside.select("poly", "level", F.explode(F.sequence("__low", "__high")).alias("cx"), "cy", F.lit(None).cast("array<struct<x1: double, y1: double, x2: double, y2: double>>").alias("edges"))
     return border.unionByName(whole)
 
 
@@ -75,17 +77,56 @@ def _in_cell(points: DataFrame, x: str, y: str) -> DataFrame:
     return points.withColumn("__cx", F.floor(F.col(x) / size)).withColumn("__cy", F.floor(F.col(y) / size))
 
 
+def _shapes(polygons: DataFrame) -> DataFrame:
+    """Polygons (poly, wkt) with ``__shape``, equal for equal texts."""
+    return settled(polygons.select("poly", "wkt"), "shapes").where("wkt is not null").select("poly", "wkt", F.md5("wkt").alias("__shape"))
+
+
+def _shape_cells(shapes: DataFrame) -> DataFrame:
+    once = settled(shapes.groupBy(F.col("__shape").alias("poly")).agg(F.any_value("wkt").alias("wkt")), "shapes")
+    cells = settled(cells_of(once), "cells")
+    return cells.select(F.col("poly").alias("__shape"), F.col("level").alias("__l"), F.col("cx").alias("__x"), F.col("cy").alias("__y"), F.col("edges").alias("__edges"))
+
+
+def _met() -> Column:
+    return (F.col("__level") == F.col("__l")) & (F.col("__cx") == F.col("__x")) & (F.col("__cy") == F.col("__y"))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Rows of ``points`` with the polygons (poly, wkt) that hold them: an equi-join on cells, exact on borders.
 
-    A border belongs to a polygon on its left and lower sides.  Points without coordinates are in none."""
-    cells = settled(cells_of(polygons), "cells").select(F.col("poly"), F.col("level").alias("__l"), F.col("cx").alias("__x"), F.col("cy").alias("__y"), F.col("edges").alias("__edges"))
+    A border belongs to a polygon on its left and lower sides.  Points without coordinates are in none.  Each position
+    meets each shape once, however many rows have it; the rows that stand there and the polygons of that shape are
+    put in place last, by blocks."""
+    shapes = _shapes(polygons)
+    cells = _shape_cells(shapes)
     levels = [r[0] for r in cells.select("__l").distinct().collect()]  # powers of two between the least and the greatest size
     if not levels:
         return points.join(polygons.select("poly").limit(0), F.lit(False))
-    own = _in_cell(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels]))), x, y)
-    met = own.join(cells, (F.col("__level") == F.col("__l")) & (F.col("__cx") == F.col("__x")) & (F.col("__cy") == F.col("__y")))
-    return met.where(F.col("__edges").isNull() | _above(F.col("__edges"), F.col(x), F.col(y))).select(*points.columns, "poly")
+    rows = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.struct(*points.columns).alias("__row"), F.col(x).alias("__px"), F.col(y).alias("__py"))
+    places = rows.select("__px", "__py").distinct().withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    held = _in_cell(places, "__px", "__py").join(cells, _met()).where(F.col("__edges").isNull() | _beside(F.col("__edges"), F.col("__px"), F.col("__py"))).select("__px", "__py", "__shape")
+    held = held.join(blocked(rows, ["__px", "__py"], "__rows"), ["__px", "__py"]).select("__shape", "__rows")
+    pairs = held.join(blocked(shapes.select("__shape", "poly"), ["__shape"], "__polys"), "__shape").select("__rows", "__polys")
+    return expanded(pairs, "__rows", "__polys").select("__rows.__row.*", "__polys.poly")
+
+
+def points_by_polygon(points: DataFrame, polygons: DataFrame, value: str, x: str = "x", y: str = "y") -> DataFrame:
+    """(poly, n, first): how many ``points`` each of the polygons (poly, wkt) holds, and their least ``value``; no row for
+    one that holds none.  No pair of a point and a polygon is made: a cell that lies inside as a whole counts as one."""
+    shapes = _shapes(polygons)
+    cells = _shape_cells(shapes)
+    levels = [r[0] for r in cells.select("__l").distinct().collect()]
+    if not levels:
+        return polygons.select("poly", F.lit(0).cast("long").alias("n")).join(points.select(F.col(value).alias("first")), F.lit(False))
+    known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    places = known.groupBy(F.col(x).alias("__px"), F.col(y).alias("__py")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("first"))
+    placed = settled(_in_cell(places.withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels]))), "__px", "__py"), "places")
+    sums = [F.sum("n").alias("n"), F.min("first").alias("first")]
+    inside = placed.groupBy("__level", "__cx", "__cy").agg(*sums).join(cells.where("__edges is null"), _met()).select("__shape", "n", "first")
+    border = placed.join(cells.where("__edges is not null"), _met()).where(_beside(F.col("__edges"), F.col("__px"), F.col("__py"))).select("__shape", "n", "first")
+    found = inside.unionByName(border).groupBy("__shape").agg(*sums)
+    return shapes.select("poly", "__shape").join(found, "__shape").groupBy("poly").agg(*sums)
 
 
 def points_within(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -95,7 +136,7 @@ def points_within(points: DataFrame, polygons: DataFrame, x: str = "x", y: str =
         return points.limit(0)
     cells = settled(cells_of(polygons, level), "cells").select(F.col("cx").alias("__x"), F.col("cy").alias("__y"), F.col("edges").alias("__edges"))
     own = _in_cell(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__level", F.lit(level)), x, y)
-    on = (F.col("__cx") == F.col("__x")) & (F.col("__cy") == F.col("__y")) & (F.col("__edges").isNull() | _above(F.col("__edges"), F.col(x), F.col(y)))
+    on = (F.col("__cx") == F.col("__x")) & (F.col("__cy") == F.col("__y")) & (F.col("__edges").isNull() | _beside(F.col("__edges"), F.col(x), F.col(y)))
     return own.join(cells, on, "left_semi").select(*points.columns)
 
 
@@ -281,17 +322,53 @@ def middles(geometries: DataFrame) -> DataFrame:
     return areas.unionByName(rest.where("x is not null"))
 
 
-def circle(x: Column, y: Column, radius: float, sides: int = 64) -> Column:
-    """WKT of a circle about a point, as a polygon with corners on it."""
-    corners = [(radius * math.cos(2 * math.pi * k / sides), radius * math.sin(2 * math.pi * k / sides)) for k in range(sides)]
-    text = lambda c: F.concat_ws(" ", (x + c[0]).cast("string"), (y + c[1]).cast("string"))
-    return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *[text(c) for c in [*corners, corners[0]]]), F.lit("))"))
+def _common_of_circles(sides: int, radius: float):
+    """A function of offsets (rows, sides) that gives area and middle of {z : n_k z <= offset_k}, n_k the normals of a circle's sides.
+
+    The way along side k is what the other half-planes leave of its line; the ways of all sides are the border."""
+    angle = 2 * np.pi * (np.arange(sides) + 0.5) / sides
+    normal = np.stack([np.cos(angle), np.sin(angle)])
+    along = np.stack([-normal[1], normal[0]])
+
+    def measured(offsets: np.ndarray) -> np.ndarray:
+        area, mx, my = (np.zeros(len(offsets)) for _ in range(3))
+        for k in range(sides):
+            x, y = offsets[:, k] * normal[0, k], offsets[:, k] * normal[1, k]
+            room = offsets - np.outer(x, normal[0]) - np.outer(y, normal[1])
+            lean = along[:, k] @ normal
+            ahead, behind, level = lean > 1e-9, lean < -1e-9, np.abs(lean) <= 1e-9
+            high, low = (room[:, ahead] / lean[ahead]).min(axis=1), (room[:, behind] / lean[behind]).max(axis=1)
+            real = (high > low) & (room[:, level] >= -1e-12).all(axis=1)
+            ax, ay, bx, by = (np.where(real, p + t * d, 0.0) for t in (low, high) for p, d in ((x, along[0, k]), (y, along[1, k])))
+            turn = ax * by - bx * ay
+            area, mx, my = area + turn / 2, mx + (ax + bx) * turn / 6, my + (ay + by) * turn / 6
+        some = area > 1e-9 * radius * radius
+        size = np.where(some, area, 1.0)
+        return np.stack([np.where(some, area, np.nan), mx / size, my / size], axis=1)
 
+    return measured
 
-def points_near_all(points: DataFrame, radius: float) -> DataFrame:
+
+def points_near_all(points: DataFrame, radius: float, sides: int = 64) -> DataFrame:
     """(g, x, y): a point within a radius of all points (g, ordinal, x, y) of a group, the middle of what their circles
-    share, or the first point where they share nothing."""
+    share, or the first point where they share nothing.
+
+    Circles are polygons of one form, so what a group's circles share is bounded, side by side, by the one of them that
+    lies furthest back: a least value for each side is all that a group hands on, however many points it has."""
     own = points.where("x is not null and y is not null")
-    first = own.groupBy("g").agg(F.min_by(F.struct("x", "y"), "ordinal").alias("__p"))
-    common = overlay_measures(own.select("g", circle(F.col("x"), F.col("y"), radius).alias("wkt")), every=True).select(F.col("g").alias("__g"), F.col("x").alias("__x"), F.col("y").alias("__y"))
-    return first.join(common, F.col("g").eqNullSafe(F.col("__g")), "left").select("g", *[F.coalesce(f"__{c}", f"__p.{c}").alias(c) for c in "xy"])
+    corners = [2 * math.pi * (k + 0.5) / sides for k in range(sides)]
+    first = own.groupBy(F.col("g").alias("__f")).agg(F.min_by(F.struct("x", "y"), "ordinal").alias("__p"), F.min("x").alias("__l"), F.max("x").alias("__r"), F.min("y").alias("__d"), F.max("y").alias("__u"))
+    # positions about the first point keep their digits; groups that are wider than a circle share nothing
+    about = own.join(first, F.col("g").eqNullSafe(F.col("__f"))).where((F.col("__r") - F.col("__l") < 2 * radius) & (F.col("__u") - F.col("__d") < 2 * radius))
+    dx, dy = F.col("x") - F.col("__p.x"), F.col("y") - F.col("__p.y")
+    offsets = about.groupBy("g").agg(F.array(*[F.min(dx * math.cos(a) + dy * math.sin(a)) + radius * math.cos(math.pi / sides) for a in corners]).alias("__o"))
+    measured = _common_of_circles(sides, radius)
+
+    @F.pandas_udf("area double, x double, y double")
+    def shared(column: pd.Series) -> pd.DataFrame:
+        rows = np.stack(column.to_numpy()) if len(column) else np.zeros((0, sides))
+        return pd.DataFrame(np.concatenate([measured(rows[k : k + 1024]) for k in range(0, len(rows), 1024)]) if len(rows) else np.zeros((0, 3)), columns=["area", "x", "y"])
+
+    common = offsets.select(F.col("g").alias("__g"), shared.asNondeterministic()("__o").alias("__m"))  # so that it runs once a row
+    common = common.where("__m.area > 0 and not isnan(__m.area)").select("__g", F.col("__m.x").alias("__x"), F.col("__m.y").alias("__y"))
+    return first.join(common, F.col("__f").eqNullSafe(F.col("__g")), "left").select(F.col("__f").alias("g"), *[F.coalesce(F.col(f"__p.{c}") + F.col(f"__{c}"), F.col(f"__p.{c}")).alias(c) for c in "xy"])

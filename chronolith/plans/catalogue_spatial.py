@@ -15,8 +15,9 @@ def _s(c):
 
 
 def _ring(*corners):
-    """Text of a ring from columns of its corners."""
-    return F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", x.cast("string"), y.cast("string")) for x, y in [*corners, corners[0]]]), F.lit(")"))
+    """Text of a ring from columns of its corners; one step for all corners, as the code for each apart is too long to be compiled."""
+    points = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in [*corners, corners[0]]])
+    return F.concat(F.lit("("), F.array_join(F.transform(points, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", "), F.lit(")"))
 
 
 def _box(x, y, w, h):
@@ -56,7 +57,7 @@ _AREAS = "ar AS (SELECT p_partkey AS k, (p_partkey * 37) % 330 - 180 + 0.003 AS
 
 def _areas(t):
     k = F.col("p_partkey")
-    own = t("part").select(k.alias("poly"), (k * 37 % 330 - 180 + F.lit(0.003)).alias("x"), (k * 53 % 150 - 85 + F.lit(0.0011)).alias("y"), F.when(k % 4 == 0, 40).when(k % 4 == 1, 2).when(k % 4 == 2, 12).otherwise(6).alias("w"))
+    own = t("part").select(k.alias("poly"), (k * 37 % 330 - 180 + F.lit(0.003)).alias("x"), (k * 53 % 150 - 85 + F.lit(0.0011)).alias("y"), F.when(k % 4 == 0, 40).when(k % 4 == 1, 2).when(k % 4 == 2, 12).otherwise(6).alias("w")).repartition("poly")
     x, y, w = F.col("x"), F.col("y"), F.col("w")
     m = (x + w / 2, y + w / 2)
     slanted = _ring((m[0] - w / 4, m[1]), (m[0], m[1] - w / 4), (m[0] + w / 4, m[1]), (m[0], m[1] + w / 4))
@@ -70,7 +71,7 @@ def q19_many_areas(t):
 
 @query(f"WITH {_AREAS} SELECT k AS area, count(*) AS n, min(id) AS first FROM point JOIN ar ON x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + w AND abs(x - x0 - w / 2) + abs(y - y0 - w / 2) >= w / 4 GROUP BY k")
 def c49_points_by_area(t):
-    return spatial.points_in_polygons(t("point"), _areas(t)).groupBy(F.col("poly").alias("area")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    return spatial.points_by_polygon(t("point"), _areas(t), "id").withColumnRenamed("poly", "area")
 
 
 # --- unions (C44, S12, M07) --------------------------------------------------------------------------------------------------

@@ -127,3 +127,38 @@ def test_middle_of_buffers(spark):
     assert set(got) == {1, 2, 3, 4} and got[2] == (1.0, 1.0)
     assert all(math.isclose(a, b, abs_tol=1e-6) for g, want in ((1, (3.0, 0.0)), (3, (2.0, 3.0))) for a, b in zip(got[g], want))
     assert all(math.hypot(got[4][0] - x, got[4][1] - y) < 5 for x, y in ((0, 0), (4, 0), (2, 3)))
+
+
+def test_rule_of_borders_is_that_of_rings(spark):
+    """A point on a slanted edge: inside or outside by a ray to the right, as SQL has it."""
+    area = {"type": "Polygon", "coordinates": [[[-100.5, -40.5], [80.5, -60.5], [120.5, 50.5], [0.5, 20.5], [-90.5, 70.5], [-100.5, -40.5]]]}
+    points = spark.createDataFrame([(1, -65.93, 57.0), (2, -65.94, 57.0), (3, 0.0, 0.0)], "id int, x double, y double")
+    ring = geo.area_rings(area)[0][:-1]
+    want = sorted(x.id for x in points.where(geo.point_in_ring(points.x, points.y, ring)).collect())
+    assert sorted(x.id for x in reading.within_area(points, area).collect()) == want == [2, 3]
+
+
+def test_points_are_counted_without_pairs(spark):
+    r = random.Random(3)
+    points = spark.createDataFrame([(k, float(r.randrange(-30, 30)), float(r.randrange(-30, 30))) for k in range(700)] + [(900, None, 1.0)], "id long, x double, y double")
+    shapes = [[box(-20.5, -20.5, 30, 30), box(-10.5, -10.5, 5, 5)], [star(r, 3, 3, 9, 12)], [box(60, 60, 1, 1)]]
+    areas = spark.createDataFrame([(k, text(*shapes[k % 3])) for k in range(12)] + [(99, None)], "poly long, wkt string")
+    want: dict[int, tuple[int, int]] = {}
+    for x in spatial.points_in_polygons(points, areas).collect():
+        n, first = want.get(x.poly, (0, x.id))
+        want[x.poly] = (n + 1, min(first, x.id))
+    own = spatial.points_by_polygon(points, areas, "id")
+    assert {x.poly: (x.n, x.first) for x in own.collect()} == want and len(want) == 8 and sum(n for n, _ in want.values()) > 500
+    assert spatial.points_by_polygon(points, areas.limit(0), "id").collect() == []
+
+
+def test_buffers_pass_on_a_row_a_group(spark):
+    """What circles share is bounded by a least value for each side; edges of all circles would be a row each, 64 to a point."""
+    points = spark.createDataFrame([(k % 3, k, math.cos(k), math.sin(k)) for k in range(300)], "g int, ordinal int, x double, y double")
+    rows = spatial.points_near_all(points, 5.0)
+    assert "Generate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    circles = points.select("g", spatial.F.concat(spatial.F.lit("POLYGON (("), spatial.F.concat_ws(", ", *[spatial.F.concat_ws(" ", (points.x + 5 * math.cos(2 * math.pi * k / 64)).cast("string"), (points.y + 5 * math.sin(2 * math.pi * k / 64)).cast("string")) for k in [*range(64), 0]]), spatial.F.lit("))")).alias("wkt")).where("ordinal < 9")
+    few = {x.g: (x.x, x.y) for x in spatial.points_near_all(points.where("ordinal < 9"), 5.0).collect()}
+    want = {x.g: (x.x, x.y) for x in spatial.overlay_measures(circles, every=True).collect()}
+    assert few.keys() == want.keys() and all(math.isclose(a, b, abs_tol=1e-5) for g in want for a, b in zip(few[g], want[g]))
+    assert len(rows.collect()) == 3
