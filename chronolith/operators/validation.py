@@ -1,6 +1,7 @@
 """Checks of statements (s, p, o, o_kind, o_dtype) and instances (s, class) against rules, and shapes compiled to them.
 
-Rules are few rows and broadcast by size; each check is one join or one group over the statements it concerns."""
+Rules are few rows and broadcast by name: Spark knows no size of rows that a driver made, and a join on so few classes or
+predicates would put a third of all rows into one task.  Each check is one join or one group over the statements it concerns."""
 
 from __future__ import annotations
 
@@ -15,13 +16,13 @@ from chronolith.operators.rounds import settled
 def classes_of(instances: DataFrame, closure: DataFrame) -> DataFrame:
     """(s, class) with all superclasses."""
     c = closure.select(F.col("child").alias("__c"), F.col("parent").alias("__p"))
-    return instances.join(c, F.col("class") == F.col("__c"), "left").select("s", F.coalesce("__p", "class").alias("class")).distinct()
+    return instances.join(F.broadcast(c), F.col("class") == F.col("__c"), "left").select("s", F.coalesce("__p", "class").alias("class")).distinct()
 
 
 def domain_violations(quads: DataFrame, classes: DataFrame, rules: DataFrame) -> DataFrame:
     """Subjects of rules' (p, class) that lack the class."""
     r = rules.select(F.col("p").alias("__p"), F.col("class").alias("__class"))
-    used = quads.join(r, F.col("p") == F.col("__p")).select("s", "p", "__class").distinct()
+    used = quads.join(F.broadcast(r), F.col("p") == F.col("__p")).select("s", "p", "__class").distinct()
     c = classes.select(F.col("s").alias("__s"), F.col("class").alias("__c"))
     return used.join(c, (F.col("s") == F.col("__s")) & (F.col("__class") == F.col("__c")), "left_anti").select("s", "p", F.col("__class").alias("expected"))
 
@@ -29,7 +30,7 @@ def domain_violations(quads: DataFrame, classes: DataFrame, rules: DataFrame) ->
 def range_violations(quads: DataFrame, classes: DataFrame, rules: DataFrame) -> DataFrame:
     """Objects that aren't of a rule's (p, class, dtype) class, for resources, or datatype, for literals."""
     r = rules.select(F.col("p").alias("__p"), F.col("class").alias("__class"), F.col("dtype").alias("__dtype"))
-    used = quads.join(r, F.col("p") == F.col("__p"))
+    used = quads.join(F.broadcast(r), F.col("p") == F.col("__p"))
     literals = used.where("__dtype is not null and (o_kind <> 'literal' or not (o_dtype <=> __dtype))").select("s", "p", "o", F.col("__dtype").alias("expected"))
     c = classes.select(F.col("s").alias("__s"), F.col("class").alias("__c"))
     resources = used.where("__class is not null").join(c, (F.col("o") == F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("o_kind") == "uri"), "left_anti").select("s", "p", "o", F.col("__class").alias("expected"))
@@ -54,7 +55,7 @@ def functional_violations(quads: DataFrame, predicate: str, inverse: bool = Fals
 def missing_properties(quads: DataFrame, classes: DataFrame, rules: DataFrame) -> DataFrame:
     """(s, class, p): instances of rules' (class, p) without the property."""
     r = rules.select(F.col("class").alias("__class"), F.col("p").alias("__p"))
-    needed = classes.join(r, F.col("class") == F.col("__class")).select("s", "class", F.col("__p").alias("p")).distinct()
+    needed = classes.join(F.broadcast(r), F.col("class") == F.col("__class")).select("s", "class", F.col("__p").alias("p")).distinct()
     return needed.join(quads.select(F.col("s").alias("__s"), F.col("p").alias("__has")).distinct(), (F.col("s") == F.col("__s")) & (F.col("p") == F.col("__has")), "left_anti")
 
 
@@ -83,7 +84,7 @@ def shape_report(quads: DataFrame, classes: DataFrame, shapes: list[Shape]) -> D
     spark = quads.sparkSession
     rules = [(x.name, x.target, p.path, p.least, p.most, p.dtype, p.kind, list(p.classes)) for x in shapes for p in x.properties]
     rules = spark.createDataFrame(rules, "shape string, target string, path string, least int, most int, dtype string, kind string, allowed array<string>")
-    of = classes.join(rules, F.col("class") == F.col("target")).drop("class", "target").distinct()
+    of = classes.join(F.broadcast(rules), F.col("class") == F.col("target")).drop("class", "target").distinct()
     given = quads.where(F.col("p").isin(sorted({p.path for x in shapes for p in x.properties}))).select(F.col("s").alias("__s"), F.col("p").alias("__p"), "o", "o_kind", "o_dtype")
     values = settled(of.join(given, (F.col("s") == F.col("__s")) & (F.col("path") == F.col("__p")), "left").drop("__s", "__p"), "shape-values")
     # o is null where the property is missing
