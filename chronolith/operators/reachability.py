@@ -9,6 +9,8 @@ show as labels of a chain to an earlier place of itself.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,54 +21,85 @@ LABEL = ["chain", "pos", "to_chain", "to_pos"]
 
 
 def _distinct_edges(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-
-
-def matched(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """(src, dst) of edges in which each node has at most one next and one previous node."""
-    left, parts = edges.where("src <> dst"), []
-    for _ in range(rounds):
-        order = lambda by: Window.partitionBy(by).orderBy(F.xxhash64("src", "dst"), "src", "dst")
-        offers = left.withColumn("__k", F.row_number().over(order("src"))).where("__k = 1")
-        taken = settled(offers.withColumn("__k", F.row_number().over(order("dst"))).where("__k = 1").select("src", "dst"), "chain-steps")
-        parts.append(taken)
-        used = lambda c: taken.select(F.col(c).alias(f"__{c}"))
-        left = settled(left.join(used("src"), F.col("src") == F.col("__src"), "left_anti").join(used("dst"), F.col("dst") == F.col("__dst"), "left_anti"), "chain-left")
-        if left.isEmpty():
+    """Edges once each; of a column ``rank``, if there is one, the least."""
+    own = edges.where("src is not null and dst is not null")
+    return own.groupBy("src", "dst").agg(F.min("rank").alias("rank")) if "rank" in edges.columns else own.select("src", "dst").distinct()
+
+
+def matched(edges: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(src, dst) of edges in which each node has at most one next and one previous node, and of all others.
+
+    Each node offers itself by the edge of the least ``rank``, where edges have one.  After the first round only edges
+    whose ends are both free go on, so that all edges are exchanged once by either end."""
+    rank = F.col("rank") if "rank" in edges.columns else F.lit(0)
+    left, taken, others = edges.where("src <> dst").select("src", "dst", rank.alias("rank")), [], [edges.where("src = dst").select("src", "dst")]
+    for k in range(rounds):
+        order = ["rank", F.xxhash64("src", "dst"), "src", "dst"]
+        offers = left.withColumn("__offer", F.row_number().over(Window.partitionBy("src").orderBy(*order)) == 1)
+        at = offers.withColumn("taken", F.col("__offer") & (F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("__offer"), *order)) == 1))
+        at = settled(at.withColumn("used", F.max("taken").over(Window.partitionBy("dst"))).drop("__offer"), "chain-steps")
+        mine = at.where("taken").select("src", "dst")
+        taken.append(mine)
+        others.append(at.where("not taken and used").select("src", "dst"))
+        rest = at.where("not used").join(mine.select(F.col("src").alias("__src")), F.col("src") == F.col("__src"), "left")
+        rest = settled(rest.select("src", "dst", "rank", F.col("__src").isNull().alias("free")), "chain-left")
+        last = k == rounds - 1
+        others.append(rest.where(F.lit(last) | ~F.col("free")).select("src", "dst"))
+        left = rest.where("free").drop("free")
+        if last or left.isEmpty():
             break
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, taken), reduce(DataFrame.unionByName, others)
 
 
 def chains(edges: DataFrame) -> DataFrame:
     """(n, chain, pos): every node of ``edges`` (src, dst) on one chain, named after its first node."""
-    edges = settled(_distinct_edges(edges), "edges")
+    return covered(settled(_distinct_edges(edges), "edges"))[0]
+
+
+def covered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every node on a chain, as ``chains`` has it, and the edges (src, dst) that are no steps of chains.
+
+    ``edges`` are distinct, settled and without nulls."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("n")).distinct()
-    steps = matched(edges)
+    steps, others = matched(edges)
     done, ring = _positions(nodes, steps)
-    if not ring.isEmpty():  # a ring is cut before its least node
-        cut = settled(steps.join(ring.select(F.col("n").alias("__n"), F.col("least").alias("__least")), F.col("dst") == F.col("__n")).where("dst <> __least").select("src", "dst"), "chain-cut")
-        done = done.unionByName(_positions(ring.select("n"), cut)[0])
-    return settled(done, "chains")
+    if ring is not None:  # a ring is cut before its least node
+        least = _least_of_ring(ring)
+        onto = settled(steps.join(least.select(F.col("n").alias("__n"), F.col("least").alias("__least")), F.col("dst") == F.col("__n")).select("src", "dst", "__least"), "chain-cut")
+        done = done.unionByName(_positions(least.select("n"), onto.where("dst <> __least").select("src", "dst"))[0])
+        others = others.unionByName(onto.where("dst = __least").select("src", "dst"))
+    return done, others
+
 
+def _positions(nodes: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(n, chain, pos) of nodes on open chains; (n, to), the node before, of those on rings, if there are any.
 
-def _positions(nodes: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(n, chain, pos) of nodes on open chains; (n, least) of those on rings."""
+    Jumps double; a round writes only rows that were still on their way, so none is written again once it has arrived."""
     before = steps.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"))
     own = nodes.join(before, F.col("n") == F.col("__dst"), "left")
     # ``to`` is where the jumps have come to, ``open`` whether there is more before it
-    rows = settled(own.select("n", F.coalesce("__src", "n").alias("to"), F.col("__src").isNotNull().alias("open"), F.when(F.col("__src").isNotNull(), 1).otherwise(0).cast("long").alias("pos"), F.coalesce(F.least("n", "__src"), "n").alias("least")), "chain-jumps")
-    reach, left, before = 1, rows.where("open").count(), None
-    # an open chain ends some of its rows in each round, so once none ends, what is left are rings; these go on until
-    # the jumps have been all around
-    while left and (left != before or reach < left):
-        to = rows.select(F.col("n").alias("__n"), F.col("to").alias("__to"), F.col("open").alias("__open"), F.col("pos").alias("__pos"), F.col("least").alias("__least"))
-        moved = rows.where("open").join(to, F.col("to") == F.col("__n")).select("n", F.col("__to").alias("to"), F.col("__open").alias("open"), (F.col("pos") + F.col("__pos")).alias("pos"), F.least("least", "__least").alias("least"))
-        rows = settled(rows.where("not open").unionByName(moved), "chain-jumps")
-        reach, before, left = reach * 2, left, rows.where("open").count()
-    return rows.where("not open").select("n", F.col("to").alias("chain"), "pos"), rows.where("open").select("n", "least")
+    rows = first = settled(own.select("n", F.coalesce("__src", "n").alias("to"), F.col("__src").isNotNull().cast("long").alias("pos"), F.col("__src").isNotNull().alias("open")), "chain-jumps")
+    done, left, last = [], rows.where("open").count(), None
+    # an open chain ends some of its rows in each round, so once none ends, what is left are rings
+    while left and left != last:
+        done.append(rows.where("not open"))
+        known = reduce(DataFrame.unionByName, [*done, rows.where("open")])
+        to = known.select(F.col("n").alias("__n"), F.col("to").alias("__to"), F.col("pos").alias("__pos"), F.col("open").alias("__open"))
+        rows = settled(rows.where("open").join(to, F.col("to") == F.col("__n")).select("n", F.col("__to").alias("to"), (F.col("pos") + F.col("__pos")).alias("pos"), F.col("__open").alias("open")), "chain-jumps")
+        left, last = rows.where("open").count(), left
+    out = reduce(DataFrame.unionByName, [*done, rows.where("not open")]).select("n", F.col("to").alias("chain"), "pos")
+    return out, first.join(rows.where("open").select(F.col("n").alias("__r")), F.col("n") == F.col("__r"), "left_semi").select("n", "to") if left else None
+
+
+def _least_of_ring(ring: DataFrame) -> DataFrame:
+    """(n, least): the least node of each node's ring, given the node before each.
+
+    Jumps double until no node finds a lesser one: then each window's least is that of the window before it, all around."""
+    rows = settled(ring.select("n", "to", F.least("n", "to").alias("least"), F.lit(True).alias("moved")), "chain-rings")
+    while not rows.where("moved").isEmpty():
+        to = rows.select(F.col("n").alias("__n"), F.col("to").alias("__to"), F.col("least").alias("__least"))
+        rows = settled(rows.join(to, F.col("to") == F.col("__n")).select("n", F.col("__to").alias("to"), F.least("least", "__least").alias("least"), (F.col("__least") < F.col("least")).alias("moved")), "chain-rings")
+    return rows.select("n", "least")
 
 
 def pruned(labels: DataFrame) -> DataFrame:
@@ -78,17 +111,20 @@ def pruned(labels: DataFrame) -> DataFrame:
 
 
 def labelled(edges: DataFrame, nodes: DataFrame, most: int = 32) -> DataFrame:
-    """Labels (chain, pos, to_chain, to_pos, after) of all that ``edges`` connect, over the chains ``nodes``.
+    """Labels (chain, pos, to_chain, to_pos, after) of all that chains and ``edges``, which may leave out their steps, connect.
 
-    Each round puts labels end to end, so the length of ways doubles; only labels of which one is new are tried."""
+    Each round puts labels end to end, so the length of ways doubles; only labels of which one is new are tried, and none
+    that comes to a place of a chain from which no label leaves any more, as all those do that end in a common last node."""
     at = lambda k: nodes.select(F.col("n").alias(f"__{k}"), F.col("chain").alias(f"{k}_chain"), F.col("pos").alias(f"{k}_pos"))
-    crossing = _distinct_edges(edges).join(at("src"), F.col("src") == F.col("__src")).join(at("dst"), F.col("dst") == F.col("__dst"))
+    crossing = edges.join(at("src"), F.col("src") == F.col("__src")).join(at("dst"), F.col("dst") == F.col("__dst"))
     crossing = crossing.where("src_chain <> dst_chain or src_pos >= dst_pos").select(F.col("src_chain").alias("chain"), F.col("src_pos").alias("pos"), F.col("dst_chain").alias("to_chain"), F.col("dst_pos").alias("to_pos"))
     known = settled(pruned(crossing.distinct()).withColumn("fresh", F.lit(True)), "labels")
     for _ in range(most):
         then = known.select(F.col("chain").alias("__chain"), F.col("pos").alias("__pos"), F.col("after").alias("__after"), F.col("to_chain").alias("__to_chain"), F.col("to_pos").alias("__to_pos"), F.col("fresh").alias("__fresh"))
         on = (F.col("to_chain") == F.col("__chain")) & (F.col("to_pos") > F.col("__after")) & (F.col("to_pos") <= F.col("__pos"))
-        found = known.join(then, on).where("fresh or __fresh").select("chain", "pos", F.col("__to_chain").alias("to_chain"), F.col("__to_pos").alias("to_pos"))
+        ends = known.groupBy(F.col("chain").alias("__from")).agg(F.max("pos").alias("__most"))
+        going = known.join(ends, (F.col("to_chain") == F.col("__from")) & (F.col("to_pos") <= F.col("__most")), "left_semi")
+        found = going.join(then, on).where("fresh or __fresh").select("chain", "pos", F.col("__to_chain").alias("to_chain"), F.col("__to_pos").alias("to_pos"))
         found = found.where("chain <> to_chain or pos >= to_pos").distinct()
         old = known.select(*LABEL, F.lit(False).alias("fresh"))
         both = old.unionByName(found.withColumn("fresh", F.lit(True))).groupBy(*LABEL).agg(F.min("fresh").alias("fresh"))
@@ -103,16 +139,18 @@ class Order:
 
     def __init__(self, edges: DataFrame) -> None:
         self.edges = settled(_distinct_edges(edges), "order-edges")
-        self.nodes = chains(self.edges)
-        self.labels = labelled(self.edges, self.nodes)
+        self.nodes, others = covered(self.edges)
+        self.labels = labelled(others, self.nodes)
 
-    def _placed(self, rows: DataFrame, column: str, name: str) -> DataFrame:
-        own = self.nodes.select(F.col("n").alias("__n"), F.col("chain").alias(f"{name}_chain"), F.col("pos").alias(f"{name}_pos"))
+    def _placed(self, rows: DataFrame, column: str, name: str, nodes: DataFrame | None = None) -> DataFrame:
+        own = (self.nodes if nodes is None else nodes).select(F.col("n").alias("__n"), F.col("chain").alias(f"{name}_chain"), F.col("pos").alias(f"{name}_pos"))
         return rows.join(own, F.col(column) == F.col("__n")).drop("__n")
 
-    def holds(self, pairs: DataFrame, first: str = "src", second: str = "dst") -> DataFrame:
-        """Rows of ``pairs`` whose first node comes before the second: a join on two chains, at most one label a row."""
-        rows = self._placed(self._placed(pairs, first, "__a"), second, "__b")
+    def holds(self, pairs: DataFrame, first: str = "src", second: str = "dst", nodes: DataFrame | None = None) -> DataFrame:
+        """Rows of ``pairs`` whose first node comes before the second: a join on two chains, at most one label a row.
+
+        ``nodes``: those of the order that ``pairs`` can hold, if not all."""
+        rows = self._placed(self._placed(pairs, first, "__a", nodes), second, "__b", nodes)
         own = self.labels.select(F.col("chain").alias("__chain"), F.col("pos").alias("__pos"), F.col("after").alias("__after"), F.col("to_chain").alias("__to_chain"), F.col("to_pos").alias("__to_pos"))
         on = (F.col("__a_chain") == F.col("__chain")) & (F.col("__b_chain") == F.col("__to_chain")) & (F.col("__a_pos") > F.col("__after")) & (F.col("__a_pos") <= F.col("__pos"))
         along = (F.col("__a_chain") == F.col("__b_chain")) & (F.col("__a_pos") < F.col("__b_pos"))
@@ -129,6 +167,14 @@ class Order:
         return start.join(end, (F.col("to_chain") == F.col("__chain")) & (F.col("__pos") >= F.col("to_pos"))).select(F.col("n").alias("src"), "dst")
 
     def cycles(self) -> DataFrame:
-        """(n, rep) of nodes that come before themselves by way of others, with the least node of their cycle's class."""
-        back = self.holds(self.edges.where("src <> dst"), "dst", "src")
+        """(n, rep) of nodes that come before themselves by way of others, with the least node of their cycle's class.
+
+        A node comes before itself where a label leads from its place, or one behind it, back to its place or before."""
+        loops = self.labels.where("chain = to_chain").select(F.col("chain").alias("__chain"), F.col("pos").alias("__pos"), "after", "to_pos")
+        own = self.nodes.join(loops, (F.col("chain") == F.col("__chain")) & (F.col("pos") > F.col("after")) & (F.col("pos") <= F.col("__pos")) & (F.col("pos") >= F.col("to_pos"))).select("n", "chain", "pos")
+        own = settled(own, "cycle-nodes")
+        edges = self.edges.where("src <> dst").select("src", "dst")
+        for c in ("src", "dst"):
+            edges = edges.join(own.select(F.col("n").alias("__n")), F.col(c) == F.col("__n"), "left_semi")
+        back = self.holds(edges, "dst", "src", own)
         return components(back.select(F.col("src").alias("a"), F.col("dst").alias("b")))
