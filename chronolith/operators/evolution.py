@@ -63,6 +63,12 @@ def blocked(events: DataFrame, n: int) -> DataFrame:
     return events.join(ranges, (F.col("attr") == F.col("__attr")) & F.col("stamp").eqNullSafe(F.col("__stamp"))).drop("__attr", "__stamp")
 
 
+def sorted_set(structs: Column) -> Column:
+    """An array of structs sorted, each once.  ``array_distinct`` compares all pairs where elements are structs; sorted, equal ones are neighbours."""
+    once = lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
+    return F.transform(F.array(F.array_sort(structs)), once)[0]  # the inner array is bound once, not sorted again for each element
+
+
 def _none() -> Column:
     return F.array().cast(VERSIONS)
 
@@ -87,7 +93,7 @@ def elementary_changes(events: DataFrame) -> DataFrame:
 
     (attr, idx, side, stamp, rank, real, makes, outdates); side is -1, 0, 1; idx counts from 0 at minus infinity.  Rows
     without a stamp are no changes: they keep side 2 and no idx, for the vids that they carry.  This is where the rows of an attribute meet: the steps that follow need no other exchange."""
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    flat = lambda c: sorted_set(F.flatten(F.collect_list(c)))
     held = _held(events)
     if not held:
         events = events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "attr")  # a fixed number: the work after it is far more than its bytes tell

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,3 +44,13 @@ def test_a_long_attribute_lies_in_many_blocks(spark):
     events = evolution.stated_and_virtual(versions, spark.createDataFrame([], CHANGES))
     sizes = [r["count"] for r in evolution.blocked(events, 16).groupBy("__block").count().collect()]
     assert len(sizes) >= 14 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_many_changes_of_one_stamp_are_not_compared_in_pairs(spark):
+    """40,000 versions that begin at once, each stated twice; a comparison of all pairs takes minutes."""
+    twice = spark.range(80_000).select(F.lit("hub").alias("attr"), (F.col("id") % 40_000).cast("string").alias("av"), F.lit(1).alias("begin"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("vid"))
+    events = evolution.stated_and_virtual(twice, spark.createDataFrame([], CHANGES))
+    began = time.perf_counter()
+    row = evolution.elementary_changes(events).where("side = 0").select("makes").first()
+    assert [x["av"] for x in row["makes"]] == sorted(str(k) for k in range(40_000))
+    assert time.perf_counter() - began < 20
