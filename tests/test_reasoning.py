@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
-from chronolith.operators import event_order, inference
+from chronolith.operators import event_order, inference, rounds
 from chronolith.operators.components import components, expanded, rewritten
 from chronolith.operators.reachability import Order, chains
 
@@ -132,6 +133,36 @@ def test_reasoning_merges_in_turns(spark):
     assert sorted(map(tuple, got.collect())) == sorted([("k", "owner", "a"), ("d", "of", "a"), ("d", "code", "1"), ("d", "type", "Left"), ("d", "type", "Right"), ("d", "type", "Both"), ("z", "of", "d")])
 
 
+def test_reasoning_writes_statements_a_few_times(spark):
+    """Statements aren't written again in every turn, rule round and comparison: two merges in turn, rules that add two rows each."""
+    n = 300
+    rows = [x for i in range(n) for x in [(f"o{i}", "by", f"c{i}"), (f"o{i}", "day", f"{i // 4}")]] + [(f"k{i // 4}", "account", f"c{i}") for i in range(n)]
+    place = Path(rounds.shared_folder(spark).removeprefix("file://"))
+    there = set(place.iterdir()) if place.exists() else set()
+    make = spark.createDataFrame
+    got, members = inference.reasoned(
+        make(rows, "s string, p string, o string"), functional=["account"], keys=[["by", "day"]], literals=["day"], supers=make([("by", "concerns")], "p string, q string"),
+        ranges=make([("concerns", "Buyer")], "p string, class string"), unions=make([("Agent", "Buyer")], "class string, member string"),
+    )
+    assert got.count() == n // 4 * 6 and members.count() == n // 4 * 6
+    written = sum(spark.read.parquet(f"file://{f.parent}").count() for d in set(place.iterdir()) - there for f in d.rglob("_SUCCESS"))
+    assert written <= 5 * len(rows), written / len(rows)
+
+
+def test_reasoning_goes_on_from_what_rules_add(spark):
+    """A rule's statement has the next merge; a class that is merged has its members under the name that stays."""
+    make = spark.createDataFrame
+    rows = [("x", "owns", "b"), ("x", "holder", "a"), ("u", "holder", "a"), ("v", "owns", "b"), ("u", "code", "1"), ("v", "code", "1"), ("Pupil", "sameAs", "Child"), ("w", "owns", "w2"), (None, "holder", "q")]
+    got, members = inference.reasoned(
+        make(rows, "s string, p string, o string"), functional=["holder"], keys=[["holder", "code"]], literals=["code"], supers=make([("owns", "holder")], "p string, q string"), domains=make([("owns", "Pupil")], "p string, class string"),
+        unions=make([("Person", "Pupil"), ("Minor", "Child")], "class string, member string"),
+    )
+    assert sorted(map(tuple, members.collect())) == [("Pupil", "Child"), ("b", "a"), ("v", "u")]
+    types = {(x.s, x.o) for x in got.where("p = 'type'").collect()}
+    assert types == {(s, c) for s in ("x", "u", "w") for c in ("Pupil", "Child", "Person", "Minor")}
+    assert {tuple(x) for x in got.where("p <> 'type'").collect()} == {("x", "owns", "a"), ("x", "holder", "a"), ("u", "holder", "a"), ("u", "owns", "a"), ("u", "code", "1"), ("w", "owns", "w2"), ("w", "holder", "w2"), (None, "holder", "q")}
+
+
 def test_rules_of_order(spark):
     """Each rule on a hand-made case, and instants that no event has in between."""
     s = lambda *rows: list(rows)
