@@ -52,3 +52,18 @@ def test_pairs_of_instants_are_put_in_place_last(spark):
     assert "explode" in pairs._jdf.queryExecution().optimizedPlan().toString()
     n, least = pairs.agg(F.count(F.lit(1)), F.count_distinct("t1")).first()
     assert n == 2 * (1150 * 1149 // 2) and least == 2298 and pairs.where("t1 >= t2").isEmpty()
+
+
+def test_a_task_holds_few_pairs(spark):
+    """The first block is cut into slices by a step of its own, so that a row of the step after it becomes few rows."""
+    rows = spark.range(6000).select((F.col("id") % 2).alias("g"), F.col("id").alias("n"))
+    a = blocked(rows, ["g"], "a", ["n"], 500)
+    b = a.select(F.col("g").alias("h"), F.col("a").alias("b"), F.col("a_block").alias("b_block"))
+    pairs = expanded(a.join(b, F.col("g") == F.col("h")), "a", "b", ["g"])
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    steps = [x for x in plan.split("\n") if "Generate" in x]
+    assert len(steps) == 3 and "slice" in steps[-1], plan
+    assert "REPARTITION_BY_NUM" in plan
+    n, x, y = pairs.agg(F.count(F.lit(1)), F.sum(F.col("a.n")), F.sum(F.col("b.n"))).first()
+    assert n == 2 * 3000 * 3000 and x == y == 3000 * sum(range(6000))
+    assert blocked(rows.limit(0), ["g"], "a").count() == 0
