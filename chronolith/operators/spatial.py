@@ -107,6 +107,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str = "x", y:
     places = rows.select("__px", "__py").distinct().withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels])))
     held = _in_cell(places, "__px", "__py").join(cells, _met()).where(F.col("__edges").isNull() | _beside(F.col("__edges"), F.col("__px"), F.col("__py"))).select("__px", "__py", "__shape")
     held = held.join(blocked(rows, ["__px", "__py"], "__rows"), ["__px", "__py"]).select("__shape", "__rows")
+    held = held.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__shape")  # few bytes that become many rows: not to be one task
     pairs = held.join(blocked(shapes.select("__shape", "poly"), ["__shape"], "__polys"), "__shape").select("__rows", "__polys")
     return expanded(pairs, "__rows", "__polys").select("__rows.__row.*", "__polys.poly")
 

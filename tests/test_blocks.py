@@ -67,3 +67,10 @@ def test_a_task_holds_few_pairs(spark):
     n, x, y = pairs.agg(F.count(F.lit(1)), F.sum(F.col("a.n")), F.sum(F.col("b.n"))).first()
     assert n == 2 * 3000 * 3000 and x == y == 3000 * sum(range(6000))
     assert blocked(rows.limit(0), ["g"], "a").count() == 0
+
+
+def test_pairs_of_areas_are_not_one_task(spark):
+    from chronolith.plans import catalogue
+
+    pairs = catalogue.QUERIES["q19_many_areas"](spark, "/root/testdata/sf0.001")
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
